@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
 from .media import op1_mpeg_audio
+from .mixing import OP5_SQL, op5_source_mix
+from .pii import op9_pii
+from .secrets import op3_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mpeg_audio, op2_byte_bpe)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_byte_bpe, op3_secret_scan, op5_source_mix, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_source_mix": OP5_SQL}
