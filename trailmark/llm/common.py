@@ -5,12 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: This package's folder.
+PACKAGE = Path(__file__).resolve().parents[1]
+
 #: A word, as the contracts define it: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +42,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors, wherever it is installed on the driver."""
+    context = df.sparkSession.sparkContext
+    if not any(os.path.basename(f) == f"{PACKAGE.name}.zip" for f in context.listFiles):
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{PACKAGE.name}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(PACKAGE.rglob("*.py")):
+                z.write(p, p.relative_to(PACKAGE.parent))
+        context.addPyFile(path)
+    return df.mapInArrow(fn, schema)
+
+
 def per_row(
     df: DataFrame, column: str, fn: Callable[..., tuple], fields: list[tuple[str, pa.DataType, str]], keep: list[str],
     setup: Callable[[], object] | None = None,
@@ -60,7 +77,7 @@ def per_row(
                 arrays = [pa.array([r[i] for r in part], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, 1024).columns[: len(keep)], *arrays], [*keep, *names])
 
-    return df.select(*keep, F.col(column).alias("__value")).mapInArrow(run, schema)
+    return arrow_map(df.select(*keep, F.col(column).alias("__value")), run, schema)
 
 
 def words_of(text: str | None) -> list[bytes]:
