@@ -80,6 +80,7 @@ def per_row(
     return arrow_map(df.select(*keep, F.col(column).alias("__value")), run, schema)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8; ``bytes.split`` parts at exactly the white space that ``WORD`` excludes."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words of a text as UTF-8, with A-Z lowered if ``lower``; ``bytes.split`` parts at exactly the white space that ``WORD`` excludes."""
+    raw = (text or "").encode()
+    return (raw.lower() if lower else raw).split()

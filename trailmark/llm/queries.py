@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_byte_bpe
 from .fingerprints import op8_exact_fingerprint
+from .jaccard import op4_ngram_jaccard
 from .lines import OP10_SQL, op10_line_templates
 from .media import op1_mpeg_audio
 from .mixing import OP5_SQL, op5_source_mix
@@ -17,7 +18,7 @@ from .toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mpeg_audio, op2_byte_bpe, op3_secret_scan, op5_source_mix, op6_toxicity, op8_exact_fingerprint, op9_pii, op10_line_templates)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_byte_bpe, op3_secret_scan, op4_ngram_jaccard, op5_source_mix, op6_toxicity, op8_exact_fingerprint, op9_pii, op10_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
