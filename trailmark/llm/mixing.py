@@ -73,10 +73,11 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
         sums = histogram.withColumn("upto", F.sum("words").over(running)).select(F.col("source").alias("__s"), "bucket", "words", "upto")
         # the first bucket in which the running sum passes what is left
         ends = sums.join(state, F.col("__s").eqNullSafe(F.col("source"))).where(F.col("upto") > F.col("left")).groupBy(F.col("source").alias("__s")).agg(F.min_by(F.struct("bucket", "words", "upto"), "bucket").alias("end"))
-        state = state.join(ends, F.col("__s").eqNullSafe(F.col("source")), "left").select(
+        # a row a source, written so that the next level's plan reads it twice instead of repeating all levels before
+        state = stored(state.join(ends, F.col("__s").eqNullSafe(F.col("source")), "left").select(
             "source", "source_size", "target", "full", F.col("end.bucket").alias("last"),
             (F.col("left") - (F.col("end.upto") - F.col("end.words"))).alias("left"), F.col("end.words").alias("at_end"),
-        )
+        ))
     return state.select("source", "source_size", "target", "full", "last", (F.col("left") * 2 >= F.col("at_end")).alias("also"))
 
 
@@ -85,7 +86,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
     slim = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(text).alias("size"), hash_of(doc_id, text).alias("hash")))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = stored(targets(sizes, weights, most))
-    plan = stored(thresholds(slim.select("source", "size", "hash"), goals))
+    plan = thresholds(slim.select("source", "size", "hash"), goals)
     return _applied(slim, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
@@ -103,7 +104,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     """The documents that the mix takes, all columns, repeated as often as it takes them; those without words stay once."""
     slim = stored(docs.select(F.col(source).alias("source"), size_of(text).alias("size"), hash_of(doc_id, text).alias("hash")))
     goals = stored(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    plan = stored(thresholds(slim, goals)).select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("last").alias("__last"), F.col("also").alias("__also"))
+    plan = thresholds(slim, goals).select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("last").alias("__last"), F.col("also").alias("__also"))
     h = hash_of(doc_id, text)
     more = F.coalesce((h < F.col("__last")) | ((h == F.col("__last")) & F.col("__also")), F.lit(False))
     times = F.when(size_of(text) == 0, F.lit(1)).otherwise(F.col("__full") + more.cast("long")).cast("int")
