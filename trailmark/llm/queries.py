@@ -13,13 +13,14 @@ from .lines import OP10_SQL, op10_line_templates
 from .media import op1_mpeg_audio
 from .mixing import OP5_SQL, op5_source_mix
 from .pii import op9_pii
+from .repeats import OP7_SQL, op7_fixed_block_repeats
 from .secrets import op3_secret_scan
 from .toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mpeg_audio, op2_byte_bpe, op3_secret_scan, op4_ngram_jaccard, op5_source_mix, op6_toxicity, op8_exact_fingerprint, op9_pii, op10_line_templates)}
+    return {f.__name__: f for f in (op1_mpeg_audio, op2_byte_bpe, op3_secret_scan, op4_ngram_jaccard, op5_source_mix, op6_toxicity, op7_fixed_block_repeats, op8_exact_fingerprint, op9_pii, op10_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": OP5_SQL, "op10_line_templates": OP10_SQL}
+    return {"op5_source_mix": OP5_SQL, "op7_fixed_block_repeats": OP7_SQL, "op10_line_templates": OP10_SQL}
