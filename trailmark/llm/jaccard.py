@@ -1,17 +1,20 @@
 """N-gram Jaccard join: an exact similarity join in the metric space of Jaccard distances.
 
-The distance 1 - |x ∩ y| / |x ∪ y| is a metric, but sets of word shingles lie at distance 1 from nearly all others: no document,
-taken as a pivot, tells two strangers apart, and windows of the triangle inequality around such pivots would hold the
-whole corpus. The first regions are therefore drawn by pivots that are not documents: the possible contents of parts of the
-shingle space. The space is cut by hash into one part more than the largest symmetric difference that a linked pair can have; such a
-pair agrees in a whole part (pigeonhole), so every linked pair meets in the region of a part's content. Where the bound
-depends on set sizes, overlapping size windows replicate sets near a window's edge.
-
-Inside the regions the method is the metric one. Each region's pivot is its smallest member; the exact distances of the others to it
+The distance 1 - |x ∩ y| / |x ∪ y| is a metric, but sets of word shingles lie at distance 1 from nearly all others, and near copies
+that don't link lie at much the same distance from one another: windows of the triangle inequality around documents alone would
+hold the whole corpus, or the whole group. The first regions are therefore drawn by pivots that are not documents, in two steps:
+
+1. Pivots are the possible contents of parts of the shingle space. The space is cut by hash into one part more than the largest symmetric
+   difference that a linked pair can have, so such a pair agrees in a whole part (pigeonhole). Where the bound depends on set sizes,
+   overlapping size windows replicate sets near a window's edge. Sets that share no part's content with another are done.
+2. For the others pivots are single shingles: a set belongs to the regions of its rarest ones, as many as it may lack in a linked partner plus
+   one, rarity being counted among these sets. A shingle that no other set has opens no region, so a set with many of its own is done.
+
+Inside the regions the method is the metric one. Each region's first pivot is its smallest member; the exact distances of the others to it
 make links, and links make components. Members of one component need no further comparison. Regions that still hold several
-components are joined again, recursively: with a pivot from the component that has the fewest members there, and only with members
-whose distance to the region's earlier pivot is within the threshold of the new pivot's own (the window that the triangle inequality
-leaves). Each round retires one more pivot a region; the rounds end when every region holds one component.
+components are joined again, recursively: with pivots from their small components (one, then four times as many each round), and only with
+members whose distance to the region's first pivot is within the threshold of the new pivot's own (the window that the triangle
+inequality leaves). A round retires its pivots; the rounds end when every region holds one component.
 
 Copies with equal shingle sets are one node throughout. No pairs within a copied group are made: a group costs
 one comparison a member. Equal sets are known by a 64-bit hash, shingles by a 64-bit hash of their words' 64-bit hashes.
@@ -145,6 +148,17 @@ def _sets(n: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("shingle", pa.int64())])
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
+            sizes = np.array([len(x) for x in sets])
+            if sizes.sum():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(sets))], schema=schema)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = (batch.column(i) for i in (2, 3))
@@ -174,14 +188,26 @@ class JaccardJoin:
         parts = arrow_map(texts.select("text"), _contents(n, num, den), "node bigint, part bigint")
         region = Window.partitionBy("part")
         met = parts.withColumns({"low": F.min("node").over(region), "high": F.max("node").over(region)}).where("low < high")
-        regions = stored(met.select("node", "part", "low").distinct())
-        #: every node that shares a region with another, and its shingles
-        members = self.sizes.groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(regions.select("node").distinct(), "node", "left_semi")
+        parted = met.select("node").distinct()
+        #: every node that shares a part with another, and its shingles
+        members = self.sizes.groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(parted, "node", "left_semi")
         chosen = small(stored(members.select("node", F.col("text_hash").alias("__hash"))))
         held = texts.join(chosen, F.col("text_hash") == F.col("__hash")).select("node", "text")
         self.sets = stored(arrow_map(held, _sets(n), "node bigint, shingles binary").dropDuplicates(["node"]))
         self.rounds = 0
-        self.links, self.roots = self._joined(regions)
+        self.links, self.roots = self._joined(self._regions())
+
+    def _regions(self) -> DataFrame:
+        """node, part, low: the nodes of each rare shingle's region that has two and more, with the smallest of them."""
+        each = arrow_map(self.sets, _exploded, "node bigint, size int, shingle bigint")
+        known = each.withColumn("held", F.count("*").over(Window.partitionBy("shingle"))).where("held > 1")
+        own = Window.partitionBy("node")
+        room = F.col("size") - F.ceil(F.col("size") * self.num / self.den - 1e-9) + 1  # rarest ones first, those of no other set among them
+        alone = F.col("size") - F.count("*").over(own)
+        rare = known.withColumn("rank", F.row_number().over(own.orderBy("held", "shingle"))).withColumn("alone", alone).where(F.col("alone") + F.col("rank") <= room)
+        region = Window.partitionBy("shingle")
+        met = rare.select("node", "shingle").withColumns({"low": F.min("node").over(region), "high": F.max("node").over(region)}).where("low < high")
+        return stored(met.select("node", F.col("shingle").alias("part"), "low"))
 
     def _distances(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked, distance of pairs (a, b)."""
@@ -198,22 +224,25 @@ class JaccardJoin:
         links, tested = first.where("linked").select("a", "b"), first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         reach = 1 - self.num / self.den + 1e-12
         near = first.select(F.col("a").alias("node"), F.col("b").alias("low"), "distance")
-        # what is left of each region: members but for the pivot, with their distances to it
-        state = regions.where("node <> low").join(near, ["node", "low"])
+        # what is left of each region: members but for its pivots, with their distances to the first one
+        state, roots, fresh, pivots = regions.where("node <> low").join(near, ["node", "low"]).select("part", "node", "distance"), None, links, 1
         while True:
             self.rounds += 1
-            roots = stored(components(links))
+            bound = fresh if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh)
+            roots = stored(components(bound))
             region, mine = Window.partitionBy("part"), Window.partitionBy("part", "root")
             split = state.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            split = split.withColumns({"r1": F.min("root").over(region), "r2": F.max("root").over(region)}).where("r1 < r2").drop("r1", "r2")
-            split = stored(split.withColumn("own", F.count("*").over(mine)).withColumn("p", F.min(F.struct("own", "node", "root", "distance")).over(region)).drop("own"))
+            split = split.withColumns({"r1": F.min("root").over(region), "r2": F.max("root").over(region)}).where("r1 < r2").withColumn("own", F.count("*").over(mine))
+            split = stored(split.withColumn("rank", F.row_number().over(region.orderBy("own", "node"))).drop("r1", "r2", "own"))
             if split.isEmpty():
                 return links, roots
-            apart = (F.col("root") != F.col("p.root")) & (F.abs(F.col("distance") - F.col("p.distance")) <= reach)
-            pairs = split.where(apart).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+            p = split.where(F.col("rank") <= pivots).withColumnsRenamed({"node": "p", "root": "p_root", "distance": "p_distance", "rank": "p_rank"})
+            window = (F.col("root") != F.col("p_root")) & (F.col("rank") > F.col("p_rank")) & (F.abs(F.col("distance") - F.col("p_distance")) <= reach)
+            pairs = split.join(p, "part").where(window).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
             found = stored(self._distances(pairs))
-            links, tested = links.unionByName(found.where("linked").select("a", "b")), tested.unionByName(found.select("a", "b"))
-            state = split.where(F.col("node") != F.col("p.node")).drop("p", "root")
+            fresh = found.where("linked").select("a", "b")
+            links, tested = links.unionByName(fresh), tested.unionByName(found.select("a", "b"))
+            state, pivots = split.where(F.col("rank") > pivots).select("part", "node", "distance"), pivots * 4
 
     def classes(self) -> DataFrame:
         """node, component (its root) and component_id (the smallest doc_id in it) of every node."""
