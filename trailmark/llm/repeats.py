@@ -11,8 +11,8 @@ a whole aligned block of ``block`` words (7 = (13 + 1) / 2) of the other documen
    has a smaller document is a repeat. Overlapping windows together are the maximal exact repeats; their words go.
 
 No pair of documents is ever formed: hits compare a probe with its block's smallest owner, and windows with their
-smallest holder, so a passage that many documents share costs one row a document and word. One block or window has at most one
-row for each place it stands at, a small part of the probes of the documents that hold it; no key gathers a large part of all rows.
+smallest holder, so a passage that many documents share costs one row a document and word. A window has one row a document, a small
+part of the rows of the documents that hold it; no key gathers a large part of all rows.
 
 Defined results: null texts have no words; texts under 13 words keep all; a null doc_id counts as larger than all others; rows with one
 doc_id do not remove from one another; repeated rows lose the same words; an empty table gives an empty table. Texts
@@ -122,7 +122,7 @@ def _hits(found: pa.Table) -> pa.Table:
 
 def _windows(window: int, buckets: int):
     block = (window + 1) // 2
-    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +135,8 @@ def _windows(window: int, buckets: int):
                     bucket, key = _bucket_key(rolling(words, block), buckets)
                     hit = np.isin(key.astype(np.int64) | bucket.astype(np.int64) << KEY_BITS, anchors.values.to_numpy())
                     near = np.convolve(hit, np.ones(window - block + 1, np.int32), "valid") > 0
-                    starts = np.flatnonzero(near)
-                    h = rolling(words, window)[starts].view(np.int64)
-                    out.append((h, np.full(len(starts), doc.as_py(), np.int64), starts << 32 | tag.as_py()))
+                    h = np.unique(rolling(words, window)[near].view(np.int64))  # a window that repeats within its document is sent once
+                    out.append((h, np.full(len(h), doc.as_py(), np.int64), np.full(len(h), tag.as_py(), np.int64)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
 
@@ -152,12 +151,12 @@ def _cut(window: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for text, starts in zip(part.column(1), part.column(2), strict=True):
+                for text, repeated in zip(part.column(1), part.column(2), strict=True):
                     words = words_of(text.as_py())
                     n = len(words)
-                    if starts.is_valid:
+                    if repeated.is_valid:
                         edges = np.zeros(n + 1, np.int64)
-                        first = starts.values.to_numpy()
+                        first = np.flatnonzero(np.isin(rolling(word_hashes(text.as_py()), window).view(np.int64), repeated.values.to_numpy()))
                         np.add.at(edges, first, 1)
                         np.add.at(edges, first + window, -1)
                         words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0)]
@@ -192,13 +191,13 @@ def repeats_removed(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     hits = stored(anchors.groupBy("doc").agg(F.collect_list("anchor").alias("anchors")))  # bounded by one document's words
     near, _ = _joined(rows.select("doc", "tag", "text"), hits, ["doc"])
     near = near.where("anchors is not null").select("doc", "tag", "text", "anchors")
-    windows = arrow_map(near, _windows(window, buckets), "hash bigint, doc bigint, place bigint")
+    windows = arrow_map(near, _windows(window, buckets), "hash bigint, doc bigint, tag bigint")
     first = windows.withColumn("first", F.min("doc").over(Window.partitionBy("hash"))).where("doc > first")
-    starts = first.groupBy("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")).agg(F.collect_list(F.shiftright("place", 32)).alias("starts"))
-    changed, rest = _joined(rows, stored(starts), ["doc", "tag"])
-    changed = changed.select("doc_id", "text", "starts")
+    repeated = first.groupBy("doc", "tag").agg(F.collect_list("hash").alias("repeated"))  # bounded by one document's words
+    changed, rest = _joined(rows, stored(repeated), ["doc", "tag"])
+    changed = changed.select("doc_id", "text", "repeated")
     if rest is not None:
-        changed = changed.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("starts")))
+        changed = changed.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("repeated")))
     return arrow_map(changed, _cut(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
