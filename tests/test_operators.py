@@ -21,7 +21,7 @@ def photos(spark, rows):
 
 
 def pt(lat, lon, **kw):
-    return {"lat": lat, "lon": lon} | kw
+    return {"lat": float(lat), "lon": float(lon)} | kw
 
 
 def numbers(df):

@@ -16,7 +16,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres on the sphere between two points in degrees; null if any coordinate is."""
     half_lat, half_lon = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * EARTH_METERS) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * EARTH_METERS) * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # least() would pass over a null
 
 
 def clamp_radius(meters: float | None, config=DEFAULTS) -> float:

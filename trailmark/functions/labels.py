@@ -28,15 +28,15 @@ def date_range_label(start: Column, end: Column) -> Column:
     days = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(86_400_000_000.0)
     first, last, season = _pick(MONTHS, m1), _pick(MONTHS, m2), _pick(SEASON_OF_MONTH, m1)
     same_year = y1 == y2
-    return F.coalesce(
-        F.when(same_year & (m1 == m2) & (d1 == d2), F.format_string("%s %d, %d", first, d1, y1))
+    return (
+        F.when(start.isNull(), "")
+        .when(same_year & (m1 == m2) & (d1 == d2), F.format_string("%s %d, %d", first, d1, y1))
         .when(same_year & (m1 == m2), F.format_string("%s %d–%d, %d", first, d1, d2, y1))
         .when(same_year & (m1 == 1) & (m2 == 12) & (days > 300), y1.cast("string"))
         .when(same_year & (season == _pick(SEASON_OF_MONTH, m2)), F.format_string("%s %d", season, y1))
         .when(same_year, F.format_string("%s – %s %d", first, last, y1))
         .when(days > 330 * (y2 - y1), F.format_string("%d–%d", y1, y2))
-        .otherwise(F.format_string("%s %d – %s %d", first, y1, last, y2)),
-        F.lit(""),
+        .otherwise(F.format_string("%s %d – %s %d", first, y1, last, y2))
     )
 
 

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.calendar import micros
 from ..functions.geo import haversine
-from .sequence import ORDER
+from .sequence import in_order
 
 
 def assign_tracks(photos: DataFrame, max_km: float = DEFAULTS.journey_km, max_hours: float | None = DEFAULTS.journey_hours) -> DataFrame:
     """Placed rows with track_no, leg_m (from the previous row of the track) and track_size. ``max_hours=None``: only distance breaks a track."""
     placed = photos.where(F.col("lat").isNotNull())
-    leg = haversine(F.lag("lat").over(ORDER), F.lag("lon").over(ORDER), F.col("lat"), F.col("lon"))
-    rows = placed.withColumns({"leg_m": leg, "__gap": micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(ORDER)})
+    leg = haversine(F.lag("lat").over(in_order()), F.lag("lon").over(in_order()), F.col("lat"), F.col("lon"))
+    rows = placed.withColumns({"leg_m": leg, "__gap": micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(in_order())})
     far = F.col("leg_m") > max_km * 1000
     if max_hours is not None:
         far = far | (F.col("__gap") > max_hours * 3.6e9)
     rows = rows.withColumn("__break", F.coalesce(far, F.lit(False)))
-    rows = rows.withColumn("track_no", F.sum(F.col("__break").cast("int")).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("track_no", F.sum(F.col("__break").cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("leg_m", F.when(~F.col("__break"), F.col("leg_m")))
     return rows.withColumn("track_size", F.count("*").over(Window.partitionBy("project", "track_no"))).drop("__gap", "__break")
 
@@ -54,7 +54,7 @@ def set_bbox(rows: DataFrame, keys: list[str], widen: float = 0.05) -> DataFrame
 
 def track_projection(photos: DataFrame, width: float = 960, height: float = 540, pad: float = 40, first: int = 80) -> DataFrame:
     """x, y of each project's first ``first`` placed rows in a pane: one scale for both axes, centred, north up."""
-    placed = photos.where(F.col("lat").isNotNull()).withColumn("rank", F.row_number().over(ORDER)).where(F.col("rank") <= first)
+    placed = photos.where(F.col("lat").isNotNull()).withColumn("rank", F.row_number().over(in_order())).where(F.col("rank") <= first)
     rows = placed.join(set_bbox(placed, ["project"]), "project")
     span_lon, span_lat = F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")
     scale = F.least((width - 2 * pad) / span_lon, (height - 2 * pad) / span_lat)

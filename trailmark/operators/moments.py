@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.calendar import micros, week_start
 from ..functions.geo import haversine
-from .sequence import ORDER
+from .sequence import in_order
 
 
 def home_country(photos: DataFrame) -> DataFrame:
@@ -35,16 +35,16 @@ def away_rows(photos: DataFrame, config=DEFAULTS) -> DataFrame:
     far = haversine(F.col("lat"), F.col("lon"), F.col("home_lat"), F.col("home_lon")) > config.away_km * 1000
     abroad = F.coalesce(country != F.col("home"), F.lit(False))
     known = F.when(country.isNotNull() | F.col("lat").isNotNull(), abroad | F.coalesce(far, F.lit(False)))
-    flag = F.coalesce(F.last("__known", True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+    flag = F.coalesce(F.last("__known", True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
     return rows.withColumn("__known", known).withColumn("away", flag).drop("__known", "home", "home_lat", "home_lon")
 
 
 def away_runs(photos: DataFrame, config=DEFAULTS) -> DataFrame:
     """``photos`` with away, run_no and is_trip: runs of one state without a gap over the limit; long and rich away runs are trips."""
     rows = away_rows(photos, config)
-    gap = micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(ORDER) > config.trip_gap_days * 86_400e6
-    rows = rows.withColumn("__break", F.coalesce(gap | (F.col("away") != F.lag("away").over(ORDER)), F.lit(False)).cast("int"))
-    rows = rows.withColumn("run_no", F.sum("__break").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))).drop("__break")
+    gap = micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(in_order()) > config.trip_gap_days * 86_400e6
+    rows = rows.withColumn("__break", F.coalesce(gap | (F.col("away") != F.lag("away").over(in_order())), F.lit(False)).cast("int"))
+    rows = rows.withColumn("run_no", F.sum("__break").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).drop("__break")
     run = Window.partitionBy("project", "run_no")
     span = F.max(micros(F.col("ts"))).over(run) - F.min(micros(F.col("ts"))).over(run)
     return rows.withColumn("is_trip", F.col("away") & (F.count("*").over(run) >= config.trip_min_rows) & (span >= config.trip_min_hours * 3600e6))

@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.calendar import micros
 from ..functions.geo import haversine
 
-ORDER = Window.partitionBy("project").orderBy("ts", "id")
+def in_order(*keys: str) -> WindowSpec:
+    """Each project's rows in order of time; further keys part them more."""
+    return Window.partitionBy("project", *keys).orderBy("ts", "id")
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,9 @@ def _place() -> Column:
     return F.when(F.col("lat").isNotNull(), F.struct("lat", "lon"))
 
 
-def _before(w=ORDER) -> dict[str, Column]:
+def _before(w: WindowSpec | None = None) -> dict[str, Column]:
     """Of the previous row: its time; of the previous rows: the last place."""
+    w = w or in_order()
     return {"__prev_t": F.lag(micros(F.col("ts"))).over(w), "__prev_place": F.last(_place(), True).over(w.rowsBetween(Window.unboundedPreceding, -1))}
 
 
@@ -62,7 +65,7 @@ def assign_groups(photos: DataFrame, mode: str = "time", scale: Scale | None = N
     scale's step, with columns __seconds and __meters) part the windows further.
     """
     scale = scale or resolve_scale()
-    w = Window.partitionBy("project", *keep).orderBy("ts", "id") if keep else ORDER
+    w = in_order(*keep)
     seconds, meters = (F.col("__seconds"), F.col("__meters")) if keep else (scale.seconds, scale.meters)
     rows = photos.withColumns(_before(w)).withColumn("__break", _breaks(seconds, meters if mode == "spacetime" else None))
     return rows.withColumn("group_no", F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__prev_t", "__prev_place", "__break", "__seconds", "__meters")

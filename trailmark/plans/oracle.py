@@ -13,10 +13,11 @@ W = "(PARTITION BY project ORDER BY ts, id)"
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
-    return (
-        f"(2 * 6371000.0 * asin(least(1.0, sqrt(sin(radians({c} - ({a})) / 2) * sin(radians({c} - ({a})) / 2)"
-        f" + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - ({b})) / 2) * sin(radians({d} - ({b})) / 2)))))"
+    x = (
+        f"(sin(radians({c} - ({a})) / 2) * sin(radians({c} - ({a})) / 2)"
+        f" + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - ({b})) / 2) * sin(radians({d} - ({b})) / 2))"
     )
+    return f"(2 * 6371000.0 * asin(CASE WHEN {x} > 1 THEN 1.0 ELSE sqrt({x}) END))"
 
 
 def grouped(mode: str, step: int) -> str:
