@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import WORD, arrow_map, stored, table, words_of
-from .graph import components
 
 #: Ratio of neighbouring size windows' lower ends.
 STEP = 1.7
