@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..arrow import arrow_map
+
 RINGS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
 COUNTRIES = T.StructType([T.StructField("countries", T.ArrayType(T.StructType([T.StructField("iso", T.StringType()), T.StructField("name", T.StringType()), T.StructField("bbox", T.ArrayType(T.DoubleType())), T.StructField("polys", RINGS)])))])
 # Codes of countries that public data sets tag with -99.
@@ -76,7 +78,7 @@ def build_boundaries(features: DataFrame, tolerance: float = 0.01, min_area: flo
                 types = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.float64())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["iso", "name", "part", "ring"])
 
-    rings = rows.mapInArrow(run, "iso string, name string, part int, ring array<array<double>>")
+    rings = arrow_map(rows, run, "iso string, name string, part int, ring array<array<double>>")
     edge = lambda f, g, i: F.round(f(g(F.transform("ring", lambda v: v[i]))), 4)
     polys = F.transform(F.array_sort(F.collect_list(F.struct("part", "ring"))), lambda x: x["ring"])
     return rings.groupBy("iso", "name").agg(F.array(edge(F.min, F.array_min, 0), edge(F.min, F.array_min, 1), edge(F.max, F.array_max, 0), edge(F.max, F.array_max, 1)).alias("bbox"), polys.alias("polys"))

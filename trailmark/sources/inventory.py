@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map
 from ..functions.labels import READ_ONLY, WRITABLE, file_format
 
 IGNORED = ("tmp", "lock", "bak")
@@ -109,4 +110,4 @@ def content_hashes(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.string())], ["path", "content_hash"])
 
     whole = rows.where(~parsed).select("path", F.sha2("content", 256).alias("content_hash"))
-    return rows.where(parsed).mapInArrow(run, "path string, content_hash string").unionByName(whole)
+    return arrow_map(rows.where(parsed), run, "path string, content_hash string").unionByName(whole)
