@@ -257,6 +257,23 @@ def test_single_and_no_document(spark):
     assert fingerprints.edit_likeness(table(spark, ["same", "same"], [4, 4])).count() == 2
 
 
+def test_clashing_names(spark):
+    docs = table(spark, ["a b c d e f", "x y z w v u"]).withColumns({"fingerprint": F.lit(1), "score": F.lit(2), "size": F.lit(3), "template": F.lit(4), "target": F.lit(5), "n_chars": F.lit(0)})
+    assert fingerprints.fingerprinted(docs).where("fingerprint = '1'").count() == 0
+    from trailmark.llm import toxicity
+
+    machine = toxicity.fit([], np.zeros(0))
+    stages = [toxicity.scored(docs, machine, tuple(docs.columns), "__score"), lines.lines_removed(spark, docs, ""), jaccard.near_copies_removed(spark, docs, ""), mixing.mixed_documents(docs)]
+    for df in stages:
+        assert df.select(*docs.columns).where("score = 2 and size = 3 and template = 4 and target = 5").count() == 2
+
+
+def test_empty_tables(spark):
+    none = table(spark, ["x"]).limit(0)
+    assert jaccard.JaccardJoin(none, 4, 85, 100).documents().count() == repeats.repeats_removed(none).count() == jaccard.near_copies_removed(spark, none, "").count() == 0
+    assert fingerprints.exact_groups(none).count() == 0
+
+
 # ---------------------------------------------------------------- lines
 
 

@@ -57,12 +57,13 @@ def shared_buckets(forms: DataFrame, buckets: tuple[str, str] = ("__h1", "__h2")
 
 
 def fingerprinted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and the column ``fingerprint``."""
+    """``docs`` and the column ``fingerprint`` (in place of one that they have)."""
+    kept = [c for c in docs.columns if c != "fingerprint"]
     forms = docs.withColumn("__form", canonical(F.col(text))).withColumns(_hashes("__form"))
     variants = shared_buckets(forms)
     if variants.isEmpty():
-        return forms.select(*docs.columns, _name().alias("fingerprint"))
-    return forms.join(variants, ["__h1", "__h2", "__form"], "left").select(*docs.columns, _name(variant=F.col("__variant")).alias("fingerprint"))
+        return forms.select(*kept, _name().alias("fingerprint"))
+    return forms.join(variants, ["__h1", "__h2", "__form"], "left").select(*kept, _name(variant=F.col("__variant")).alias("fingerprint"))
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

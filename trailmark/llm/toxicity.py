@@ -133,10 +133,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     return fit(data, (y[order] > 0).astype(np.float64))
 
 
-def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the column ``score`` of every whole text."""
+def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), column: str = "score") -> DataFrame:
+    """``keep`` and the column ``score`` (or another name) of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
-    return per_row(docs, "text", lambda m, t: (m.score(t),), [("score", pa.float64(), "double")], list(keep), lambda: Machine(*sent.value))
+    return per_row(docs, "text", lambda m, t: (m.score(t),), [(column, pa.float64(), "double")], list(keep), lambda: Machine(*sent.value))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -150,8 +150,7 @@ def fitted(spark, docs: DataFrame, sf_dir: str) -> Machine:
 
 def toxic_removed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that score under 0.5, all columns."""
-    whole = fitted(spark, docs, sf_dir)
-    return scored(docs, whole, tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    return scored(docs, fitted(spark, docs, sf_dir), tuple(docs.columns), "__score").where("__score < 0.5").select(*docs.columns)
 
 
 def op6_toxicity(spark, sf_dir):
