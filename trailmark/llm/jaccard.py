@@ -12,7 +12,7 @@ hold the whole corpus, or the whole group. The first regions are therefore drawn
 
 Inside the regions the method is the metric one. Each region's first pivot is its smallest member; the exact distances of the others to it
 make links, and links make components. Members of one component need no further comparison. Regions that still hold several
-components are joined again, recursively: with pivots from their small components (one, then four times as many each round), and only with
+components are joined again, recursively: with pivots from their small components (one, then sixteen times as many each round), and only with
 members whose distance to the region's first pivot is within the threshold of the new pivot's own (the window that the triangle
 inequality leaves). A round retires its pivots; the rounds end when every region holds one component.
 
@@ -242,7 +242,7 @@ class JaccardJoin:
             found = stored(self._distances(pairs))
             fresh = found.where("linked").select("a", "b")
             links, tested = links.unionByName(fresh), tested.unionByName(found.select("a", "b"))
-            state, pivots = split.where(F.col("rank") > pivots).select("part", "node", "distance"), pivots * 4
+            state, pivots = split.where(F.col("rank") > pivots).select("part", "node", "distance"), pivots * 16
 
     def classes(self) -> DataFrame:
         """node, component (its root) and component_id (the smallest doc_id in it) of every node."""
