@@ -10,7 +10,7 @@ hold the whole corpus, or the whole group. The first regions are therefore drawn
 2. For the others pivots are single shingles: a set belongs to the regions of its rarest ones, as many as it may lack in a linked partner plus
    one, rarity being counted among these sets. A shingle that no other set has opens no region, so a set with many of its own is done.
 
-Inside the regions the method is the metric one. Each region's first pivot is its smallest member; the exact distances of the others to it
+Inside the regions the method is the metric one. Each region's first pivot is its member with the fewest shingles of its own; the exact distances of the others to it
 make links, and links make components. Members of one component need no further comparison. Regions that still hold several
 components are joined again, recursively: with pivots from their small components (one, then sixteen times as many each round), and only with
 members whose distance to the region's first pivot is within the threshold of the new pivot's own (the window that the triangle
@@ -198,7 +198,10 @@ class JaccardJoin:
         self.links, self.roots = self._joined(self._regions())
 
     def _regions(self) -> DataFrame:
-        """node, part, low: the nodes of each rare shingle's region that has two and more, with the smallest of them."""
+        """node, part, alone, low: the nodes of each rare shingle's region that has two and more, and its first pivot.
+
+        That is the member with the fewest shingles of its own (``alone``), then the smallest: edits add such shingles, so it lies amid copies.
+        """
         each = arrow_map(self.sets, _exploded, "node bigint, size int, shingle bigint")
         known = each.withColumn("held", F.count("*").over(Window.partitionBy("shingle"))).where("held > 1")
         own = Window.partitionBy("node")
@@ -206,8 +209,8 @@ class JaccardJoin:
         alone = F.col("size") - F.count("*").over(own)
         rare = known.withColumn("rank", F.row_number().over(own.orderBy("held", "shingle"))).withColumn("alone", alone).where(F.col("alone") + F.col("rank") <= room)
         region = Window.partitionBy("shingle")
-        met = rare.select("node", "shingle").withColumns({"low": F.min("node").over(region), "high": F.max("node").over(region)}).where("low < high")
-        return stored(met.select("node", F.col("shingle").alias("part"), "low"))
+        met = rare.select("node", "shingle", "alone").withColumns({"first": F.min(F.struct("alone", "node")).over(region), "n": F.count("*").over(region)}).where("n > 1")
+        return stored(met.select("node", F.col("shingle").alias("part"), "alone", F.col("first.node").alias("low")))
 
     def _distances(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked, distance of pairs (a, b)."""
@@ -225,7 +228,7 @@ class JaccardJoin:
         reach = 1 - self.num / self.den + 1e-12
         near = first.select(F.col("a").alias("node"), F.col("b").alias("low"), "distance")
         # what is left of each region: members but for its pivots, with their distances to the first one
-        state, roots, fresh, pivots = regions.where("node <> low").join(near, ["node", "low"]).select("part", "node", "distance"), None, links, 1
+        state, roots, fresh, pivots = regions.where("node <> low").join(near, ["node", "low"]).select("part", "node", "alone", "distance"), None, links, 1
         while True:
             self.rounds += 1
             bound = fresh if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh)
@@ -233,16 +236,16 @@ class JaccardJoin:
             region, mine = Window.partitionBy("part"), Window.partitionBy("part", "root")
             split = state.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             split = split.withColumns({"r1": F.min("root").over(region), "r2": F.max("root").over(region)}).where("r1 < r2").withColumn("own", F.count("*").over(mine))
-            split = stored(split.withColumn("rank", F.row_number().over(region.orderBy("own", "node"))).drop("r1", "r2", "own"))
+            split = stored(split.withColumn("rank", F.row_number().over(region.orderBy("own", "alone", "node"))).drop("r1", "r2", "own"))
             if split.isEmpty():
                 return links, roots
-            p = split.where(F.col("rank") <= pivots).withColumnsRenamed({"node": "p", "root": "p_root", "distance": "p_distance", "rank": "p_rank"})
+            p = split.drop("alone").where(F.col("rank") <= pivots).withColumnsRenamed({"node": "p", "root": "p_root", "distance": "p_distance", "rank": "p_rank"})
             window = (F.col("root") != F.col("p_root")) & (F.col("rank") > F.col("p_rank")) & (F.abs(F.col("distance") - F.col("p_distance")) <= reach)
             pairs = split.join(p, "part").where(window).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
             found = stored(self._distances(pairs))
             fresh = found.where("linked").select("a", "b")
             links, tested = links.unionByName(fresh), tested.unionByName(found.select("a", "b"))
-            state, pivots = split.where(F.col("rank") > pivots).select("part", "node", "distance"), pivots * 16
+            state, pivots = split.where(F.col("rank") > pivots).select("part", "node", "alone", "distance"), pivots * 16
 
     def classes(self) -> DataFrame:
         """node, component (its root) and component_id (the smallest doc_id in it) of every node."""
