@@ -296,3 +296,19 @@ def test_templates():
     t = lines.template
     assert t(b"a b c") is None and t(b"run 1 of many jobs") == t(b"run  22 of many\tjobs") != t(b"run 1 of many tasks")
     assert t(b"x y z 1 mail a@b.c") == t(b"x y z 77 mail q@r.s") and t(b"one two three four") != t(b"one two three four five")
+
+
+def own_lines(rnd, n=5):
+    return [" ".join(rnd.choice("abcdefghijklmnopqrst") + str.join("", rnd.choices("aeioukst", k=6)) for _ in range(7)) for _ in range(n)]
+
+
+def test_short_lines_go_in_the_pipeline(spark):
+    rnd = random.Random(43)
+    texts = []
+    for i in range(15):
+        a, b, c, d = own_lines(rnd, 4)
+        texts.append("\n".join([a, "All rights reserved.", b, f"Page {i}", c, f"{i}", d]))
+    rows = {r.doc_id: r.text for r in lines.lines_removed(spark, table(spark, texts), "").collect()}
+    for i, t in enumerate(texts):  # a short line of nothing but a number stands for itself alone
+        assert rows[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in (1, 3))
+    assert lines.template(b" \t", min_tokens=1) is None and lines.template(b"7", min_tokens=1) != lines.template(b"8", min_tokens=1)

@@ -2,8 +2,8 @@
 
 Each line of a text is parsed: its tokens (between ASCII white space) are counted, the first ``DEPTH`` lead from the count to a
 leaf, and tokens that vary by their shape (those with a digit or an ``@``) become ``<*>`` there. A template is thus
-token count, leading tokens and generalised rest; its 64-bit key hashes leaf and rest. Lines of fewer than
-``MIN_TOKENS`` tokens are no templates: they recur by chance.
+token count, leading tokens and generalised rest; its 64-bit key hashes leaf and rest. The pipeline gives every line that
+isn't blank a template; the registered query leaves out lines of fewer than ``MIN_TOKENS`` tokens, as ``OP10_SQL`` does.
 
 A template recurs when it stands in at least ``MIN_CONTEXTS`` different contexts (pairs of the templates before and after it) and
 these are at least one in ``COPY_SHARE`` of the different texts that hold it. The second rule tells a line that many
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 import xxhash
@@ -32,20 +33,22 @@ DEPTH, MIN_TOKENS, MIN_CONTEXTS, COPY_SHARE = 3, 4, 10, 5
 VARIES = re.compile(rb"[^\x20]*[0-9@][^\x20]*")
 
 
-def template(line: bytes, depth: int = DEPTH) -> int | None:
-    """The key of a line's template, or None if it is too short."""
+def template(line: bytes, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> int | None:
+    """The key of a line's template, or None if it is blank or too short. A short line whose tokens all vary stands for itself."""
     tokens = line.split()
-    if len(tokens) < MIN_TOKENS:
+    if not tokens or len(tokens) < min_tokens:
         return None
     text = b" ".join(tokens)
     if VARIES.search(text):
-        tokens = VARIES.sub(b"<*>", text).split()
+        general = VARIES.sub(b"<*>", text).split()
+        if len(tokens) >= MIN_TOKENS or any(t != b"<*>" for t in general):
+            tokens = general
     leaf = xxhash.xxh3_64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:depth])))
     key = xxhash.xxh3_64_intdigest(b" ".join(tokens[depth:]), leaf)
     return key - (1 << 64) if key >> 63 else key
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], min_tokens: int = MIN_TOKENS) -> Iterator[pa.RecordBatch]:
     """(text hashes) -> one row for each line with a template: key, context, position."""
     schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("template", pa.int64()), ("context", pa.int64()), ("line", pa.int32())])
     mix = xxhash.xxh3_64_intdigest
@@ -54,7 +57,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 512)
             rows: list[tuple] = []
             for t1, t2, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                keys = [template(x) for x in text.as_py().encode().split(b"\n")]
+                keys = [template(x, min_tokens=min_tokens) for x in text.as_py().encode().split(b"\n")]
                 known = [None, *keys, None]
                 for i, k in enumerate(keys):
                     if k is not None:
@@ -67,10 +70,10 @@ def _text_hashes(text: str) -> list:
     return [F.xxhash64(F.lit("a"), F.col(text)).alias("t1"), F.xxhash64(F.lit("b"), F.col(text)).alias("t2")]
 
 
-def parsed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def parsed_lines(docs: DataFrame, text: str = "text", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """t1, t2 (the text's hash), template, context, line of every line that has a template."""
     rows = docs.where(F.length(text) > 0).select(*_text_hashes(text), F.col(text).alias("text"))
-    return arrow_map(rows, _parsed, "t1 bigint, t2 bigint, template bigint, context bigint, line int")
+    return arrow_map(rows, partial(_parsed, min_tokens=min_tokens), "t1 bigint, t2 bigint, template bigint, context bigint, line int")
 
 
 def recurring(lines: DataFrame, min_contexts: int = MIN_CONTEXTS, copy_share: int = COPY_SHARE) -> DataFrame:
@@ -80,9 +83,9 @@ def recurring(lines: DataFrame, min_contexts: int = MIN_CONTEXTS, copy_share: in
     return counts.where((F.col("contexts") >= min_contexts) & (F.col("contexts") * copy_share >= F.col("holders")))
 
 
-def without_recurring(docs: DataFrame, text: str = "text", min_contexts: int = MIN_CONTEXTS, copy_share: int = COPY_SHARE) -> DataFrame:
+def without_recurring(docs: DataFrame, text: str = "text", min_contexts: int = MIN_CONTEXTS, copy_share: int = COPY_SHARE, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and the columns __lines and __dropped (counts)."""
-    lines = stored(parsed_lines(docs, text))  # texts are parsed once, for the counts and for what they drop
+    lines = stored(parsed_lines(docs, text, min_tokens))  # texts are parsed once, for the counts and for what they drop
     drop = stored(recurring(lines, min_contexts, copy_share).select("template"))
     hit = lines.join(drop, "template", "left_semi").groupBy("t1", "t2").agg(F.collect_set("line").alias("__drop"))  # bounded by one text's lines
     hit = stored(hit)  # so that a large group of copies, which meets in one partition of the join, can be split there
@@ -96,8 +99,8 @@ def without_recurring(docs: DataFrame, text: str = "text", min_contexts: int = M
 
 
 def lines_removed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, without their recurring lines; n_chars follows the text."""
-    out = without_recurring(docs).select(*docs.columns)
+    """Pipeline stage: all documents, without their recurring lines of any length; n_chars follows the text."""
+    out = without_recurring(docs, min_tokens=1).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
