@@ -312,3 +312,27 @@ def test_short_lines_go_in_the_pipeline(spark):
     for i, t in enumerate(texts):  # a short line of nothing but a number stands for itself alone
         assert rows[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in (1, 3))
     assert lines.template(b" \t", min_tokens=1) is None and lines.template(b"7", min_tokens=1) != lines.template(b"8", min_tokens=1)
+
+
+def test_lines_with_fixed_neighbours_go_in_the_pipeline(spark):
+    rnd = random.Random(44)
+    notice = ["This notice covers the whole work below", "no part of it may be copied", "or sold without leave of the holders", "whose names stand at the end"]
+    kept, texts = [], []
+    for _ in range(60):  # inner lines of a notice have one context
+        own = own_lines(rnd, 8)
+        kept.append("\n".join(own))
+        texts.append("\n".join(own[:4] + notice + own[4:]))
+    for _ in range(30):  # a line between blank ones
+        a, b, c, d = own_lines(rnd, 4)
+        kept.append("\n\n".join([a, b]) + "\n\n\n" + "\n\n".join([c, d]))
+        texts.append("\n\n".join([a, b, "Subscribe to our weekly letter today", c, d]))
+    for i in range(120):  # a line between others that take few forms: 9 contexts
+        own = own_lines(rnd, 6)
+        kept.append("\n".join(own))
+        texts.append("\n".join([*own, f"the {'abc'[i % 3]} header of every page", "Share this page with your friends", f"the {'xyz'[i // 3 % 3]} footer of every page"]))
+    story = own_lines(rnd, 20)
+    for i in range(200):  # copies of one document, each with one line of its own
+        texts.append("\n".join([*story[: i % 20], own_lines(rnd, 1)[0], *story[i % 20 + 1 :]]))
+        kept.append(texts[-1])
+    got = {r.doc_id: r.text for r in lines.lines_removed(spark, table(spark, texts), "").collect()}
+    assert [got[i] for i in range(len(texts))] == kept
