@@ -210,6 +210,31 @@ def test_pairs_of_terms_are_learned(spark):
     assert np.mean([(r.score >= 0.5) == bool(r.toxic) for r in got]) > 0.95
 
 
+def test_a_neutral_term_joins_a_pair():
+    """A group's name is as common in clean rows as in toxic ones; only beside an insult does it go with the label."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    rows, labels = [], []
+    for _ in range(1500):
+        group, insult = rnd.random() < 0.3, rnd.random() < 0.3
+        other = not group and rnd.random() < 0.21
+        body = [rnd.choice(words) for _ in range(rnd.randrange(5, 200))]
+        rows.append(toxicity.segments(" ".join(body + ["folk"] * group + ["lout"] * insult + ["vile"] * other)))
+        labels.append(float(group and insult or other))
+    labels = np.array(labels)
+    assert not toxicity.informative([np.unique(np.concatenate(r)) for r in rows], labels)[toxicity.segments("folk")[0]].any()
+    machine = toxicity.fit(rows, labels)
+    assert machine.score("w1 lout folk w3") > 0.5 > max(machine.score(f"w1 {x} w3") for x in ("lout", "folk"))
+
+
+def test_all_segments_train(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(400 * 14))
+    docs = spark.createDataFrame([(1, text, 1), (2, "short", 0)], "doc_id LONG, text STRING, toxic INT")
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels: rows)
+    got = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert [len(r) for r in got] == [14, 1] and set(np.concatenate(got[0])) == set(np.concatenate(toxicity.segments(text)))
+
+
 def test_scores_of_odd_texts(docs):
     machine = toxicity.fit([toxicity.segments("a b c")] * 10, np.zeros(10))
     rows = by_text(toxicity.scored(docs, machine), docs)

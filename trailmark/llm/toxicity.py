@@ -7,9 +7,10 @@ of a segment are its features, and a document's logit is that of its highest seg
 and in a very long text.
 
 Training: labelled rows outside the held-out fold, at most ``max_rows`` of them (those with the lowest hash of doc_id; a
-documented bound) and from each the ``max_segments`` segments of lowest hash, go to the driver as term numbers; a model of
-fixed size comes back by broadcast. Only terms whose presence goes with the label beyond chance (a log-likelihood ratio of at least
-``MIN_RATIO`` over the training rows) get a weight and factors; the rest can't be told from noise in the labels. Scoring reads
+documented bound), with all their segments, go to the driver as term numbers; a model of
+fixed size comes back by broadcast. Terms get a weight and factors if their presence goes with the label beyond chance (a log-likelihood ratio of at least
+``MIN_RATIO`` over the training rows), or if it does among the segments with some other term (``PAIR_RATIO``, as there are far more pairs than
+terms; ``PAIR_ROWS`` segments at least), so that a pair counts whose terms are neutral alone. The rest can't be told from noise in the labels. Scoring reads
 every whole text.
 
 Labels, lang, source and doc_id never enter a score. Null and empty texts are one segment without terms: they score the bias.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import per_row, table
 
-DIM, FACTORS, SEGMENT, MIN_RATIO = 1 << 18, 4, 400, 16.0
+DIM, FACTORS, SEGMENT, MIN_RATIO, PAIR_ROWS, PAIR_RATIO = 1 << 18, 4, 400, 16.0, 8, 40.0
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -59,14 +60,44 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def label_ratio(both: np.ndarray, with_term: np.ndarray, total: float, n: float) -> np.ndarray:
+    """Log-likelihood ratio of presence and label: toxic rows with each term, rows with it, toxic rows, rows."""
+    ratio = np.zeros(len(both))
+    for k, row, column in ((both, with_term, total), (with_term - both, with_term, n - total), (total - both, n - with_term, total), (n - total - with_term + both, n - with_term, n - total)):
+        ratio += 2 * k * np.log(np.maximum(k, 1e-9) * n / np.maximum(row * column, 1e-9))
+    return ratio
+
+
 def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Which terms' log-likelihood ratio (of presence and label) reaches ``MIN_RATIO``."""
     terms, of = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
-    n, with_term, both = len(rows), np.bincount(terms, minlength=DIM).astype(float), np.bincount(terms, of, DIM)
-    total, ratio = labels.sum(), np.zeros(DIM)
-    for k, row, column in ((both, with_term, total), (with_term - both, with_term, n - total), (total - both, n - with_term, total), (n - total - with_term + both, n - with_term, n - total)):
-        ratio += 2 * k * np.log(np.maximum(k, 1e-9) * n / np.maximum(row * column, 1e-9))
-    return ratio >= MIN_RATIO
+    return label_ratio(np.bincount(terms, of, DIM), np.bincount(terms, minlength=DIM).astype(float), labels.sum(), len(rows)) >= MIN_RATIO
+
+
+def interacting(segs: list[np.ndarray], labels: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """Which terms belong to a pair: one that isn't ``strong`` goes with the label among the segments with the other."""
+    often = np.bincount(np.concatenate(segs), minlength=DIM) >= PAIR_ROWS
+    ids = np.flatnonzero(often)
+    place = np.cumsum(often) - 1
+    rows = [place[s[often[s]]] for s in segs]
+    terms, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.argsort(terms, kind="stable")
+    holders = np.split(of[order], np.searchsorted(terms[order], np.arange(1, len(ids))))
+    free, paired = ~strong[ids], np.zeros(len(ids), bool)
+    for a, held in enumerate(holders):
+        y = labels[held]
+        if not len(held) or not 0 < y.sum() < len(y):
+            continue
+        beside = np.concatenate([rows[i] for i in held])
+        n = np.bincount(beside, minlength=len(ids)).astype(float)
+        both = np.bincount(beside, np.repeat(y, [len(rows[i]) for i in held]), len(ids))
+        some = np.flatnonzero(free & (n >= PAIR_ROWS) & (n < len(held)))
+        found = some[label_ratio(both[some], n[some], y.sum(), len(held)) >= PAIR_RATIO]
+        if len(found):
+            paired[found] = paired[a] = True
+    out = np.zeros(DIM, bool)
+    out[ids[paired]] = True
+    return out
 
 
 def fit(rows: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 2e-4, seed: int = 7) -> Machine:
@@ -78,6 +109,7 @@ def fit(rows: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 12, rate
         p = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(rows) else 1e-13
         return Machine(float(np.log(p / (1 - p))), weights, factors)
     used = informative([np.unique(np.concatenate(segs)) for segs in rows], labels)
+    used |= interacting([s for segs in rows for s in segs], np.repeat(labels, [len(segs) for segs in rows]), used)
     factors[used] = rng.normal(0, 0.05, (int(used.sum()), FACTORS))
     rows = [[s[used[s]] for s in segs] for segs in rows]
     gw, gv, gb = np.full(DIM, 1e-2, np.float32), np.full((DIM, FACTORS), 1e-2, np.float32), 1.0
@@ -117,12 +149,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, max_segments: int = 8) -> Machine:
-    """``labels``: doc_id and the label. What comes to the driver is bounded by max_rows * max_segments * SEGMENT numbers."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000) -> Machine:
+    """``labels``: doc_id and the label. What comes to the driver are the term numbers of at most max_rows whole texts."""
     def pick(text: str | None) -> tuple:
-        segs = segments(text)
-        keep = sorted(segs, key=lambda s: xxhash.xxh3_64_intdigest(np.sort(s).tobytes()))[:max_segments]
-        return ([s.astype(np.int32) for s in keep],)
+        segs = sorted(segments(text), key=lambda s: xxhash.xxh3_64_intdigest(np.sort(s).tobytes()))
+        return ([s.astype(np.int32) for s in segs],)
 
     rows = per_row(training_rows(docs, labels, label, max_rows), "text", pick, [("segments", pa.list_(pa.list_(pa.int32())), "array<array<int>>")], ["doc_id", "__label"])
     got = rows.toArrow()
