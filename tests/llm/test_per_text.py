@@ -166,6 +166,17 @@ def test_context_decides():
     assert scores == [1.0, 0.5, 0.8]
 
 
+def test_iban_ends_where_its_country_says():
+    spans_of = lambda t: [t[a:b] for k, a, b, _ in pii.scored_spans(t) if k == "iban"]
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    for iban, after in zip(ibans, [" BIC COBADEFFXXX", " 2024-01-05", " EUR 500"], strict=True):
+        assert spans_of(iban + after) == spans_of(f"AB12 {iban}{after}") == [iban]
+        assert spans_of(iban + "9") == spans_of(iban[:-1]) == []
+    assert spans_of(f"{ibans[0]} {ibans[2]} {ibans[1]}") == [ibans[0], ibans[2], ibans[1]]
+    others = ["HU42117730161111101800000000", "RO49AAAA1B31007593840000", "TR330006100519786457841326", "HR1210010051863000160", "MT84MALT011000012345MTLCAST001S"]
+    assert [spans_of(f"to {x} now") for x in others] == [[x] for x in others]
+
+
 def test_pii_against_plain_patterns():
     """The tests before the patterns never lose a match."""
     rnd = random.Random(2)
