@@ -59,6 +59,59 @@ def test_audio_resynchronises_and_checks():
     assert media.scan(None)["n_frames"] == media.scan(b"\xff" * 50)["n_frames"] == 0
 
 
+def test_text_that_reads_like_a_tag_stays_payload():
+    for n in (64, 320, 640, 1024, 4992):
+        for at in range(0, n - 3):
+            payload = b"x" * at + b"TAG" + b"x" * (n - at - 3)
+            stream = media.embed(payload, n)
+            if stream[-128:-125] == b"TAG":
+                break
+        else:
+            continue
+        got = media.scan(stream)
+        assert b"".join(got["bodies"])[:n] == payload and got["skipped"] == 0 and "id3v1" not in got["tags"]
+        tagged = media.scan(stream + b"TAG" + b"Real".ljust(125, b"\0"))
+        assert b"".join(tagged["bodies"])[:n] == payload and tagged["skipped"] == 0 and tagged["tags"]["id3v1"] == "Real"
+    assert got["n_frames"] > 1  # the loop reached streams of several frames
+    assert media.scan(b"junk " * 9 + b"TAG" + b"Lone".ljust(125, b"\0"))["tags"] == {"id3v1": "Lone"}
+
+
+def protected_frame(word: int, bits: str) -> bytes:
+    """A frame whose guarded bits are ``bits``, with a checksum taken by polynomial division bit by bit."""
+    length = media.header(word)[0]
+    c = 0xFFFF
+    for b in f"{word & 0xFFFF:016b}{bits}":
+        c = ((c << 1) ^ (0x8005 if (c >> 15) ^ int(b) else 0)) & 0xFFFF
+    body = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+    return (word.to_bytes(4, "big") + c.to_bytes(2, "big") + body).ljust(length, b"\x55")
+
+
+@pytest.mark.parametrize(
+    ("word", "bits"),
+    [
+        (0xFFFE90C0, "0001" * 32),  # layer I, mono
+        (0xFFFE9000, "0101" * 64),  # layer I, stereo
+        (0xFFFE9050, "0011" * 40),  # layer I, joint from subband 8
+        (0xFFFC80C0, "0010" + "0000" * 10 + "000" * 12 + "00" * 7 + "01"),  # layer II, mono, 30 subbands, one in use
+        (0xFFFC9000, ("0001" * 2 + "0000" * 20) + "000" * 24 + "00" * 8 + "1001"),  # layer II, stereo at 80 kbit/s a channel: 27 subbands
+        (0xFFFC9040, "0000" * 8 + "0001" + "0000" * 6 + "000" * 12 + "00" * 4 + "1101"),  # layer II, joint: one shared allocation, two selections
+        (0xFFFC10C0, "0100" + "0000" + "000" * 6 + "10"),  # layer II, mono at 32 kbit/s: 8 subbands
+        (0xFFF480C0, "0001" + "0000" * 3 + "000" * 7 + "00" * 19 + "11"),  # layer II of MPEG-2
+    ],
+)
+def test_checksums_of_layers_one_and_two(word, bits):
+    frame = protected_frame(word, bits)
+    got = media.scan(frame * 3)
+    assert (got["n_frames"], got["crc_ok"], got["crc_bad"]) == (3, 3, 0)
+    for i in (0, len(bits) - 1):
+        damaged = bytearray(frame * 3)
+        damaged[6 + i // 8] ^= 0x80 >> i % 8
+        assert (media.scan(bytes(damaged))["crc_ok"], media.scan(bytes(damaged))["crc_bad"]) == (2, 1)
+    unguarded = bytearray(frame * 3)
+    unguarded[6 + len(bits) // 8 + 1] ^= 0xFF
+    assert media.scan(bytes(unguarded))["crc_ok"] == 3
+
+
 @pytest.mark.parametrize(("word", "length", "samples", "rate"), [(0xFFFB9000, 417, 1152, 44100), (0xFFF38000, 208, 576, 22050), (0xFFFD9000, 522, 1152, 44100), (0xFFFF9000, 312, 384, 44100), (0xFFE38000, 417, 576, 11025)])
 def test_frame_headers(word, length, samples, rate):
     assert media.header(word)[:3] == (length, samples, rate)

@@ -7,7 +7,7 @@ and store exact durations and frame seek offsets.
 the smallest bit rate that holds what is left, so the stream has a variable bit rate and carries a seek table.
 
 Defined results: a null or empty stream has no frame, duration 0 and no offsets; bytes that are not part of a frame
-or tag are counted as ``skipped``; a frame whose checksum differs is counted and still timed. A null text is the
+or tag are counted as ``skipped``; a frame whose checksum differs is counted and still timed; bytes inside a frame are no closing tag. A null text is the
 empty text; it is stored as 64 zero bytes. Rows are mapped one by one, so repeated rows and ties give equal values,
 an empty table gives an empty table, and columns besides the kept ones never meet the operator's own names.
 """
@@ -73,6 +73,53 @@ def header(word: int) -> tuple | None:
     return length, samples, hz, layer, side, not word >> 16 & 1, kbits, (version, layer, rate)
 
 
+def crc_bits(data: bytes, first: int, n: int, c: int) -> int:
+    """The checksum ``c`` carried on over ``n`` bits from bit ``first`` of ``data``."""
+    for i in range(first, first + n):
+        c = (c << 1 ^ 0x8005 if (c >> 15 ^ data[i >> 3] >> 7 - (i & 7)) & 1 else c << 1) & 0xFFFF
+    return c
+
+
+def guarded_bits(frame: bytes, layer: int, side: int) -> int | None:
+    """How many bits after the checksum it covers besides the header: side information (III), bit allocation (I), and scale factor selection (II).
+
+    None: the frame ends before them.
+    """
+    if layer == 3:
+        return side * 8
+    mpeg1, rate, mode = frame[1] >> 3 & 3 == 3, frame[2] >> 2 & 3, frame[3] >> 6
+    if layer == 1:
+        widths = [4] * 32
+    elif not mpeg1:
+        widths = [4] * 4 + [3] * 7 + [2] * 19
+    else:
+        kbits = BITRATES[1, 2][frame[2] >> 4] // (1 if mode == 3 else 2)
+        if kbits < 56:
+            widths = [4] * 2 + [3] * (10 if rate == 2 else 6)
+        else:
+            widths = [4] * 11 + [3] * 12 + [2] * (7 if kbits >= 96 and rate != 1 else 4)
+    both = {3: 0, 1: 4 * (frame[3] >> 4 & 3) + 4}.get(mode, 32)  # subbands with an allocation for each channel
+    body = int.from_bytes(frame[6:], "big")
+    total, at, chosen = 8 * (len(frame) - 6), 0, 0
+    for i, w in enumerate(widths):
+        for _ in range(2 if i < both else 1):
+            if at + w > total:
+                return None
+            if body >> total - at - w & (1 << w) - 1:
+                chosen += 1 if mode == 3 or i < both else 2  # a shared allocation has a selection for each channel
+            at += w
+    n = at if layer == 1 else at + 2 * chosen
+    return n if n <= total else None
+
+
+def crc_holds(frame: bytes, layer: int, side: int) -> bool:
+    n = guarded_bits(frame, layer, side)
+    if n is None or len(frame) < 6 + (n + 7) // 8:
+        return False
+    whole = crc16(frame[2:4] + frame[6 : 6 + n // 8])
+    return crc_bits(frame, 48 + n // 8 * 8, n % 8, whole) == frame[4] << 8 | frame[5]
+
+
 def at_header(data: bytes, pos: int) -> tuple | None:
     return header(int.from_bytes(data[pos : pos + 4], "big")) if pos + 4 <= len(data) else None
 
@@ -118,28 +165,30 @@ def scan(data: bytes | None) -> dict:
     data = data or b""
     pos, tags = id3v2(data)
     end = len(data)
-    if data[-128:-125] == b"TAG" and end - 128 >= pos:
-        end -= 128
-        tags["id3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    tag = end - 128 if data[-128:-125] == b"TAG" and end - 128 >= pos else end  # a tag, unless these bytes lie in a frame
     offsets, bodies, seconds, kinds = [], [], {}, set()
     samples = crc_ok = crc_bad = skipped = 0
     low, high, vbr, kind, rate = 1 << 30, 0, None, None, 0
     while pos + 4 <= end:
+        if pos == tag:
+            end = tag
+            break
         h = at_header(data, pos)
         after = pos + h[0] if h else 0
-        if h and kind is None or h and h[7] != kind:  # in doubt: the next header, or the end, must follow
+        if h and (kind is None or h[7] != kind or pos < tag < after):  # in doubt: the next header, the tag or the end must follow
             follows = at_header(data, after)
-            if not (after == end or after < end and follows and follows[7] == h[7]):
+            if not (after in (tag, end) or after < end and follows and follows[7] == h[7]):
                 h = None
         if not h or after > end:
-            found = data.find(b"\xff", pos + 1, end)
-            skipped += (found if found > 0 else end) - pos
-            pos = found if found > 0 else end
+            limit = tag if pos < tag else end
+            found = data.find(b"\xff", pos + 1, limit)
+            skipped += (found if found > 0 else limit) - pos
+            pos = found if found > 0 else limit
             continue
         length, n, rate, layer, side, protected, kbits, kind = h
         frame = data[pos:after]
-        if protected and layer == 3:
-            if crc16(frame[2:4] + frame[6 : 6 + side]) == frame[4] << 8 | frame[5]:
+        if protected:
+            if crc_holds(frame, layer, side):
                 crc_ok += 1
             else:
                 crc_bad += 1
@@ -153,6 +202,8 @@ def scan(data: bytes | None) -> dict:
         kinds.add(kind)
         low, high = min(low, kbits), max(high, kbits)
         pos = after
+    if end == tag < len(data):
+        tags["id3v1"] = data[tag + 3 : tag + 33].rstrip(b"\0 ").decode("latin-1")
     skipped += end - pos
     exact = sum((Fraction(n, hz) for hz, n in seconds.items()), Fraction(0))
     return {
