@@ -1,23 +1,25 @@
 """N-gram Jaccard join: an exact similarity join in the metric space of Jaccard distances.
 
-The distance 1 - |x ∩ y| / |x ∪ y| is a metric, but sets of word shingles lie at distance 1 from nearly all others, and near copies
-that don't link lie at much the same distance from one another: windows of the triangle inequality around documents alone would
-hold the whole corpus, or the whole group. The first regions are therefore drawn by pivots that are not documents, in two steps:
-
-1. Pivots are the possible contents of parts of the shingle space. The space is cut by hash into one part more than the largest symmetric
-   difference that a linked pair can have, so such a pair agrees in a whole part (pigeonhole). Where the bound depends on set sizes,
-   overlapping size windows replicate sets near a window's edge. Sets that share no part's content with another are done.
-2. For the others pivots are single shingles: a set belongs to the regions of its rarest ones, as many as it may lack in a linked partner plus
-   one, rarity being counted among these sets. A shingle that no other set has opens no region, so a set with many of its own is done.
-
-Inside the regions the method is the metric one. Each region's first pivot is its member with the fewest shingles of its own; the exact distances of the others to it
-make links, and links make components. Members of one component need no further comparison. Regions that still hold several
-components are joined again, recursively: with pivots from their small components (one, then sixteen times as many each round), and only with
-members whose distance to the region's first pivot is within the threshold of the new pivot's own (the window that the triangle
-inequality leaves). A round retires its pivots; the rounds end when every region holds one component.
-
-Copies with equal shingle sets are one node throughout. No pairs within a copied group are made: a group costs
-one comparison a member. Equal sets are known by a 64-bit hash, shingles by a 64-bit hash of their words' 64-bit hashes.
+1. Parts. The shingle space is cut by hash into one part more than the largest symmetric difference that a linked pair can have, so such a
+   pair agrees in a whole part (pigeonhole). Where the bound depends on set sizes, overlapping size windows replicate
+   sets near a window's edge. Sets that share no part's content with another are done.
+2. Own shingles. For the others the shingles that no other of them has are counted: none of these is in an intersection, so two sets share at most
+   the smaller of their rests. Sets whose rest is too small for any partner of the part's sizes leave the part.
+3. Regions. Each part's content chooses as pivot its member with the smallest share of own shingles (edits add own shingles, so it lies amid its
+   copies). A pivot's region holds all sets that share such a part with it: a set belongs to its nearest pivot's region and is replicated to the
+   regions of the other pivots that chance to be in reach. Two sets that link share a part, hence a region. Exact distances to the pivots make
+   links, and links make components.
+4. Windows and recursion. A region that still holds several components is joined again: pivots from all components but its largest (sixteen a
+   region, then sixteen times as many each round) meet only members of other components inside their window. The window is that of the
+   triangle inequality around the region's pivot c, taken apart by elements: two sets share at most the smaller of their shares of c, and outside c at most
+   the smaller of their rests. A round retires its pivots; the rounds end when no region has a member left that is to become one.
+
+Windows by distance alone (and cells of nearest pivots with a margin of twice the threshold) hold whole groups of near copies, which all lie at much the same
+distance from one another; the windows by elements leave a small part of these pairs. Copies with equal shingle sets are one node throughout.
+No pairs within a copied group are made: a group costs one comparison a member and pivot. Equal sets are known by a 64-bit hash, shingles
+by a 64-bit hash of their words' 64-bit hashes.
+
+Memory: a hot part or shingle is combined for every ``CHUNK`` sets before it is shuffled, and buckets hold about ``BUCKET`` keys.
 
 Defined results: null and empty texts, and texts without words, have no shingle and link with nothing (their component is their own
 doc_id). A null doc_id takes part like others; a component's id is its smallest doc_id that is not null. Repeated rows
@@ -32,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -42,6 +44,8 @@ from .common import WORD, arrow_map, stored, table, words_of
 STEP = 1.7
 #: A list of nodes up to this many rows (24 bytes each) is sent to all executors; a longer one is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Keys in a bucket, about; sets whose keys are combined before the shuffle; pivots of a region in the first round, and how many times more in each later one.
+BUCKET, CHUNK, PIVOTS = 2_000_000, 4096, 16
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93)]
 
@@ -89,7 +93,7 @@ def size_windows(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
 
 
 def part_contents(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes (48 bits) of the contents of a set's parts, in all its size windows."""
+    """Hashes of the contents of a set's parts, in all its size windows."""
     found = []
     for j, parts, spare in size_windows(len(shingles), num, den):
         at = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # sorted, as the hashes are
@@ -98,7 +102,7 @@ def part_contents(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         if parts - len(filled) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
             filled, sums = np.concatenate((filled, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-        found.append(_mixed(sums * _M[1] + filled * _M[0] + np.uint64(j)) >> np.uint64(16))
+        found.append(_mixed(sums * _M[1] + filled * _M[0] + np.uint64(j)))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -115,28 +119,85 @@ def _sizes(n: int):
     return run
 
 
-def _contents(n: int, num: int, den: int):
-    schema = pa.schema([("node", pa.int64()), ("part", pa.int64())])
+SLOTS = "slot bigint, bucket bigint, nodes binary, counts binary, keys binary"
+PACKED = pa.schema([("slot", pa.int64()), ("bucket", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+
 
+def packed(nodes: np.ndarray, counts: np.ndarray, keys: np.ndarray, buckets: int, followers: bool) -> Iterator[pa.RecordBatch]:
+    """A chunk's keys by bucket: each bucket's nodes, their numbers of keys, and 31 bits of each key, with a flag if others of the chunk have it.
+
+    ``keys``: 64-bit hashes, ``counts`` of them for each node in turn. A key is sent once a chunk; the other nodes that have it
+    follow in slots of their own (negative ones, which nothing else shares) if ``followers``.
+    """
+    owner = np.repeat(np.arange(len(nodes)), counts)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    whole = bucket << np.uint64(31) | keys & np.uint64(0x7FFFFFFF)
+    order = np.argsort(whole, kind="stable")
+    whole, owner = whole[order], owner[order]
+    new = np.concatenate(([True], whole[1:] != whole[:-1]))
+    shared = ~new | np.append(~new[1:], False)
+    for leads in (True, False) if followers else (True,):
+        chosen = np.flatnonzero(new == leads)
+        if not len(chosen):
+            continue
+        b = whole[chosen] >> np.uint64(31)
+        by = np.lexsort((owner[chosen], b))
+        chosen, b = chosen[by], b[by]
+        of, low = owner[chosen], ((whole[chosen] & np.uint64(0x7FFFFFFF)) << np.uint64(1) | shared[chosen]).astype(np.uint32)
+        edges = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        rows: list[tuple] = []
+        for i, j in zip(edges, [*edges[1:], len(b)], strict=True):
+            first = np.flatnonzero(np.concatenate(([True], of[i + 1 : j] != of[i : j - 1])))
+            slot = int(b[i]) if leads else -1 - int(nodes[of[i]] & 0xFFFF)
+            rows.append((slot, int(b[i]), nodes[of[i:j][first]].tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), low[i:j].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED.types, strict=True)], schema=PACKED)
+
+
+def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, keys with their bucket, flags) of a slot's rows, by key."""
+    nodes, keys = [], []
+    for bucket, n, c, k in zip(*(rows.column(i) for i in range(1, 5)), strict=True):
+        nodes.append(np.repeat(np.frombuffer(n.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32)))
+        keys.append(np.frombuffer(k.as_py(), np.uint32).astype(np.int64) | bucket.as_py() << 32)
+    node, key = np.concatenate(nodes), np.concatenate(keys)
+    order = np.argsort(key >> 1, kind="stable")
+    return node[order], key[order] >> 1, key[order] & 1 > 0
+
+
+def _contents(n: int, num: int, den: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # nodes of this task's rows
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            for at in range(0, batch.num_rows, CHUNK):
                 nodes, parts = [], []
-                for text in batch.column(0).slice(at, 1024):
+                for text in batch.column(0).slice(at, CHUNK):
                     s = shingle_set(text.as_py(), n)
                     if not len(s) or (node := node_of(s)) in seen:
                         continue
                     seen.add(node)
-                    got = part_contents(s, num, den)
-                    nodes.append(np.full(len(got), node, np.int64))
-                    parts.append(got.view(np.int64))
-                if nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, parts)], schema=schema)
+                    nodes.append(node)
+                    parts.append(part_contents(s, num, den))
+                if any(map(len, parts)):
+                    yield from packed(np.array(nodes, np.int64), np.array(list(map(len, parts))), np.concatenate(parts), buckets, True)
 
     return run
 
 
+def _met(rows: pa.Table) -> pa.Table:
+    """(part, node) of a slot's parts that two and more nodes have."""
+    node, part, flag = unpacked(rows)
+    if rows.column(0)[0].as_py() >= 0:
+        start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        several = (np.minimum.reduceat(node, start) < np.maximum.reduceat(node, start)) | np.logical_or.reduceat(flag, start)
+        several = np.repeat(several, np.diff(np.append(start, len(part))))
+        node, part = node[several], part[several]
+        order = np.lexsort((node, part))  # copies that other tasks sent
+        node, part = node[order], part[order]
+        once = np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1])))[: len(node)]
+        node, part = node[once], part[once]
+    return pa.table({"part": part, "node": node})
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,15 +209,24 @@ def _sets(n: int):
     return run
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("shingle", pa.int64())])
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
-            sizes = np.array([len(x) for x in sets])
-            if sizes.sum():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate(sets))], schema=schema)
+def _shingles(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in part.column(1)]
+                if sets:
+                    yield from packed(part.column(0).to_numpy(), np.array(list(map(len, sets))), np.concatenate(sets), buckets, False)
+
+    return run
+
+
+def _alone(rows: pa.Table) -> pa.Table:
+    """(node, own): how many keys of the slot are in one row only."""
+    node, key, flag = unpacked(rows)
+    differs = np.concatenate(([True], key[1:] != key[:-1], [True]))
+    found, own = np.unique(node[differs[:-1] & differs[1:] & ~flag], return_counts=True)
+    return pa.table({"node": found, "own": own})
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,67 +255,81 @@ class JaccardJoin:
         texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
         #: doc_id, text_hash, n_shingles, node (null without shingles) of every row
         self.sizes = stored(arrow_map(texts, _sizes(n), "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"))
-        parts = arrow_map(texts.select("text"), _contents(n, num, den), "node bigint, part bigint")
-        region = Window.partitionBy("part")
-        met = parts.withColumns({"low": F.min("node").over(region), "high": F.max("node").over(region)}).where("low < high")
-        parted = met.select("node").distinct()
-        #: every node that shares a part with another, and its shingles
-        members = self.sizes.groupBy("node").agg(F.min("text_hash").alias("text_hash")).join(parted, "node", "left_semi")
-        chosen = small(stored(members.select("node", F.col("text_hash").alias("__hash"))))
-        held = texts.join(chosen, F.col("text_hash") == F.col("__hash")).select("node", "text")
-        self.sets = stored(arrow_map(held, _sets(n), "node bigint, shingles binary").dropDuplicates(["node"]))
+        total = self.sizes.agg(F.sum("n_shingles")).first()[0] or 0
+        buckets = max(32, int(total * 0.3) // BUCKET)  # a set has parts for about three in ten of its shingles
+        parts = arrow_map(texts.select("text"), _contents(n, num, den, buckets), SLOTS).groupBy("slot").applyInArrow(_met, "part bigint, node bigint")
+        met = stored(parts)
+        rows = self.sizes.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("row"))
+        members = stored(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "size", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")))
+        chosen = small(members)
+        held = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text")
+        #: node, shingles of every node that shares a part with another (twice for a row that repeats)
+        self.sets = stored(arrow_map(held, _sets(n), "node bigint, shingles binary"))
         self.rounds = 0
-        self.links, self.roots = self._joined(self._regions())
-
-    def _regions(self) -> DataFrame:
-        """node, part, alone, low: the nodes of each rare shingle's region that has two and more, and its first pivot.
-
-        That is the member with the fewest shingles of its own (``alone``), then the smallest: edits add such shingles, so it lies amid copies.
-        """
-        each = arrow_map(self.sets, _exploded, "node bigint, size int, shingle bigint")
-        known = each.withColumn("held", F.count("*").over(Window.partitionBy("shingle"))).where("held > 1")
-        own = Window.partitionBy("node")
-        room = F.col("size") - F.ceil(F.col("size") * self.num / self.den - 1e-9) + 1  # rarest ones first, those of no other set among them
-        alone = F.col("size") - F.count("*").over(own)
-        rare = known.withColumn("rank", F.row_number().over(own.orderBy("held", "shingle"))).withColumn("alone", alone).where(F.col("alone") + F.col("rank") <= room)
-        region = Window.partitionBy("shingle")
-        met = rare.select("node", "shingle", "alone").withColumns({"first": F.min(F.struct("alone", "node")).over(region), "n": F.count("*").over(region)}).where("n > 1")
-        return stored(met.select("node", F.col("shingle").alias("part"), "alone", F.col("first.node").alias("low")))
+        self.links, self.roots = self._joined(self._regions(met, members))
+
+    def _may_link(self, shared: Column, sizes: Column) -> Column:
+        """Whether ``shared`` shingles of two sets of ``sizes`` together are enough."""
+        return shared * self.den >= (sizes - shared) * self.num
+
+    def _regions(self, met: DataFrame, members: DataFrame) -> DataFrame:
+        """pivot, node and of both the size and the rest (shingles that others have, too): every node of each pivot's region."""
+        total = members.agg(F.sum("size")).first()[0] or 0
+        keys = arrow_map(self.sets, _shingles(max(32, total // BUCKET)), SLOTS).groupBy("slot").applyInArrow(_alone, "node bigint, own bigint")
+        own = keys.groupBy("node").agg(F.sum("own").alias("own"))
+        rest = F.col("size") - F.coalesce("own", F.lit(0))
+        nodes = members.join(own, "node", "left").select("node", "size", rest.alias("rest"))
+        largest = F.expr(f"rest * {self.num + self.den} div {self.num}") - F.col("size")  # a partner's size at most
+        nodes = nodes.withColumn("most", largest).where(F.col("most") * self.den >= F.col("size") * self.num)
+        rows = stored(met.join(small(stored(nodes)), "node"))
+        first = F.struct((F.lit(1) - F.col("rest") / F.col("size")).alias("own"), F.col("node"), F.col("size"), F.col("rest"))
+        parts = rows.groupBy("part").agg(F.min(first).alias("first"), F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1")
+        inside = rows.join(parts, "part").where("most >= least and node <> first.node")
+        return inside.select(F.col("first.node").alias("pivot"), F.col("first.size").alias("p_size"), F.col("first.rest").alias("p_rest"), "node", "size", "rest").distinct()
 
     def _distances(self, pairs: DataFrame) -> DataFrame:
-        """a, b, linked, distance of pairs (a, b)."""
-        a = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        b = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
-        counted = arrow_map(both, _shared, "a bigint, b bigint, shared bigint, n_a bigint, n_b bigint")
-        union = F.col("n_a") + F.col("n_b") - F.col("shared")
-        return counted.select("a", "b", (F.col("shared") * self.den >= union * self.num).alias("linked"), (1 - F.col("shared") / union).alias("distance"))
+        """a, b, linked, shared (number of shingles) of pairs (a, b)."""
+        used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = self.sets.join(used, "node", "left_semi").dropDuplicates(["node"])
+        both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+        counted = arrow_map(both.select("a", "b", "x", "y"), _shared, "a bigint, b bigint, shared bigint, n_a bigint, n_b bigint")
+        return counted.select("a", "b", self._may_link(F.col("shared"), F.col("n_a") + F.col("n_b")).alias("linked"), "shared")
 
     def _joined(self, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """All links that are needed to connect what is linked, and (node, root) of the nodes that have any."""
-        first = stored(self._distances(regions.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()))
-        links, tested = first.where("linked").select("a", "b"), first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        reach = 1 - self.num / self.den + 1e-12
-        near = first.select(F.col("a").alias("node"), F.col("b").alias("low"), "distance")
-        # what is left of each region: members but for its pivots, with their distances to the first one
-        state, roots, fresh, pivots = regions.where("node <> low").join(near, ["node", "low"]).select("part", "node", "alone", "distance"), None, links, 1
+        regions = stored(regions)
+        possible = self._may_link(F.least("rest", "p_rest"), F.col("size") + F.col("p_size"))
+        pairs = regions.where(possible).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        found = stored(self._distances(stored(pairs)))
+        links, tested, roots = found.where("linked").select("a", "b"), found.select("a", "b"), None
+        near = found.select("a", "b", "shared")
+        # a member's shingles in the pivot, exactly or at most, and at least as many of the others that it may share with a member outside the pivot
+        state = regions.join(near, (F.least("node", "pivot") == F.col("a")) & (F.greatest("node", "pivot") == F.col("b")), "left")
+        inside, exact = F.coalesce("shared", F.least("rest", "p_rest")), F.col("shared").isNotNull()
+        state = stored(state.select("pivot", "node", "size", "rest", inside.alias("inside"), F.when(exact, F.col("rest") - F.col("shared")).otherwise(F.col("rest")).alias("outside")))
+        fresh, wanted = links, PIVOTS
         while True:
             self.rounds += 1
-            bound = fresh if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh)
-            roots = stored(components(bound))
-            region, mine = Window.partitionBy("part"), Window.partitionBy("part", "root")
-            split = state.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            split = split.withColumns({"r1": F.min("root").over(region), "r2": F.max("root").over(region)}).where("r1 < r2").withColumn("own", F.count("*").over(mine))
-            split = stored(split.withColumn("rank", F.row_number().over(region.orderBy("own", "alone", "node"))).drop("r1", "r2", "own"))
-            if split.isEmpty():
+            if roots is None or not fresh.isEmpty():
+                bound = fresh if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh)
+                roots = stored(components(bound))
+            rooted = state.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            count = rooted.groupBy("pivot", "root").agg(F.count("*").alias("n"))
+            large = count.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+            several = stored(rooted.join(large.select("pivot", F.col("top.root").alias("large"), (F.col("n") - F.col("top.n")).alias("rest_of")), "pivot"))
+            if several.isEmpty():
                 return links, roots
-            p = split.drop("alone").where(F.col("rank") <= pivots).withColumnsRenamed({"node": "p", "root": "p_root", "distance": "p_distance", "rank": "p_rank"})
-            window = (F.col("root") != F.col("p_root")) & (F.col("rank") > F.col("p_rank")) & (F.abs(F.col("distance") - F.col("p_distance")) <= reach)
-            pairs = split.join(p, "part").where(window).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-            found = stored(self._distances(pairs))
+            # by hash, about as many of those outside a region's largest component as are wanted, all of them in the end
+            picked = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("rest_of") / wanted)))
+            several = several.withColumn("chosen", (F.col("root") != F.col("large")) & (picked == 0))
+            p = several.where("chosen").select("pivot", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "size", "rest", "inside", "outside")])
+            window = (F.col("root") != F.col("p_root")) & self._may_link(F.least("rest", "p_rest"), F.col("size") + F.col("p_size"))
+            window &= self._may_link(F.least("inside", "p_inside") + F.least("outside", "p_outside"), F.col("size") + F.col("p_size"))
+            pairs = several.join(p, "pivot").where(window).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+            found = stored(self._distances(stored(pairs.join(tested, ["a", "b"], "left_anti"))))
             fresh = found.where("linked").select("a", "b")
-            links, tested = links.unionByName(fresh), tested.unionByName(found.select("a", "b"))
-            state, pivots = split.where(F.col("rank") > pivots).select("part", "node", "alone", "distance"), pivots * 16
+            links, tested, wanted = links.unionByName(fresh), tested.unionByName(found.select("a", "b")), wanted * PIVOTS
+            state = several.where(~F.col("chosen")).select(*state.columns)
 
     def classes(self) -> DataFrame:
         """node, component (its root) and component_id (the smallest doc_id in it) of every node."""
