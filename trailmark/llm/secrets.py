@@ -7,9 +7,11 @@ links parts whose stretches come within ``REACH`` code points of one another ins
 line), and a weak candidate is reported only when it is linked to a part of another role. A span of kind
 ``credential`` covers each identifier with the nearest secret linked to it, and the nearest endpoint of the two.
 
-Scopes never reach beyond a document, so the join is a sweep over each document's sorted parts (n log n, memory bounded
-by one document's parts) and needs no shuffle. A null text is the empty text; it has no span. Equal rows give equal
-values; an empty table gives an empty table.
+Scopes never reach beyond a document, so the join is a sweep over each document's sorted parts and needs no shuffle: for every part and
+other role the one that ends last among those that begin before it (a running maximum of ends) and the first that begins after it.
+No other part of that role is nearer, so no link of a part is lost. Of the two the nearer counts, the earlier on ties. The cost is n log n in the
+parts and linear in the text, memory is bounded by one document's parts. A null text is the empty text; it has no span. Equal rows give
+equal values; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the same as runs of any length of which only those of 24 and more are kept
 WEAK_ID = re.compile(rf"""({_either("client_?id|account_?id|access_?key_?id|user_?name|login")})["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{{3,}})""")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}")
-ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:amazonaws\.com|internal|local)\b")
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?\b")
+HOST_END, HOST, HOST_LENGTH = re.compile(r"\.(?:amazonaws\.com|internal|local)\b"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.-", 253
 BLANK = re.compile(r"\n[^\S\n]*\n")
 
 ROLE = {"access": 0, "weak_id": 0, "assign": 1, "hex": 1, "weak_secret": 1, "endpoint": 2}
@@ -57,10 +60,45 @@ def base_spans(text: str) -> list[Span]:
     return spans + found("hex", HEX, text)
 
 
+def endpoints(text: str) -> list[Span]:
+    """URLs, addresses, and host names of some inner domains that lie outside these."""
+    spans = found("endpoint", ADDRESS, text)
+    last = 0
+    taken = iter([*spans, ("endpoint", len(text) + 1, len(text) + 1)])
+    _, a, b = next(taken)
+    for m in HOST_END.finditer(text):
+        while b <= m.start():
+            last, (_, a, b) = b, next(taken)
+        low = max(last, m.start() - HOST_LENGTH)
+        start = low + len(text[low : m.start()].rstrip(HOST))
+        start += len(text[start : m.start()]) - len(text[start : m.start()].lstrip(".-"))
+        if start < m.start() and m.end() <= a:
+            spans.append(("endpoint", start, m.end()))
+            last = m.end()
+    return spans
+
+
+def nearest_partners(parts: list[tuple], role: list[tuple], reach: int = REACH) -> list[tuple | None]:
+    """For each of the ``parts`` (scope, start, end, kind) the nearest of the sorted ``role`` in its scope within ``reach``; never an equal stretch."""
+    last: list[int] = []  # for each of role: which of its scope up to here ends last (the first of equals)
+    for i, x in enumerate(role):
+        last.append(last[-1] if i and role[i - 1][0] == x[0] and role[last[-1]][2] >= x[2] else i)
+    out: list[tuple | None] = []
+    for s, a, b, _ in parts:
+        i, j = bisect_left(role, (s, a, b)), bisect_left(role, (s, a, b + 1))
+        before = role[last[i - 1]] if i and role[i - 1][0] == s else None
+        after = role[j] if j < len(role) and role[j][0] == s else None
+        gaps = [(max(0, a - before[2]), 0, before)] if before else []
+        gaps += [(max(0, after[1] - b), 1, after)] if after else []
+        gap, _, x = min(gaps, default=(reach + 1, 0, None), key=lambda g: g[:2])
+        out.append(x if gap <= reach else None)
+    return out
+
+
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """What the method adds to the base spans."""
     weak = found("weak_id", WEAK_ID, text) if "=" in text or ":" in text else []
-    weak += found("endpoint", ENDPOINT, text) if "." in text or "://" in text else []
+    weak += endpoints(text) if "." in text or "://" in text else []
     weak += found("weak_secret", WEAK_SECRET, text, _mixed)
     if not weak and len(base) < 2:
         return []
@@ -78,25 +116,18 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     for p, s in zip(parts, scope, strict=True):
         by_role[p[2]].append((s, *p[:2], p[3]))
 
-    def nearest(part: tuple, role: int) -> tuple | None:
-        """The closest part of the role in the same scope within REACH; the earlier one on ties."""
-        s, a, b, _ = part
-        row = by_role[role]
-        i = bisect_left(row, (s, a))
-        near = [x for x in (*row[max(0, i - 2) : i], *row[i : i + 2]) if x[0] == s and max(x[1] - b, a - x[2]) <= REACH and x[1:3] != (a, b)]
-        return min(near, key=lambda x: (max(x[1] - b, a - x[2], 0), x[1])) if near else None
-
+    partners = [[nearest_partners(row, other) for other in by_role] for row in by_role]
     out: list[Span] = []
     for role, row in enumerate(by_role):
-        for part in row:
-            partners = [nearest(part, r) for r in range(3) if r != role]
-            if part[3] in ("weak_id", "weak_secret", "endpoint") and any(partners):
+        for i, part in enumerate(row):
+            if part[3] in ("weak_id", "weak_secret", "endpoint") and any(partners[role][r][i] for r in range(3) if r != role):
                 out.append((part[3], part[1], part[2]))
-            if role == 0 and partners[0]:
-                span = [part, partners[0]]
-                end = nearest(part, 2) or nearest(partners[0], 2)
-                span += [end] if end else []
-                out.append(("credential", min(x[1] for x in span), max(x[2] for x in span)))
+    secrets = {x: i for i, x in enumerate(by_role[1])}
+    for i, part in enumerate(by_role[0]):
+        if secret := partners[0][1][i]:
+            end = partners[0][2][i] or partners[1][2][secrets[secret]]
+            span = [part, secret, *([end] if end else [])]
+            out.append(("credential", min(x[1] for x in span), max(x[2] for x in span)))
     return out
 
 
