@@ -250,6 +250,25 @@ def test_next_documents_and_edits(spark):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.near_edited == float(r.fingerprint == r.edited_fingerprint)
 
 
+def test_next_document_at_any_ids(spark):
+    """Ids at the ends of 64 bits, in one crowd beside a far one, and hash-like."""
+    rnd = random.Random(33)
+    for ids in ([-(1 << 63), 5, (1 << 63) - 1], [*range(300), 10**15], [rnd.getrandbits(64) - (1 << 63) for _ in range(300)]):
+        docs = table(spark, [f"text {i}" for i in ids], ids)
+        for stretch in (1, 40):
+            got = {r.doc_id: r["__next"] for r in fingerprints.with_next(docs.select("doc_id", "text"), stretch).collect()}
+            down = sorted(ids, reverse=True)
+            assert got == {i: f"text {n}" for i, n in zip(down, [*down[1:], down[0]], strict=True)}
+        assert fingerprints.edit_likeness(docs).count() == len(ids)
+
+
+def test_stretches_are_even_at_any_ids(spark):
+    keys = [f"{k:08d}" for k in range(1000)]
+    firsts = keys[::7]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("s", fingerprints._stretch_of("k", firsts)).collect()
+    assert all(r.s == int(r.k) // 7 for r in rows)
+
+
 def test_single_and_no_document(spark):
     (r,) = fingerprints.edit_likeness(table(spark, ["abcdef"])).collect()
     assert (r.near_next, r.n_chars) == (1.0, 6) and r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()

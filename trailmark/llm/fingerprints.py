@@ -6,13 +6,16 @@ by the SQL function ``reflect``. A bucket is a pair of 64-bit xxhashes (128 bits
 are compared: rows are grouped by hashes and canonical form together, which also combines copies before the shuffle. Should
 two different forms share a bucket, all but the first in byte order get a numbered suffix.
 
-Likeness of two exact digests is 1.0 if they are equal, else 0.0.
+Likeness of two exact digests is 1.0 if the canonical bytes are equal, else 0.0; an edited form that shares a bucket with its own text, but not
+its bytes, gets a suffix, too.
 
-Neighbours in descending order of doc_id (null last, then by hash of the text) come from windows over stretches of the
-id range of equal width; each stretch also gets a copy of the first document of the next one, so no window spans more
-than one stretch and texts move once. Ids that crowd into few stretches make those longer, not wrong.
+Neighbours in descending order of doc_id (null last, then by hash of the text) come from windows over stretches of that order. The
+stretches are cut by number of rows, whatever the ids are: a range partitioning of the keys alone gives each stretch's first key
+(at most ``STRETCHES`` of them, which come to the driver), and every row finds its stretch by a binary search among these. Each
+stretch also gets a copy of the first document of the next one, so no window spans more than one stretch and texts move once.
 
-Null text: the empty text. Repeated rows follow one another; a single document is its own next one; an empty table gives an empty table.
+Null text: the empty text. Ids may be any 64-bit integers or null. Repeated rows follow one another (rows with one id and one text share a stretch); a single
+document is its own next one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Documents in a stretch of ids, about.
-STRETCH = 2000
+#: Documents in a stretch of the order, about, and the largest number of stretches.
+STRETCH, STRETCHES = 2000, 20_000
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def canonical(text: Column) -> Column:
@@ -72,44 +76,70 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return known.join(known.groupBy("fingerprint").agg(F.min(doc_id).alias("group_id")), "fingerprint").select(doc_id, "fingerprint", "group_id")
 
 
-def with_next(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """``docs`` (doc_id and text, not null) with __next: the text of the next document in descending order of doc_id."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) * stretch // max(n, 1)))
-    number = F.floor((F.col("doc_id") - F.lit(low or 0)) / width).cast("long")
-    rows = docs.withColumn("__stretch", F.coalesce(number, F.lit(-1).cast("long"))).withColumn("__order", F.xxhash64("text"))
-    key = F.struct((-F.col("doc_id")).alias("id"), F.col("__order").alias("order"))
-    firsts = stored(rows.groupBy("__stretch").agg(F.min(key).alias("__first")))  # one row a stretch
-    down = Window.orderBy(F.col("__stretch").desc())
-    top = F.first("__stretch").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = firsts.select(F.col("__stretch").alias("__s"), F.coalesce(F.lead("__stretch").over(down), top).alias("__after"))
-    heads = rows.join(firsts.withColumnRenamed("__stretch", "__s"), (F.col("__stretch") == F.col("__s")) & F.col("__first").eqNullSafe(key)).drop("__s", "__first")
-    heads = heads.groupBy("__stretch").agg(F.first("text").alias("text"))  # repeated rows
-    ends = heads.join(after, F.col("__stretch") == F.col("__after")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("__s").alias("__stretch"), F.lit(0).cast("long").alias("__order"), F.lit(True).alias("__end"))
-    every = rows.withColumn("__end", F.lit(False)).unionByName(ends)
-    window = Window.partitionBy("__stretch").orderBy("__end", F.col("doc_id").desc_nulls_last(), "__order")
-    return every.withColumn("__next", F.lead("text").over(window)).where(~F.col("__end")).drop("__stretch", "__order", "__end")
+def _order_key() -> Column:
+    """Text whose order of code points is that of doc_id downwards (null last), then of the text's hash."""
+    digits = lambda c: F.lpad(F.hex(c), 16, "0")  # noqa: E731  of a number taken as unsigned
+    down = digits(F.coalesce("doc_id", F.lit(0)).cast("long").bitwiseXOR(F.lit(HIGH)))
+    return F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise("0"), down, digits(F.xxhash64("text").bitwiseXOR(F.lit(LOW))))
+
+
+def _stretch_of(key: str, firsts: list[str]) -> Column:
+    """The last of the sorted ``firsts`` that isn't above the key: a binary search, one bit of the answer at a time."""
+    listed = F.split(F.lit(",".join(firsts)), ",")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(firsts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step) <= F.col(key), at + step).otherwise(at))
+
+
+def with_next(docs: DataFrame, stretch: int = STRETCH, also: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id and text, not null) with __next: the text of the next document in descending order of doc_id.
+
+    ``also``: other columns of which the next document's value comes along, with ``_next`` after the name.
+    """
+    keyed = docs.withColumn("__key", _order_key())
+    keys = stored(keyed.select("__key"))
+    n = max(1, min(keys.count() // stretch, STRETCHES))
+    found = keys.repartitionByRange(n, "__key").groupBy(F.spark_partition_id()).agg(F.min("__key")).collect()
+    number = _stretch_of("__key", sorted(r[1] for r in found) or [""])
+    rows = keyed.withColumn("__stretch", number)
+    firsts = stored(keys.withColumn("__stretch", number).groupBy("__stretch").agg(F.min("__key").alias("__first")))  # one row a stretch
+    order = Window.orderBy("__stretch")
+    top = F.first("__stretch").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = firsts.withColumn("__after", F.coalesce(F.lead("__stretch").over(order), top)).select(F.col("__stretch").alias("__s"), "__after")
+    heads = keyed.join(F.broadcast(firsts), F.col("__key") == F.col("__first")).dropDuplicates(["__stretch"])  # repeated rows
+    ends = heads.join(F.broadcast(after), F.col("__stretch") == F.col("__after")).drop("__stretch", "__first", "__after").withColumnRenamed("__s", "__stretch")
+    every = rows.withColumn("__end", F.lit(False)).unionByName(ends.withColumn("__end", F.lit(True)))
+    window = Window.partitionBy("__stretch").orderBy("__end", "__key")
+    every = every.withColumn("__next", F.lead("text").over(window)).withColumns({f"{c}_next": F.lead(c).over(window) for c in also})
+    return every.where(~F.col("__end")).drop("__stretch", "__key", "__end")
 
 
 def edit_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document, and their likeness."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    variants = shared_buckets(rows.select(canonical(F.col("text")).alias("__form")).withColumns(_hashes("__form")))
+    hashed = rows.withColumn("__form", canonical(F.col("text"))).withColumns(_hashes("__form"))
+    variants = shared_buckets(hashed)
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.expr("left(text, n_chars - __third)"), F.expr("left(__next, __third)"))
     out = (
-        with_next(rows).withColumn("n_chars", F.length("text").cast("long")).withColumn("__third", third)
+        with_next(hashed.drop("__form"), also=("__h1", "__h2")).withColumn("n_chars", F.length("text").cast("long")).withColumn("__third", third)
         .withColumn("__edited", edited).withColumn("edited_sha256", F.sha2("__edited", 256))
+        .withColumn("__edited_form", canonical(F.col("__edited"))).withColumns(_hashes("__edited_form", "__e"))
     )
-    for part, column in (("text", "fingerprint"), ("__edited", "edited_fingerprint"), ("__next", "__next_fingerprint")):
-        out = out.withColumn("__form", canonical(F.col(part))).withColumns(_hashes("__form"))
-        if not variants.isEmpty():
-            out = out.join(variants, ["__h1", "__h2", "__form"], "left").withColumn(column, _name(variant=F.col("__variant"))).drop("__variant")
-        else:
-            out = out.withColumn(column, _name())
-        out = out.drop("__form", "__h1", "__h2", *(["__next"] if part == "__next" else []))
-    like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("__next_fingerprint").alias("near_next"))
+    same = lambda h: (F.col("__h1") == F.col(h.format(1))) & (F.col("__h2") == F.col(h.format(2)))
+    bucket = {"__edited": same("__e{}"), "__next": same("__h{}_next")}
+    # the bytes decide, and are made again only where the buckets are equal
+    equal = {c: same_bucket & (canonical(F.col("text")) == (F.col("__edited_form") if c == "__edited" else canonical(F.col(c)))) for c, same_bucket in bucket.items()}
+    out = out.withColumns({"near_edited": equal["__edited"].cast("double"), "near_next": equal["__next"].cast("double")})
+    if variants.isEmpty():
+        names = {"fingerprint": _name(), "edited_fingerprint": _name("__e")}
+    else:
+        for prefix, form in (("__h", "__form"), ("__e", "__edited_form")):
+            known = variants.withColumnsRenamed({"__h1": f"{prefix}1", "__h2": f"{prefix}2", "__form": form, "__variant": f"{prefix}_variant"})
+            out = (out.withColumn(form, canonical(F.col("text"))) if prefix == "__h" else out).join(known, [f"{prefix}1", f"{prefix}2", form], "left")
+        names = {"fingerprint": _name(variant=F.col("__h_variant")), "edited_fingerprint": _name("__e", F.col("__e_variant"))}
+    out = out.withColumns(names)
+    told = F.when((F.col("near_edited") == 0) & (F.col("edited_fingerprint") == F.col("fingerprint")), F.concat("edited_fingerprint", F.lit("-edited"))).otherwise(F.col("edited_fingerprint"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", told.alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op8_exact_fingerprint(spark, sf_dir):
