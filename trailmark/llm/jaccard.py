@@ -19,7 +19,7 @@ distance from one another; the windows by elements leave a small part of these p
 No pairs within a copied group are made: a group costs one comparison a member and pivot. Equal sets are known by a 64-bit hash, shingles
 by a 64-bit hash of their words' 64-bit hashes.
 
-Memory: a hot part or shingle is combined for every ``CHUNK`` sets before it is shuffled, and buckets hold about ``BUCKET`` keys.
+Memory: a hot part or shingle is combined for every ``packing.CHUNK`` sets before it is shuffled, and buckets hold about ``packing.BUCKET`` keys.
 
 Defined results: null and empty texts, and texts without words, have no shingle and link with nothing (their component is their own
 doc_id). A null doc_id takes part like others; a component's id is its smallest doc_id that is not null. Repeated rows
@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .common import WORD, arrow_map, stored, table, words_of
+from .packing import CHUNK, SLOTS, buckets_for, packed, pairs_of_shared, unpacked
 
 #: Ratio of neighbouring size windows' lower ends.
 STEP = 1.7
 #: A list of nodes up to this many rows (24 bytes each) is sent to all executors; a longer one is joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Keys in a bucket, about; sets whose keys are combined before the shuffle; pivots of a region in the first round, and how many times more in each later one.
-BUCKET, CHUNK, PIVOTS = 2_000_000, 4096, 16
+#: Pivots of a region in the first round, and how many times more in each later one.
+PIVOTS = 16
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93)]
 
@@ -119,51 +120,6 @@ def _sizes(n: int):
     return run
 
 
-SLOTS = "slot bigint, bucket bigint, nodes binary, counts binary, keys binary"
-PACKED = pa.schema([("slot", pa.int64()), ("bucket", pa.int64()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
-
-
-def packed(nodes: np.ndarray, counts: np.ndarray, keys: np.ndarray, buckets: int, followers: bool) -> Iterator[pa.RecordBatch]:
-    """A chunk's keys by bucket: each bucket's nodes, their numbers of keys, and 31 bits of each key, with a flag if others of the chunk have it.
-
-    ``keys``: 64-bit hashes, ``counts`` of them for each node in turn. A key is sent once a chunk; the other nodes that have it
-    follow in slots of their own (negative ones, which nothing else shares) if ``followers``.
-    """
-    owner = np.repeat(np.arange(len(nodes)), counts)
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    whole = bucket << np.uint64(31) | keys & np.uint64(0x7FFFFFFF)
-    order = np.argsort(whole, kind="stable")
-    whole, owner = whole[order], owner[order]
-    new = np.concatenate(([True], whole[1:] != whole[:-1]))
-    shared = ~new | np.append(~new[1:], False)
-    for leads in (True, False) if followers else (True,):
-        chosen = np.flatnonzero(new == leads)
-        if not len(chosen):
-            continue
-        b = whole[chosen] >> np.uint64(31)
-        by = np.lexsort((owner[chosen], b))
-        chosen, b = chosen[by], b[by]
-        of, low = owner[chosen], ((whole[chosen] & np.uint64(0x7FFFFFFF)) << np.uint64(1) | shared[chosen]).astype(np.uint32)
-        edges = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-        rows: list[tuple] = []
-        for i, j in zip(edges, [*edges[1:], len(b)], strict=True):
-            first = np.flatnonzero(np.concatenate(([True], of[i + 1 : j] != of[i : j - 1])))
-            slot = int(b[i]) if leads else -1 - int(nodes[of[i]] & 0xFFFF)
-            rows.append((slot, int(b[i]), nodes[of[i:j][first]].tobytes(), np.diff(np.append(first, j - i)).astype(np.uint32).tobytes(), low[i:j].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PACKED.types, strict=True)], schema=PACKED)
-
-
-def unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes, keys with their bucket, flags) of a slot's rows, by key."""
-    nodes, keys = [], []
-    for bucket, n, c, k in zip(*(rows.column(i) for i in range(1, 5)), strict=True):
-        nodes.append(np.repeat(np.frombuffer(n.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32)))
-        keys.append(np.frombuffer(k.as_py(), np.uint32).astype(np.int64) | bucket.as_py() << 32)
-    node, key = np.concatenate(nodes), np.concatenate(keys)
-    order = np.argsort(key >> 1, kind="stable")
-    return node[order], key[order] >> 1, key[order] & 1 > 0
-
-
 def _contents(n: int, num: int, den: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # nodes of this task's rows
@@ -185,16 +141,7 @@ def _contents(n: int, num: int, den: int, buckets: int):
 
 def _met(rows: pa.Table) -> pa.Table:
     """(part, node) of a slot's parts that two and more nodes have."""
-    node, part, flag = unpacked(rows)
-    if rows.column(0)[0].as_py() >= 0:
-        start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        several = (np.minimum.reduceat(node, start) < np.maximum.reduceat(node, start)) | np.logical_or.reduceat(flag, start)
-        several = np.repeat(several, np.diff(np.append(start, len(part))))
-        node, part = node[several], part[several]
-        order = np.lexsort((node, part))  # copies that other tasks sent
-        node, part = node[order], part[order]
-        once = np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1])))[: len(node)]
-        node, part = node[once], part[once]
+    part, node = pairs_of_shared(rows, marked=False)
     return pa.table({"part": part, "node": node})
 
 
@@ -223,7 +170,7 @@ def _shingles(buckets: int):
 
 def _alone(rows: pa.Table) -> pa.Table:
     """(node, own): how many keys of the slot are in one row only."""
-    node, key, flag = unpacked(rows)
+    node, key, flag, _ = unpacked(rows)
     differs = np.concatenate(([True], key[1:] != key[:-1], [True]))
     found, own = np.unique(node[differs[:-1] & differs[1:] & ~flag], return_counts=True)
     return pa.table({"node": found, "own": own})
@@ -256,7 +203,7 @@ class JaccardJoin:
         #: doc_id, text_hash, n_shingles, node (null without shingles) of every row
         self.sizes = stored(arrow_map(texts, _sizes(n), "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"))
         total = self.sizes.agg(F.sum("n_shingles")).first()[0] or 0
-        buckets = max(32, int(total * 0.3) // BUCKET)  # a set has parts for about three in ten of its shingles
+        buckets = buckets_for(int(total * 0.3))  # a set has parts for about three in ten of its shingles
         parts = arrow_map(texts.select("text"), _contents(n, num, den, buckets), SLOTS).groupBy("slot").applyInArrow(_met, "part bigint, node bigint")
         met = stored(parts)
         rows = self.sizes.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("row"))
@@ -275,7 +222,7 @@ class JaccardJoin:
     def _regions(self, met: DataFrame, members: DataFrame) -> DataFrame:
         """pivot, node and of both the size and the rest (shingles that others have, too): every node of each pivot's region."""
         total = members.agg(F.sum("size")).first()[0] or 0
-        keys = arrow_map(self.sets, _shingles(max(32, total // BUCKET)), SLOTS).groupBy("slot").applyInArrow(_alone, "node bigint, own bigint")
+        keys = arrow_map(self.sets, _shingles(buckets_for(total)), SLOTS).groupBy("slot").applyInArrow(_alone, "node bigint, own bigint")
         own = keys.groupBy("node").agg(F.sum("own").alias("own"))
         rest = F.col("size") - F.coalesce("own", F.lit(0))
         nodes = members.join(own, "node", "left").select("node", "size", rest.alias("rest"))

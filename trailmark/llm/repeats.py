@@ -4,15 +4,16 @@ A repeat is a stretch of at least ``window`` words (13) that also starts in a do
 a whole aligned block of ``block`` words (7 = (13 + 1) / 2) of the other document, wherever it begins there. So:
 
 1. Index and probe: each document's non-overlapping blocks are the index, all its rolling stretches of block length the probes. Both go to
-   buckets by hash, a probe in six bytes; a bucket holds about ``BUCKET`` probes whatever the size of the corpus, since
-   the number of buckets follows the number of words.
-2. A probe hits if a smaller document owns an equal block; blocks so hit are anchors in their own documents too.
-3. Extension: the windows around anchors, of both sides, meet by the 64-bit hash of their 13 words, and each window whose hash
-   has a smaller document is a repeat. Overlapping windows together are the maximal exact repeats; their words go.
+   buckets by hash, a probe in some five bytes; a bucket holds about ``packing.BUCKET`` probes whatever the size of the corpus, since
+   the number of buckets follows the number of words. Equal stretches are sent once a document, and once for every
+   ``packing.CHUNK`` documents: the others of a chunk go straight to their own document's list.
+2. A stretch that two documents hold and that is a whole block of one of them is an anchor in all of them (and what two documents of a chunk hold).
+3. Extension: the windows around anchors meet by the 64-bit hash of their 13 words, and each window whose hash has a smaller
+   document is a repeat. Here, too, only a chunk's smallest document meets the other chunks. Overlapping windows together are the maximal exact repeats;
+   their words go.
 
-No pair of documents is ever formed: hits compare a probe with its block's smallest owner, and windows with their
-smallest holder, so a passage that many documents share costs one row a document and word. A window has one row a document, a small
-part of the rows of the documents that hold it; no key gathers a large part of all rows.
+No pair of documents is ever formed, and a passage that many documents share costs one row a document and word, of which one in a chunk goes
+to its key's task. Anchors are candidates only; windows are equal if their 64-bit hashes are (one false window is to be expected among some 6 billion different ones).
 
 Defined results: null texts have no words; texts under 13 words keep all; a null doc_id counts as larger than all others; rows with one
 doc_id do not remove from one another; repeated rows lose the same words; an empty table gives an empty table. Texts
@@ -31,9 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, stored, table, words_of
+from .packing import CHUNK, SLOTS, bucketed, buckets_for, packed, pairs_of_shared
 
-WINDOW, BUCKET, CHUNK = 13, 500_000, 2048
-KEY_BITS, DOC_BITS = 36, 11  # and one bit for aligned blocks: 48
+WINDOW = 13
 #: Lists of documents up to this many rows (16 bytes each) are sent to all executors; longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 LAST = (1 << 63) - 1
@@ -55,90 +56,52 @@ def rolling(words: np.ndarray, n: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _M[2]
 
 
-def _bucket_key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), h & np.uint64((1 << KEY_BITS) - 1)
-
-
 def _probes(window: int, buckets: int):
     block = (window + 1) // 2
-    schema = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("probes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                ids = part.column(0).to_numpy()
-                found = []
-                for i, text in enumerate(part.column(1)):
-                    words = word_hashes(text.as_py())
-                    if len(words) >= window:
-                        h = rolling(words, block)
-                        aligned = np.zeros(len(h), np.uint64)
-                        aligned[::block] = 1
-                        found.append((h, aligned << np.uint64(DOC_BITS) | np.uint64(i)))
-                if not found:
-                    continue
-                bucket, key = _bucket_key(np.concatenate([h for h, _ in found]), buckets)
-                packed = key << np.uint64(DOC_BITS + 1) | np.concatenate([x for _, x in found])
-                order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-                bucket, packed = bucket[order], packed[order]
-                starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                six = packed.view(np.uint8).reshape(-1, 8)[:, :6]
-                docs = np.diff(ids, prepend=0).tobytes()  # differences of ids in file order pack well
-                rows = [six[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(six)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array([docs] * len(rows), pa.binary()), pa.array(rows, pa.binary())], schema=schema)
+                hashes = [rolling(w, block) if len(w := word_hashes(text.as_py())) >= window else w[:0] for text in part.column(1)]
+                counts = np.array(list(map(len, hashes)))
+                if counts.sum():
+                    aligned = np.concatenate([np.arange(n) % block == 0 for n in counts])
+                    yield from packed(part.column(0).to_numpy(), counts, np.concatenate(hashes), buckets, True, aligned)
 
     return run
 
 
-def _hits(found: pa.Table) -> pa.Table:
-    """Anchors of one bucket: (doc, anchor)."""
-    keys, flags, docs = [], [], []
-    bucket = 0
-    for b, ids, raw in zip(*(found.column(i) for i in range(3)), strict=True):
-        bucket = b.as_py()
-        six = np.frombuffer(raw.as_py(), np.uint8).reshape(-1, 6)
-        packed = np.zeros((len(six), 8), np.uint8)
-        packed[:, :6] = six
-        x = packed.view(np.uint64).ravel()
-        keys.append(x >> np.uint64(DOC_BITS + 1))
-        flags.append((x >> np.uint64(DOC_BITS) & np.uint64(1)).astype(bool))
-        docs.append(np.cumsum(np.frombuffer(ids.as_py(), np.int64))[(x & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64)])
-    key, aligned, doc = np.concatenate(keys), np.concatenate(flags), np.concatenate(docs)
-    order = np.argsort(key, kind="stable")
-    key, aligned, doc = key[order], aligned[order], doc[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
-    owner = np.minimum.reduceat(np.where(aligned, doc, LAST), starts)[group]
-    high = np.maximum.reduceat(doc, starts)[group]
-    keep = (owner < high) & ((doc > owner) | aligned & (doc < high))
-    anchor = key[keep].astype(np.int64) | np.int64(bucket) << np.int64(KEY_BITS)
-    doc = doc[keep]
-    order = np.lexsort((anchor, doc))
-    doc, anchor = doc[order], anchor[order]
-    once = np.concatenate(([True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]))) if len(doc) else np.zeros(0, bool)
-    return pa.table({"doc": doc[once], "anchor": anchor[once]})
+def _anchors(rows: pa.Table) -> pa.Table:
+    """(who, anchor) of one slot."""
+    anchor, who = pairs_of_shared(rows, marked=True)
+    return pa.table({"who": who, "anchor": anchor})
 
 
 def _windows(window: int, buckets: int):
     block = (window + 1) // 2
-    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64())])
+    schema = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("slot", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, CHUNK):
                 out = []
-                for doc, tag, text, anchors in zip(*(c.slice(at, 256) for c in batch.columns), strict=True):
+                for doc, tag, text, anchors in zip(*(c.slice(at, CHUNK) for c in batch.columns), strict=True):
                     words = word_hashes(text.as_py())
                     if len(words) < window:
                         continue
-                    bucket, key = _bucket_key(rolling(words, block), buckets)
-                    hit = np.isin(key.astype(np.int64) | bucket.astype(np.int64) << KEY_BITS, anchors.values.to_numpy())
+                    hit = np.isin(bucketed(rolling(words, block), buckets).astype(np.int64), anchors.values.to_numpy())
                     near = np.convolve(hit, np.ones(window - block + 1, np.int32), "valid") > 0
                     h = np.unique(rolling(words, window)[near].view(np.int64))  # a window that repeats within its document is sent once
                     out.append((h, np.full(len(h), doc.as_py(), np.int64), np.full(len(h), tag.as_py(), np.int64)))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+                    h, doc, tag = (np.concatenate(x) for x in zip(*out, strict=True))
+                    order = np.lexsort((doc, h))
+                    h, doc, tag = h[order], doc[order], tag[order]
+                    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
+                    least = np.repeat(doc[start], np.diff(np.append(start, len(h))))
+                    slot = np.where(doc > least, 1 + (doc & 0x3FF), 0)  # 0 for the chunk's smallest document
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, doc, tag, slot)], schema=schema)
 
     return run
 
@@ -183,16 +146,19 @@ def _joined(docs: DataFrame, lists: DataFrame, keys: list[str]) -> tuple[DataFra
 def repeats_removed(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of every row."""
     tag = F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))  # tells texts under one doc_id apart
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), F.col(text).alias("text"))
+    known = F.col(doc_id).cast("long")
+    rows = docs.select(
+        known.alias("doc_id"), F.coalesce(known, F.lit(LAST)).alias("doc"), F.coalesce(known, F.xxhash64(text)).alias("who"), tag.alias("tag"), F.col(text).alias("text")
+    )
     letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(16, letters // 6 // BUCKET)
-    packed = arrow_map(rows.select("doc", "text"), _probes(window, buckets), "bucket int, docs binary, probes binary")
-    anchors = packed.groupBy("bucket").applyInArrow(_hits, "doc bigint, anchor bigint")
-    hits = stored(anchors.groupBy("doc").agg(F.collect_list("anchor").alias("anchors")))  # bounded by one document's words
-    near, _ = _joined(rows.select("doc", "tag", "text"), hits, ["doc"])
+    buckets = buckets_for(letters // 6)
+    probes = arrow_map(rows.select("who", "text"), _probes(window, buckets), SLOTS)
+    anchors = probes.groupBy("slot").applyInArrow(_anchors, "who bigint, anchor bigint")
+    hits = stored(anchors.groupBy("who").agg(F.collect_list("anchor").alias("anchors")))  # bounded by one document's words
+    near, _ = _joined(rows.select("who", "doc", "tag", "text"), hits, ["who"])
     near = near.where("anchors is not null").select("doc", "tag", "text", "anchors")
-    windows = arrow_map(near, _windows(window, buckets), "hash bigint, doc bigint, tag bigint")
-    first = windows.withColumn("first", F.min("doc").over(Window.partitionBy("hash"))).where("doc > first")
+    windows = arrow_map(near, _windows(window, buckets), "hash bigint, doc bigint, tag bigint, slot bigint")
+    first = windows.withColumn("first", F.min("doc").over(Window.partitionBy("hash", "slot"))).where("slot > 0 or doc > first")
     repeated = first.groupBy("doc", "tag").agg(F.collect_list("hash").alias("repeated"))  # bounded by one document's words
     changed, rest = _joined(rows, stored(repeated), ["doc", "tag"])
     changed = changed.select("doc_id", "text", "repeated")
