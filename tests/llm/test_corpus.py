@@ -296,25 +296,86 @@ def test_empty_tables(spark):
 # ---------------------------------------------------------------- lines
 
 
+def brute_templates(line):
+    """A line's templates, by the rule and without hashes."""
+    tokens = re.findall(r"[^\x20\x09-\x0D]+", line)
+    general = ["<*>" if re.search("[0-9@]", t) else t for t in tokens]
+    if len(tokens) < 4 and set(general) == {"<*>"}:
+        general = tokens
+    n = len(general)
+    found = {tuple(general)} if n else set()
+    for i in range(4):
+        a, b = i * n // 4, (i + 1) * n // 4
+        rest = [t for t in general[:a] + general[b:] if t != "<*>"]
+        if sum(t != "<*>" for t in general) > 4 and len(rest) >= 4:
+            found.add((*general[:a], ("step", b - a), *general[b:]))
+    return found
+
+
+def brute_lines(texts, family, least):
+    """(kept text, lines, dropped) of every text; ``family``: what each counts as."""
+    holders = defaultdict(set)
+    for t, f in zip(texts, family, strict=True):
+        for line in (t or "").split("\n"):
+            for k in brute_templates(line):
+                holders[k].add(f)
+    out = []
+    for t in texts:
+        rows = [] if t is None else t.split("\n")
+        kept = [x for x in rows if not any(len(holders[k]) >= least for k in brute_templates(x))]
+        out.append((None if t is None else "\n".join(kept), len(rows), len(rows) - len(kept)))
+    return out
+
+
+def got_lines(df):
+    return [(r.text, r["__lines"], r["__dropped"]) for r in df.orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("least", [3, 10])
+def test_lines_against_brute_force(spark, least):
+    rnd = random.Random(47)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    pool = ["user {} logged in today", "Share this page with {} and {} at once", "All rights reserved.", "Of.", "{}", "run {} at 10:{}", "7", "x@{} y@{}", "Page 3", "one two {} four five six seven eight", " \t", "", "{} two three four five six"]
+    texts, family = [None, "", "\n\n", "é\r\n"], [0, 1, 2, 3]
+    for i in range(80):
+        rows = [word() + " " + word() for _ in range(12)]
+        for line in rnd.sample(pool, 4):
+            rows.insert(rnd.randrange(len(rows)), line.format(word(), word()))
+        copies = rnd.choice([1, 1, 1, 2])
+        texts += ["\n".join(rows)] * copies
+        family += [4 + i] * copies
+    assert got_lines(lines.without_recurring(table(spark, texts), min_documents=least)) == brute_lines(texts, family, least)
+
+
 def test_recurring_templates_go(spark):
     rnd = random.Random(41)
-    own = lambda: " ".join(f"q{rnd.choice('abcdefghij')}{rnd.choice('klmnopqrst')}" for _ in range(8)).replace("q", rnd.choice("xyzuvw"))
-    texts = ["\n".join([own() + f" {chr(97 + i)}", f"Build {i} finished at 10:{i:02d} today", "All of it", own() + f" {chr(97 + i)}"]) for i in range(15)]
-    story = "\n".join(own() for _ in range(6))
-    texts += [story] * 30 + [story.replace("\n", "\nx ", 1), None, "", "Build 9 finished at 11:00 today"]
-    docs = table(spark, texts)
-    got = {r.doc_id: r for r in lines.without_recurring(docs).collect()}
+    texts, kept = [], []
     for i in range(15):
-        assert got[i].text == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k != 1) and (got[i]["__lines"], got[i]["__dropped"]) == (4, 1)
-    assert all(got[i].text == texts[i] for i in range(15, 47))  # copies bring their neighbours along; short lines stay
-    assert got[46].text is None and got[47].text == "" and got[48].text == ""
-    assert lines.without_recurring(docs.limit(0)).count() == 0
+        a, b = own_lines(rnd, 6), own_lines(rnd, 6)
+        texts.append("\n".join([*a, f"Build {i} finished at 10:{i:02d} today", "All of it", f"user {a[0].split()[0]} logged in today", *b]))
+        kept.append("\n".join([*a, *b]))
+    story = "\n".join(own_lines(rnd, 8))
+    texts += [story] * 30 + [story.replace("\n", "\nx ", 1), None, "", "Build 9 finished at 11:00 today"]
+    kept += texts[15:48] + [""]
+    assert [t for t, *_ in got_lines(lines.without_recurring(table(spark, texts)))] == kept  # copies are one document
+    assert lines.without_recurring(table(spark, texts).limit(0)).count() == 0
 
 
 def test_templates():
-    t = lines.template
-    assert t(b"a b c") is None and t(b"run 1 of many jobs") == t(b"run  22 of many\tjobs") != t(b"run 1 of many tasks")
-    assert t(b"x y z 1 mail a@b.c") == t(b"x y z 77 mail q@r.s") and t(b"one two three four") != t(b"one two three four five")
+    t = lambda line: {*lines.templates(line)}
+    assert t(b" \t") == set() and t(b"run 1 of many jobs") == t(b"run  22 of many\tjobs") != t(b"run 1 of many tasks")
+    assert t(b"x y z 1 mail a@b.c") == t(b"x y z 77 mail q@r.s") and not t(b"one two three four") & t(b"one two three four five")
+    assert len(t(b"user alice logged in today") & t(b"user bob logged in today")) == 1 and not t(b"user alice logged in") & t(b"user bob logged in")
+    assert t(b"7") != t(b"8") and t(b"Page 7") == t(b"Page 8")
+
+
+def test_a_long_text_of_many_lines(spark):
+    """Whole texts: the last lines of a text of 100,000 lines go like others."""
+    rnd = random.Random(49)
+    texts = ["\n".join([*own_lines(rnd, 5), "This footer stands everywhere"]) for _ in range(12)]
+    long = "\n".join([f"line{rnd.random()}x a{i} b{i}c d" for i in range(100_000)] + ["This footer stands everywhere"])
+    got = got_lines(lines.without_recurring(table(spark, [*texts, long])))
+    assert [d for *_, d in got] == [1] * 13  # its numbered lines share one template, but one document holds it
 
 
 def own_lines(rnd, n=5):
@@ -330,7 +391,6 @@ def test_short_lines_go_in_the_pipeline(spark):
     rows = {r.doc_id: r.text for r in lines.lines_removed(spark, table(spark, texts), "").collect()}
     for i, t in enumerate(texts):  # a short line of nothing but a number stands for itself alone
         assert rows[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in (1, 3))
-    assert lines.template(b" \t", min_tokens=1) is None and lines.template(b"7", min_tokens=1) != lines.template(b"8", min_tokens=1)
 
 
 def test_lines_with_fixed_neighbours_go_in_the_pipeline(spark):

@@ -1,23 +1,20 @@
 """Line dedup by a log-template tree of fixed depth.
 
-Each line of a text is parsed: its tokens (between ASCII white space) are counted, the first ``DEPTH`` lead from the count to a
-leaf, and tokens that vary by their shape (those with a digit or an ``@``) become ``<*>`` there. A template is thus
-token count, leading tokens and generalised rest; its 64-bit key hashes leaf and rest. The pipeline gives every line that
-isn't blank a template; the registered query leaves out lines of fewer than ``MIN_TOKENS`` tokens, as ``OP10_SQL`` does.
-
-A template recurs when it stands in at least ``MIN_CONTEXTS`` different contexts (pairs of the templates before and after it) and
-these are at least one in ``COPY_SHARE`` of the different texts that hold it. The second rule tells a line that many
-documents share from a line of one document that was copied many times: copies bring their neighbours along. Recurring
-templates are dropped from all documents.
-
-Lines whose neighbours don't vary (inner lines of a notice, lines beside other boilerplate, lines between blank ones) have few contexts. The
-pipeline therefore takes contexts from the nearest lines that aren't blank, and also drops what stands in ``MIN_CONTEXTS`` documents, where
-texts that share most of their templates count as one. These are found by ``BANDS`` hashes, each of ``BAND_ROWS`` minima over the text's set of templates: two
-texts of likeness 0.9 have one in common but for 1 case in 185,000, of 0.8 but for 1 in 130, of 0.33 in 1 case of 49.
-
-Counting goes over distinct (template, context, text) rows, combined before each shuffle, so hot lines and large groups of copies
+Each line of a text is parsed: its tokens (between ASCII white space) are counted, and tokens that vary by their shape (those with a digit or
+an ``@``) become ``<*>``. The tree's first level is the token count; below it the tokens lead in ``STRETCHES`` steps, each of a quarter of them, to a
+template. A field that varies otherwise (``user alice logged in today``, ``user bob logged in today``) takes the ``<*>`` branch of its step:
+besides its own template a line has one for each step, with that step's tokens generalised, as long as ``MIN_FIXED`` tokens stay fixed.
+Fields of one step vary together; a line with fields in two steps that vary by more than shape is known by its own template only. What is generalised
+depends on the line alone, not on the order of lines.
+
+A template recurs when ``MIN_DOCUMENTS`` documents hold it. Texts that are equal count as one document, and so do texts that share most of their
+lines, so that the lines of a much-copied document stay: these are found by ``BANDS`` hashes, each of ``BAND_ROWS`` minima over the text's set of
+templates: two texts of likeness 0.9 have one in common but for 1 case in 185,000, of 0.8 but for 1 in 130, of 0.33 in 1 case of 49. Lines
+with a recurring template are dropped from all documents, whatever their length, their place and the lines beside them.
+
+Counting goes over distinct (template, text) rows, combined before each shuffle, so hot lines and large groups of copies
 meet as counts only. What is dropped depends on the text alone; the lists of dropped lines therefore go back to the documents by
-the text's 128-bit hash. A null text stays null and an empty one empty, with no template; a document may lose all its
+the text's 128-bit hash. Blank lines have no template and stay. A null text stays null and an empty one empty; a document may lose all its
 lines and keeps its row. Repeated rows lose the same lines; an empty table gives an empty table.
 """
 
@@ -25,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,27 +29,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored, table
+from .common import arrow_map, per_row, stored, table
 
-DEPTH, MIN_TOKENS, MIN_CONTEXTS, COPY_SHARE = 3, 4, 10, 5
+STRETCHES, MIN_FIXED, MIN_DOCUMENTS = 4, 4, 10
+#: Lines of fewer tokens that all vary by shape stand for themselves ("7", "10:30").
+SHORT = 4
 BANDS, BAND_ROWS = 16, 6
 _MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 VARIES = re.compile(rb"[^\x20]*[0-9@][^\x20]*")
 
 
-def template(line: bytes, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> int | None:
-    """The key of a line's template, or None if it is blank or too short. A short line whose tokens all vary stands for itself."""
+def templates(line: bytes) -> list[int]:
+    """Keys of a line's templates: its own first, then those with one step generalised. A blank line has none."""
     tokens = line.split()
-    if not tokens or len(tokens) < min_tokens:
-        return None
+    n = len(tokens)
+    if not n:
+        return []
     text = b" ".join(tokens)
+    fixed = n
     if VARIES.search(text):
-        general = VARIES.sub(b"<*>", text).split()
-        if len(tokens) >= MIN_TOKENS or any(t != b"<*>" for t in general):
-            tokens = general
-    leaf = xxhash.xxh3_64_intdigest(b"%d %s" % (len(tokens), b" ".join(tokens[:depth])))
-    key = xxhash.xxh3_64_intdigest(b" ".join(tokens[depth:]), leaf)
-    return key - (1 << 64) if key >> 63 else key
+        general = VARIES.sub(b"<*>", text)
+        fixed = n - general.split(b" ").count(b"<*>")
+        if fixed or n >= SHORT:
+            text, tokens = general, general.split(b" ")
+    keys = [xxhash.xxh3_64_intdigest(text, n)]
+    if fixed > MIN_FIXED:
+        ends = [i * n // STRETCHES for i in range(STRETCHES + 1)]
+        steps = [b" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:])]
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            if fixed - (b - a) + tokens[a:b].count(b"<*>") >= MIN_FIXED:
+                keys.append(xxhash.xxh3_64_intdigest(b"\n".join((*steps[:i], b"<*>", *steps[i + 1 :])), n))
+    return [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
 def bands(keys: set[int]) -> list[int]:
@@ -66,45 +72,42 @@ def bands(keys: set[int]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(raw[b * width : (b + 1) * width], b) >> 1 for b in range(BANDS)]
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], min_tokens: int = MIN_TOKENS, whole: bool = False) -> Iterator[pa.RecordBatch]:
-    """(text hashes) -> one row for each line with a template: key, context, position.
-
-    ``whole``: contexts skip lines without a template, and each band of the text is a row too, at a negative position.
-    """
-    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("template", pa.int64()), ("context", pa.int64()), ("line", pa.int32())])
-    mix = xxhash.xxh3_64_intdigest
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text hashes, text) -> a row for each template of each line, and one for each band of the text, at a negative line."""
+    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("template", pa.int64()), ("line", pa.int32())])
+    seen: set[tuple[int, int]] = set()  # hashes of this task's texts: copies are parsed once
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            rows: list[tuple] = []
+            t1s, t2s, counts, keys, where = [], [], [], [], []
             for t1, t2, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                keys = [template(x, min_tokens=min_tokens) for x in text.as_py().encode().split(b"\n")]
-                at_lines = [i for i, k in enumerate(keys) if k is not None] if whole else range(len(keys))
-                known = [None, *(keys[i] for i in at_lines), None]
-                for j, i in enumerate(at_lines):
-                    if keys[i] is not None:
-                        rows.append((t1, t2, keys[i], mix(b"%a %a" % (known[j], known[j + 2])) >> 1, i))
-                if whole and at_lines:
-                    rows += [(t1, t2, band, 0, -1 - b) for b, band in enumerate(bands({*known[1:-1]}))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                if (t1, t2) in seen:
+                    continue
+                seen.add((t1, t2))
+                own, began = set(), len(keys)
+                for i, line in enumerate(text.as_py().encode().split(b"\n")):
+                    if found := templates(line):
+                        own.add(found[0])
+                        keys += found
+                        where += [i] * len(found)
+                if own:
+                    keys += bands(own)
+                    where += range(-1, -1 - BANDS, -1)
+                    t1s.append(t1)
+                    t2s.append(t2)
+                    counts.append(len(keys) - began)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(t, np.int64), counts)) for t in (t1s, t2s)] + [pa.array(keys, pa.int64()), pa.array(where, pa.int32())], schema=schema)
 
 
 def _text_hashes(text: str) -> list:
     return [F.xxhash64(F.lit("a"), F.col(text)).alias("t1"), F.xxhash64(F.lit("b"), F.col(text)).alias("t2")]
 
 
-def parsed_lines(docs: DataFrame, text: str = "text", min_tokens: int = MIN_TOKENS, whole: bool = False) -> DataFrame:
-    """t1, t2 (the text's hash), template, context, line of every line that has a template; with ``whole``, of the bands too."""
+def parsed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """t1, t2 (the text's hash), template, line of every template of every line; bands at negative lines. Copies may repeat."""
     rows = docs.where(F.length(text) > 0).select(*_text_hashes(text), F.col(text).alias("text"))
-    return arrow_map(rows, partial(_parsed, min_tokens=min_tokens, whole=whole), "t1 bigint, t2 bigint, template bigint, context bigint, line int")
-
-
-def recurring(lines: DataFrame, min_contexts: int = MIN_CONTEXTS, copy_share: int = COPY_SHARE) -> DataFrame:
-    """template, contexts, holders of the templates that are dropped."""
-    each = lines.groupBy("template", "context", "t1", "t2").agg(F.lit(1).alias("one"))
-    counts = each.groupBy("template", "context").agg(F.count("*").alias("n")).groupBy("template").agg(F.count("*").alias("contexts"), F.sum("n").alias("holders"))
-    return counts.where((F.col("contexts") >= min_contexts) & (F.col("contexts") * copy_share >= F.col("holders")))
+    return arrow_map(rows, _parsed, "t1 bigint, t2 bigint, template bigint, line int")
 
 
 def families(sketches: DataFrame) -> DataFrame:
@@ -120,36 +123,43 @@ def families(sketches: DataFrame) -> DataFrame:
     return shared.join(label, "band").groupBy("t1", "t2").agg(F.max("label")["band"].alias("family"))
 
 
-def shared_by_documents(lines: DataFrame, sketches: DataFrame, min_documents: int = MIN_CONTEXTS) -> DataFrame:
-    """template of those that stand in ``min_documents`` families, whatever lines are beside them."""
-    each = lines.select("template", "t1", "t2").distinct().join(stored(families(sketches)), ["t1", "t2"], "left")
-    return each.select("template", F.coalesce("family", "t1").alias("family")).distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("template")
+def recurring(parsed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """template of those that ``min_documents`` documents hold; copies, equal or nearly so, are one document."""
+    lines = parsed.where("line >= 0").select("template", "t1", "t2")
+    held = lines.groupBy("template").agg(F.count_distinct("t1").alias("n")).where(F.col("n") >= min_documents).select("template")
+    held = stored(held)  # in as many texts; their families can only be fewer
+    each = lines.join(held, "template", "left_semi").distinct()
+    kin = families(parsed.where("line < 0").select("t1", "t2", F.col("template").alias("band")))
+    each = each.join(stored(kin), ["t1", "t2"], "left").select("template", F.coalesce("family", "t1").alias("family")).distinct()
+    return each.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("template")
 
 
-def without_recurring(docs: DataFrame, text: str = "text", min_contexts: int = MIN_CONTEXTS, copy_share: int = COPY_SHARE, min_tokens: int = MIN_TOKENS, whole: bool = False) -> DataFrame:
-    """``docs`` with the recurring lines taken out of ``text``, and the columns __lines and __dropped (counts).
+def _cut(row: dict) -> tuple:
+    """(text without the dropped lines, lines, dropped)."""
+    text, drop = row["text"], row["drop"]
+    if not drop:
+        return text, 0 if text is None else text.count("\n") + 1, 0
+    gone, rows = set(drop), text.split("\n")
+    return "\n".join([x for i, x in enumerate(rows) if i not in gone]), len(rows), len(gone)
 
-    ``whole``: also those that ``min_contexts`` documents share without varying neighbours.
-    """
-    lines = stored(parsed_lines(docs, text, min_tokens, whole))  # texts are parsed once, for the counts and for what they drop
-    if whole:
-        sketches, lines = lines.where("line < 0").select("t1", "t2", F.col("template").alias("band")), lines.where("line >= 0")
-    drop = recurring(lines, min_contexts, copy_share).select("template")
-    drop = stored(drop.unionByName(shared_by_documents(lines, sketches, min_contexts)).distinct() if whole else drop)
-    hit = lines.join(drop, "template", "left_semi").groupBy("t1", "t2").agg(F.collect_set("line").alias("__drop"))  # bounded by one text's lines
+
+def without_recurring(docs: DataFrame, text: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``docs`` with the recurring lines taken out of ``text``, and the columns __lines and __dropped (counts)."""
+    parsed = stored(parsed_lines(docs, text))  # texts are parsed once, for the counts and for what they drop
+    drop = stored(recurring(parsed, min_documents))
+    hit = parsed.where("line >= 0").join(drop, "template", "left_semi").groupBy("t1", "t2").agg(F.collect_set("line").alias("__drop"))  # bounded by one text's lines
     hit = stored(hit)  # so that a large group of copies, which meets in one partition of the join, can be split there
     t1, t2 = _text_hashes(text)
     rows = docs.withColumns({"__t1": t1, "__t2": t2}).join(hit.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), ["__t1", "__t2"], "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__drop", i)), "\n")
-    counted = rows.withColumn("__lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    counted = counted.withColumn("__dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
-    return counted.withColumn(text, F.when(F.col("__drop").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns, "__lines", "__dropped")
+    others = [c for c in docs.columns if c != text]
+    both = rows.select(*others, F.struct(F.col(text).alias("text"), F.col("__drop").alias("drop")).alias("__both"))
+    fields = [("__kept", pa.string(), "string"), ("__lines", pa.int64(), "bigint"), ("__dropped", pa.int64(), "bigint")]
+    return per_row(both, "__both", _cut, fields, others).withColumnRenamed("__kept", text).select(*docs.columns, "__lines", "__dropped")
 
 
 def lines_removed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, without their recurring lines of any length; n_chars follows the text."""
-    out = without_recurring(docs, min_tokens=1, whole=True).select(*docs.columns)
+    """Pipeline stage: all documents, without their recurring lines; n_chars follows the text."""
+    out = without_recurring(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
@@ -158,26 +168,3 @@ def op10_line_templates(spark, sf_dir):
     return without_recurring(docs).select(
         "doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
-
-
-#: The same over template texts instead of hashes. RE2 and Python agree on these patterns.
-OP10_SQL = r"""
-WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-texts AS (SELECT DISTINCT text, lines FROM docs WHERE length(text) > 0),
-cut AS (SELECT text, i, regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+') AS tokens FROM (SELECT text, lines, unnest(range(1, len(lines) + 1)) AS i FROM texts)),
-keyed AS (
-  SELECT text, i, CASE WHEN len(tokens) >= 4 THEN regexp_replace(array_to_string(tokens, ' '), '[^\x20]*[0-9@][^\x20]*', '<*>', 'g') END AS template FROM cut),
-around AS (
-  SELECT *, coalesce(lag(template) OVER w, '-') || chr(10) || coalesce(lead(template) OVER w, '-') AS context
-  FROM keyed WINDOW w AS (PARTITION BY text ORDER BY i)),
-dropped AS (
-  SELECT template FROM around WHERE template IS NOT NULL GROUP BY template
-  HAVING count(DISTINCT context) >= 10 AND count(DISTINCT context) * 5 >= count(DISTINCT (context, text))),
-kept AS (
-  SELECT text, count(*) - count(d.template) AS n_kept, count(d.template) AS n_dropped,
-         string_agg(CASE WHEN d.template IS NULL THEN lines END, chr(10) ORDER BY i) AS kept
-  FROM (SELECT a.text, a.i, a.template, t.lines[a.i] AS lines FROM around a JOIN texts t USING (text)) a LEFT JOIN dropped d ON a.template = d.template GROUP BY text)
-SELECT doc_id, CAST(CASE WHEN docs.text IS NULL THEN 0 ELSE len(lines) END AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
-       sha256(coalesce(kept, '')) AS kept_sha256
-FROM docs LEFT JOIN kept ON docs.text = kept.text
-"""

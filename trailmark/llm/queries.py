@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_byte_bpe
 from .fingerprints import op8_exact_fingerprint
 from .jaccard import op4_ngram_jaccard
-from .lines import OP10_SQL, op10_line_templates
+from .lines import op10_line_templates
 from .media import op1_mpeg_audio
 from .mixing import OP5_SQL, op5_source_mix
 from .pii import op9_pii
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": OP5_SQL, "op7_fixed_block_repeats": OP7_SQL, "op10_line_templates": OP10_SQL}
+    return {"op5_source_mix": OP5_SQL, "op7_fixed_block_repeats": OP7_SQL}
