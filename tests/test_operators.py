@@ -270,6 +270,31 @@ def test_dbscan_against_brute_force(spark, least):
     assert {r.id: r.cluster for r in clusters.dbscan(photos(spark, [pt(*p) for p in pts]), 150, least).collect()} == brute_dbscan(pts, 150, least)
 
 
+@pytest.mark.parametrize("spread", [0.002, 0.02])
+def test_linked_cells_against_all_pairs(spark, spread):
+    """The dense way makes the components of all pairs, in crowded and in thin places, near the equator, the pole and the 180th meridian."""
+    rnd = random.Random(int(spread * 1e4))
+    places = [(0.0, 0.0), (48.0, 2.0), (-0.001, 179.999), (89.999, 10.0), (70.0, -179.9995)]
+    rows = [pt(min(90, a + rnd.gauss(0, spread)), min(180, max(-180, b + rnd.gauss(0, 2 * spread))), project=1 + k % 2) for k in range(60) for a, b in places] + [{}]
+    table = photos(spark, rows)
+    roots = lambda e: {(r.node, r.root) for r in components(e).collect()}
+    want = roots(spatial.neighbour_pairs(table, 300).select("a", "b"))
+    assert roots(spatial.linked_cells(table, 300, sparse=0)) == want == roots(spatial.linked_cells(table, 300, sparse=10**6))
+
+
+def test_count_within(spark):
+    rows = photos(spark, [{"h": h} for h in (0, 0, 1, 12, 13, 24, 25.5, 60)] + [{"project": 2, "h": 3}]).withColumn("w", F.lit(1))
+    got = {r.id: r.n_within for r in spatial.count_within(rows, ["project"], 12 * 3600, "w").collect()}
+    assert got == {0: 4, 1: 4, 2: 5, 3: 6, 4: 4, 5: 4, 6: 2, 7: 1, 8: 1}
+
+
+def test_links_through_stored_tables(spark):
+    photo_tags = spark.createDataFrame([(1, 7, 2), (1, 7, 1), (1, 8, 1), (2, 7, 1)], "project LONG, id LONG, tag_id LONG")
+    named = spark.createDataFrame([(1, 1, "sea", "manual"), (1, 2, "hill", "automatic"), (2, 1, "town", "manual")], "project LONG, tag_id LONG, name STRING, type STRING")
+    assert [r.name for r in tags.tags_of(photo_tags, named, 1, 7).collect()] == ["hill", "sea"] and tags.tags_of(photo_tags, named, 3, 7).count() == 0
+    assert sorted(tuple(r) for r in tags.named_links(photo_tags, named).collect()) == [(1, 7, "hill", "automatic"), (1, 7, "sea", "manual"), (1, 8, "sea", "manual"), (2, 7, "town", "manual")]
+
+
 def test_two_clusters_and_noise(spark):
     near = lambda a, b: [pt(a + d, b) for d in (0, 0.0005, 0.001)]
     rows = photos(spark, near(48.858, 2.294) + near(41.89, 12.492) + [pt(50, 50)])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trailmark.operators.rollups import rollups
 from trailmark.schema import TABLES
 from trailmark.sources import boundary, inventory, tables
-from trailmark.streaming.streams import ingest_stream, stream_sessions, touched_rollups
+from trailmark.streaming.streams import ingest_catalog, ingest_stream, stream_sessions, touched_rollups
 
 
 def png(*chunks):
@@ -97,3 +97,23 @@ def test_streams(spark, tmp_path):
     whole = {(r.period_type, r.period_key): r.photo_count for r in rollups(rows).collect()}
     part = {(r.period_type, r.period_key): r.photo_count for r in touched_rollups(rows, rows.where(F.col("id") == 4)).collect()}
     assert part == {k: whole[k] for k in part} and set(k for k, _ in part) == {"decade", "year", "month"}
+
+
+def test_ingest_keeps_the_catalog_in_step(spark, tmp_path):
+    """Each batch holds whole listings of some projects: diff, moves and next state, and other projects stay as they are."""
+    columns = "project LONG, path STRING, size LONG, mtime LONG, content_hash STRING"
+    state = {"now": spark.createDataFrame([(1, 1, "a", 5, 5, "x", "active"), (1, 2, "b", 6, 6, "y", "active"), (2, 9, "z", 1, 1, "q", "active")], "project LONG, id LONG, path STRING, size LONG, mtime LONG, content_hash STRING, status STRING")}
+
+    def publish(df):
+        path = str(tmp_path / f"v{len(list(tmp_path.iterdir()))}")
+        df.write.parquet(path)
+        state["now"] = spark.read.parquet(path)
+
+    for i, rows in enumerate([[(1, "a", 5, 5, "x"), (1, "c/b", 6, 7, "y"), (1, "d", 1, 1, "n")], [(1, "a", 9, 9, "w")]]):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = ingest_catalog(spark.readStream.schema(columns).json(str(tmp_path / "in")), lambda: state["now"], publish, str(tmp_path / "check"))
+        stream.awaitTermination(120)
+        got = sorted((r.project, r.id, r.path, r.size, r.status) for r in state["now"].collect())
+        if i == 0:
+            assert got == [(1, 1, "a", 5, "active"), (1, 2, "c/b", 6, "active"), (1, 3, "d", 1, "active"), (2, 9, "z", 1, "active")]
+    assert got == [(1, 1, "a", 9, "active"), (1, 2, "c/b", 6, "missing"), (1, 3, "d", 1, "missing"), (2, 9, "z", 1, "active")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keywords import folder_keywords
 from ..functions.labels import country_name, date_range_label
+from ..scratch import stored
 from .sequence import path_km, spread_sample
 
 
@@ -51,6 +52,7 @@ def group_cards(grouped: DataFrame, mode: str, names: DataFrame | None = None, p
     """One row a (project, group_no) of ``assign_groups``; every part is a combinable aggregate on the same keys."""
     keys = ["project", "group_no"]
     at = F.struct("ts", "id")
+    grouped = stored(grouped)  # the parts need different columns: each would order the whole catalog again
     cards = grouped.groupBy(*keys).agg(
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n"), F.count("lat").alias("n_geo"),
         F.min_by("id", F.struct(F.col("lat").isNull().alias("x"), "ts", "id")).alias("cover_id"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),

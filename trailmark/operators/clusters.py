@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.geo import haversine
+from ..scratch import stored
 from .cards import place_names
 from .graph import components
-from .spatial import neighbour_pairs
+from .spatial import linked_cells, neighbour_pairs
 
 
 def dbscan(photos: DataFrame, meters: float = DEFAULTS.radius_default, min_points: int = 2) -> DataFrame:
     """project, id, cluster (the smallest core id in it) of the clustered rows; noise has none. Ids are unique across projects.
 
     Core rows have at least ``min_points`` rows within ``meters``, themselves included; clusters are the components of core neighbours. A
-    border row goes to the smallest cluster among its core neighbours. At two points every row with a neighbour is core.
+    border row goes to the smallest cluster among its core neighbours. At two points every row with a neighbour is core, and clusters need no
+    pairs of rows (``linked_cells``).
     """
-    pairs = neighbour_pairs(photos, meters).select("project", "a", "b")
     if min_points <= 2:
-        found = components(pairs.select("a", "b"))
+        found = components(linked_cells(photos, meters))
         return photos.select("project", "id").join(found.withColumnsRenamed({"node": "id", "root": "cluster"}), "id").select("project", "id", "cluster")
+    pairs = neighbour_pairs(photos, meters).select("project", "a", "b")
     both = pairs.unionByName(pairs.select("project", F.col("b").alias("a"), F.col("a").alias("b")))
     core = both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("core"))
     to_core = both.join(core, F.col("b") == F.col("core")).select("project", "a", "b")
@@ -64,15 +66,14 @@ def stable_identities(new: DataFrame, old: DataFrame, photos: DataFrame, config=
     shift of the centre and a shared member: best overlap first, then the smallest new and old one. That greedy choice is made in rounds in which
     every pair that is the best of both its sides is taken; each round fixes at least one pair in every group of rivals.
     """
-    found = overlaps(new, old)
+    new, old = stored(new), stored(old)
+    found = stored(overlaps(new, old))
     sure = found.where(F.col("jaccard") > config.stable_jaccard).select("project", "new", "old", "jaccard", F.lit("overlap").alias("rule"))
     centre = lambda d, name: d.join(photos.select("project", "id", "lat", "lon"), ["project", "id"]).groupBy("project", F.col("cluster").alias(name)).agg(F.avg("lat").alias(f"{name}_lat"), F.avg("lon").alias(f"{name}_lon"))
     rest = found.join(sure, ["project", "new"], "left_anti").join(sure, ["project", "old"], "left_anti").join(centre(new, "new"), ["project", "new"]).join(centre(old, "old"), ["project", "old"])
     shift = haversine(F.col("new_lat"), F.col("new_lon"), F.col("old_lat"), F.col("old_lon"))
     rivals = rest.where(shift < config.stable_shift).select("project", "new", "old", "jaccard")
     taken = sure
-    from ..scratch import stored
-
     rivals = stored(rivals)
     while not rivals.isEmpty():
         order = [F.col("jaccard").desc(), F.col("new"), F.col("old")]
@@ -95,3 +96,19 @@ def next_snapshot(summary: DataFrame, matches: DataFrame, old: DataFrame, meters
     out = rows.join(top, "project", "left").withColumn("cluster_id", F.coalesce("old", F.coalesce("top", F.lit(0)) + fresh))
     kept = F.coalesce(F.col("custom_named"), F.lit(False))
     return out.select("project", "cluster", "cluster_id", F.when(kept, F.col("old_name")).otherwise(F.col("place")).alias("name"), F.lit("spatial").alias("type"), F.lit(float(meters)).alias("radius_meters"), F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon"), kept.alias("custom_named"))
+
+
+def snapshot_links(members: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """project, id, cluster_id: the memberships that go with ``next_snapshot``. ``members``: project, id, cluster."""
+    return members.join(snapshot.select("project", "cluster", "cluster_id"), ["project", "cluster"]).select("project", "id", "cluster_id")
+
+
+def replace_radius(clusters: DataFrame, links: DataFrame, snapshot: DataFrame, members: DataFrame, meters: float) -> tuple[DataFrame, DataFrame]:
+    """(clusters, photo_clusters) after a run at one radius: its spatial clusters and their memberships are replaced, all others stay.
+
+    ``clusters``, ``links``: the stored tables; ``snapshot``: of ``next_snapshot``; ``members``: of ``dbscan``.
+    """
+    gone = (F.col("type") == "spatial") & (F.col("radius_meters") == float(meters))
+    stay = clusters.where(~F.coalesce(gone, F.lit(False)))
+    kept = links.join(stay.select("project", "cluster_id"), ["project", "cluster_id"], "left_semi").select("project", "id", "cluster_id")
+    return stay.unionByName(snapshot.select(*clusters.columns)), kept.unionByName(snapshot_links(members, snapshot))

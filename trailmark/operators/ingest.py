@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import stored
+
 
 def diff_snapshot(catalog: DataFrame, disk: DataFrame) -> DataFrame:
     """project, path, id, old_status, action and the disk's columns, from one full outer join by path.
@@ -33,6 +35,18 @@ def match_moves(actions: DataFrame, catalog: DataFrame) -> DataFrame:
     return new.join(old, ["project", "content_hash", "k"]).select("project", "id", "old_path", "new_path", "content_hash", "size", "mtime")
 
 
+def _numbered(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` and each one's number (1, 2, ...) in its project by path: ranges of paths, with the counts of the ranges before as offsets.
+
+    The ranges are written once, so that counts and rows see the same ones; no window holds more than a range's rows or a project's ranges.
+    """
+    cut = stored(rows.repartitionByRange("project", "path").withColumn("__range", F.spark_partition_id()))
+    counts = cut.groupBy("project", "__range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("project").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("project", "__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    return cut.join(offsets, ["project", "__range"]), F.col("__before") + F.row_number().over(Window.partitionBy("project", "__range").orderBy("path"))
+
+
 def apply_actions(catalog: DataFrame, actions: DataFrame) -> DataFrame:
     """The next catalog: project, id, path, size, mtime, content_hash, status. New rows get ids after the project's largest."""
     moves = match_moves(actions, catalog)
@@ -47,7 +61,7 @@ def apply_actions(catalog: DataFrame, actions: DataFrame) -> DataFrame:
     moved = moves.select("project", "id", F.col("new_path").alias("path"), "size", "mtime", "content_hash", F.lit("active").alias("status"))
     fresh = actions.where("action = 'new'").join(moves.select("project", F.col("new_path").alias("path")), ["project", "path"], "left_anti")
     top = catalog.groupBy("project").agg(F.max("id").alias("top"))
-    number = F.row_number().over(Window.partitionBy("project").orderBy("path"))
+    fresh, number = _numbered(fresh)
     added = fresh.join(top, "project", "left").select("project", (F.coalesce("top", F.lit(0)) + number).alias("id"), "path", "size", "mtime", "content_hash", F.lit("active").alias("status"))
     return kept.unionByName(moved).unionByName(added)
 

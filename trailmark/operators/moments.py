@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map
 from ..config import DEFAULTS
 from ..functions.calendar import micros, week_start
-from ..functions.geo import haversine
+from ..functions.geo import EARTH_METERS, haversine
+from ..scratch import stored
 from .sequence import in_order
 
 
@@ -76,48 +82,67 @@ def periods(runs: DataFrame, config=DEFAULTS) -> DataFrame:
 
 def moments(photos: DataFrame, config=DEFAULTS) -> DataFrame:
     """Trips and everyday periods of every project, latest first."""
-    runs = away_runs(photos, config)
+    runs = stored(away_runs(photos, config).select("project", "id", "ts", "lat", "country_code", "run_no", "is_trip"))  # ordered once for both parts
     day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     t = trips(runs).select("project", F.concat_ws(":", F.lit("trip"), day("start"), day("end")).alias("moment_id"), F.lit("trip").alias("kind"), "start", "end", "n", "cover_id", "countries")
     p = periods(runs, config).select("project", F.concat_ws(":", F.lit("period"), "kind", "key").alias("moment_id"), "kind", "start", "end", "n", "cover_id", "countries")
     return t.unionByName(p).orderBy(F.col("start").desc(), "project", "moment_id")
 
 
-_STOP = "struct<stop_no:int,sum_lat:double,sum_lon:double,gps:bigint,n:bigint,start:timestamp_ntz,end:timestamp_ntz,country:string,cover_id:bigint>"
+_STOPS = pa.schema([
+    ("project", pa.int64()), ("run_no", pa.int64()), ("stop_no", pa.int32()), ("lat", pa.float64()), ("lon", pa.float64()), ("gps", pa.int64()), ("n", pa.int64()),
+    ("start", pa.timestamp("us")), ("end", pa.timestamp("us")), ("country", pa.string()), ("cover_id", pa.int64()),
+])
+
+
+def _meters(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    half_lat, half_lon = math.sin(math.radians(lat2 - lat1) / 2), math.sin(math.radians(lon2 - lon1) / 2)
+    a = half_lat * half_lat + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half_lon * half_lon
+    return 2 * EARTH_METERS * math.asin(min(1.0, math.sqrt(a)))
+
+
+def _fold_stops(meters: float):
+    """Over rows sorted by trip and time: holds the open stop only, and hands on each stop as it closes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trip, stop, number = None, None, 0
+        for batch in batches:
+            done = []
+            for project, run_no, ts, photo, lat, lon, country in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if trip != (project, run_no):
+                    if stop:
+                        done.append(stop)
+                    trip, stop, number = (project, run_no), None, 0
+                if lat is None:
+                    if stop:
+                        stop["n"] += 1
+                    continue
+                if stop and _meters(lat, lon, stop["lat"] / stop["gps"], stop["lon"] / stop["gps"]) <= meters:
+                    stop |= {"lat": stop["lat"] + lat, "lon": stop["lon"] + lon, "gps": stop["gps"] + 1, "n": stop["n"] + 1, "end": ts, "country": country or stop["country"]}
+                    continue
+                if stop:
+                    done.append(stop)
+                stop = {"project": project, "run_no": run_no, "stop_no": number, "lat": lat, "lon": lon, "gps": 1, "n": 1, "start": ts, "end": ts, "country": country, "cover_id": photo}
+                number += 1
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=_STOPS)
+        if stop:
+            yield pa.RecordBatch.from_pylist([stop], schema=_STOPS)
+
+    return run
 
 
 def trip_stops(runs: DataFrame, radius_km: float = DEFAULTS.stop_km) -> DataFrame:
     """project, run_no, stop_no, lat, lon, gps, n, start, end, country, cover_id of each trip's stops.
 
     A placed row beyond the radius of the current stop's running mean opens the next stop, so what a row does depends on earlier decisions:
-    a fold over each trip's rows in order (memory: one trip). Rows without a place only count for an open stop.
+    a fold over each trip's rows as a sorted stream (memory: one stop). Rows without a place only count for an open stop.
     """
-    row = F.struct("ts", "id", "lat", "lon", "country_code")
-    listed = runs.where("is_trip").groupBy("project", "run_no").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    last = lambda s: F.element_at(s, -1)
-    head = lambda s: F.slice(s, 1, F.size(s) - 1)
-
-    def made(s, x, no, lat, lon, gps, n, start, end, country, cover):
-        names = ("stop_no", "sum_lat", "sum_lon", "gps", "n", "start", "end", "country", "cover_id")
-        return F.array(F.struct(*[v.alias(k) for k, v in zip(names, (no, lat, lon, gps, n, start, end, country, cover), strict=True)]))
-
-    def step(s, x):
-        at = last(s)
-        none = F.size(s) == 0
-        grown = made(
-            s, x, at["stop_no"], at["sum_lat"] + F.coalesce(x["lat"], F.lit(0.0)), at["sum_lon"] + F.coalesce(x["lon"], F.lit(0.0)), at["gps"] + x["lat"].isNotNull().cast("long"), at["n"] + 1, at["start"],
-            F.when(x["lat"].isNull(), at["end"]).otherwise(x["ts"]), F.when(x["lat"].isNotNull() & (F.coalesce(x["country_code"], F.lit("")) != ""), x["country_code"]).otherwise(at["country"]), at["cover_id"],
-        )
-        opened = made(s, x, F.size(s), x["lat"], x["lon"], F.lit(1).cast("long"), F.lit(1).cast("long"), x["ts"], x["ts"], x["country_code"], x["id"])
-        far = haversine(x["lat"], x["lon"], at["sum_lat"] / at["gps"], at["sum_lon"] / at["gps"]) > radius_km * 1000
-        return (
-            F.when(none & x["lat"].isNull(), s).when(none, opened.cast(f"array<{_STOP}>"))
-            .when(x["lat"].isNull() | ~far, F.concat(head(s), grown.cast(f"array<{_STOP}>"))).otherwise(F.concat(s, opened.cast(f"array<{_STOP}>")))
-        )
-
-    stops = F.aggregate("rows", F.array().cast(f"array<{_STOP}>"), step)
-    out = listed.select("project", "run_no", F.explode(stops).alias("s"))
-    return out.select("project", "run_no", "s.stop_no", (F.col("s.sum_lat") / F.col("s.gps")).alias("lat"), (F.col("s.sum_lon") / F.col("s.gps")).alias("lon"), "s.gps", "s.n", "s.start", "s.end", "s.country", "s.cover_id")
+    key = ["project", "run_no"]
+    rows = runs.where("is_trip").select(*key, "ts", "id", "lat", "lon", "country_code").repartition(*key).sortWithinPartitions(*key, "ts", "id")
+    schema = "project bigint, run_no bigint, stop_no int, lat double, lon double, gps bigint, n bigint, start timestamp_ntz, end timestamp_ntz, country string, cover_id bigint"
+    sums = arrow_map(rows, _fold_stops(radius_km * 1000), schema)
+    return sums.withColumns({"lat": F.col("lat") / F.col("gps"), "lon": F.col("lon") / F.col("gps")})
 
 
 def stop_assignment(runs: DataFrame, stops: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import micros
 from ..functions.geo import EARTH_METERS, haversine, in_ring
+from ..scratch import stored
+from .graph import components
 
 DEGREE_METERS = math.pi * EARTH_METERS / 180
 
@@ -65,6 +67,67 @@ def time_join(left: DataFrame, right: DataFrame, seconds: float) -> DataFrame:
     return l.join(r, ["project", "bucket"]).where(F.abs(F.col("l_t") - F.col("r_t")) <= width).select("project", "l_id", "r_id")
 
 
+def count_within(events: DataFrame, keys: list[str], seconds: float, weight: str) -> DataFrame:
+    """``events`` (with ``keys``, ts) and n_within: the sum of ``weight`` over the rows of the same keys at most ``seconds`` away, the row itself among them.
+
+    Range windows over stretches as long as the window: each row is also listed with the stretches before and after its own, so no window
+    holds more than three stretches of one key and no pair is made, however dense a burst is.
+    """
+    width = int(seconds * 1e6)
+    rows = events.where(F.col("ts").isNotNull()).withColumn("__t", micros(F.col("ts"))).withColumn("__own", F.floor(F.col("__t") / width))
+    rows = rows.withColumn("__stretch", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.col("__own") + d)))
+    near = Window.partitionBy(*keys, "__stretch").orderBy("__t").rangeBetween(-width, width)
+    return rows.withColumn("n_within", F.sum(weight).over(near)).where("__own = __stretch").drop("__t", "__own", "__stretch")
+
+
+def linked_cells(photos: DataFrame, meters: float, sparse: int = 64) -> DataFrame:
+    """a, b: edges whose components are those of all pairs within ``meters``, without making the pairs of a dense place.
+
+    Cells are so small that any two of their rows are neighbours, so a cell is a star around its smallest id. Cells are linked by one pair: first
+    between their outermost rows in eight directions. Only where two cells in reach still belong to different components are their rows
+    compared, those that lie in reach of the other cell's box. Where no cell holds more than ``sparse`` rows a row has few partners, and the pairs
+    themselves are the edges.
+    """
+    side = meters / math.sqrt(2) * 0.999
+    height = side / DEGREE_METERS
+    band = F.floor(F.col("lat") / height).cast("long")
+    inner = F.least(F.abs(F.col("band") * height), F.abs((F.col("band") + 1) * height))
+    inner = F.when(F.col("band").isin(0, -1), 0.0).otherwise(inner)  # the band's widest latitude
+    around = F.greatest(F.ceil(F.cos(F.radians(F.least(inner, F.lit(90.0)))) * 360 * DEGREE_METERS / side), F.lit(1)).cast("long")
+    rows = photos.where(F.col("lat").isNotNull()).select("project", "id", "lat", "lon").withColumn("band", band).withColumn("cell", _cell(F.col("lon"), around))
+    rows = stored(rows)
+    keys = ["project", "band", "cell"]
+    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= sparse:
+        return neighbour_pairs(rows, meters).select("a", "b")
+    ends = [F.col("lat"), F.col("lon"), F.col("lat") / height + F.col("lon") * F.cos(F.radians("lat")) / height, F.col("lat") / height - F.col("lon") * F.cos(F.radians("lat")) / height]
+    outer = [f(F.struct(e.alias("e"), "id", "lat", "lon")).alias(f"o{i}{n}") for i, e in enumerate(ends) for n, f in enumerate((F.min, F.max))]
+    box = [f(c).alias(n) for n, f, c in (("rep", F.min, "id"), ("y1", F.min, "lat"), ("y2", F.max, "lat"), ("x1", F.min, "lon"), ("x2", F.max, "lon"))]
+    cells = stored(rows.groupBy(*keys).agg(*box, *outer))
+    star = rows.join(cells.select(*keys, "rep"), keys).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    at = F.array(*[F.struct(F.col(f"o{i}{n}.id").alias("id"), F.col(f"o{i}{n}.lat").alias("lat"), F.col(f"o{i}{n}.lon").alias("lon")) for i in range(4) for n in range(2)])
+    rims = cells.select("project", "rep", F.explode(F.array_distinct(at)).alias("o")).select("project", F.col("o.id").alias("id"), F.col("o.lat").alias("lat"), F.col("o.lon").alias("lon"))
+    edges = stored(star.unionByName(radius_join(rims, rims, meters).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))))
+    roots = components(edges)
+    placed = cells.select(*keys, "rep", "y1", "y2", "x1", "x2", ((F.col("y1") + F.col("y2")) / 2).alias("lat"), ((F.col("x1") + F.col("x2")) / 2).alias("lon"))
+    placed = stored(placed.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node"))
+    centres = placed.select("project", F.col("rep").alias("id"), "lat", "lon")
+    near = radius_join(centres, centres, 2 * meters).where("l_id < r_id").select("l_id", "r_id")  # centres of cells in reach
+    of = lambda n: placed.select(F.col("rep").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("root", "y1", "y2", "x1", "x2", "band", "cell")])
+    apart = stored(near.join(of("l"), "l_id").join(of("r"), "r_id").where("l_root <> r_root"))
+    high = meters / DEGREE_METERS * 1.001
+
+    def side_of(mine: str, other: str) -> DataFrame:
+        wide = high / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + high, F.lit(90.0)))), F.lit(1e-12))
+        inside = F.col("lat").between(F.col(f"{other}_y1") - high, F.col(f"{other}_y2") + high) & F.col("lon").between(F.col(f"{other}_x1") - wide, F.col(f"{other}_x2") + wide)
+        mine_of = apart.select("project", "l_id", "r_id", F.col(f"{mine}_band").alias("band"), F.col(f"{mine}_cell").alias("cell"), *[f"{other}_{c}" for c in ("y1", "y2", "x1", "x2")])
+        return rows.join(mine_of, keys).where(inside).select("l_id", "r_id", F.col("id").alias(f"{mine}"), F.col("lat").alias(f"{mine}_lat"), F.col("lon").alias(f"{mine}_lon"))
+
+    apart = apart.join(placed.select(F.col("rep").alias("l_id"), "project"), "l_id")
+    gap = haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
+    met = side_of("l", "r").join(side_of("r", "l"), ["l_id", "r_id"]).where(gap <= meters).groupBy("l_id", "r_id").agg(F.min("l").alias("a"), F.min("r").alias("b"))
+    return edges.unionByName(met.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
+
+
 def neighbour_pairs(photos: DataFrame, meters: float) -> DataFrame:
     """project, a, b (a < b), meters of placed rows within ``meters``."""
     rows = photos.select("project", "id", "lat", "lon")

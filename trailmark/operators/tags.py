@@ -9,8 +9,20 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.keywords import folder_keywords
+from ..scratch import stored
 from .filters import base
-from .spatial import radius_join, time_join
+from .spatial import count_within, radius_join
+
+
+def named_links(photo_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """project, id, name, type: the stored link table (project, id, tag_id) with its tags (project, tag_id, name, type), as the operators take them."""
+    return photo_tags.join(tags, ["project", "tag_id"]).select("project", "id", "name", "type")
+
+
+def tags_of(photo_tags: DataFrame, tags: DataFrame, project: int, photo: int) -> DataFrame:
+    """tag_id, name, type of one row's tags by name; the filter on the row reaches the links' scan."""
+    own = photo_tags.where((F.col("project") == project) & (F.col("id") == photo))
+    return own.join(tags, ["project", "tag_id"]).select("tag_id", "name", "type").orderBy("name")
 
 
 def folder_tags(photos: DataFrame, extra_stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -76,15 +88,28 @@ def tag_itemsets(photos: DataFrame, links: DataFrame, min_support: float = DEFAU
     return named.withColumn("total", F.lit(total)).orderBy(F.col("n").desc(), "size", "items").limit(top)
 
 
+def _tag_counts_in_time(rows: DataFrame, carried: DataFrame, seconds: float) -> DataFrame:
+    """project, id, name, k_temporal: how many rows within ``seconds`` carry each tag that the row lacks; tags nobody near carries have no row.
+
+    Every row asks for the tags of its own stretch of time and the two beside it; a window over each tag's carriers and askers counts.
+    """
+    stretch = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / int(seconds * 1e6))
+    holders = rows.join(carried, ["project", "id"]).withColumn("__w", F.lit(1).cast("long"))
+    seen = holders.select("project", "name", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: stretch + d)).alias("__s")).distinct()
+    asked = rows.withColumn("__s", stretch).join(seen, ["project", "__s"]).drop("__s").join(carried, ["project", "id", "name"], "left_anti").withColumn("__w", F.lit(0).cast("long"))
+    counted = count_within(holders.unionByName(asked.select(*holders.columns)), ["project", "name"], seconds, "__w")
+    return counted.where("__w = 0 and n_within > 0").select("project", "id", "name", F.col("n_within").alias("k_temporal"))
+
+
 def recommend_tags(photos: DataFrame, links: DataFrame, top: int = 12, config=DEFAULTS) -> DataFrame:
     """project, id, name, score and its parts as counts: the best tags for every base row at once.
 
     Score: shares of spatial and of temporal neighbours that carry the tag, and whether the folder has it, weighted. The neighbours of rows are counted per tag
     right after each join; folders are counted per tag without a join of rows. Neighbours are active rows; only missing tags are proposed.
     """
-    active = photos.where(F.col("status") == "active")
-    rows = base(photos).select("project", "id", "ts", "lat", "lon", "folder_name")
-    carried = links.select("project", F.col("id").alias("r_id"), "name").distinct()
+    active = stored(photos.where(F.col("status") == "active").select("project", "id", "ts", "lat", "lon", "folder_name", "status"))  # read by every part
+    rows = base(active).select("project", "id", "ts", "lat", "lon", "folder_name")
+    carried = stored(links.select("project", F.col("id").alias("r_id"), "name").distinct())
 
     def share(pairs: DataFrame, n: str, k: str) -> tuple[DataFrame, DataFrame]:
         others = pairs.where("l_id <> r_id").select("project", "l_id", "r_id")
@@ -92,7 +117,10 @@ def recommend_tags(photos: DataFrame, links: DataFrame, top: int = 12, config=DE
         return totals, others.join(carried, ["project", "r_id"]).groupBy("project", F.col("l_id").alias("id"), "name").agg(F.count("*").alias(k))
 
     n_space, k_space = share(radius_join(rows, active, config.suggestion_meters), "n_spatial", "k_spatial")
-    n_time, k_time = share(time_join(rows, active, config.suggestion_hours * 3600), "n_temporal", "k_temporal")
+    seconds = config.suggestion_hours * 3600
+    timed = rows.select("project", "id", "ts")
+    n_time = count_within(timed.withColumn("__one", F.lit(1).cast("long")), ["project"], seconds, "__one").select("project", "id", (F.col("n_within") - 1).alias("n_temporal"))
+    k_time = _tag_counts_in_time(timed, carried.withColumnRenamed("r_id", "id"), seconds)
     in_folder = active.where(F.col("folder_name").isNotNull()).select("project", F.col("id").alias("r_id"), "folder_name").join(carried, ["project", "r_id"]).select("project", "folder_name", "name").distinct()
     of_folder = rows.select("project", "id", "folder_name").join(in_folder, ["project", "folder_name"]).select("project", "id", "name", F.lit(1).alias("k_folder"))
     zero = {"k_spatial": 0, "k_temporal": 0, "k_folder": 0}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from .filters import base
+from .filters import base, between, month_range
 
 
 def parse_cursor(cursor: str) -> tuple[datetime, int]:
@@ -55,18 +55,19 @@ def facets(photos: DataFrame, by: str) -> DataFrame:
 def calendar(photos: DataFrame, year: str | None = None, month: str | None = None) -> DataFrame:
     """Years (latest first); with a year its months, with year and month (``01``) its days, earliest first. A month without a year gives years."""
     form = "yyyy" if not year else "yyyy-MM" if not month else "yyyy-MM-dd"
-    rows = base(photos).withColumn("key", F.date_format("ts", form))
-    if year:
-        rows = rows.where(F.col("key").startswith(f"{year}-{month}-" if month else f"{year}-"))
-    counted = rows.groupBy("key").agg(F.count("*").alias("n"))
+    rows = base(photos)
+    if year:  # a half-open range on ts, which reaches the scan
+        rows = between(rows, *month_range(f"{year}-{month}")) if month else between(rows, datetime(int(year), 1, 1), datetime(int(year) + 1, 1, 1))
+    counted = rows.groupBy(F.date_format("ts", form).alias("key")).agg(F.count("*").alias("n"))
     return counted.orderBy(F.col("key") if year else F.col("key").desc())
 
 
 def calendar_levels(photos: DataFrame) -> DataFrame:
-    """All levels at once: (level, key, n) from one pass with grouping sets."""
+    """All levels at once: (level, key, n). Rows are counted by day; months and years add up the days."""
+    days = base(photos).groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("c"))
     keys = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}
-    rows = base(photos).select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.date_format("ts", f).alias("key")) for k, f in keys.items()])).alias("p"))
-    return rows.groupBy("p.level", "p.key").agg(F.count("*").alias("n"))
+    each = days.select("c", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.date_format("d", f).alias("key")) for k, f in keys.items()])).alias("p"))
+    return each.groupBy("p.level", "p.key").agg(F.sum("c").alias("n"))
 
 
 def day_groups(photos: DataFrame) -> DataFrame:
@@ -80,7 +81,11 @@ def geo_listing(photos: DataFrame) -> DataFrame:
     return placed.select("id", "file_name", "folder_name", "ts", "lat", "lon", "country_code").orderBy("ts", "id")
 
 
-def fingerprint(photos: DataFrame) -> DataFrame:
-    """What changes whenever a catalog does: rows, largest id, latest change."""
+def fingerprint(photos: DataFrame, photo_tags: DataFrame | None = None, photo_clusters: DataFrame | None = None) -> DataFrame:
+    """What changes whenever a catalog does: rows, largest id, latest change; with the link tables also their numbers of links."""
     changed = F.max("mtime") if "mtime" in photos.columns else F.max(F.unix_micros(F.col("ts").cast("timestamp")))
-    return photos.groupBy("project").agg(F.count("*").alias("n"), F.max("id").alias("max_id"), changed.alias("max_change"))
+    out = photos.groupBy("project").agg(F.count("*").alias("n"), F.max("id").alias("max_id"), changed.alias("max_change"))
+    for name, links in (("n_tag_links", photo_tags), ("n_cluster_links", photo_clusters)):
+        if links is not None:
+            out = out.join(links.groupBy("project").agg(F.count("*").alias(name)), "project", "left").fillna(0, [name])
+    return out

@@ -117,6 +117,14 @@ sizes_new AS (SELECT cluster, count(*) AS n FROM fresh GROUP BY 1), sizes_old AS
 shared AS (SELECT f.project, f.cluster AS new, s.cluster AS old, count(*) AS shared FROM fresh f JOIN stale s ON f.id = s.id GROUP BY 1, 2, 3),
 overlapping AS (SELECT x.*, shared / (a.n + b.n - shared)::DOUBLE AS jaccard FROM shared x JOIN sizes_new a ON x.new = a.cluster JOIN sizes_old b ON x.old = b.cluster)"""
 
+#: Cluster ids after a run: continued ones keep theirs, others count on from the largest of the table.
+SNAPSHOT = OVERLAPS + """,
+old_table AS (SELECT DISTINCT project, cluster AS cluster_id FROM stale),
+sure AS (SELECT new, old FROM overlapping WHERE jaccard > 0.5),
+named AS (SELECT n.project, n.cluster, s.old FROM (SELECT DISTINCT project, cluster FROM fresh) n LEFT JOIN sure s ON n.cluster = s.new),
+next_ids AS (SELECT project, cluster, coalesce(old, coalesce((SELECT max(cluster_id) + 10000000 FROM old_table t WHERE t.project = n.project), 0) + row_number() OVER (PARTITION BY project, old IS NULL ORDER BY cluster)) AS cluster_id,
+  coalesce(old % 3 = 0, false) AS custom_named FROM named n)"""
+
 SNAPS = f"WITH cat AS ({DUCK_SNAP_CATALOG}), disk AS ({DUCK_SNAP_DISK})"
 ACTIONS = f"""{SNAPS}, actions AS (
   SELECT coalesce(c.path, d.path) AS path, c.id, c.status AS old_status, d.size, d.mtime, d.content_hash,
@@ -305,4 +313,39 @@ SELECT id, wall - to_minutes(m) AS utc, CASE WHEN m < 0 THEN '-' ELSE '+' END ||
     "place_name": _st8 + PLACES + " SELECT project, group_no, place FROM places",
     "file_kinds": f"""{BASE}, made AS (SELECT [ 'jpg', 'png', 'webp', 'heic', 'txt', NULL ][CAST(id % 6 + 1 AS INT)] AS format FROM catalog)
 SELECT format, coalesce(format IN ('jpg', 'jpeg', 'png', 'webp'), false) AS writable, coalesce(format IN ('jpg', 'jpeg'), false) AS write_back, count(*) AS n FROM made GROUP BY 1""",
+    "photo_tag_names": f"{_tag_rows} SELECT project, id, string_agg(name, ',' ORDER BY name) AS names, count(CASE WHEN name = 'summer' THEN 1 END) AS by_hand FROM links GROUP BY 1, 2",
+    "orphan_tags": f"{_tag_rows} SELECT DISTINCT c.project, c.camera_model AS name FROM catalog c WHERE c.camera_model IS NOT NULL AND NOT EXISTS (SELECT 1 FROM links l WHERE l.project = c.project AND l.name = c.camera_model)",
+    "tag_edits": f"""{_tag_rows},
+rest AS (SELECT project, id, name, 'automatic' AS type FROM links WHERE NOT (name = 'vacation' AND id % 5 = 0)),
+added AS (SELECT project, id, 'favourite' AS name FROM catalog WHERE id % 3 = 0 UNION ALL SELECT project, id, 'city' FROM catalog WHERE id % 7 = 0),
+fresh AS (SELECT a.*, CASE WHEN EXISTS (SELECT 1 FROM links l WHERE l.project = a.project AND l.name = a.name) THEN 'automatic' ELSE 'manual' END AS type
+  FROM added a ANTI JOIN rest r ON a.id = r.id AND a.name = r.name)
+SELECT project, name, type, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT * FROM rest UNION ALL SELECT * FROM fresh) GROUP BY 1, 2, 3""",
+    "catalog_fingerprint_links": f"""{_tag_rows}, {EDGES}, {closure('edges', 'found')}
+SELECT c.project, count(*) AS n, max(id) AS max_id, max(epoch_us(ts)) AS max_change, (SELECT count(*) FROM links l WHERE l.project = c.project) AS n_tag_links,
+  (SELECT count(*) FROM found f WHERE f.project = c.project) AS n_cluster_links FROM catalog c GROUP BY c.project""",
+    "filter_cluster": f"{BASE}, {EDGES}, {closure('edges', 'found')} SELECT id FROM found WHERE cluster = (SELECT min(cluster) FROM found)",
+    "neighbour_pairs_clamped": f"{BASE}, {EDGES} SELECT project, a, b FROM edges WHERE meters <= 50",
+    "cluster_snapshot": SNAPSHOT + """
+SELECT project, cluster_id, CASE WHEN custom_named THEN 'Place ' || cluster_id END AS given_name, CAST(300 AS DOUBLE) AS radius_meters, custom_named FROM next_ids
+UNION ALL SELECT project, cluster_id + 10000000, 'Place ' || cluster_id, CAST(500 AS DOUBLE), cluster_id % 3 = 0 FROM old_table""",
+    "cluster_links": SNAPSHOT + """
+SELECT f.project, f.id, n.cluster_id FROM fresh f JOIN next_ids n ON f.cluster = n.cluster UNION ALL SELECT project, id, cluster + 10000000 FROM stale""",
+    "cluster_renames": SNAPSHOT + """, both_radii AS (SELECT project, cluster_id, cluster_id AS shown, cluster_id % 3 = 0 AS by_hand FROM old_table UNION ALL SELECT project, cluster_id + 10000000, cluster_id, cluster_id % 3 = 0 FROM old_table)
+SELECT project, cluster_id, CASE WHEN cluster_id % 2 = 0 THEN 'My ' || cluster_id ELSE 'Place ' || shown END AS name, by_hand OR cluster_id % 2 = 0 AS custom_named FROM both_radii""",
+    "cluster_identities": OVERLAPS + f""",
+sure AS (SELECT project, new, old, jaccard FROM overlapping WHERE jaccard > 0.5),
+centres_new AS (SELECT f.cluster AS new, avg(b.lat) AS la, avg(b.lon) AS lo FROM fresh f JOIN base b ON f.id = b.id GROUP BY 1),
+centres_old AS (SELECT f.cluster AS old, avg(b.lat) AS la, avg(b.lon) AS lo FROM stale f JOIN base b ON f.id = b.id GROUP BY 1),
+rivals AS (SELECT o.project, o.new, o.old, o.jaccard, row_number() OVER (ORDER BY o.jaccard DESC, o.new, o.old) AS k FROM overlapping o JOIN centres_new n ON o.new = n.new JOIN centres_old c ON o.old = c.old
+  ANTI JOIN sure s ON o.new = s.new ANTI JOIN sure t ON o.old = t.old WHERE {hav('n.la', 'n.lo', 'c.la', 'c.lo')} < 100),
+greedy AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS news, CAST([] AS BIGINT[]) AS olds, CAST([] AS BIGINT[]) AS picked
+  UNION ALL SELECT r.k, CASE WHEN ok THEN list_append(g.news, r.new) ELSE g.news END, CASE WHEN ok THEN list_append(g.olds, r.old) ELSE g.olds END, CASE WHEN ok THEN list_append(g.picked, r.k) ELSE g.picked END
+  FROM greedy g JOIN rivals r ON r.k = g.k + 1, LATERAL (SELECT NOT list_contains(g.news, r.new) AND NOT list_contains(g.olds, r.old) AS ok)),
+chosen AS (SELECT unnest(picked) AS k FROM (SELECT arg_max(picked, k) AS picked FROM greedy))
+SELECT project, new, old, round(jaccard, 9) AS jaccard, 'overlap' AS rule FROM sure UNION ALL SELECT project, new, old, round(jaccard, 9), 'centre' FROM rivals JOIN chosen USING (k)""",
+    "number_texts": f"{BASE} SELECT id, CAST(CASE id % 7 WHEN 0 THEN id WHEN 1 THEN -(id + 0.5) WHEN 2 THEN CAST('0.' || id AS DOUBLE) WHEN 3 THEN id * 100 WHEN 6 THEN id END AS DOUBLE) AS number FROM catalog",
+    "wall_times": f"{BASE} SELECT id, CASE WHEN id % 5 IN (0, 1, 4) THEN date_trunc('second', ts) END AS wall FROM catalog",
+    "country_labels": f"""{BASE} SELECT CASE id % 5 WHEN 0 THEN 'United States' WHEN 2 THEN 'DR Congo' WHEN 3 THEN 'South Korea' ELSE CASE WHEN id % 2 = 0 THEN 'Data name' WHEN id % 5 = 1 THEN 'FR' ELSE 'DE' END END AS label,
+  count(*) AS n FROM catalog GROUP BY 1""",
 }

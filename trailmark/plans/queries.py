@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import calendar as cal
-from ..functions.geo import haversine
+from ..functions.geo import clamp_radius, haversine
 from ..functions.keywords import folder_keywords
-from ..functions.labels import date_range_label, kind_flags
+from ..functions.labels import country_name, date_range_label, kind_flags
 from ..operators import cards, clusters, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
+from ..scratch import stored
 from .catalog import boundaries, catalog, snapshots, table, tag_links
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,9 +316,108 @@ def recommend_top12(spark, sf_dir):
     return tags.recommend_tags(photos, tag_links(photos)).select("project", "id", "name", "score", "k_spatial", "n_spatial", "k_temporal", "n_temporal", "k_folder", "rank")
 
 
+def _stored_links(photos):
+    """The link and tag tables as a catalog stores them: photo_tags and tags, with numbered names; one tag that no row carries."""
+    links = tag_links(photos).withColumn("tag_id", F.xxhash64("name"))
+    named = links.select("project", "tag_id", "name").distinct().withColumn("type", F.when(F.col("name") == "summer", "manual").otherwise("automatic"))
+    unused = photos.select("project", F.xxhash64("camera_model").alias("tag_id"), F.col("camera_model").alias("name")).distinct()
+    unused = unused.unionByName(photos.select("project", F.lit(-1).cast("long").alias("tag_id"), F.lit("by hand").alias("name")).distinct())
+    unused = unused.withColumn("type", F.when(F.col("tag_id") == -1, "manual").otherwise("automatic"))
+    return links.select("project", "id", "tag_id"), named.unionByName(unused)
+
+
+@query
+def photo_tag_names(spark, sf_dir):
+    """Every row's tags by name, through the link and tag tables."""
+    named = tags.named_links(*_stored_links(catalog(spark, sf_dir)))
+    return named.groupBy("project", "id").agg(text(F.array_sort(F.collect_set("name"))).alias("names"), F.count_if(F.col("type") == "manual").alias("by_hand"))
+
+
+@query
+def orphan_tags(spark, sf_dir):
+    """What a sweep of the tags deletes: automatic ones that no row carries."""
+    photo_tags, named = _stored_links(catalog(spark, sf_dir))
+    return tags.orphan_tags(named, tags.named_links(photo_tags, named)).select("project", "name")
+
+
+@query
+def tag_edits(spark, sf_dir):
+    """Hand-made changes: every fifth row loses ``vacation``, every third one gets `` Favourite ``, every seventh ``city``."""
+    photos = catalog(spark, sf_dir)
+    links = tag_links(photos).withColumn("type", F.lit("automatic"))
+    edit = lambda n, name, op: photos.where(F.col("id") % n == 0).select("project", "id", F.lit(name).alias("name"), F.lit(op).alias("op"))
+    edits = edit(5, "Vacation", "remove").unionByName(edit(3, " Favourite ", "add")).unionByName(edit(7, "city", "add")).unionByName(edit(2, " ", "add"))
+    return tags.edit_tags(links, edits).groupBy("project", "name", "type").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query
+def catalog_fingerprint_links(spark, sf_dir):
+    """The whole fingerprint, with the numbers of tag and cluster links."""
+    photos = catalog(spark, sf_dir)
+    return timeline.fingerprint(photos, _stored_links(photos)[0], _clustered(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- space
 
 
+def _clustered(spark, sf_dir, meters=300.0):
+    """project, id, cluster_id: memberships of clusters that are named by their smallest row."""
+    return clusters.dbscan(filters.base(catalog(spark, sf_dir)), meters).select("project", "id", F.col("cluster").alias("cluster_id"))
+
+
+@query
+def filter_cluster(spark, sf_dir):
+    """The members of the first cluster."""
+    links = _clustered(spark, sf_dir)
+    first = links.agg(F.min("cluster_id")).first()[0]
+    return filters.apply_filters(catalog(spark, sf_dir), photo_clusters=links, cluster=first).select("id")
+
+
+@query
+def neighbour_pairs_clamped(spark, sf_dir):
+    """A radius under the allowed range is raised to its lower end."""
+    return spatial.neighbour_pairs(filters.base(catalog(spark, sf_dir)), clamp_radius(10)).select("project", "a", "b")
+
+
+def _snapshot(spark, sf_dir):
+    """(next clusters, members, old clusters, old links): the old ones were found without every fourth row; every third was named by hand."""
+    new, old, rows = _two_runs(spark, sf_dir)
+    new, old = stored(new), stored(old)
+    table = old.select("project", F.col("cluster").alias("cluster_id")).distinct().withColumns({
+        "name": F.concat(F.lit("Place "), F.col("cluster_id").cast("string")), "type": F.lit("spatial"), "radius_meters": F.lit(300.0), "center_lat": F.lit(0.0), "center_lon": F.lit(0.0),
+        "custom_named": F.col("cluster_id") % 3 == 0,
+    })
+    other = table.withColumns({"cluster_id": F.col("cluster_id") + 10_000_000, "radius_meters": F.lit(500.0)})
+    links = old.select("project", "id", F.col("cluster").alias("cluster_id"))
+    links = links.unionByName(links.withColumn("cluster_id", F.col("cluster_id") + 10_000_000))
+    matches = clusters.overlaps(new, old).where(F.col("jaccard") > DEFAULTS.stable_jaccard)
+    after = stored(clusters.next_snapshot(clusters.cluster_summary(new, rows), matches, table.unionByName(other), 300.0))
+    return after, new, table.unionByName(other), links
+
+
+@query
+def cluster_snapshot(spark, sf_dir):
+    """The clusters table after a run at 300 m: kept ids, names given by hand, new ids; clusters of another radius stay."""
+    after, new, old, links = _snapshot(spark, sf_dir)
+    table, _ = clusters.replace_radius(old, links, after, new, 300.0)
+    return table.select("project", "cluster_id", F.when(F.col("custom_named") | (F.col("radius_meters") == 500), F.col("name")).alias("given_name"), "radius_meters", "custom_named")
+
+
+@query
+def cluster_links(spark, sf_dir):
+    """The memberships that go with ``cluster_snapshot``."""
+    after, new, old, links = _snapshot(spark, sf_dir)
+    return clusters.replace_radius(old, links, after, new, 300.0)[1].select("project", "id", "cluster_id")
+
+
+@query
+def cluster_renames(spark, sf_dir):
+    """Every second cluster gets a name by hand."""
+    _, _, old, _ = _snapshot(spark, sf_dir)
+    names = old.where("cluster_id % 2 = 0").select("project", "cluster_id", F.concat(F.lit("My "), F.col("cluster_id").cast("string")).alias("name"))
+    return tags.rename_clusters(old, names).select("project", "cluster_id", "name", "custom_named")
+
+
 @query
 def neighbour_pairs_300m(spark, sf_dir):
     return spatial.neighbour_pairs(filters.base(catalog(spark, sf_dir)), 300).select("project", "a", "b", m3("meters").alias("meters"))
@@ -431,6 +531,32 @@ def offset_parse(spark, sf_dir):
     return catalog(spark, sf_dir).select("id", cal.parse_offset(made).alias("minutes"))
 
 
+@query
+def number_texts(spark, sf_dir):
+    """Numbers read from odd texts made of the ids."""
+    rows = catalog(spark, sf_dir)
+    i = F.col("id").cast("string")
+    made = F.element_at(F.array(i, F.concat(F.lit(" -"), i, F.lit(".5mm ")), F.concat(F.lit("."), i), F.concat(i, F.lit("e2")), F.concat(F.lit("f/"), i), F.lit(""), F.concat(i, F.lit("/10"))), (F.col("id") % 7 + 1).cast("int"))
+    return rows.select("id", cal.number(made).alias("number"))
+
+
+@query
+def wall_times(spark, sf_dir):
+    """Wall-clock times read from texts in several forms, some of which are none."""
+    rows = catalog(spark, sf_dir)
+    at = lambda form: F.date_format("ts", form)
+    made = F.element_at(F.array(at("yyyy:MM:dd HH:mm:ss"), at("yyyy-MM-dd'T'HH:mm:ss.SSS"), at("yyyy:MM:dd"), F.concat(at("yyyy:MM:dd"), F.lit(" 25:00:00")), at("yyyy-MM-dd HH:mm:ss'+02:00'")), (F.col("id") % 5 + 1).cast("int"))
+    return rows.select("id", cal.parse_wall_time(made).alias("wall"))
+
+
+@query
+def country_labels(spark, sf_dir):
+    """Names of country codes: a short form, the boundary data's own name, or the code itself."""
+    code = F.element_at(F.array(*map(F.lit, ("US", "FR", "CD", "KR", "DE"))), (F.col("id") % 5 + 1).cast("int"))
+    name = F.when(F.col("id") % 2 == 0, F.lit("Data name"))
+    return catalog(spark, sf_dir).select(country_name(code, name).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query
 def group_labels(spark, sf_dir):
     """Date labels of the groups at the widest time scale."""

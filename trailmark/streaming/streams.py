@@ -10,7 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.calendar import period_keys
 from ..operators.filters import base
+from ..operators.ingest import apply_actions, diff_snapshot
 from ..operators.rollups import rollups
+from ..scratch import stored
 
 
 def stream_sessions(events: DataFrame, seconds: float, lateness: str = "1 day") -> DataFrame:
@@ -28,6 +30,23 @@ def ingest_stream(listing: DataFrame, apply: Callable[[DataFrame], None], checkp
     return listing.writeStream.foreachBatch(lambda batch, _: apply(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_catalog(listing: DataFrame, read: Callable[[], DataFrame], publish: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """Keeps a catalog in step with a stream of listings: every micro-batch holds whole listings (project, path, size, mtime, content_hash) of some projects.
+
+    ``read`` gives the current catalog, ``publish`` stores the next one (``write_version`` keeps readers apart). A batch is compared with its
+    projects' rows, moves are matched, and the next state joins the rows of all other projects.
+    """
+
+    def apply(batch: DataFrame) -> None:
+        batch, catalog = stored(batch.dropDuplicates(["project", "path"])), read()
+        scanned = batch.select("project").distinct()
+        mine, rest = catalog.join(scanned, "project", "left_semi"), catalog.join(scanned, "project", "left_anti")
+        after = apply_actions(mine, diff_snapshot(mine, batch))
+        publish(after.unionByName(rest.select(*after.columns)))
+
+    return ingest_stream(listing, apply, checkpoint)
+
+
 def touched_rollups(photos: DataFrame, batch: DataFrame, periods: tuple[str, ...] = ("decade", "year", "month")) -> DataFrame:
     """Rollups of only those periods that a batch of rows falls into, computed from the whole catalog."""
     keys = period_keys(F.col("ts"))
