@@ -60,6 +60,26 @@ def test_audio_resynchronises_and_checks():
     assert media.scan(None)["n_frames"] == media.scan(b"\xff" * 50)["n_frames"] == 0
 
 
+def id3(version, flags, body):
+    return b"ID3" + bytes((version, 0, flags)) + bytes(len(body) >> s & 127 for s in (21, 14, 7, 0)) + body
+
+
+def test_tags_of_all_versions():
+    two = b"TT2" + (4).to_bytes(3, "big") + b"\0abc" + b"TXX" + (6).to_bytes(3, "big") + b"\0k\0val"
+    assert media.id3v2(id3(2, 0, two))[1] == {"TT2": "abc", "k": "val"}
+    three = b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0\xff\xe0b"
+    assert media.id3v2(id3(3, 0x80, three.replace(b"\xff", b"\xff\0")))[1] == {"TIT2": "\xff\xe0b"} == media.id3v2(id3(3, 0, three))[1]
+    four = b"TIT2" + (9).to_bytes(4, "big") + b"\0\3" + b"\0\0\0\4" + b"\0\xff\0\xe0b"
+    assert media.id3v2(id3(4, 0, four + bytes(20)))[1] == {"TIT2": "\xff\xe0b"} and media.id3v2(id3(4, 0, four + bytes(20)))[0] == 10 + len(four) + 20
+    assert media.id3v2(id3(3, 0, b"TIT2"))[1] == {} and media.id3v2(b"ID3\4")[0] == 0
+
+
+def test_a_very_long_text_as_audio_and_tokens(vocabulary):
+    text = "long été " * 150_000
+    n, payload, *_ = media._read_back(media.embed(*media.padded(text)))
+    assert n == len(text.encode()) and payload == len(media.padded(text)[0])
+
+
 def test_text_that_reads_like_a_tag_stays_payload():
     for n in (64, 320, 640, 1024, 4992):
         for at in range(0, n - 3):
@@ -342,6 +362,14 @@ def labelled(spark, n=600):
     return spark.createDataFrame(rows, "doc_id LONG, text STRING, toxic INT")
 
 
+def test_logit_is_the_sum_over_pairs():
+    rng = np.random.default_rng(8)
+    machine = toxicity.Machine(0.3, rng.normal(size=40), rng.normal(size=(40, 4)))
+    for terms in (np.array([], int), np.array([3]), rng.permutation(40)[:12]):
+        pairs = sum(machine.factors[i] @ machine.factors[j] for k, i in enumerate(terms) for j in terms[:k])
+        assert machine.logit(terms) == pytest.approx(0.3 + machine.weights[terms].sum() + pairs)
+
+
 def test_pairs_of_terms_are_learned(spark):
     """The label is a conjunction: no single term decides it."""
     rows = labelled(spark)

@@ -313,3 +313,17 @@ def near_copies_removed(spark, docs: DataFrame, sf_dir: str, n: int = 5, num: in
 
 def op4_ngram_jaccard(spark, sf_dir):
     return JaccardJoin(table(spark, sf_dir, "documents"), 4, 85, 100).documents()
+
+
+#: All pairs of documents that share a shingle, and the closure of their links: affordable only on small tables.
+OP4_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM docs WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(least_other, d.doc_id)) AS component_id
+FROM docs d LEFT JOIN sizes z ON d.doc_id = z.doc_id LEFT JOIN (SELECT doc_id, min(other) AS least_other FROM reach GROUP BY doc_id) r ON d.doc_id = r.doc_id
+"""

@@ -7,7 +7,7 @@ and store exact durations and frame seek offsets.
 the smallest bit rate that holds what is left, so the stream has a variable bit rate and carries a seek table.
 
 Defined results: a null or empty stream has no frame, duration 0 and no offsets; bytes that are not part of a frame
-or tag are counted as ``skipped``; a frame whose checksum differs is counted and still timed; bytes inside a frame are no closing tag. A null text is the
+or tag (free-format frames, whose length no header tells, among them) are counted as ``skipped``; a frame whose checksum differs is counted and still timed; bytes inside a frame are no closing tag. A null text is the
 empty text; it is stored as 64 zero bytes. Rows are mapped one by one, so repeated rows and ties give equal values,
 an empty table gives an empty table, and columns besides the kept ones never meet the operator's own names.
 """
@@ -125,22 +125,32 @@ def at_header(data: bytes, pos: int) -> tuple | None:
 
 
 def id3v2(data: bytes) -> tuple[int, dict[str, str]]:
-    """Bytes that a leading ID3v2 tag takes, and its text fields."""
+    """Bytes that a leading ID3v2 tag (2.2 to 2.4) takes, and its text fields; unsynchronised tags and fields are read as they were before it."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0, {}
     synch = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, pos, fields = min(len(data), 10 + synch(data[6:10])), 10, {}
-    if data[5] & 0x40 and end >= 14:  # an extended header
-        pos += synch(data[10:14]) if data[3] == 4 else 4 + int.from_bytes(data[10:14], "big")
-    while pos + 10 <= end and data[pos]:
-        size = synch(data[pos + 4 : pos + 8]) if data[3] == 4 else int.from_bytes(data[pos + 4 : pos + 8], "big")
-        name, body = data[pos : pos + 4].decode("latin-1"), data[pos + 10 : min(end, pos + 10 + size)]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 3: "utf-8"}.get(body[0], "utf-16"), "replace")
-            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
+    joined = lambda b: b.replace(b"\xff\0", b"\xff")  # noqa: E731  undoes unsynchronisation
+    version, flags, end = data[3], data[5], min(len(data), 10 + synch(data[6:10]))
+    body, pos, fields = data[10:end], 0, {}
+    if flags & 0x80 and version < 4:
+        body = joined(body)
+    if version > 2 and flags & 0x40 and len(body) >= 4:  # an extended header
+        pos = synch(body) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    name_size, head = (3, 6) if version == 2 else (4, 10)
+    while pos + head <= len(body) and body[pos]:
+        raw = body[pos + name_size : pos + 2 * name_size]
+        size = synch(raw) if version == 4 else int.from_bytes(raw, "big")
+        name, value = body[pos : pos + name_size].decode("latin-1"), body[pos + head : pos + head + size]
+        if version == 4 and (body[pos + 9] & 2 or flags & 0x80):
+            value = joined(value)
+        if version == 4 and body[pos + 9] & 1:  # a length stands before the value
+            value = value[4:]
+        if name[0] == "T" and value:
+            text = value[1:].decode({0: "latin-1", 3: "utf-8"}.get(value[0], "utf-16"), "replace")
+            key, _, value = text.partition("\0") if name in ("TXXX", "TXX") else (name, "", text)
             fields[key] = value.strip("\0")
-        pos += 10 + size
-    return end + 10 * bool(data[5] & 0x10), fields
+        pos += head + size
+    return end + 10 * bool(flags & 0x10), fields
 
 
 def vbr_table(frame: bytes, side: int, protected: bool) -> tuple[str, int, int, bytes] | None:
@@ -298,3 +308,11 @@ def op1_mpeg_audio(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return audio_digests(embed_payload(docs.select(F.col("doc_id"), F.col("text"))))
+
+
+#: The payload's columns of ``op1_mpeg_audio``.
+PAYLOADS_SQL = r"""
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), sized AS (SELECT *, octet_length(b) AS n FROM raw)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(greatest(64, (n + 63) // 64 * 64) AS BIGINT) AS payload_bytes, sha256(b || repeat('\x00'::BLOB, greatest(64, (n + 63) // 64 * 64) - n)) AS payload_sha256
+FROM sized
+"""

@@ -61,7 +61,7 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
     """
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     state = goals.withColumn("full", full.cast("long")).withColumn("left", F.col("target") - F.col("full") * F.col("source_size")).withColumn("last", F.lit(0).cast("long")).withColumn("at_end", F.lit(0).cast("long"))
-    rows = slim.where("size > 0").groupBy("source", "hash").agg(F.sum("size").alias("size"))
+    rows = slim.where("size > 0")  # only histograms of it move
     for k in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - k)
         inside = rows if k == 1 else rows.join(

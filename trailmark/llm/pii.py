@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import per_row
-from .spans import Span, found, joined, sha256
+from .spans import Span, found, joined, sha256, spans_sql
 
 CONTEXT, MIN_SCORE = 60, 0.5
 KINDS = ["email", "ip", "card", "phone", "iban", "national_id"]
@@ -151,3 +151,14 @@ def op9_pii(spark, sf_dir):
     from .common import table
 
     return pii_digests(table(spark, sf_dir, "documents"))
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 // 10 + CAST(c AS INT) * 2 % 10 END)) % 10 = 0"
+#: The base columns by plain patterns.
+BASE_SQL = spans_sql([
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255"),
+    ("card", CARD.pattern, f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
+    ("phone", PHONE.pattern, f"length({_DIGITS}) BETWEEN 10 AND 15"),
+])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import per_row
-from .spans import Span, found, joined, sha256
+from .spans import Span, found, joined, sha256, spans_sql
 
 #: Code points between two parts that still belong together.
 REACH = 300
@@ -159,3 +159,7 @@ def op3_secret_scan(spark, sf_dir):
     from .common import table
 
     return secret_digests(table(spark, sf_dir, "documents"))
+
+
+#: The base columns by plain patterns.
+BASE_SQL = spans_sql([("assign", ASSIGN.pattern, "length(regexp_extract(m, <P>, 2)) >= 6"), ("access", ACCESS.pattern, "length(m) >= 20"), ("hex", "[0-9a-f]+", "length(m) >= 24")])

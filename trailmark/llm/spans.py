@@ -22,3 +22,25 @@ def joined(spans: Iterable[Span], kinds: list[str]) -> str:
 
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def spans_sql(kinds: list[tuple[str, str, str]]) -> str:
+    """DuckDB SQL of the counts and the digest of base spans. ``kinds``: (kind, pattern, condition on the match ``m``).
+
+    Positions come from the lengths of the matches and of the pieces between them.
+    """
+    parts = []
+    for rank, (kind, pattern, keep) in enumerate(kinds):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, pos, pos + length(m) AS stop FROM (
+    SELECT doc_id, m, sum(length(piece) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS pos
+    FROM (SELECT doc_id, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS piece
+          FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS ps FROM docs) WHERE len(ms) > 0)) WHERE {keep.replace('<P>', p)}""")
+    counts = ", ".join(f"count(CASE WHEN kind = '{kind}' THEN 1 END) AS n_{kind}" for kind, *_ in kinds)
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({' UNION ALL'.join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY pos, rank), '')) AS base_sha256
+FROM docs d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""
