@@ -97,10 +97,11 @@ def _windows(window: int, buckets: int):
                 if out:
                     h, doc, tag = (np.concatenate(x) for x in zip(*out, strict=True))
                     order = np.lexsort((doc, h))
-                    h, doc, tag = h[order], doc[order], tag[order]
-                    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))[: len(h)]
-                    least = np.repeat(doc[start], np.diff(np.append(start, len(h))))
-                    slot = np.where(doc > least, 1 + (doc & 0x3FF), 0)  # 0 for the chunk's smallest document
+                    by = h[order]
+                    start = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))[: len(h)]
+                    least = np.empty_like(doc)
+                    least[order] = np.repeat(doc[order][start], np.diff(np.append(start, len(h))))
+                    slot = np.where(doc > least, 1 + (doc & 0x3FF), 0)  # 0 for the chunk's smallest document; rows stay by document, which packs well
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, doc, tag, slot)], schema=schema)
 
     return run
