@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.calendar import micros
 from ..functions.geo import haversine
-from .sequence import in_order
+from .sequence import carried, in_order, running_sum
 
 
-def assign_tracks(photos: DataFrame, max_km: float = DEFAULTS.journey_km, max_hours: float | None = DEFAULTS.journey_hours) -> DataFrame:
-    """Placed rows with track_no, leg_m (from the previous row of the track) and track_size. ``max_hours=None``: only distance breaks a track."""
+def assign_tracks(photos: DataFrame, max_km: float = DEFAULTS.journey_km, max_hours: float | None = DEFAULTS.journey_hours, two_level: bool = False) -> DataFrame:
+    """Placed rows with track_no, leg_m (from the previous row of the track) and track_size. ``max_hours=None``: only distance breaks a track.
+
+    ``two_level``: the same for projects too large for one task.
+    """
     placed = photos.where(F.col("lat").isNotNull())
-    leg = haversine(F.lag("lat").over(in_order()), F.lag("lon").over(in_order()), F.col("lat"), F.col("lon"))
-    rows = placed.withColumns({"leg_m": leg, "__gap": micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(in_order())})
+    rows = carried(placed, {"__lat": F.col("lat"), "__lon": F.col("lon"), "__t": micros(F.col("ts"))}, {}, two_level)
+    rows = rows.withColumns({"leg_m": haversine(F.col("__lat"), F.col("__lon"), F.col("lat"), F.col("lon")), "__gap": micros(F.col("ts")) - F.col("__t")})
     far = F.col("leg_m") > max_km * 1000
     if max_hours is not None:
         far = far | (F.col("__gap") > max_hours * 3.6e9)
-    rows = rows.withColumn("__break", F.coalesce(far, F.lit(False)))
-    rows = rows.withColumn("track_no", F.sum(F.col("__break").cast("int")).over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("leg_m", F.when(~F.col("__break"), F.col("leg_m")))
-    return rows.withColumn("track_size", F.count("*").over(Window.partitionBy("project", "track_no"))).drop("__gap", "__break")
+    rows = rows.withColumn("__break", F.coalesce(far, F.lit(False)).cast("int"))
+    rows = running_sum(rows, "__break", "track_no", two_level).withColumn("leg_m", F.when(F.col("__break") == 0, F.col("leg_m")))
+    return rows.withColumn("track_size", F.count("*").over(Window.partitionBy("project", "track_no"))).drop("__gap", "__break", "__lat", "__lon", "__t")
 
 
 def tracks(assigned: DataFrame) -> DataFrame:

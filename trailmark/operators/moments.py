@@ -14,7 +14,7 @@ from ..config import DEFAULTS
 from ..functions.calendar import micros, week_start
 from ..functions.geo import EARTH_METERS, haversine
 from ..scratch import stored
-from .sequence import in_order
+from .sequence import carried, running_sum
 
 
 def home_country(photos: DataFrame) -> DataFrame:
@@ -34,23 +34,26 @@ def home_centroid(photos: DataFrame, homes: DataFrame | None = None) -> DataFram
     return homes.join(centre, "project", "left")
 
 
-def away_rows(photos: DataFrame, config=DEFAULTS) -> DataFrame:
+def away_rows(photos: DataFrame, config=DEFAULTS, two_level: bool = False) -> DataFrame:
     """``photos`` with away: another country than home, or too far from its centre; rows with neither inherit (at first: home)."""
     rows = photos.join(home_centroid(photos), "project")
     country = F.when(F.col("country_code") != "", F.col("country_code"))
     far = haversine(F.col("lat"), F.col("lon"), F.col("home_lat"), F.col("home_lon")) > config.away_km * 1000
     abroad = F.coalesce(country != F.col("home"), F.lit(False))
     known = F.when(country.isNotNull() | F.col("lat").isNotNull(), abroad | F.coalesce(far, F.lit(False)))
-    flag = F.coalesce(F.last("__known", True).over(in_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
-    return rows.withColumn("__known", known).withColumn("away", flag).drop("__known", "home", "home_lat", "home_lon")
+    rows = carried(rows.withColumn("__known", known), {}, {"__past": F.col("__known")}, two_level)
+    return rows.withColumn("away", F.coalesce("__known", "__past", F.lit(False))).drop("__known", "__past", "home", "home_lat", "home_lon")
 
 
-def away_runs(photos: DataFrame, config=DEFAULTS) -> DataFrame:
-    """``photos`` with away, run_no and is_trip: runs of one state without a gap over the limit; long and rich away runs are trips."""
-    rows = away_rows(photos, config)
-    gap = micros(F.col("ts")) - F.lag(micros(F.col("ts"))).over(in_order()) > config.trip_gap_days * 86_400e6
-    rows = rows.withColumn("__break", F.coalesce(gap | (F.col("away") != F.lag("away").over(in_order())), F.lit(False)).cast("int"))
-    rows = rows.withColumn("run_no", F.sum("__break").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).drop("__break")
+def away_runs(photos: DataFrame, config=DEFAULTS, two_level: bool = False) -> DataFrame:
+    """``photos`` with away, run_no and is_trip: runs of one state without a gap over the limit; long and rich away runs are trips.
+
+    ``two_level``: the same for projects too large for one task.
+    """
+    rows = carried(away_rows(photos, config, two_level), {"__t": micros(F.col("ts")), "__away": F.col("away")}, {}, two_level)
+    gap = micros(F.col("ts")) - F.col("__t") > config.trip_gap_days * 86_400e6
+    rows = rows.withColumn("__break", F.coalesce(gap | (F.col("away") != F.col("__away")), F.lit(False)).cast("int"))
+    rows = running_sum(rows, "__break", "run_no", two_level).drop("__break", "__t", "__away")
     run = Window.partitionBy("project", "run_no")
     span = F.max(micros(F.col("ts"))).over(run) - F.min(micros(F.col("ts"))).over(run)
     return rows.withColumn("is_trip", F.col("away") & (F.count("*").over(run) >= config.trip_min_rows) & (span >= config.trip_min_hours * 3600e6))

@@ -43,10 +43,49 @@ def _place() -> Column:
     return F.when(F.col("lat").isNotNull(), F.struct("lat", "lon"))
 
 
-def _before(w: WindowSpec | None = None) -> dict[str, Column]:
+def large_projects(photos: DataFrame, rows: int = 2_000_000) -> bool:
+    """Whether a project has more rows than one task should order: then the operators below should run with ``two_level``."""
+    return (photos.groupBy("project").count().agg(F.max("count")).first()[0] or 0) > rows
+
+
+def carried(rows: DataFrame, lag: dict[str, Column], last: dict[str, Column], two_level: bool = False, w: WindowSpec | None = None) -> DataFrame:
+    """``rows`` with columns named by ``lag`` (the previous row's value) and ``last`` (the latest earlier value that isn't null), in each project's order.
+
+    One level: a window over the project. Two levels, with the same result: windows over days, then over one summary row a day, so that no
+    window holds more than a day's rows or a project's days. A day's rows need from before only its last values.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if not two_level:
+        w = w or in_order()
+        return rows.withColumns({n: F.lag(c).over(w) for n, c in lag.items()} | {n: F.last(c, True).over(before(w)) for n, c in last.items()})
+    keys, at = ["project", "__day"], F.struct("ts", "id")
+    rows = rows.withColumn("__day", F.to_date("ts"))
+    boxed = {n: F.struct(c.alias("v")) for n, c in lag.items()}  # a previous value may be null
+    ends = [F.max_by(c, at).alias(n) for n, c in boxed.items()] + [F.max_by(c, F.when(c.isNotNull(), at)).alias(n) for n, c in last.items()]
+    past = before(Window.partitionBy("project").orderBy("__day"))
+    carry = rows.groupBy(*keys).agg(*ends).select(*keys, *[F.last(n, True).over(past).alias(f"{n}__carry") for n in (*lag, *last)])
+    w = Window.partitionBy(*keys).orderBy("ts", "id")
+    rows = rows.withColumns({n: F.lag(c).over(w) for n, c in boxed.items()} | {n: F.last(c, True).over(before(w)) for n, c in last.items()}).join(carry, keys)
+    both = {n: F.coalesce(n, f"{n}__carry") for n in (*lag, *last)}
+    return rows.withColumns({n: c["v"] if n in lag else c for n, c in both.items()}).drop("__day", *[f"{n}__carry" for n in both])
+
+
+def running_sum(rows: DataFrame, column: str, name: str, two_level: bool = False, w: WindowSpec | None = None) -> DataFrame:
+    """``rows`` with the sum of ``column`` up to each row, in each project's order."""
+    upto = lambda w: F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    if not two_level:
+        return rows.withColumn(name, upto(w or in_order()))
+    keys = ["project", "__day"]
+    rows = rows.withColumn("__day", F.to_date("ts"))
+    past = Window.partitionBy("project").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys).agg(F.sum(column).alias("n")).select(*keys, F.coalesce(F.sum("n").over(past), F.lit(0)).alias("__offset"))
+    inside = rows.withColumn("__inside", upto(Window.partitionBy(*keys).orderBy("ts", "id")))
+    return inside.join(offsets, keys).withColumn(name, F.col("__inside") + F.col("__offset")).drop("__day", "__inside", "__offset")
+
+
+def _with_before(photos: DataFrame, two_level: bool = False, w: WindowSpec | None = None) -> DataFrame:
     """Of the previous row: its time; of the previous rows: the last place."""
-    w = w or in_order()
-    return {"__prev_t": F.lag(micros(F.col("ts"))).over(w), "__prev_place": F.last(_place(), True).over(w.rowsBetween(Window.unboundedPreceding, -1))}
+    return carried(photos, {"__prev_t": micros(F.col("ts"))}, {"__prev_place": _place()}, two_level, w)
 
 
 def _breaks(seconds: float | Column, meters: float | Column | None) -> Column:
@@ -58,39 +97,22 @@ def _breaks(seconds: float | Column, meters: float | Column | None) -> Column:
     return F.coalesce(late, F.lit(False)).cast("int")
 
 
-def assign_groups(photos: DataFrame, mode: str = "time", scale: Scale | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def assign_groups(photos: DataFrame, mode: str = "time", scale: Scale | None = None, keep: tuple[str, ...] = (), two_level: bool = False) -> DataFrame:
     """``photos`` with group_no (0, 1, ... in order of time). Any mode but ``spacetime`` is ``time``.
 
-    One exchange and one sort by project serve the lags, the carried place and the running sum. Extra key columns in ``keep`` (such as a
-    scale's step, with columns __seconds and __meters) part the windows further.
+    One exchange and one sort by project serve the lags, the carried place and the running sum; with ``two_level`` windows over days do (see
+    ``carried``). Extra key columns in ``keep`` (such as a scale's step, with columns __seconds and __meters) part the windows further, at one level.
     """
     scale = scale or resolve_scale()
     w = in_order(*keep)
     seconds, meters = (F.col("__seconds"), F.col("__meters")) if keep else (scale.seconds, scale.meters)
-    rows = photos.withColumns(_before(w)).withColumn("__break", _breaks(seconds, meters if mode == "spacetime" else None))
-    return rows.withColumn("group_no", F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__prev_t", "__prev_place", "__break", "__seconds", "__meters")
+    rows = _with_before(photos, two_level, w).withColumn("__break", _breaks(seconds, meters if mode == "spacetime" else None))
+    return running_sum(rows, "__break", "group_no", two_level, w).drop("__prev_t", "__prev_place", "__break", "__seconds", "__meters")
 
 
 def assign_groups_two_level(photos: DataFrame, mode: str = "time", scale: Scale | None = None) -> DataFrame:
-    """The same result for projects too large for one task: windows over days, then over one summary row a day.
-
-    A day's rows need from before only the last row's time and the last place; group numbers need the number of breaks so far. All
-    three are carried between the days' summaries, so no window holds more than a day's rows or a project's days.
-    """
-    scale = scale or resolve_scale()
-    keys = ["project", "__day"]
-    w = Window.partitionBy(*keys).orderBy("ts", "id")
-    rows = photos.withColumn("__day", F.to_date("ts"))
-    days = rows.groupBy(*keys).agg(F.max(micros(F.col("ts"))).alias("t"), F.max_by(_place(), F.when(F.col("lat").isNotNull(), F.struct("ts", "id"))).alias("place"))
-    past = Window.partitionBy("project").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select(*keys, F.last("t").over(past).alias("__carry_t"), F.last("place", True).over(past).alias("__carry_place"))
-    rows = rows.withColumns(_before(w)).join(carried, keys)
-    rows = rows.withColumns({"__prev_t": F.coalesce("__prev_t", "__carry_t"), "__prev_place": F.coalesce("__prev_place", "__carry_place")})
-    rows = rows.withColumn("__break", _breaks(scale.seconds, scale.meters if mode == "spacetime" else None))
-    counts = rows.groupBy(*keys).agg(F.sum("__break").alias("n"))
-    offsets = counts.select(*keys, F.coalesce(F.sum("n").over(past), F.lit(0)).alias("__offset"))
-    inside = F.sum("__break").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__inside", inside).join(offsets, keys).withColumn("group_no", F.col("__inside") + F.col("__offset")).select(*photos.columns, "group_no")
+    """The same result for projects too large for one task."""
+    return assign_groups(photos, mode, scale, two_level=True).select(*photos.columns, "group_no")
 
 
 def all_scales(spark, config=DEFAULTS) -> DataFrame:
@@ -99,12 +121,12 @@ def all_scales(spark, config=DEFAULTS) -> DataFrame:
     return spark.createDataFrame([(int(s.step), s.seconds, s.meters, s.tier) for s in scales], "step INT, __seconds DOUBLE, __meters DOUBLE, tier STRING")
 
 
-def zoom_groups(photos: DataFrame, mode: str = "spacetime", config=DEFAULTS) -> DataFrame:
+def zoom_groups(photos: DataFrame, mode: str = "spacetime", config=DEFAULTS, two_level: bool = False) -> DataFrame:
     """project, step, tier, n_groups for all positions at once.
 
     The rows are ordered once: each row's gap and jump go to as many breaks as there are scales, counted without another sort.
     """
-    seen = photos.withColumns(_before()).select("project", micros(F.col("ts")).alias("t"), "__prev_t", haversine(F.col("__prev_place.lat"), F.col("__prev_place.lon"), F.col("lat"), F.col("lon")).alias("jump"))
+    seen = _with_before(photos, two_level).select("project", micros(F.col("ts")).alias("t"), "__prev_t", haversine(F.col("__prev_place.lat"), F.col("__prev_place.lon"), F.col("lat"), F.col("lon")).alias("jump"))
     seen = seen.select("project", ((F.col("t") - F.col("__prev_t")) / 1e6).alias("gap"), "jump")
     scales = [resolve_scale(i, config) for i in range(config.steps + 1)]
     far = lambda s: F.coalesce(F.col("jump") > s.meters, F.lit(False)) if mode == "spacetime" else F.lit(False)

@@ -349,3 +349,4 @@ SELECT project, new, old, round(jaccard, 9) AS jaccard, 'overlap' AS rule FROM s
     "country_labels": f"""{BASE} SELECT CASE id % 5 WHEN 0 THEN 'United States' WHEN 2 THEN 'DR Congo' WHEN 3 THEN 'South Korea' ELSE CASE WHEN id % 2 = 0 THEN 'Data name' WHEN id % 5 = 1 THEN 'FR' ELSE 'DE' END END AS label,
   count(*) AS n FROM catalog GROUP BY 1""",
 }
+SQL |= {"zoom_two_level": SQL["zoom_group_counts"], "tracks_two_level": SQL["journey_tracks"], "runs_two_level": SQL["away_runs"]}

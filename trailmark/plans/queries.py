@@ -71,6 +71,24 @@ def zoom_group_counts(spark, sf_dir):
     return sequence.zoom_groups(filters.base(catalog(spark, sf_dir)))
 
 
+@query
+def zoom_two_level(spark, sf_dir):
+    return sequence.zoom_groups(filters.base(catalog(spark, sf_dir)), two_level=True)
+
+
+@query
+def tracks_two_level(spark, sf_dir):
+    """The same as ``journey_tracks``, by windows over days."""
+    return journeys.tracks(_tracks(spark, sf_dir, two_level=True)).select("project", "track_no", "start", "end", "n", m3("path_m").alias("path_m"))
+
+
+@query
+def runs_two_level(spark, sf_dir):
+    """The same as ``away_runs``, by windows over days."""
+    runs = moments.away_runs(filters.base(catalog(spark, sf_dir)), two_level=True)
+    return runs.groupBy("project", "run_no", "away", "is_trip").agg(F.count("*").alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+
+
 @query
 def group_cards(spark, sf_dir):
     c = cards.group_cards(_groups(spark, sf_dir, "spacetime", 8), "spacetime")
