@@ -350,3 +350,17 @@ SELECT project, new, old, round(jaccard, 9) AS jaccard, 'overlap' AS rule FROM s
   count(*) AS n FROM catalog GROUP BY 1""",
 }
 SQL |= {"zoom_two_level": SQL["zoom_group_counts"], "tracks_two_level": SQL["journey_tracks"], "runs_two_level": SQL["away_runs"]}
+_whole = f"{BASE}, each_period AS (SELECT *, unnest(['decade', 'year', 'month']) AS period_type, unnest([CAST(year(ts) // 10 * 10 AS VARCHAR) || 's', strftime(ts, '%Y'), strftime(ts, '%Y-%m')]) AS period_key FROM base)"
+SQL |= {
+    "stream_sessions_2h": f"""{BASE}, cut AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER {W} > 7200000000, false) AS brk FROM base),
+numbered AS (SELECT *, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER {W} AS s FROM cut)
+SELECT project, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM numbered GROUP BY project, s
+HAVING max(epoch_us(ts)) + 7200000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 FROM base)""",
+    "ingest_streamed": SQL["next_catalog"],
+    "rollups_touched": f"""{_whole}, touched AS (SELECT DISTINCT project, period_type, period_key FROM each_period WHERE project < 10 AND camera_model = 'error')
+SELECT project, period_type, period_key, count(*) AS photo_count FROM each_period SEMI JOIN touched USING (project, period_type, period_key) GROUP BY 1, 2, 3""",
+    "rollups_stored": SQL["rollups_month"],
+    "catalog_stored": f"{BASE} SELECT project, id, file_name, ts, camera_model, CAST(NULL AS INT) AS orientation FROM catalog",
+    "geocode_built": SQL["geocode"],
+    "filters_off": f"{BASE} SELECT id FROM base",
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,10 @@ from ..functions.geo import clamp_radius, haversine
 from ..functions.keywords import folder_keywords
 from ..functions.labels import country_name, date_range_label, kind_flags
 from ..operators import cards, clusters, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
-from ..scratch import stored
+from ..scratch import checkpoint_dir, stored
+from ..sources import boundary
+from ..sources import tables as sinks
+from ..streaming import streams
 from .catalog import boundaries, catalog, snapshots, table, tag_links
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -592,3 +596,74 @@ def file_kinds(spark, sf_dir):
     made = F.concat(F.regexp_extract("file_name", r"^[^.]*", 0), F.element_at(F.array(*map(F.lit, (".JPG", ".png", ".webp", ".heic", ".txt", ""))), (F.col("id") % 6 + 1).cast("int")))
     rows = catalog(spark, sf_dir).select(*[c.alias(n) for n, c in kind_flags(made).items()])
     return rows.groupBy("format", "writable", "write_back").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- streams, sinks and sources
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query
+def stream_sessions_2h(spark, sf_dir):
+    """Sessions of a stream of the events that a watermark of one day has closed."""
+    rows = stored(filters.base(catalog(spark, sf_dir)).select("project", "id", "ts"))
+    out = _folder(spark)
+    live = streams.stream_sessions(spark.readStream.schema(rows.schema).parquet(rows.scratch_path), 7200, "1 day")
+    live.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(live.schema).parquet(f"{out}/rows").select("project", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query
+def ingest_streamed(spark, sf_dir):
+    """The next catalog, by a stream of the listing: the same as ``next_catalog``."""
+    old, disk = snapshots(spark, sf_dir)
+    listing, state = stored(disk), {"now": old}
+    live = spark.readStream.schema(listing.schema).parquet(listing.scratch_path)
+    streams.ingest_catalog(live, lambda: state["now"], lambda df: state.update(now=stored(df)), f"{_folder(spark)}/state").awaitTermination()
+    return state["now"].select("id", "path", "size", "mtime", "content_hash", "status")
+
+
+@query
+def rollups_touched(spark, sf_dir):
+    """Rollups of the periods that a batch falls into, from the whole catalog: the batch holds the first ten projects' errors."""
+    photos = catalog(spark, sf_dir)
+    touched = streams.touched_rollups(photos, photos.where("project < 10 and camera_model = 'error'"))
+    return touched.select("project", "period_type", "period_key", "photo_count")
+
+
+@query
+def rollups_stored(spark, sf_dir):
+    """Rollups written as a version of their table, and read again."""
+    path = sinks.write_version(rollups.rollups(catalog(spark, sf_dir)), _folder(spark), "period_type")
+    return rollups.rollup_json(rollups.read_rollups(spark.read.parquet(path), "month"))
+
+
+@query
+def catalog_stored(spark, sf_dir):
+    """The catalog written as its table, and read by the fixed schema."""
+    root = _folder(spark)
+    sinks.write_table(catalog(spark, sf_dir), root, "photos")
+    return sinks.read_table(spark, root, "photos").select("project", "id", "file_name", "ts", "camera_model", "orientation")
+
+
+@query
+def geocode_built(spark, sf_dir):
+    """The same as ``geocode``, with boundaries built from GeoJSON, written as a countries file and read again."""
+    features = boundaries(spark).withColumn("json", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.concat("ring", F.slice("ring", 1, 1))).alias("coordinates"))))
+    features = features.select(F.lit("-").alias("name"), "iso", F.col("json").alias("geometry"))
+    each = features.groupBy("iso", "name").agg(F.collect_list(F.from_json("geometry", "coordinates ARRAY<ARRAY<ARRAY<DOUBLE>>>")["coordinates"]).alias("parts"))
+    whole = each.select("iso", "name", F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts").alias("coordinates"))).alias("geometry"))
+    built = boundary.build_boundaries(whole, tolerance=0.0)
+    path = _folder(spark)
+    countries = built.groupBy().agg(F.array_sort(F.collect_list(F.struct("iso", "name", "bbox", "polys"))).alias("countries"))
+    countries.coalesce(1).write.json(path)
+    return spatial.geocode(filters.base(catalog(spark, sf_dir)), boundary.read_boundaries(spark, path)).select("id", "iso")
+
+
+@query
+def filters_off(spark, sf_dir):
+    """Empty and zero values turn every predicate off."""
+    photos = catalog(spark, sf_dir)
+    return filters.apply_filters(photos, photo_tags=tag_links(photos), country="", year=0, month="", day=None, camera="", cluster=0, tag="", tags_all=" , ", search="").select("id")
