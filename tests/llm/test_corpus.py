@@ -338,7 +338,7 @@ def test_lines_against_brute_force(spark, least):
     pool = ["user {} logged in today", "Share this page with {} and {} at once", "All rights reserved.", "Of.", "{}", "run {} at 10:{}", "7", "x@{} y@{}", "Page 3", "one two {} four five six seven eight", " \t", "", "{} two three four five six"]
     texts, family = [None, "", "\n\n", "é\r\n"], [0, 1, 2, 3]
     for i in range(80):
-        rows = [word() + " " + word() for _ in range(12)]
+        rows = [word() + " " + word() for _ in range(30)]
         for line in rnd.sample(pool, 4):
             rows.insert(rnd.randrange(len(rows)), line.format(word(), word()))
         copies = rnd.choice([1, 1, 1, 2])
