@@ -1,8 +1,9 @@
 """N-gram Jaccard join: an exact similarity join in the metric space of Jaccard distances.
 
-1. Parts. The shingle space is cut by hash into one part more than the largest symmetric difference that a linked pair can have, so such a
-   pair agrees in a whole part (pigeonhole). Where the bound depends on set sizes, overlapping size windows replicate
-   sets near a window's edge. Sets that share no part's content with another are done.
+1. Parts. The shingle space is cut by hash into half as many parts again as the largest symmetric difference that a linked pair can have, so such a
+   pair agrees in a third of them at least (pigeonhole). Where the bound depends on set sizes, overlapping size windows replicate
+   sets near a window's edge. Sets that share no part's content with another are done; of the others' parts only the rarest count, as many as a set
+   may differ in plus one: the rarest part in which a linked pair agrees is among these for both. So parts that a passage of many documents fills bring nobody together.
 2. Own shingles. For the others the shingles that no other of them has are counted: none of these is in an intersection, so two sets share at most
    the smaller of their rests. Sets whose rest is too small for any partner of the part's sizes leave the part.
 3. Regions. Each part's content chooses as pivot its member with the smallest share of own shingles (edits add own shingles, so it lies amid its
@@ -34,10 +35,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..scratch import dropped
 from .common import WORD, arrow_map, stored, table, words_of
 from .packing import CHUNK, SLOTS, buckets_for, packed, pairs_of_shared, unpacked
 
@@ -47,6 +49,8 @@ STEP = 1.7
 BROADCAST_ROWS = 500_000
 #: Pivots of a region in the first round, and how many times more in each later one.
 PIVOTS = 16
+#: Slots of rows that hold the nodes' numbers of parts begin here, downwards.
+COUNTS = -(1 << 20)
 
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93)]
 
@@ -76,10 +80,10 @@ def node_of(shingles: np.ndarray) -> int:
 
 @lru_cache(1 << 12)
 def size_windows(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
-    """(window, parts, spare parts) that a set of this size takes part in.
+    """(window, parts, spare parts) that a set of this size takes part in: two windows at most, j and j - 1.
 
     Window j holds the pairs whose smaller set has STEP^j to STEP^(j+1) shingles; their larger sets have at most ``top``. Spare
-    parts stand for empty ones: a set with no more empty parts than spare ones has a filled part in every agreement.
+    parts stand for empty ones: a set with no more empty parts than spare ones has more filled parts than a linked pair can differ in.
     """
     edge = lambda j: -int(-(STEP**j) // 1)  # noqa: E731  the smallest size of window j
     j, out = 0, []
@@ -87,14 +91,14 @@ def size_windows(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
         j += 1
     while j >= 0 and size <= (top := (edge(j + 1) - 1) * den // num):
         if differ := (den - num) * top // den:  # without room for a difference only equal sets link
-            spare = -(-(differ + 1) * 8 // 100) + 1
-            out.append((j, differ + 1 + spare, spare))
+            parts = -(-(differ + 1) * 3 // 2) + 1
+            out.append((j, parts, parts - differ - 1))
         j -= 1
     return out
 
 
 def part_contents(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the contents of a set's parts, in all its size windows."""
+    """Hashes of the contents of a set's parts, in all its size windows; the last bit is the window's."""
     found = []
     for j, parts, spare in size_windows(len(shingles), num, den):
         at = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # sorted, as the hashes are
@@ -103,7 +107,7 @@ def part_contents(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         if parts - len(filled) > spare:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
             filled, sums = np.concatenate((filled, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-        found.append(_mixed(sums * _M[1] + filled * _M[0] + np.uint64(j)))
+        found.append(_mixed(sums * _M[1] + filled * _M[0] + np.uint64(j)) & ~np.uint64(1) | np.uint64(j & 1))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -134,15 +138,23 @@ def _contents(n: int, num: int, den: int, buckets: int):
                     nodes.append(node)
                     parts.append(part_contents(s, num, den))
                 if any(map(len, parts)):
+                    odd = np.array([int((x & np.uint64(1)).sum()) for x in parts], np.int64)
+                    listed = np.array(list(map(len, parts)), np.int64)
+                    row = (COUNTS - (nodes[0] & 0xFFF), -1, np.array(nodes, np.int64).tobytes(), (listed - odd).tobytes(), odd.tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["slot", "bucket", "nodes", "counts", "keys"])
                     yield from packed(np.array(nodes, np.int64), np.array(list(map(len, parts))), np.concatenate(parts), buckets, True)
 
     return run
 
 
 def _met(rows: pa.Table) -> pa.Table:
-    """(part, node) of a slot's parts that two and more nodes have."""
+    """(part, node) of a slot's parts that two and more nodes have; for a slot of counts (node, parts0, parts1) without a part."""
+    none = lambda n: pa.nulls(n, pa.int64())
+    if rows.column(1)[0].as_py() < 0:
+        node, even, odd = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column(i)]) for i in (2, 3, 4))
+        return pa.table({"part": none(len(node)), "node": node, "parts0": even, "parts1": odd})
     part, node = pairs_of_shared(rows, marked=False)
-    return pa.table({"part": part, "node": node})
+    return pa.table({"part": part, "node": node, "parts0": none(len(node)), "parts1": none(len(node))})
 
 
 def _sets(n: int):
@@ -203,17 +215,34 @@ class JaccardJoin:
         #: doc_id, text_hash, n_shingles, node (null without shingles) of every row
         self.sizes = stored(arrow_map(texts, _sizes(n), "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint"))
         total = self.sizes.agg(F.sum("n_shingles")).first()[0] or 0
-        buckets = buckets_for(int(total * 0.3))  # a set has parts for about three in ten of its shingles
-        parts = arrow_map(texts.select("text"), _contents(n, num, den, buckets), SLOTS).groupBy("slot").applyInArrow(_met, "part bigint, node bigint")
-        met = stored(parts)
+        buckets = buckets_for(int(total * 0.4))  # a set has parts for about four in ten of its shingles
+        parts = arrow_map(texts.select("text"), _contents(n, num, den, buckets), SLOTS).groupBy("slot").applyInArrow(_met, "part bigint, node bigint, parts0 bigint, parts1 bigint")
+        parts = stored(parts.distinct())
         rows = self.sizes.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.min(F.struct("doc_id", "text_hash")).alias("row"))
+        met = stored(self._rarest(parts.where("part is not null").select("part", "node"), parts.where("part is null").select("node", "parts0", "parts1"), rows.select("node", "size")))
         members = stored(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "size", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")))
         chosen = small(members)
         held = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text")
-        #: node, shingles of every node that shares a part with another (twice for a row that repeats)
+        #: node, shingles of every node that shares a rare part with another (twice for a row that repeats)
         self.sets = stored(arrow_map(held, _sets(n), "node bigint, shingles binary"))
         self.rounds = 0
         self.links, self.roots = self._joined(self._regions(met, members))
+        dropped(parts, met, members, self.sets)
+
+    def _rarest(self, met: DataFrame, counts: DataFrame, sizes: DataFrame) -> DataFrame:
+        """part, node of each node's rarest parts in either window, where others have them, too.
+
+        As many as a linked pair may differ in plus one; those that nobody else has are among them and have no row here.
+        """
+        odd = F.pmod("part", F.lit(2))
+        mine = Window.partitionBy("node", "odd")
+        held = met.groupBy("part").agg(F.count("*").alias("held"))
+        listed = met.join(held, "part").join(counts.join(sizes, "node"), "node").withColumn("odd", odd)
+        alone = F.when(F.col("odd") == 0, F.col("parts0")).otherwise(F.col("parts1")) - F.count("*").over(mine)
+        room = F.expr(f"size * {self.den - self.num} div {self.num}") + 2  # one to spare, should two parts of a set have one key
+        kept = listed.withColumns({"rank": F.row_number().over(mine.orderBy("held", "part")), "alone": alone}).where(F.col("alone") + F.col("rank") <= room).select("part", "node")
+        kept = stored(kept)
+        return kept.join(kept.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"), "part", "left_semi")
 
     def _may_link(self, shared: Column, sizes: Column) -> Column:
         """Whether ``shared`` shingles of two sets of ``sizes`` together are enough."""
