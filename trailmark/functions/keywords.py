@@ -11,7 +11,7 @@ STOP_WORDS = (
     "the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "for", "with",
     "my", "our", "new", "old", "misc", "untitled", "folder", "pictures", "photos",
 )
-DEVICE_NAMES = r"^(dcim|img|dsc|pano|mvimg|vid|mov|gopr|p\d+|100\w+|\d+canon|screenshot)$"
+DEVICE_NAMES = r"^(dcim|img|dsc|pano|mvimg|vid|mov|gopr|screenshot)$"
 
 
 def folder_keywords(folder: Column, extra_stop_words: tuple[str, ...] = ()) -> Column:
