@@ -22,7 +22,6 @@ beyond the words that fit one task's memory (tens of millions) are the only boun
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
