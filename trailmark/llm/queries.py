@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL that some of them have.
 
-Beside the ten there are queries of those of their columns that SQL can express, from the same operators.
+Beside the numbered ones there are queries of those of their columns that SQL can express, from the same operators.
 """
 
 from __future__ import annotations
@@ -9,12 +9,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_cross_alignment
 from .bpe import op2_byte_bpe
 from .fingerprints import op8_exact_fingerprint
 from .jaccard import OP4_SQL, op4_ngram_jaccard
 from .lines import op10_line_templates
 from .media import PAYLOADS_SQL, op1_mpeg_audio
+from .minhash import OP13_SQL, op13_odd_sketches
 from .mixing import OP5_SQL, op5_source_mix
+from .negatives import OP11_SQL, op11_hard_negatives
 from .pii import BASE_SQL as PII_SQL
 from .pii import op9_pii
 from .repeats import OP7_SQL, op7_fixed_block_repeats
@@ -34,8 +37,11 @@ def _columns(query: Callable[[SparkSession, str], DataFrame], *names: str) -> Ca
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ten = {f.__name__: f for f in (op1_mpeg_audio, op2_byte_bpe, op3_secret_scan, op4_ngram_jaccard, op5_source_mix, op6_toxicity, op7_fixed_block_repeats, op8_exact_fingerprint, op9_pii, op10_line_templates)}
-    return ten | {
+    numbered = (
+        op1_mpeg_audio, op2_byte_bpe, op3_secret_scan, op4_ngram_jaccard, op5_source_mix, op6_toxicity, op7_fixed_block_repeats, op8_exact_fingerprint, op9_pii, op10_line_templates, op11_hard_negatives,
+        op12_cross_alignment, op13_odd_sketches,
+    )
+    return {f.__name__: f for f in numbered} | {
         "audio_payloads": _columns(op1_mpeg_audio, "doc_id", "n_bytes", "payload_bytes", "payload_sha256"),
         "secret_base_spans": _columns(op3_secret_scan, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"),
         "edited_texts": _columns(op8_exact_fingerprint, "doc_id", "n_chars", "edited_sha256"),
@@ -45,6 +51,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_ngram_jaccard": OP4_SQL, "op5_source_mix": OP5_SQL, "op7_fixed_block_repeats": OP7_SQL, "audio_payloads": PAYLOADS_SQL, "secret_base_spans": SECRETS_SQL,
+        "op4_ngram_jaccard": OP4_SQL, "op5_source_mix": OP5_SQL, "op7_fixed_block_repeats": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_odd_sketches": OP13_SQL, "audio_payloads": PAYLOADS_SQL, "secret_base_spans": SECRETS_SQL,
         "edited_texts": EDITED_SQL, "pii_base_spans": PII_SQL,
     }
