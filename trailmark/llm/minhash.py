@@ -1,18 +1,19 @@
 """MinHash near-duplicates whose candidates are verified by odd sketches.
 
-1. Samples. A set of shingles keeps the least value of each of ``bands * rows`` hash functions. Two sets agree in a sample with a
-   probability of their Jaccard similarity.
-2. Bands. ``rows`` samples together are a band's key; sets with an equal key in any band are candidates. With 60 bands of 5 rows a pair at
-   similarity 0.8 is in none of them once in 2 x 10^10, a pair at 0.1 in any once in 1,700.
-3. Odd sketches. The samples, with their positions, are folded by hash into a bitmap of parities. Equal samples cancel in the XOR of two
-   bitmaps, so its population count tells how many samples differ, most precisely where few do: of ``bits`` n and ``samples`` k the
-   similarity is about 1 + n / 4k * ln(1 - 2 * count / n). Candidates whose estimate is more than ``DEVIATIONS`` standard deviations below the threshold go.
-4. Full sets confirm what is left; links make components.
-
-Candidates of a band's key meet its smallest node only, so a group costs one comparison a member, not all pairs. Groups that hold several components after that
-are joined again, with sixteen more of the members outside their largest component as pivots, then sixteen times as many each round, each pivot
-with the members of other components by XOR. Rounds end when every pair that shares a key is in one component or compared. Sketches decide nearly all of these
-comparisons; in a group of many sets that are alike, but not linked, their number grows with the group's square.
+1. Bands. A set of shingles keeps the least value of each of ``bands * rows`` hash functions, and ``rows`` of these are a band's key; sets with an equal key in
+   any band are candidates. With 60 bands of 5 rows a pair at similarity 0.8 is in none of them once in 2 x 10^10, a pair at 0.1 in any
+   once in 1,700.
+2. Odd sketches. The ``SAMPLES`` least hashes of a set (its bottom-k MinHash samples; all of a set that isn't larger) are folded by hash into a bitmap of
+   parities. What two sets share cancels in the XOR of their bitmaps, so its population count tells how many samples differ, and hardly errs where few
+   do: it never exceeds their number. For sets within ``SAMPLES`` the bound on it loses no link; for larger ones it allows for ``DEVIATIONS`` standard
+   deviations of the sample. Candidates above the bound go.
+3. Full sets confirm what is left; links make components.
+
+Candidates of a band's key meet its smallest node only, so a group costs one comparison a member, not all pairs. All candidates of the smallest nodes in one component
+are a region. A region that holds several components is joined again: about sixteen of its members meet those of other components, then sixteen times as many
+each round, until every pair that shares a key is in one component or compared. So members that link with many others, as near copies do, join
+early, and few are left for the later rounds. XOR decides nearly all of these comparisons, inside the join; in a group of sets that are alike, but not
+linked, their number grows with the group's square.
 
 Equal sets are one node: a 64-bit hash of the set, told apart by 64 more where two sets share it. Shingles are known by 64-bit hashes.
 
@@ -36,11 +37,12 @@ from ..operators.graph import components
 from ..scratch import dropped
 from .common import arrow_map, stored, table
 from .jaccard import _sets, _shared, shingle_set, small
+from .packing import CHUNK, SLOTS, buckets_for, packed, pairs_of_shared
 
-BANDS, ROWS, BITS = 60, 5, 1024
-#: Standard deviations of an estimate that a candidate may lie below the threshold.
-DEVIATIONS = 7.5
-#: Pivots of a group in its second round, and how many times more in each later one.
+BANDS, ROWS = 60, 5
+#: Samples that are folded into a sketch, its bits, and standard deviations of a large set's sample that a candidate may lie below the threshold.
+SAMPLES, BITS, DEVIATIONS = 1024, 1024, 6
+#: Members of a region that meet the others in its first round, and how many times more in each later one.
 PIVOTS = 16
 #: Elements of a block while samples are taken (4 bytes each).
 BLOCK = 1 << 18
@@ -80,30 +82,31 @@ def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
     return h
 
 
-def odd_sketch(least: np.ndarray, bits: int) -> np.ndarray:
-    """Parities of the samples' positions, as 64-bit words."""
-    at = _mixed(least.astype(np.uint64) * _M[0] + np.arange(1, len(least) + 1, dtype=np.uint64) * _M[1]) % np.uint64(bits)
+def odd_sketch(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parities of the positions of a sorted set's least hashes, as 64-bit words."""
+    at = _mixed(shingles[:SAMPLES] * _M[1]) % np.uint64(bits)
     odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def similarity(count: float, bits: int, k: int) -> float:
-    """What the population count of two sketches' XOR says of the sets' similarity."""
-    return 1 + bits / (4 * k) * math.log(1 - 2 * count / bits) if 2 * count < bits else 0.0
+def estimate(count: float, a: int, b: int, bits: int = BITS) -> float:
+    """Similarity of two sets of ``a`` and ``b`` elements, no more than ``SAMPLES``, whose sketches differ in ``count`` bits."""
+    differ = -bits / 2 * math.log(1 - 2 * count / bits) if 2 * count < bits else a + b
+    return max(0.0, (a + b - differ) / (a + b + differ))
 
 
-def most_bits(threshold: float, bits: int, k: int) -> int:
-    """The largest population count of a pair at the threshold, but for a chance of ``DEVIATIONS`` standard deviations.
+def most_bits(a: Column, b: Column, num: int, den: int, bits: int = BITS) -> Column:
+    """The largest population count that the sketches of two linked sets of ``a`` and ``b`` elements have (of larger ones but for a chance)."""
+    total, larger, smaller = a + b, F.greatest(a, b), F.least(a, b)
+    differ = F.floor(total * (den - num) / (den + num))
+    share = F.least(F.lit(1.0), total * (num / (den + num)) / larger)  # at least so much of the larger set is in both
+    both = SAMPLES * share - DEVIATIONS * F.sqrt(SAMPLES * share * (1 - share)) - 1
+    sampled = SAMPLES + F.least(smaller, F.lit(SAMPLES)) - 2 * both
+    mean = bits / 2 * (1 - F.exp(-2 * sampled / bits))
+    return F.when(larger <= SAMPLES, differ).otherwise(F.ceil(F.least(sampled, mean + DEVIATIONS * F.sqrt(mean) / 2)))
 
-    The variance is that of the number of samples that differ, and that of parities of as many positions.
-    """
-    odd = 2 * k * (1 - threshold)
-    decay = math.exp(-2 * odd / bits)
-    variance = 4 * decay * decay * k * threshold * (1 - threshold) + bits / 4 * (1 - decay * decay) - decay * decay * odd
-    return min(bits, math.ceil(bits / 2 * (1 - decay) + DEVIATIONS * math.sqrt(variance)) + 1)
 
-
-def _digests(n: int, bands: int, rows: int, bits: int):
+def _digests(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, masks = functions(bands * rows)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -117,8 +120,7 @@ def _digests(n: int, bands: int, rows: int, bits: int):
                         continue
                     h = xxhash.xxh3_128_intdigest(s.tobytes())
                     low, high = np.array([h & (1 << 64) - 1, h >> 64], np.uint64).view(np.int64).tolist()
-                    least = samples(s, factors, masks)
-                    found.append((len(s), low, high, band_keys(least, bands).view(np.int64), odd_sketch(least, bits)))
+                    found.append((len(s), low, high, band_keys(samples(s, factors, masks), bands).view(np.int64), odd_sketch(s)))
                 columns = [pa.array([r[i] for r in found], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_hash", "n_shingles", "low", "high", "keys", "sketch"])
 
@@ -133,53 +135,63 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "low", "left").withColumn("node", F.when(F.col("__shared"), F.xxhash64("low", "high")).otherwise(F.col("low"))).drop("__shared")
 
 
-def differing(a: str, b: str, bits: int) -> Column:
+def _packed_keys(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # nodes of this task's rows
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                nodes, keys = batch.column(0).slice(at, CHUNK).to_pylist(), batch.column(1).slice(at, CHUNK)
+                new = [i for i, n in enumerate(nodes) if n not in seen and not seen.add(n)]
+                if new:
+                    own = [keys[i].values.to_numpy().view(np.uint64) for i in new]
+                    yield from packed(np.array([nodes[i] for i in new], np.int64), np.array(list(map(len, own))), np.concatenate(own), buckets, True)
+
+    return run
+
+
+def _shared_keys(rows: pa.Table) -> pa.Table:
+    key, node = pairs_of_shared(rows, marked=False)
+    return pa.table({"key": key, "node": node})
+
+
+def differing(a: str, b: str) -> Column:
     """Population count of the XOR of two sketch columns."""
-    counts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)]
+    counts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)]
     return sum(counts[1:], counts[0])
 
 
 class OddSketchJoin:
     """Links between documents whose sets of ``n``-word shingles have a Jaccard similarity of at least ``num`` / ``den``."""
 
-    def __init__(
-        self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, bits: int = BITS, doc_id: str = "doc_id", text: str = "text"
-    ):
-        self.num, self.den, self.bits = num, den, bits
-        self.most = most_bits(num / den, bits, bands * rows)
+    def __init__(self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text"):
+        self.num, self.den = num, den
         texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
         schema = "doc_id bigint, text_hash bigint, n_shingles bigint, low bigint, high bigint, keys array<bigint>, sketch array<bigint>"
-        digests = stored(arrow_map(texts, _digests(n, bands, rows, bits), schema))
-        #: doc_id, n_shingles, node (null without shingles) of every row
-        self.rows = numbered(digests)
-        nodes = self.rows.where("node is not null").groupBy("node").agg(
-            F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "keys", "sketch"), F.struct("doc_id", "text_hash")).alias("r")
-        )
-        nodes = stored(nodes.select("node", F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash"), F.col("r.n_shingles").alias("size"), "r.keys", "r.sketch"))
-        keys = nodes.select("node", F.explode("keys").alias("key"))
-        first = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-        met = stored(keys.join(first, "key").where("node <> pivot").select("pivot", "node").distinct())
-        used = met.select("node").unionByName(met.select(F.col("pivot").alias("node"))).distinct()
-        held = stored(nodes.join(used, "node", "left_semi").drop("keys"))
+        #: doc_id, n_shingles, node (null without shingles) and more of every row
+        self.rows = numbered(stored(arrow_map(texts, _digests(n, bands, rows), schema)))
+        nodes = self.rows.where("node is not null")
+        buckets = buckets_for(self.rows.count() * bands)
+        shared = arrow_map(nodes.select("node", "keys"), _packed_keys(buckets), SLOTS).groupBy("slot").applyInArrow(_shared_keys, "key bigint, node bigint")
+        shared = stored(shared.distinct())
+        first = shared.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
+        met = stored(shared.join(first, "key").where("node <> pivot").select("pivot", "node").distinct())
+        used = small(stored(met.select("node").unionByName(met.select(F.col("pivot").alias("node"))).distinct()))
+        held = stored(nodes.join(used, "node", "left_semi").dropDuplicates(["node"]).select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_shingles").alias("size"), "sketch"))
         chosen = small(held.select("node", "__id", "__hash"))
         own = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text").dropDuplicates(["node"])
         self.sets = stored(arrow_map(own, _sets(n), "node bigint, shingles binary"))
         self.sketches = held.select("node", "size", "sketch")
         self.links, self.roots = self._joined(met)
-        dropped(nodes, met, held, self.sets)
+        dropped(shared, met, held, self.sets)
 
     def _may_link(self, shared: Column, sizes: Column) -> Column:
         return shared * self.den >= (sizes - shared) * self.num
 
-    def _passed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of ``pairs`` (with a_size, a_sketch, ...) whose sizes and sketches allow a link."""
-        sizes = F.col("a_size") + F.col("b_size")
-        near = differing("a_sketch", "b_sketch", self.bits) <= self.most
-        return pairs.where(self._may_link(F.least("a_size", "b_size"), sizes) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
     def _linked(self, pairs: DataFrame) -> DataFrame:
-        """a, b of the pairs that pass and whose full sets link."""
-        pairs = stored(self._passed(pairs))
+        """a, b of the pairs (a, b with a_size, a_sketch, ...) whose sizes and sketches allow a link and whose full sets do link."""
+        a_size, b_size = F.col("a_size"), F.col("b_size")
+        near = self._may_link(F.least(a_size, b_size), a_size + b_size) & (differing("a_sketch", "b_sketch") <= most_bits(a_size, b_size, self.num, self.den))
+        pairs = stored(pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = self.sets.join(used, "node", "left_semi")
         both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
@@ -195,28 +207,28 @@ class OddSketchJoin:
         """Links enough to connect what is linked, and (node, root) of the nodes that have any."""
         pairs = met.select(F.col("pivot").alias("a"), F.col("node").alias("b")).join(self._side("a"), "a").join(self._side("b"), "b")
         links = fresh = self._linked(pairs)
-        state, roots, spent, wanted = met, None, [], PIVOTS
+        state = met.unionByName(met.select("pivot", F.col("pivot").alias("node"))).select(F.col("pivot").alias("region"), "node")
+        roots, spent, wanted = None, [], PIVOTS
         while True:
             if roots is None or not fresh.isEmpty():
                 bound = fresh if roots is None else roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh)
                 spent += [roots] if roots is not None else []
                 roots = stored(components(bound))
             rooted = state.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            count = rooted.groupBy("pivot", "root").agg(F.count("*").alias("n"))
-            large = count.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-            large = large.select("pivot", F.col("top.root").alias("large"), (F.col("n") - F.col("top.n")).alias("rest"))
-            several = rooted.join(large, "pivot")
-            picked = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("rest") / wanted)))  # about as many as are wanted, all of them in the end
-            several = stored(several.withColumn("chosen", (F.col("root") != F.col("large")) & (picked == 0)))
-            dropped(*spent)
+            merged = rooted.join(roots.select(F.col("node").alias("region"), F.col("root").alias("__to")), "region", "left")
+            merged = stored(merged.select(F.coalesce("__to", "region").alias("region"), "node", "root").distinct())
+            count = merged.groupBy("region").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("region", "n")
+            picked = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("n") / wanted)))  # about as many as are wanted, all of them in the end
+            several = stored(merged.join(count, "region").withColumn("chosen", picked == 0))
+            dropped(merged, *spent)
             if several.isEmpty():
                 dropped(several)
                 return links, roots
-            a = several.where("chosen").select("pivot", F.col("node").alias("a"), F.col("root").alias("a_root")).join(self._side("a"), "a")
-            b = several.select("pivot", F.col("node").alias("b"), F.col("root").alias("b_root")).join(self._side("b"), "b")
-            fresh = self._linked(a.join(b, "pivot").where("a_root <> b_root"))
+            a = several.where("chosen").select("region", F.col("node").alias("a"), F.col("root").alias("a_root")).join(self._side("a"), "a")
+            b = several.select("region", F.col("node").alias("b"), F.col("root").alias("b_root")).join(self._side("b"), "b")
+            fresh = self._linked(a.join(b, "region").where("a_root <> b_root"))
             links, wanted = links.unionByName(fresh), wanted * PIVOTS
-            state, spent = several.where(~F.col("chosen")).select("pivot", "node"), [several]
+            state, spent = several.where(~F.col("chosen")).select("region", "node"), [several]
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept of every row."""
