@@ -1,5 +1,6 @@
 """Operators on hand-made catalogs, against known results and brute force."""
 
+import itertools
 import math
 import random
 from datetime import datetime, timedelta
@@ -7,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import cards, clusters, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
+from trailmark.operators import boxes, cards, clusters, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
 from trailmark.operators.graph import components
 
 T0 = datetime(2024, 5, 1, 12)
@@ -67,6 +68,33 @@ def test_two_levels_equal_one(spark, mode):
         assert a == b
 
 
+def test_two_levels_keep_null_keys(spark):
+    """Rows without a time or a project are rows of their own group and day, at one level and at two."""
+    rows = random_catalog(spark, 5, 150)
+    odd = rows.withColumns({"ts": F.when(F.col("id") % 7 != 0, F.col("ts")), "project": F.when(F.col("id") % 11 != 0, F.col("project"))})
+    a, b = (sorted((r.id, r.group_no) for r in f(odd, "spacetime", sequence.resolve_scale(8)).collect()) for f in (sequence.assign_groups, sequence.assign_groups_two_level))
+    assert a == b and len(a) == 150
+    runs = [sorted((r.id, r.away, r.run_no, r.is_trip) for r in moments.away_runs(odd, two_level=two).collect()) for two in (False, True)]
+    assert runs[0] == runs[1] and len(runs[0]) == 150
+
+
+def test_moments_and_cards_at_two_levels(spark):
+    rows = random_catalog(spark, 6, 400)
+    one, two = (moments.moments(rows, two_level=t).collect() for t in (False, True))
+    assert one == two and len(one) > 3
+    grouped = sequence.assign_groups(rows, "spacetime")
+    shown = [sorted((tuple(sorted(r.asDict().items(), key=lambda x: x[0])) for r in cards.group_cards(grouped, "spacetime", two_level=t).collect()), key=str) for t in (False, True)]
+    assert shown[0] == shown[1]
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_spread_samples_by_ranges(spark, n):
+    rows = random_catalog(spark, 7, 300).withColumn("group_no", F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 20))
+    odd = rows.withColumn("project", F.when(F.col("id") % 50 != 3, F.col("project"))).repartition(9)
+    a, b = (sorted(r.id for r in sequence.spread_sample(odd, ["project", "group_no"], n, t).collect()) for t in (False, True))
+    assert a == b and len(a) > 10
+
+
 def test_zoom_nests(spark):
     """Boundaries of a wider scale are among those of a narrower one; the counts for all scales agree with each scale alone."""
     rows = random_catalog(spark, 2, 120, 1).cache()
@@ -279,7 +307,56 @@ def test_linked_cells_against_all_pairs(spark, spread):
     table = photos(spark, rows)
     roots = lambda e: {(r.node, r.root) for r in components(e).collect()}
     want = roots(spatial.neighbour_pairs(table, 300).select("a", "b"))
-    assert roots(spatial.linked_cells(table, 300, sparse=0)) == want == roots(spatial.linked_cells(table, 300, sparse=10**6))
+    assert roots(boxes.linked_cells(table, 300, sparse=0)) == want == roots(boxes.linked_cells(table, 300, sparse=10**6))
+
+
+def crowded(seed, n=260):
+    """A crowd with copies of one point, a second one on its rim, a thin scatter, one point at the pole, one without a place."""
+    rnd = random.Random(seed)
+    pts = [(10 + rnd.random() * 0.002, 20 + rnd.random() * 0.002) for _ in range(n // 2)] + [(10.001, 20.001)] * 20
+    pts += [(10.0035 + rnd.random() * 0.0004, 20 + rnd.random() * 0.002) for _ in range(n // 4)]
+    pts += [(10 + rnd.random() * 0.02, 20 + rnd.random() * 0.02) for _ in range(n // 4)]
+    return [*pts, (50.0, 50.0), (90.0, 3.0), (89.9999, -170.0)]
+
+
+@pytest.mark.parametrize("leaf", [4, 32])
+def test_boxes_against_all_pairs(spark, leaf):
+    pts = crowded(3)
+    table = photos(spark, [pt(*p) for p in pts] + [{}])
+    some = table.where("id % 3 <> 1")
+    found = boxes.near(boxes.boxed(some, 150, leaf), boxes.boxed(table, 150, leaf), 150)
+    by_hand = [(i, j) for i, a in enumerate(pts) for j, b in enumerate(pts) if i % 3 != 1 and meters(*a, *b) <= 150]
+    count = {i: sum(k == i for k, _ in by_hand) for i, _ in by_hand}
+    assert {r.id: r.value for r in found.combined(table.select("id", F.lit(1).alias("value")), F.sum).collect()} == count
+    least = {i: min(j for k, j in by_hand if k == i and j % 2) for i in count if any(k == i and j % 2 for k, j in by_hand)}
+    assert {r.id: r.value for r in found.combined(table.where("id % 2 = 1").select("id", F.col("id").alias("value")), F.min).collect()} == least
+    assert found.pairs.count() < len(by_hand) / (3 if leaf == 4 else 1)  # most neighbours are whole boxes
+
+
+@pytest.mark.parametrize("least", [2, 3, 6])
+def test_crowded_dbscan_against_brute_force(spark, least):
+    pts = crowded(least)
+    got = {r.id: r.cluster for r in clusters.dbscan(photos(spark, [pt(*p) for p in pts] + [{}]), 150, least, sparse=0).collect()}
+    assert got == brute_dbscan(pts, 150, least) and len(set(got.values())) > 1
+
+
+@pytest.mark.parametrize(("gap", "n"), [(299.0, 1), (301.0, 2)])
+def test_two_crowds_side_by_side(spark, gap, n):
+    """Two long crowds whose nearest rows are just within or beyond the radius, everywhere along their sides."""
+    degree = 180 / math.pi / 6_371_000
+    rows = [pt(10 + (side * gap + (k % 7) * (20 if side else -20)) * degree, 20 + k * 0.25 * degree) for side in (0, 1) for k in range(1500)]
+    got = clusters.dbscan(photos(spark, rows), 300)
+    assert got.select("cluster").distinct().count() == n and got.count() == 3000
+
+
+def test_recommendations_in_crowds(spark):
+    rnd = random.Random(6)
+    rows = [pt(*p, h=rnd.random() * 60, folder=f"Walk {rnd.randrange(4)}", status="missing" if rnd.random() < 0.05 else "active") for p in crowded(9, 120)] + [{"h": 3, "folder": None}]
+    table = photos(spark, rows)
+    links = spark.createDataFrame([(1, i, t) for i in range(len(rows)) for t in ("sea", "hill", "old", "new", "sun") if rnd.random() < 0.35], "project LONG, id LONG, name STRING")
+    columns = ["id", "name", "score", "k_spatial", "n_spatial", "k_temporal", "n_temporal", "k_folder", "rank"]
+    by_boxes, by_pairs = (sorted(map(tuple, tags.recommend_tags(table, links, sparse=n).select(*columns).collect())) for n in (0, 10**6))
+    assert by_boxes == by_pairs and len(by_boxes) > 50
 
 
 def test_count_within(spark):
@@ -331,6 +408,25 @@ def test_itemsets(spark):
     assert [(r["items"], r["n"], r["total"]) for r in tags.tag_itemsets(rows, links).collect()] == [("a+b", 5, 10), ("a+c", 3, 10), ("b+c", 3, 10), ("a+b+c", 3, 10)]
 
 
+def test_wide_itemsets(spark):
+    """Rows of many tags, among them one of 2,000, take prefix groups with the same counts."""
+    rnd = random.Random(3)
+    baskets = [[f"t{k}" for k in rnd.sample(range(30), rnd.randrange(1, 25))] for _ in range(80)]
+    baskets[7] = sorted({*baskets[7], *(f"t{k}" for k in range(2000))})
+    rows = photos(spark, [{} for _ in range(90)])
+    links = spark.createDataFrame([(1, i, t) for i, b in enumerate(baskets) for t in b], "project LONG, id LONG, name STRING")
+    counts = {}
+    for b in baskets:
+        kept = sorted(t for t in b if int(t[1:]) < 30)
+        for size in (2, 3):
+            for c in itertools.combinations(kept, size):
+                counts[c] = counts.get(c, 0) + 1
+    want = sorted(((-n, len(c), "+".join(c)) for c, n in counts.items() if n >= 5))[:400]
+    for wide, salts in ((64, 4), (3, 2), (0, 1)):
+        got = [(-r["n"], r["size"], r["items"]) for r in tags.tag_itemsets(rows, links, top=400, wide=wide, salts=salts).collect()]
+        assert got == want
+
+
 def test_recommendations(spark):
     rows = photos(spark, [pt(10, 20, h=0, folder="A"), pt(10, 20, h=1, folder="A"), pt(10, 20, h=500, folder="B"), {"h": 505, "folder": "B"}])
     links = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "project LONG, id LONG, name STRING")
@@ -372,6 +468,67 @@ def test_retention_against_eviction(spark):
     assert {r.id for r in got.where("keep").collect()} == kept
 
 
+def test_retention_of_skewed_and_odd_rows(spark):
+    """Nearly all rows of one recency, extremes of the range, null recency, null size, null id."""
+    rows = [(i, 3, 500) for i in range(300)] + [(300, 5, -(2**63)), (301, 5, 2**63 - 1), (302, None, 500), (303, 4, None), (304, 4, None), (None, 2, 500), (305, 0, 499), (306, 7, None)]
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0] is not None, r[0] or 0), reverse=True)
+    table = spark.createDataFrame(rows, "id LONG, size LONG, recency LONG")
+    for cap in (0, 4, 5, 100, 500, 904, 905, 906, 907, 908, 912, 914, 918, 922, 926, 10**6):
+        total, kept = 0, set()
+        for i, s, _ in order:
+            total += s or 0
+            if total > cap:
+                break
+            kept.add(i)
+        got = ingest.retain_within_budget(table, cap, buckets=10)
+        assert got.count() == len(rows) and {r.id for r in got.where("keep").collect()} == kept, cap
+    assert ingest.retain_within_budget(table.limit(0), 5).count() == 0
+
+
+def in_ring(x, y, ring):
+    odd = False
+    for (a, b), (c, d) in zip(ring, [ring[-1], *ring[:-1]]):
+        if (b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a:
+            odd = not odd
+    return odd
+
+
+def test_geocode_by_tiles(spark):
+    """Star-shaped, overlapping and tiny rings against the ring test of every point; points on sides and corners, too."""
+    rnd = random.Random(12)
+    rings = []
+    for k in range(14):
+        x, y, r = rnd.uniform(-170, 170), rnd.uniform(-80, 80), rnd.choice([0.01, 0.5, 9, 40])
+        n = rnd.randrange(3, 90)
+        rings.append((k // 2, f"C{k // 2}", [[x + r * rnd.uniform(0.3, 1) * math.cos(6.2832 * i / n), y + r * rnd.uniform(0.3, 1) * math.sin(6.2832 * i / n)] for i in range(n)]))
+    rings += [(8, "SQ", [[0.0, 0.0], [16.0, 0.0], [16.0, 16.0], [0.0, 16.0], [0.0, 0.0]]), (9, "IN", [[2.0, 2.0], [10.0, 2.0], [10.0, 10.0]])]
+    near = [(v[0] + rnd.gauss(0, 0.02), v[1] + rnd.gauss(0, 0.02)) for _, _, ring in rings for v in ring[:6]] + [tuple(v) for _, _, ring in rings for v in ring[:3]] + [(8.0, 8.0), (16.0, 3.0), (3.0, 16.0), (1.0, 1.0)]
+    pts = near + [(rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for _ in range(400)]
+    table = spark.createDataFrame(rings, "ordinal INT, iso STRING, ring ARRAY<ARRAY<DOUBLE>>")
+    want = {}
+    for i, (x, y) in enumerate(pts):
+        inside = [(o, iso) for o, iso, ring in rings if in_ring(x, y, ring)]
+        if inside:
+            want[i] = min(inside)[1]
+    points = photos(spark, [pt(y, x) for x, y in pts] + [{}])
+    assert {r.id: r.iso for r in spatial.geocode(points, table).collect()} == want and len(want) > 100
+    tiles = spatial.boundary_tiles(table.withColumn("ring_no", F.monotonically_increasing_id())).collect()
+    assert all(f.ring_no is None for t in tiles for f in t.found[-1:]) or any(t.found[0].ring_no is None for t in tiles)
+    assert spatial.geocode(points, table.limit(0)).count() == 0
+
+
+def test_rollups_follow_changes(spark):
+    rows = random_catalog(spark, 10, 300)
+    before, gone, new = rows.where("id < 220"), rows.where("id < 220 and id % 9 = 0"), rows.where("id >= 220")
+    old = before.where("id % 9 = 4")  # updated: another country, camera and time
+    now = old.withColumns({"country_code": F.lit("ES"), "camera_model": F.lit("Z"), "ts": F.col("ts") + F.expr("INTERVAL 400 DAYS")})
+    state = rollups.changed_state(rollups.rollup_state(before), new.unionByName(now), gone.unionByName(old))
+    after = before.where("id % 9 not in (0, 4)").unionByName(now).unionByName(new)
+    plain = lambda d: sorted(str(r) for r in d.select("project", "period_type", "period_key", "photo_count", "countries", "cameras").collect())
+    assert plain(rollups.rollups_of(state)) == plain(rollups.rollups(after))
+    assert rollups.changed_state(state, rows.limit(0), after).count() == 0  # all gone: nothing is left
+
+
 def test_geocode(spark):
     from trailmark.plans.catalog import boundaries
 

@@ -48,8 +48,11 @@ def round_half_up(c: Column) -> Column:
     return F.floor(c + 0.5).cast("long")
 
 
-def group_cards(grouped: DataFrame, mode: str, names: DataFrame | None = None, previews: int = 5) -> DataFrame:
-    """One row a (project, group_no) of ``assign_groups``; every part is a combinable aggregate on the same keys."""
+def group_cards(grouped: DataFrame, mode: str, names: DataFrame | None = None, previews: int = 5, two_level: bool = False) -> DataFrame:
+    """One row a (project, group_no) of ``assign_groups``; every part is a combinable aggregate on the same keys.
+
+    Paths and previews need a group's order: with ``two_level`` in windows over days and over ranges of rows, so that a group may hold all rows.
+    """
     keys = ["project", "group_no"]
     at = F.struct("ts", "id")
     grouped = stored(grouped)  # the parts need different columns: each would order the whole catalog again
@@ -59,9 +62,9 @@ def group_cards(grouped: DataFrame, mode: str, names: DataFrame | None = None, p
         F.min("lat").alias("min_lat"), F.min("lon").alias("min_lon"), F.max("lat").alias("max_lat"), F.max("lon").alias("max_lon"),
     )
     chosen = F.array_sort(F.collect_list(F.struct(at.alias("at"), "id")))
-    shown = spread_sample(grouped, keys, previews).groupBy(*keys).agg(F.transform(chosen, lambda x: x["id"]).alias("preview_ids"))
+    shown = spread_sample(grouped, keys, previews, two_level).groupBy(*keys).agg(F.transform(chosen, lambda x: x["id"]).alias("preview_ids"))
     out = (
-        cards.join(path_km(grouped, keys), keys, "left").join(ordered_distinct(grouped, keys, "country_code").withColumnRenamed("values", "countries"), keys, "left")
+        cards.join(path_km(grouped, keys, two_level), keys, "left").join(ordered_distinct(grouped, keys, "country_code").withColumnRenamed("values", "countries"), keys, "left")
         .join(shown, keys, "left").join(place_names(grouped, keys, names), keys, "left")
     )
     out = out.withColumns({"km": round_half_up(F.coalesce("path_m", F.lit(0.0)) / 1000), "date_label": date_range_label(F.col("start"), F.col("end")), "is_geo": F.col("n_geo") > 0})

@@ -8,28 +8,50 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.geo import haversine
 from ..scratch import stored
+from . import boxes
 from .cards import place_names
 from .graph import components
-from .spatial import linked_cells, neighbour_pairs
+from .spatial import neighbour_pairs
 
 
-def dbscan(photos: DataFrame, meters: float = DEFAULTS.radius_default, min_points: int = 2) -> DataFrame:
+def dbscan(photos: DataFrame, meters: float = DEFAULTS.radius_default, min_points: int = 2, sparse: int = 64) -> DataFrame:
     """project, id, cluster (the smallest core id in it) of the clustered rows; noise has none. Ids are unique across projects.
 
     Core rows have at least ``min_points`` rows within ``meters``, themselves included; clusters are the components of core neighbours. A
-    border row goes to the smallest cluster among its core neighbours. At two points every row with a neighbour is core, and clusters need no
-    pairs of rows (``linked_cells``).
+    border row goes to the smallest cluster among its core neighbours. At two points every row with a neighbour is core. Clusters need no pairs of
+    rows (``boxes.linked_cells``). In a place where a cell, whose rows are all neighbours, holds ``min_points`` rows, all of these are core; the rows of other cells,
+    fewer than that each, are counted against boxes (``boxes.near``). Where no cell holds more than ``sparse`` rows, pairs serve.
     """
     if min_points <= 2:
-        found = components(linked_cells(photos, meters))
+        found = components(boxes.linked_cells(photos, meters, sparse))
         return photos.select("project", "id").join(found.withColumnsRenamed({"node": "id", "root": "cluster"}), "id").select("project", "id", "cluster")
+    band, cell, *_ = boxes.cells(meters)
+    rows = stored(photos.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("project", "id", "lat", "lon", band.alias("band"), cell.alias("cell")))
+    held = stored(rows.groupBy(*boxes.ROOT).agg(F.count("*").alias("n")))
+    if (held.agg(F.max("n")).first()[0] or 0) <= sparse:
+        return _dbscan_by_pairs(rows, meters, min_points)
+    crowd = rows.join(held.where(F.col("n") >= min_points), boxes.ROOT, "left_semi").select("project", "id", "lat", "lon")
+    loose = stored(rows.join(held.where(F.col("n") < min_points), boxes.ROOT, "left_semi").select("project", "id", "lat", "lon"))
+    few = boxes.boxed(loose, meters)
+    counts = boxes.near(few, boxes.boxed(rows, meters), meters).combined(rows.select("id", F.lit(1).alias("value")), F.sum)
+    sure = loose.join(counts.where(F.col("value") >= min_points), "id", "left_semi")
+    core = stored(crowd.unionByName(sure.select(*crowd.columns)))
+    roots = components(boxes.linked_cells(core, meters, sparse))
+    clustered = stored(core.join(roots, F.col("id") == F.col("node"), "left").select("project", "id", "lat", "lon", F.coalesce("root", "id").alias("cluster")))
+    others = boxes.boxed(loose.join(core, "id", "left_anti"), meters)
+    border = boxes.near(others, boxes.boxed(clustered, meters), meters).combined(clustered.select("id", F.col("cluster").alias("value")), F.min)
+    border = others.rows.join(border, "id").select("project", "id", F.col("value").alias("cluster"))
+    return clustered.select("project", "id", "cluster").unionByName(border)
+
+
+def _dbscan_by_pairs(photos: DataFrame, meters: float, min_points: int) -> DataFrame:
     pairs = neighbour_pairs(photos, meters).select("project", "a", "b")
-    both = pairs.unionByName(pairs.select("project", F.col("b").alias("a"), F.col("a").alias("b")))
-    core = both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("core"))
+    both = stored(pairs.unionByName(pairs.select("project", F.col("b").alias("a"), F.col("a").alias("b"))))
+    core = stored(both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("core")))
     to_core = both.join(core, F.col("b") == F.col("core")).select("project", "a", "b")
     inner = to_core.join(core, F.col("a") == F.col("core"), "left_semi")
     roots = components(inner.select("a", "b"))
-    clustered = core.join(roots, F.col("core") == F.col("node"), "left").select(F.col("core"), F.coalesce("root", "core").alias("cluster"))
+    clustered = stored(core.join(roots, F.col("core") == F.col("node"), "left").select(F.col("core"), F.coalesce("root", "core").alias("cluster")))
     border = to_core.join(core, F.col("a") == F.col("core"), "left_anti").join(clustered, F.col("b") == F.col("core")).groupBy(F.col("a").alias("core")).agg(F.min("cluster").alias("cluster"))
     every = clustered.unionByName(border.select("core", "cluster"))
     return photos.select("project", "id").join(every, F.col("id") == F.col("core")).select("project", "id", "cluster")

@@ -79,17 +79,44 @@ def duplicates(files: DataFrame) -> DataFrame:
     return files.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1 and content_hash is not null")
 
 
-def retain_within_budget(rows: DataFrame, cap: int | DataFrame, buckets: int = 1024) -> DataFrame:
-    """``rows`` (id, size, recency) with keep: the most recently used ones whose sizes add up to at most the cap.
+def _boundary(rows: DataFrame, column: str, room: int, buckets: int) -> tuple[int | None, int]:
+    """(the largest value of ``column`` at which the sizes from the top exceed ``room``, None if they never do; what is left above it).
 
-    Evicting the least recent until the rest fits keeps exactly the rows whose running total from the most recent end is within the cap. The
-    totals are prefix sums in two levels: over stretches of recency, then inside a stretch; no window sees all rows.
+    Nested histograms: sizes are summed by bucket, and only the bucket in which the sum passes ``room`` is cut again, until it is one value.
     """
-    low, high = rows.agg(F.min("recency"), F.max("recency")).first()
-    width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
-    cut = rows.withColumn("__b", F.floor((F.col("recency") - F.lit(low or 0)) / width))
-    sums = cut.groupBy("__b").agg(F.sum("size").alias("s"))
-    newer = F.coalesce(F.sum("s").over(Window.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("__b", newer.alias("__newer"))
-    inside = F.sum("size").over(Window.partitionBy("__b").orderBy(F.col("recency").desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("__in", inside).join(offsets, "__b").withColumn("keep", F.col("__newer") + F.col("__in") <= F.lit(cap)).drop("__b", "__in", "__newer")
+    low, high = rows.agg(F.min(column), F.max(column)).first()
+    while low is not None:
+        width = (high - low) // buckets + 1
+        bucket = F.expr(f"CAST(({column} - {low}) DIV {width} AS BIGINT)") if width < 1 << 62 else F.when(F.col(column) >= 0, 1).otherwise(0)
+        sums = dict(rows.where(F.col(column).between(low, high)).groupBy(bucket.alias("b")).agg(F.sum("size")).collect())  # a bounded number of sums
+        for b in sorted(sums, reverse=True):
+            if sums[b] > room:
+                break
+            room -= sums[b]
+        else:
+            return None, room
+        if width == 1:
+            return low + b, room
+        low, high = (low + b * width, min(high, low + (b + 1) * width - 1)) if width < 1 << 62 else (0, high) if b else (low, -1)
+    return None, room
+
+
+def retain_within_budget(rows: DataFrame, cap: int, buckets: int = 1024) -> DataFrame:
+    """``rows`` (id, size, recency; whole numbers) with keep: the most recently used ones whose sizes add up to at most the cap.
+
+    Evicting the least recent until the rest fits keeps exactly the rows from a threshold on, in the order of recency, then id. The threshold is found
+    by histograms (``_boundary``), first of recency, then of the ids at its boundary, so no row moves and no order is made, however skewed recency
+    is. Rows without recency are the least recent, rows without an id the last of their recency; a null size counts as 0.
+    """
+    sized = rows.select("id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.col("recency").cast("long").alias("recency"))
+    at, room = _boundary(sized.where("recency is not null"), "recency", cap, buckets)
+    same = F.col("recency").cast("long").eqNullSafe(F.lit(at).cast("long"))
+    ties = sized.where(same)
+    last, room = _boundary(ties.where("id is not null"), "id", room, buckets)
+    if last is None:
+        unnamed = ties.where("id is null").agg(F.sum("size")).first()[0] or 0
+        fits = F.lit(True) if unnamed <= room else F.col("id").isNotNull()
+    else:
+        fits = F.coalesce(F.col("id") > last, F.lit(False))
+    above = F.coalesce(F.col("recency").cast("long") > at, F.lit(False)) if at is not None else F.col("recency").isNotNull()
+    return rows.withColumn("keep", above | (same & fits))

@@ -14,7 +14,7 @@ from ..config import DEFAULTS
 from ..functions.calendar import micros, week_start
 from ..functions.geo import EARTH_METERS, haversine
 from ..scratch import stored
-from .sequence import carried, running_sum
+from .sequence import carried, joined, running_sum, with_totals
 
 
 def home_country(photos: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def home_centroid(photos: DataFrame, homes: DataFrame | None = None) -> DataFram
 
 def away_rows(photos: DataFrame, config=DEFAULTS, two_level: bool = False) -> DataFrame:
     """``photos`` with away: another country than home, or too far from its centre; rows with neither inherit (at first: home)."""
-    rows = photos.join(home_centroid(photos), "project")
+    rows = joined(photos, home_centroid(photos), ["project"])
     country = F.when(F.col("country_code") != "", F.col("country_code"))
     far = haversine(F.col("lat"), F.col("lon"), F.col("home_lat"), F.col("home_lon")) > config.away_km * 1000
     abroad = F.coalesce(country != F.col("home"), F.lit(False))
@@ -54,16 +54,17 @@ def away_runs(photos: DataFrame, config=DEFAULTS, two_level: bool = False) -> Da
     gap = micros(F.col("ts")) - F.col("__t") > config.trip_gap_days * 86_400e6
     rows = rows.withColumn("__break", F.coalesce(gap | (F.col("away") != F.col("__away")), F.lit(False)).cast("int"))
     rows = running_sum(rows, "__break", "run_no", two_level).drop("__break", "__t", "__away")
-    run = Window.partitionBy("project", "run_no")
-    span = F.max(micros(F.col("ts"))).over(run) - F.min(micros(F.col("ts"))).over(run)
-    return rows.withColumn("is_trip", F.col("away") & (F.count("*").over(run) >= config.trip_min_rows) & (span >= config.trip_min_hours * 3600e6))
+    of_run = {"__n": F.count("*"), "__first": F.min(micros(F.col("ts"))), "__last": F.max(micros(F.col("ts")))}
+    rows = with_totals(rows, ["project", "run_no"], of_run, two_level)
+    long = F.col("__last") - F.col("__first") >= config.trip_min_hours * 3600e6
+    return rows.withColumn("is_trip", F.col("away") & (F.col("__n") >= config.trip_min_rows) & F.coalesce(long, F.lit(False))).drop(*of_run)
 
 
-def period_rows(runs: DataFrame, config=DEFAULTS) -> DataFrame:
+def period_rows(runs: DataFrame, config=DEFAULTS, two_level: bool = False) -> DataFrame:
     """Everyday rows with kind (``month`` or ``week``) and key; weeks lie inside their month, so their key names both."""
     rows = runs.where(~F.col("is_trip")).withColumn("__month", F.date_format("ts", "yyyy-MM"))
-    dense = F.count("*").over(Window.partitionBy("project", "__month")) >= config.weekly_min_rows
-    rows = rows.withColumn("kind", F.when(dense, "week").otherwise("month"))
+    rows = with_totals(rows, ["project", "__month"], {"__n": F.count("*")}, two_level)
+    rows = rows.withColumn("kind", F.when(F.col("__n") >= config.weekly_min_rows, "week").otherwise("month")).drop("__n")
     key = F.when(F.col("kind") == "week", F.concat_ws(":", F.col("__month"), week_start(F.col("ts")).cast("string"))).otherwise(F.col("__month"))
     return rows.withColumn("key", key).drop("__month")
 
@@ -79,16 +80,16 @@ def trips(runs: DataFrame) -> DataFrame:
     return _cards(runs.where("is_trip"), ["project", "run_no"])
 
 
-def periods(runs: DataFrame, config=DEFAULTS) -> DataFrame:
-    return _cards(period_rows(runs, config), ["project", "kind", "key"])
+def periods(runs: DataFrame, config=DEFAULTS, two_level: bool = False) -> DataFrame:
+    return _cards(period_rows(runs, config, two_level), ["project", "kind", "key"])
 
 
-def moments(photos: DataFrame, config=DEFAULTS) -> DataFrame:
-    """Trips and everyday periods of every project, latest first."""
-    runs = stored(away_runs(photos, config).select("project", "id", "ts", "lat", "country_code", "run_no", "is_trip"))  # ordered once for both parts
+def moments(photos: DataFrame, config=DEFAULTS, two_level: bool = False) -> DataFrame:
+    """Trips and everyday periods of every project, latest first; ``two_level``: for projects too large for one task."""
+    runs = stored(away_runs(photos, config, two_level).select("project", "id", "ts", "lat", "country_code", "run_no", "is_trip"))  # ordered once for both parts
     day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     t = trips(runs).select("project", F.concat_ws(":", F.lit("trip"), day("start"), day("end")).alias("moment_id"), F.lit("trip").alias("kind"), "start", "end", "n", "cover_id", "countries")
-    p = periods(runs, config).select("project", F.concat_ws(":", F.lit("period"), "kind", "key").alias("moment_id"), "kind", "start", "end", "n", "cover_id", "countries")
+    p = periods(runs, config, two_level).select("project", F.concat_ws(":", F.lit("period"), "kind", "key").alias("moment_id"), "kind", "start", "end", "n", "cover_id", "countries")
     return t.unionByName(p).orderBy(F.col("start").desc(), "project", "moment_id")
 
 
@@ -156,8 +157,8 @@ def stop_assignment(runs: DataFrame, stops: DataFrame) -> DataFrame:
     rows = runs.where("is_trip").select("project", "run_no", "ts", "id", F.lit(None).cast("int").alias("stop_no"), F.lit(0).alias("kind"))
     ends = stops.select("project", "run_no", F.col("end").alias("ts"), F.lit(None).cast("long").alias("id"), "stop_no", F.lit(1).alias("kind"))
     key = ["project", "run_no"]
-    w = Window.partitionBy(*key).orderBy("ts", "kind", "stop_no", "id")  # rows stand before the ends of their time
-    ahead = F.first("stop_no", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in ("ts", "kind", "stop_no", "id")])  # backwards: the ends of a time stand before its rows
+    ahead = F.last("stop_no", True).over(w.rowsBetween(Window.unboundedPreceding, 0))  # grows by a row at a time
     last = F.max("stop_no").over(Window.partitionBy(*key))
     both = rows.unionByName(ends).withColumn("__stop", F.coalesce(ahead, last)).where("kind = 0 and __stop is not null")
     return both.select(*key, "id", F.col("__stop").alias("stop_no"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions.calendar import micros
 from ..functions.geo import haversine
+from ..scratch import stored
 
 def in_order(*keys: str) -> WindowSpec:
     """Each project's rows in order of time; further keys part them more."""
@@ -48,24 +49,38 @@ def large_projects(photos: DataFrame, rows: int = 2_000_000) -> bool:
     return (photos.groupBy("project").count().agg(F.max("count")).first()[0] or 0) > rows
 
 
-def carried(rows: DataFrame, lag: dict[str, Column], last: dict[str, Column], two_level: bool = False, w: WindowSpec | None = None) -> DataFrame:
-    """``rows`` with columns named by ``lag`` (the previous row's value) and ``last`` (the latest earlier value that isn't null), in each project's order.
+def joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on ``keys`` in which nulls are equal, as they are to windows and groups."""
+    named = other.select(*[F.col(k).alias(f"__on_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys]
+    return rows.join(named, on).drop(*[f"__on_{k}" for k in keys])
+
+
+def with_totals(rows: DataFrame, keys: list[str], totals: dict[str, Column], two_level: bool = False) -> DataFrame:
+    """``rows`` with aggregates of their group; with ``two_level`` by a join, which can split a large group, else by a window."""
+    if two_level:
+        return joined(rows, rows.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()]), keys)
+    return rows.withColumns({n: c.over(Window.partitionBy(*keys)) for n, c in totals.items()})
+
+
+def carried(rows: DataFrame, lag: dict[str, Column], last: dict[str, Column], two_level: bool = False, w: WindowSpec | None = None, by: tuple[str, ...] = ("project",)) -> DataFrame:
+    """``rows`` with columns named by ``lag`` (the previous row's value) and ``last`` (the latest earlier value that isn't null), in the order of each project (of ``by``).
 
     One level: a window over the project. Two levels, with the same result: windows over days, then over one summary row a day, so that no
     window holds more than a day's rows or a project's days. A day's rows need from before only its last values.
     """
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     if not two_level:
-        w = w or in_order()
+        w = w or Window.partitionBy(*by).orderBy("ts", "id")
         return rows.withColumns({n: F.lag(c).over(w) for n, c in lag.items()} | {n: F.last(c, True).over(before(w)) for n, c in last.items()})
-    keys, at = ["project", "__day"], F.struct("ts", "id")
+    keys, at = [*by, "__day"], F.struct("ts", "id")
     rows = rows.withColumn("__day", F.to_date("ts"))
     boxed = {n: F.struct(c.alias("v")) for n, c in lag.items()}  # a previous value may be null
     ends = [F.max_by(c, at).alias(n) for n, c in boxed.items()] + [F.max_by(c, F.when(c.isNotNull(), at)).alias(n) for n, c in last.items()]
-    past = before(Window.partitionBy("project").orderBy("__day"))
+    past = before(Window.partitionBy(*by).orderBy("__day"))
     carry = rows.groupBy(*keys).agg(*ends).select(*keys, *[F.last(n, True).over(past).alias(f"{n}__carry") for n in (*lag, *last)])
     w = Window.partitionBy(*keys).orderBy("ts", "id")
-    rows = rows.withColumns({n: F.lag(c).over(w) for n, c in boxed.items()} | {n: F.last(c, True).over(before(w)) for n, c in last.items()}).join(carry, keys)
+    rows = joined(rows.withColumns({n: F.lag(c).over(w) for n, c in boxed.items()} | {n: F.last(c, True).over(before(w)) for n, c in last.items()}), carry, keys)
     both = {n: F.coalesce(n, f"{n}__carry") for n in (*lag, *last)}
     return rows.withColumns({n: c["v"] if n in lag else c for n, c in both.items()}).drop("__day", *[f"{n}__carry" for n in both])
 
@@ -80,7 +95,7 @@ def running_sum(rows: DataFrame, column: str, name: str, two_level: bool = False
     past = Window.partitionBy("project").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*keys).agg(F.sum(column).alias("n")).select(*keys, F.coalesce(F.sum("n").over(past), F.lit(0)).alias("__offset"))
     inside = rows.withColumn("__inside", upto(Window.partitionBy(*keys).orderBy("ts", "id")))
-    return inside.join(offsets, keys).withColumn(name, F.col("__inside") + F.col("__offset")).drop("__day", "__inside", "__offset")
+    return joined(inside, offsets, keys).withColumn(name, F.col("__inside") + F.col("__offset")).drop("__day", "__inside", "__offset")
 
 
 def _with_before(photos: DataFrame, two_level: bool = False, w: WindowSpec | None = None) -> DataFrame:
@@ -135,18 +150,32 @@ def zoom_groups(photos: DataFrame, mode: str = "spacetime", config=DEFAULTS, two
     return counts.select("project", each.alias("x")).select("project", "x.step", "x.tier", "x.n_groups")
 
 
-def path_km(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, path_m: metres along the placed rows of each group, in order."""
-    w = Window.partitionBy(*keys).orderBy("ts", "id")
+def path_km(rows: DataFrame, keys: list[str], two_level: bool = False) -> DataFrame:
+    """keys, path_m: metres along the placed rows of each group, in order; with ``two_level`` over days (see ``carried``)."""
     placed = rows.where(F.col("lat").isNotNull())
-    leg = haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    return placed.withColumn("__leg", leg).groupBy(*keys).agg(F.coalesce(F.sum("__leg"), F.lit(0.0)).alias("path_m"))
+    before = carried(placed.select(*keys, "ts", "id", "lat", "lon"), {"__before": F.struct("lat", "lon")}, {}, two_level, by=tuple(keys))
+    leg = haversine(F.col("__before.lat"), F.col("__before.lon"), F.col("lat"), F.col("lon"))
+    return before.withColumn("__leg", leg).groupBy(*keys).agg(F.coalesce(F.sum("__leg"), F.lit(0.0)).alias("path_m"))
 
 
-def spread_sample(rows: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
-    """At most ``n`` rows of each group, spread evenly over its order, first and last among them."""
-    w = Window.partitionBy(*keys).orderBy("ts", "id")
-    size = F.count("*").over(Window.partitionBy(*keys))
-    ranked = rows.withColumns({"__at": F.row_number().over(w) - 1, "__n": size})
-    spots = F.array(*[F.floor(F.lit(i) * (F.col("__n") - 1) / (n - 1) + 0.5) for i in range(n)])
-    return ranked.where((F.col("__n") <= n) | F.array_contains(spots, F.col("__at").cast("long"))).drop("__at", "__n")
+def spread_sample(rows: DataFrame, keys: list[str], n: int = 5, two_level: bool = False) -> DataFrame:
+    """At most ``n`` rows of each group, spread evenly over its order, first and last among them.
+
+    With ``two_level`` no window holds a group: rows are written in ranges of their order, the counts of a group's ranges tell which of them hold a wanted
+    rank, and only the rows of these are ranked, each range by itself.
+    """
+    spots = lambda size: F.array_distinct(F.array(*[F.floor(F.lit(i) * (size - 1) / (n - 1) + 0.5).cast("long") for i in range(n)]))
+    if not two_level:
+        w = Window.partitionBy(*keys).orderBy("ts", "id")
+        size = F.count("*").over(Window.partitionBy(*keys))
+        ranked = rows.withColumns({"__at": F.row_number().over(w) - 1, "__n": size})
+        return ranked.where((F.col("__n") <= n) | F.array_contains(spots(F.col("__n")), F.col("__at").cast("long"))).drop("__at", "__n")
+    cut = stored(rows.repartitionByRange(*keys, "ts", "id").withColumn("__range", F.spark_partition_id()))
+    counts = cut.groupBy(*keys, "__range").agg(F.count("*").alias("__held"))
+    all_ranges, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumns({"__n": F.sum("__held").over(all_ranges), "__before": F.coalesce(F.sum("__held").over(before), F.lit(0))})
+    wanted = F.when(F.col("__n") <= n, F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).otherwise(spots(F.col("__n")))
+    inside = F.filter(wanted, lambda x: (x >= F.col("__before")) & (x < F.col("__before") + F.col("__held")))
+    holding = offsets.withColumn("__spots", inside).where(F.size("__spots") > 0).select(*keys, "__range", "__before", "__spots")
+    ranked = joined(cut, holding, [*keys, "__range"]).withColumn("__at", F.col("__before") + F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("ts", "id")) - 1)
+    return ranked.where(F.array_contains("__spots", F.col("__at"))).drop("__at", "__before", "__spots", "__range")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.calendar import micros
 from ..functions.geo import EARTH_METERS, haversine, in_ring
 from ..scratch import stored
-from .graph import components
 
 DEGREE_METERS = math.pi * EARTH_METERS / 180
 
@@ -32,7 +32,7 @@ def _cells(meters: float) -> tuple[float, callable, callable]:
     return height, band, around
 
 
-def _cell(lon: Column, n: Column) -> Column:
+def cell_number(lon: Column, n: Column) -> Column:
     return F.least(F.floor((lon + 180) / 360 * n), n - 1).cast("long")
 
 
@@ -45,11 +45,11 @@ def radius_join(left: DataFrame, right: DataFrame, meters: float, *, wrap: bool
     _, band, around = _cells(meters)
     l = left.where(F.col("lat").isNotNull()).select("project", F.col("id").alias("l_id"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))  # noqa: E741
     l = l.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: band(F.col("l_lat")) + d))).withColumn("n", around(F.col("band")))  # noqa: E741
-    near = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: _cell(F.col("l_lon"), F.col("n")) + d)
+    near = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: cell_number(F.col("l_lon"), F.col("n")) + d)
     near = F.transform(near, lambda c: F.pmod(c, F.col("n"))) if wrap else near
     l = l.withColumn("cell", F.explode(F.array_distinct(near))).drop("n")  # noqa: E741
     r = right.where(F.col("lat").isNotNull()).select("project", F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    r = r.withColumn("band", band(F.col("r_lat"))).withColumn("cell", _cell(F.col("r_lon"), around(F.col("band"))))
+    r = r.withColumn("band", band(F.col("r_lat"))).withColumn("cell", cell_number(F.col("r_lon"), around(F.col("band"))))
     gap = haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
     pairs = l.join(r, ["project", "band", "cell"]).withColumn("meters", gap).where(F.col("meters") <= meters)
     return pairs.select("project", "l_id", "r_id", "meters")
@@ -80,70 +80,73 @@ def count_within(events: DataFrame, keys: list[str], seconds: float, weight: str
     return rows.withColumn("n_within", F.sum(weight).over(near)).where("__own = __stretch").drop("__t", "__own", "__stretch")
 
 
-def linked_cells(photos: DataFrame, meters: float, sparse: int = 64) -> DataFrame:
-    """a, b: edges whose components are those of all pairs within ``meters``, without making the pairs of a dense place.
-
-    Cells are so small that any two of their rows are neighbours, so a cell is a star around its smallest id. Cells are linked by one pair: first
-    between their outermost rows in eight directions. Only where two cells in reach still belong to different components are their rows
-    compared, those that lie in reach of the other cell's box. Where no cell holds more than ``sparse`` rows a row has few partners, and the pairs
-    themselves are the edges.
-    """
-    side = meters / math.sqrt(2) * 0.999
-    height = side / DEGREE_METERS
-    band = F.floor(F.col("lat") / height).cast("long")
-    inner = F.least(F.abs(F.col("band") * height), F.abs((F.col("band") + 1) * height))
-    inner = F.when(F.col("band").isin(0, -1), 0.0).otherwise(inner)  # the band's widest latitude
-    around = F.greatest(F.ceil(F.cos(F.radians(F.least(inner, F.lit(90.0)))) * 360 * DEGREE_METERS / side), F.lit(1)).cast("long")
-    rows = photos.where(F.col("lat").isNotNull()).select("project", "id", "lat", "lon").withColumn("band", band).withColumn("cell", _cell(F.col("lon"), around))
-    rows = stored(rows)
-    keys = ["project", "band", "cell"]
-    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= sparse:
-        return neighbour_pairs(rows, meters).select("a", "b")
-    ends = [F.col("lat"), F.col("lon"), F.col("lat") / height + F.col("lon") * F.cos(F.radians("lat")) / height, F.col("lat") / height - F.col("lon") * F.cos(F.radians("lat")) / height]
-    outer = [f(F.struct(e.alias("e"), "id", "lat", "lon")).alias(f"o{i}{n}") for i, e in enumerate(ends) for n, f in enumerate((F.min, F.max))]
-    box = [f(c).alias(n) for n, f, c in (("rep", F.min, "id"), ("y1", F.min, "lat"), ("y2", F.max, "lat"), ("x1", F.min, "lon"), ("x2", F.max, "lon"))]
-    cells = stored(rows.groupBy(*keys).agg(*box, *outer))
-    star = rows.join(cells.select(*keys, "rep"), keys).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    at = F.array(*[F.struct(F.col(f"o{i}{n}.id").alias("id"), F.col(f"o{i}{n}.lat").alias("lat"), F.col(f"o{i}{n}.lon").alias("lon")) for i in range(4) for n in range(2)])
-    rims = cells.select("project", "rep", F.explode(F.array_distinct(at)).alias("o")).select("project", F.col("o.id").alias("id"), F.col("o.lat").alias("lat"), F.col("o.lon").alias("lon"))
-    edges = stored(star.unionByName(radius_join(rims, rims, meters).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))))
-    roots = components(edges)
-    placed = cells.select(*keys, "rep", "y1", "y2", "x1", "x2", ((F.col("y1") + F.col("y2")) / 2).alias("lat"), ((F.col("x1") + F.col("x2")) / 2).alias("lon"))
-    placed = stored(placed.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node"))
-    centres = placed.select("project", F.col("rep").alias("id"), "lat", "lon")
-    near = radius_join(centres, centres, 2 * meters).where("l_id < r_id").select("l_id", "r_id")  # centres of cells in reach
-    of = lambda n: placed.select(F.col("rep").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("root", "y1", "y2", "x1", "x2", "band", "cell")])
-    apart = stored(near.join(of("l"), "l_id").join(of("r"), "r_id").where("l_root <> r_root"))
-    high = meters / DEGREE_METERS * 1.001
-
-    def side_of(mine: str, other: str) -> DataFrame:
-        wide = high / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + high, F.lit(90.0)))), F.lit(1e-12))
-        inside = F.col("lat").between(F.col(f"{other}_y1") - high, F.col(f"{other}_y2") + high) & F.col("lon").between(F.col(f"{other}_x1") - wide, F.col(f"{other}_x2") + wide)
-        mine_of = apart.select("project", "l_id", "r_id", F.col(f"{mine}_band").alias("band"), F.col(f"{mine}_cell").alias("cell"), *[f"{other}_{c}" for c in ("y1", "y2", "x1", "x2")])
-        return rows.join(mine_of, keys).where(inside).select("l_id", "r_id", F.col("id").alias(f"{mine}"), F.col("lat").alias(f"{mine}_lat"), F.col("lon").alias(f"{mine}_lon"))
-
-    apart = apart.join(placed.select(F.col("rep").alias("l_id"), "project"), "l_id")
-    gap = haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    met = side_of("l", "r").join(side_of("r", "l"), ["l_id", "r_id"]).where(gap <= meters).groupBy("l_id", "r_id").agg(F.min("l").alias("a"), F.min("r").alias("b"))
-    return edges.unionByName(met.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
-
-
 def neighbour_pairs(photos: DataFrame, meters: float) -> DataFrame:
     """project, a, b (a < b), meters of placed rows within ``meters``."""
     rows = photos.select("project", "id", "lat", "lon")
     return radius_join(rows, rows, meters).where("l_id < r_id").select("project", F.col("l_id").alias("a"), F.col("r_id").alias("b"), "meters")
 
 
-def geocode(points: DataFrame, boundaries: DataFrame, tile: float = 5.0) -> DataFrame:
-    """project, id, iso: the first country (by ordinal) whose box and one of whose rings hold the point; no row otherwise.
+#: Side of the largest tiles in degrees, how often they are halved, and the segments that a tile may hold without being halved.
+TILE, HALVINGS, SEGMENTS = 8.0, 6, 16
+#: Tiles up to this many rows are sent to all executors; more are joined by shuffle.
+BROADCAST_TILES = 200_000
+
 
-    ``boundaries``: ordinal, iso, ring (array of [lon, lat]), one row a ring. Rings are listed under the tiles that their boxes touch, and points meet
-    them by an equi-join on the tile, so neither side has to fit in memory.
+def boundary_tiles(boundaries: DataFrame, tile: float = TILE, halvings: int = HALVINGS, segments: int = SEGMENTS) -> DataFrame:
+    """level, tx, ty and found (array of ordinal, iso, ring_no, by ordinal): the tiles of a quadtree and the rings that may hold their points.
+
+    A tile that rings' segments touch is halved on both axes while it holds more than ``segments`` of them. In a tile that none of a ring's segments
+    touches, one point decides for all: the ring is listed without a number if it holds the tile, and not at all if it doesn't. Rings listed with a number are
+    to be tested. What follows a ring that holds the whole tile can't be the first, and is left out. ``boundaries``: ring_no, ordinal, iso, ring.
+    """
+    end = F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
+    sides = boundaries.where(F.size("ring") > 0).select("ring_no", F.explode(F.arrays_zip(F.col("ring").alias("p"), end.alias("q"))).alias("s")).select("ring_no", *[F.col(f"s.{a}")[i].alias(f"{a}{n}") for a in "pq" for i, n in enumerate("xy")])
+    number = lambda c, level: F.floor(c / F.lit(tile) * F.pow(F.lit(2.0), level)).cast("long")
+    box = boundaries.select("ring_no", *[f(F.transform("ring", lambda v, i=i: v[i])).alias(n) for i, f, n in ((0, F.array_min, "x1"), (0, F.array_max, "x2"), (1, F.array_min, "y1"), (1, F.array_max, "y2"))])
+    zero = F.lit(0)
+    over = lambda a, b: F.explode(F.sequence(number(a, zero), number(b, zero)))
+    open_ = box.where("x1 is not null").select("ring_no", over(F.col("x1"), F.col("x2")).alias("tx"), F.col("y1"), F.col("y2")).withColumn("ty", over(F.col("y1"), F.col("y2"))).select("ring_no", "tx", "ty")
+    held, leaves = sides.select("*", over(F.least("px", "qx"), F.greatest("px", "qx")).alias("tx")).withColumn("ty", over(F.least("py", "qy"), F.greatest("py", "qy"))), []
+    for level in range(halvings + 1):
+        size = tile / 2**level
+        x1, y1 = F.col("tx") * size, F.col("ty") * size
+        slack = size * 1e-6
+        # a segment misses a tile if all corners lie on one side of its line, or its box misses the tile
+        turn = lambda x, y: (F.col("qx") - F.col("px")) * (y - F.col("py")) - (F.col("qy") - F.col("py")) * (x - F.col("px"))
+        corners = F.array(*[turn(x1 + a, y1 + b) for a in (-slack, size + slack) for b in (-slack, size + slack)])
+        beside = (F.array_min(corners) > 0) | (F.array_max(corners) < 0)
+        misses = (F.greatest("px", "qx") < x1 - slack) | (F.least("px", "qx") > x1 + size + slack) | (F.greatest("py", "qy") < y1 - slack) | (F.least("py", "qy") > y1 + size + slack)
+        held = stored(held.where(~beside & ~misses))
+        touched = held.groupBy("ring_no", "tx", "ty").agg(F.count("*").alias("n"))
+        crowd = touched.groupBy("tx", "ty").agg(F.sum("n").alias("n")).where(F.col("n") > (segments if level < halvings else F.lit(1 << 62))).select("tx", "ty")
+        state = stored(open_.join(touched, ["ring_no", "tx", "ty"], "left").join(crowd.withColumn("large", F.lit(True)), ["tx", "ty"], "left"))
+        leaves.append(state.where("large is null").select(F.lit(level).alias("level"), "tx", "ty", "ring_no", F.col("n").isNotNull().alias("edge")))
+        halves = lambda df: df.withColumn("tx", F.explode(F.array(F.col("tx") * 2, F.col("tx") * 2 + 1))).withColumn("ty", F.explode(F.array(F.col("ty") * 2, F.col("ty") * 2 + 1)))
+        open_ = halves(state.where("large").select("ring_no", "tx", "ty"))
+        held = halves(held.join(crowd, ["tx", "ty"], "left_semi").select("ring_no", "px", "py", "qx", "qy", "tx", "ty"))
+    listed = reduce(DataFrame.unionByName, leaves).join(boundaries.select("ring_no", "ordinal", "iso", "ring"), "ring_no")
+    middle = lambda c: (F.col(c) + 0.5) * tile / F.pow(F.lit(2.0), F.col("level"))
+    kept = listed.withColumn("holds", F.when(~F.col("edge"), in_ring(middle("tx"), middle("ty"), F.col("ring")))).where("edge or holds")
+    rows = kept.groupBy("level", "tx", "ty").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.when(F.col("edge"), F.col("ring_no")).alias("ring_no"), "iso"))).alias("found"))
+    first = F.array_min(F.transform(F.filter("found", lambda x: x["ring_no"].isNull()), lambda x: x["ordinal"]))
+    return rows.withColumn("found", F.filter("found", lambda x: F.coalesce((x["ordinal"] < first) | ((x["ordinal"] == first) & x["ring_no"].isNull()), F.lit(True))))
+
+
+def geocode(points: DataFrame, boundaries: DataFrame, tile: float = TILE, halvings: int = HALVINGS) -> DataFrame:
+    """project, id, iso: the first country (by ordinal) one of whose rings holds the point; no row otherwise.
+
+    ``boundaries``: ordinal, iso, ring (array of [lon, lat]), one row a ring. A point looks up its tile (``boundary_tiles``); in most tiles the answer stands
+    there, and only points of tiles that a ring's sides cross are tested against these rings.
     """
-    axis = lambda i: F.transform("ring", lambda v: v[i])
-    boxed = boundaries.select("ordinal", "iso", "ring", *[f(axis(i)).alias(n) for i, f, n in ((0, F.array_min, "x1"), (0, F.array_max, "x2"), (1, F.array_min, "y1"), (1, F.array_max, "y2"))])
-    number = lambda c: F.floor(F.col(c) / tile).cast("long")
-    listed = boxed.withColumn("tx", F.explode(F.sequence(number("x1"), number("x2")))).withColumn("ty", F.explode(F.sequence(number("y1"), number("y2"))))
-    placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("project", "id", "lat", "lon", number("lon").alias("tx"), number("lat").alias("ty"))
-    inside = F.col("lon").between(F.col("x1"), F.col("x2")) & F.col("lat").between(F.col("y1"), F.col("y2")) & in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
-    return placed.join(listed, ["tx", "ty"]).where(inside).groupBy("project", "id").agg(F.min_by("iso", "ordinal").alias("iso"))
+    rings = stored(boundaries.select("ordinal", "iso", "ring").withColumn("ring_no", F.monotonically_increasing_id()))
+    tiles = stored(boundary_tiles(rings, tile, halvings))
+    tiles = F.broadcast(tiles) if tiles.count() <= BROADCAST_TILES else tiles
+    number = lambda c, level: F.floor(F.col(c) / F.lit(tile) * F.pow(F.lit(2.0), level)).cast("long")
+    placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("project", "id", "lat", "lon")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(halvings)), lambda k: F.struct(k.alias("level"), number("lon", k).alias("tx"), number("lat", k).alias("ty")))
+    met = placed.withColumn("k", F.explode(keys)).select("project", "id", "lat", "lon", "k.*").join(tiles, ["level", "tx", "ty"]).drop("level", "tx", "ty")
+    head = F.col("found")[0]
+    plain = met.where(head["ring_no"].isNull()).select("project", "id", head["iso"].alias("iso"))
+    edge = met.where(head["ring_no"].isNotNull()).select("project", "id", "lat", "lon", F.explode("found").alias("c")).select("project", "id", "lat", "lon", "c.ordinal", "c.iso", "c.ring_no")
+    tested = edge.join(rings.select("ring_no", "ring"), "ring_no", "left").where(F.col("ring_no").isNull() | in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    return plain.unionByName(tested.groupBy("project", "id").agg(F.min_by("iso", "ordinal").alias("iso")))

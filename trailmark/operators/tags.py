@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..arrow import arrow_map
 from ..config import DEFAULTS
+from ..functions.calendar import micros
 from ..functions.keywords import folder_keywords
 from ..scratch import stored
+from . import boxes
 from .filters import base
 from .spatial import count_within, radius_join
 
@@ -67,67 +74,141 @@ def rename_clusters(clusters: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumns({"name": F.coalesce("__name", "name"), "custom_named": F.col("custom_named") | F.col("__name").isNotNull()}).select(*clusters.columns)
 
 
-def tag_itemsets(photos: DataFrame, links: DataFrame, min_support: float = DEFAULTS.min_support, top: int = 40) -> DataFrame:
+#: Frequent tags of a row above which its triples are counted in prefix groups; items that such a group counts at a time.
+WIDE, GATHERED = 64, 200_000
+
+
+def _grouped_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """first, second, third, n of rows (first, salt, rest: numbers of later tags), sorted by first and salt: pairs of the rest, by matrix products."""
+
+    def counted(first: int, rests: list[np.ndarray]) -> pa.RecordBatch:
+        known, at = np.unique(np.concatenate(rests), return_inverse=True)
+        has = np.zeros((len(rests), len(known)), np.float32)
+        has[np.repeat(np.arange(len(rests)), list(map(len, rests))), at] = 1
+        both = np.triu(has.T @ has, 1).astype(np.int64)
+        i, j = np.nonzero(both)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(i), first)), pa.array(known[i]), pa.array(known[j]), pa.array(both[i, j])], ["first", "second", "third", "n"])
+
+    own, rests, size = None, [], 0
+    for batch in batches:
+        for first, salt, rest in zip(*(batch.column(i) for i in range(3)), strict=True):
+            if own != (first.as_py(), salt.as_py()) or size > GATHERED:
+                if rests:
+                    yield counted(own[0], rests)
+                own, rests, size = (first.as_py(), salt.as_py()), [], 0
+            rests.append(rest.values.to_numpy())
+            size += len(rests[-1])
+    if rests:
+        yield counted(own[0], rests)
+
+
+def _wide_triples(kept: DataFrame, two: DataFrame, salts: int) -> DataFrame:
+    """a, b, c, n of the wide rows, for triples whose pairs with a are frequent (``two``).
+
+    Prefix projection: a row goes to the group of each of its tags with those of the later tags that are frequent beside it; groups are dealt
+    further by ``salts``, and each counts the pairs among its rows' tags.
+    """
+    numbers = stored(two.select(F.explode(F.array("a", "b")).alias("name")).distinct().withColumn("number", F.dense_rank().over(Window.orderBy("name")).cast("long")))  # frequent tags only
+    beside = two.join(numbers.select(F.col("name").alias("b"), "number"), "b").groupBy("a").agg(F.array_sort(F.collect_list("number")).alias("beside"))
+    row = ["project", "id"]
+    rows = kept.join(numbers, "name").groupBy(*row).agg(F.array_sort(F.collect_list("number")).alias("all"))
+    firsts = numbers.join(beside, F.col("name") == F.col("a")).select(F.col("number").alias("first"), "beside")
+    rest = rows.withColumn("first", F.explode("all")).join(firsts, "first").select("first", F.pmod(F.xxhash64(*row), F.lit(salts)).alias("salt"), F.array_sort(F.array_intersect("all", "beside")).alias("rest"))
+    dealt = rest.where(F.size("rest") > 1).repartition("first", "salt").sortWithinPartitions("first", "salt")
+    found = arrow_map(dealt, _grouped_pairs, "first bigint, second bigint, third bigint, n bigint").groupBy("first", "second", "third").agg(F.sum("n").alias("n"))
+    for new, old in (("a", "first"), ("b", "second"), ("c", "third")):
+        found = found.join(F.broadcast(numbers.select(F.col("name").alias(new), F.col("number").alias(old))), old)  # at most 20 tags for each of an average row
+    return found.select("a", "b", "c", "n")
+
+
+def tag_itemsets(photos: DataFrame, links: DataFrame, min_support: float = DEFAULTS.min_support, top: int = 40, wide: int = WIDE, salts: int = 32) -> DataFrame:
     """items (sorted, joined by ``+``), size, n, total: the most frequent pairs and triples of tags over the base rows.
 
-    Rare tags go first (an itemset is no more frequent than its tags), then pairs are counted by a self-join on the row, then triples grow from
-    frequent pairs only. The self-joins are bounded by a row's frequent tags.
+    Rare tags go first (an itemset is no more frequent than its tags; no more than 1 / ``min_support`` times the average number of tags remain), then pairs are
+    counted by a self-join on the row, combined before they are shuffled. Triples grow from frequent pairs: by a join on the row where it has at most
+    ``wide`` frequent tags, in prefix groups (``_wide_triples``) where it has more.
     """
-    rows = base(photos).select("project", "id")
+    rows = stored(base(photos).select("project", "id"))
     total = rows.count()
     least = max(2, math.ceil(min_support * total))
-    tagged = links.select("project", "id", "name").distinct().join(rows, ["project", "id"], "left_semi")
+    tagged = stored(links.select("project", "id", "name").distinct().join(rows, ["project", "id"], "left_semi"))
     often = tagged.groupBy("name").count().where(F.col("count") >= least).select("name")
-    kept = tagged.join(often, "name", "left_semi")
+    kept = stored(tagged.join(often, "name", "left_semi"))
     a, b = kept.withColumnRenamed("name", "a"), kept.withColumnRenamed("name", "b")
-    pairs = a.join(b, ["project", "id"]).where("a < b")
-    two = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    two = stored(a.join(b, ["project", "id"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    broad = stored(kept.groupBy("project", "id").count().where(F.col("count") > wide).select("project", "id"))
+    slim, triples = kept, []
+    if not broad.isEmpty():
+        slim = kept.join(broad, ["project", "id"], "left_anti")
+        triples.append(_wide_triples(kept.join(broad, ["project", "id"], "left_semi"), two, salts))
+    pairs = slim.withColumnRenamed("name", "a").join(slim.withColumnRenamed("name", "b"), ["project", "id"]).where("a < b")
     of_row = pairs.join(two.select("a", "b"), ["a", "b"], "left_semi")
-    three = of_row.join(of_row.select("project", "id", F.col("a").alias("b"), F.col("b").alias("c")), ["project", "id", "b"]).groupBy("a", "b", "c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    of_three = of_row.join(of_row.select("project", "id", F.col("a").alias("b"), F.col("b").alias("c")), ["project", "id", "b"])
+    triples.append(of_three.groupBy("a", "b", "c").agg(F.count("*").alias("n")))
+    three = reduce(DataFrame.unionByName, triples).groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     named = two.select(F.concat_ws("+", "a", "b").alias("items"), F.lit(2).alias("size"), "n").unionByName(three.select(F.concat_ws("+", "a", "b", "c").alias("items"), F.lit(3).alias("size"), "n"))
     return named.withColumn("total", F.lit(total)).orderBy(F.col("n").desc(), "size", "items").limit(top)
 
 
-def _tag_counts_in_time(rows: DataFrame, carried: DataFrame, seconds: float) -> DataFrame:
-    """project, id, name, k_temporal: how many rows within ``seconds`` carry each tag that the row lacks; tags nobody near carries have no row.
-
-    Every row asks for the tags of its own stretch of time and the two beside it; a window over each tag's carriers and askers counts.
-    """
-    stretch = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / int(seconds * 1e6))
-    holders = rows.join(carried, ["project", "id"]).withColumn("__w", F.lit(1).cast("long"))
-    seen = holders.select("project", "name", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: stretch + d)).alias("__s")).distinct()
-    asked = rows.withColumn("__s", stretch).join(seen, ["project", "__s"]).drop("__s").join(carried, ["project", "id", "name"], "left_anti").withColumn("__w", F.lit(0).cast("long"))
-    counted = count_within(holders.unionByName(asked.select(*holders.columns)), ["project", "name"], seconds, "__w")
-    return counted.where("__w = 0 and n_within > 0").select("project", "id", "name", F.col("n_within").alias("k_temporal"))
+def _quarters(rows: DataFrame, seconds: float, reach: int, keys: list[str]) -> DataFrame:
+    """keys, __q, n: rows in the quarters of the window's length up to ``reach`` away from each quarter."""
+    quarter = F.floor(micros(F.col("ts")) / (int(seconds * 1e6) / 4))
+    counts = rows.groupBy(*keys, quarter.alias("__at")).agg(F.count("*").alias("n"))
+    spread = F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda d: F.col("__at") + d)).alias("__q")
+    return counts.select(*keys, "n", spread).groupBy(*keys, "__q").agg(F.sum("n").alias("n"))
 
 
-def recommend_tags(photos: DataFrame, links: DataFrame, top: int = 12, config=DEFAULTS) -> DataFrame:
-    """project, id, name, score and its parts as counts: the best tags for every base row at once.
+def _counts_in_time(rows: DataFrame, carried: DataFrame, known: DataFrame, seconds: float, config=DEFAULTS) -> DataFrame:
+    """project, id, name, k_temporal: how many rows within ``seconds`` carry a tag, for the tags that may be proposed; 0 included.
 
-    Score: shares of spatial and of temporal neighbours that carry the tag, and whether the folder has it, weighted. The neighbours of rows are counted per tag
-    right after each join; folders are counted per tag without a join of rows. Neighbours are active rows; only missing tags are proposed.
+    ``known``: project, id, name, certain (the score without time). A window reaches over at most nine quarters of its length and holds at least
+    seven, so a tag's carriers in nine and the rows in seven bound its share around all rows of a quarter. Only where certain score and bound can pass
+    the threshold does a row ask; a window over each such tag's carriers and askers counts (``count_within``).
+    """
+    rows = rows.withColumn("__q", F.floor(micros(F.col("ts")) / (int(seconds * 1e6) / 4)))
+    holders = stored(rows.join(carried, ["project", "id"]))
+    share = F.least(F.lit(1.0), F.col("n") / F.greatest(F.col("all") - 1, F.lit(1)))
+    bound = _quarters(holders, seconds, 4, ["project", "name"]).join(_quarters(rows, seconds, 3, ["project"]).withColumnRenamed("n", "all"), ["project", "__q"])
+    bound = stored(bound.select("project", "__q", "name", (config.weight_temporal * share + 1e-8).alias("most")))
+    alone = rows.join(bound.where(F.col("most") > config.suggestion_score), ["project", "__q"]).select("project", "id", "name")
+    helped = known.join(rows.select("project", "id", "__q"), ["project", "id"]).join(bound, ["project", "__q", "name"], "left")
+    helped = helped.where(F.col("certain") + F.coalesce("most", F.lit(1e-8)) > config.suggestion_score).select("project", "id", "name")
+    asked = stored(alone.unionByName(helped).distinct().join(carried, ["project", "id", "name"], "left_anti"))
+    weighed = lambda d, w: d.select("project", "id", "name", "ts", F.lit(w).cast("long").alias("__w"))
+    wanted = asked.select("project", "name").distinct()
+    both = weighed(holders.join(wanted, ["project", "name"], "left_semi"), 1).unionByName(weighed(asked.join(rows.select("project", "id", "ts"), ["project", "id"]), 0))
+    return count_within(both, ["project", "name"], seconds, "__w").where("__w = 0").select("project", "id", "name", F.col("n_within").alias("k_temporal"))
+
+
+def recommend_tags(photos: DataFrame, links: DataFrame, top: int = 12, config=DEFAULTS, sparse: int = 64) -> DataFrame:
+    """project, id, name, score and its parts as counts: the best tags for every base row at once. Ids are unique across projects.
+
+    Score: shares of spatial and of temporal neighbours that carry the tag, and whether the folder has it, weighted. Where places are crowded (a cell of neighbours
+    holds more than ``sparse`` rows), spatial neighbours are counted by boxes, per tag too, and only rows at a box's rim are compared. Temporal ones are
+    counted for the tags that can pass. Folders are counted per tag without a join of rows. Neighbours are active rows; only missing tags are proposed.
     """
     active = stored(photos.where(F.col("status") == "active").select("project", "id", "ts", "lat", "lon", "folder_name", "status"))  # read by every part
     rows = base(active).select("project", "id", "ts", "lat", "lon", "folder_name")
-    carried = stored(links.select("project", F.col("id").alias("r_id"), "name").distinct())
-
-    def share(pairs: DataFrame, n: str, k: str) -> tuple[DataFrame, DataFrame]:
-        others = pairs.where("l_id <> r_id").select("project", "l_id", "r_id")
-        totals = others.groupBy("project", F.col("l_id").alias("id")).agg(F.count("*").alias(n))
-        return totals, others.join(carried, ["project", "r_id"]).groupBy("project", F.col("l_id").alias("id"), "name").agg(F.count("*").alias(k))
-
-    n_space, k_space = share(radius_join(rows, active, config.suggestion_meters), "n_spatial", "k_spatial")
+    carried = stored(links.select("project", "id", "name").distinct())
+    if boxes.crowd(active, config.suggestion_meters) > sparse:
+        found = boxes.near(boxes.boxed(rows, config.suggestion_meters), boxes.boxed(active, config.suggestion_meters), config.suggestion_meters)
+        n_space = found.combined(active.select("id", F.lit(1).cast("long").alias("value")), F.sum).select("id", (F.col("value") - 1).alias("n_spatial"))
+        k_space = found.combined(carried.select("id", "name", F.lit(1).cast("long").alias("value")), F.sum, ("name",)).select("id", "name", F.col("value").alias("k_spatial"))
+    else:
+        others = stored(radius_join(rows, active, config.suggestion_meters).where("l_id <> r_id").select(F.col("l_id").alias("__of"), F.col("r_id").alias("id")))
+        n_space = others.groupBy(F.col("__of").alias("id")).agg(F.count("*").alias("n_spatial"))
+        k_space = others.join(carried, "id").groupBy(F.col("__of").alias("id"), "name").agg(F.count("*").alias("k_spatial"))
     seconds = config.suggestion_hours * 3600
-    timed = rows.select("project", "id", "ts")
-    n_time = count_within(timed.withColumn("__one", F.lit(1).cast("long")), ["project"], seconds, "__one").select("project", "id", (F.col("n_within") - 1).alias("n_temporal"))
-    k_time = _tag_counts_in_time(timed, carried.withColumnRenamed("r_id", "id"), seconds)
-    in_folder = active.where(F.col("folder_name").isNotNull()).select("project", F.col("id").alias("r_id"), "folder_name").join(carried, ["project", "r_id"]).select("project", "folder_name", "name").distinct()
-    of_folder = rows.select("project", "id", "folder_name").join(in_folder, ["project", "folder_name"]).select("project", "id", "name", F.lit(1).alias("k_folder"))
-    zero = {"k_spatial": 0, "k_temporal": 0, "k_folder": 0}
-    parts = [d.select("project", "id", "name", *[F.col(c) if c in d.columns else F.lit(0).cast("long").alias(c) for c in zero]) for d in (k_space, k_time, of_folder)]
-    summed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("project", "id", "name").agg(*[F.sum(c).cast("long").alias(c) for c in zero])
-    fresh = summed.join(carried.withColumnRenamed("r_id", "id"), ["project", "id", "name"], "left_anti").join(n_space, ["project", "id"], "left").join(n_time, ["project", "id"], "left").fillna(0, ["n_spatial", "n_temporal"])
+    timed = stored(count_within(rows.select("project", "id", "ts").withColumn("__one", F.lit(1).cast("long")), ["project"], seconds, "__one").select("project", "id", "ts", (F.col("n_within") - 1).alias("n_temporal")).join(n_space, "id", "left").fillna(0, ["n_spatial"]))
+    in_folder = active.where(F.col("folder_name").isNotNull()).select("project", "id", "folder_name").join(carried, ["project", "id"]).select("project", "folder_name", "name").distinct()
+    of_folder = rows.select("project", "id", "folder_name").join(in_folder, ["project", "folder_name"]).select("id", "name", F.lit(0).cast("long").alias("k_spatial"), F.lit(1).cast("long").alias("k_folder"))
+    both = k_space.select("id", "name", "k_spatial", F.lit(0).cast("long").alias("k_folder")).unionByName(of_folder).groupBy("id", "name").agg(F.sum("k_spatial").alias("k_spatial"), F.sum("k_folder").alias("k_folder"))
     ratio = lambda k, n: F.when(F.col(n) > 0, F.col(k) / F.col(n)).otherwise(F.lit(0.0))
+    certain = config.weight_spatial * ratio("k_spatial", "n_spatial") + config.weight_folder * F.col("k_folder")
+    known = stored(both.join(timed.select("project", "id", "n_spatial"), "id").join(carried, ["project", "id", "name"], "left_anti").withColumn("certain", certain))
+    k_time = _counts_in_time(timed.select("project", "id", "ts"), carried, known.select("project", "id", "name", "certain"), seconds, config)
+    parts = k_time.join(known.select("project", "id", "name", "k_spatial", "k_folder"), ["project", "id", "name"], "left").join(timed.select("project", "id", "n_spatial", "n_temporal"), ["project", "id"])
+    fresh = parts.fillna(0, ["k_spatial", "k_folder"])
     score = config.weight_spatial * ratio("k_spatial", "n_spatial") + config.weight_temporal * ratio("k_temporal", "n_temporal") + config.weight_folder * F.col("k_folder")
     scored = fresh.withColumn("score", F.round(score, 9)).where(F.col("score") > config.suggestion_score)
     rank = F.row_number().over(Window.partitionBy("project", "id").orderBy(F.col("score").desc(), "name"))

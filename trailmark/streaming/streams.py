@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.calendar import period_keys
 from ..operators.filters import base
 from ..operators.ingest import apply_actions, diff_snapshot
-from ..operators.rollups import rollups
+from ..operators.rollups import changed_state, rollups
 from ..scratch import stored
 
 
@@ -55,3 +55,16 @@ def touched_rollups(photos: DataFrame, batch: DataFrame, periods: tuple[str, ...
     widest = touched.where(F.col("period_type") == periods[0]).select("project", F.col("period_key").alias("__key"))
     rows = photos.withColumn("__key", keys[periods[0]]).join(widest, ["project", "__key"], "left_semi").drop("__key")
     return rollups(rows, periods).join(touched, ["project", "period_type", "period_key"], "left_semi")
+
+
+def follow_rollups(changes: DataFrame, read: Callable[[], DataFrame], publish: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """Keeps the counts of ``rollup_state`` in step with a stream of changes: rows of the catalog with ``added`` (false for rows as they were before).
+
+    ``read`` gives the present counts, ``publish`` stores the next ones. Each micro-batch is counted with its sign and merged; the catalog isn't read again.
+    """
+
+    def apply(batch: DataFrame) -> None:
+        batch = stored(batch)
+        publish(changed_state(read(), batch.where("added"), batch.where("not added")))
+
+    return ingest_stream(changes, apply, checkpoint)
