@@ -23,6 +23,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -129,37 +130,34 @@ class Pair:
         self.b_bytes = Entries([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.decimals = Entries([b"%d," % i for i in range(max(max(known) + 1, len(pieces)))])
         self.parted = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.new: dict[str, tuple[bytes, bytes]] = {}  # ids of both by stretch; when it is full it becomes the old memo
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-
-    def tokens(self, wanted: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids of A and B of every stretch, as bytes."""
-        if len(self.new) + len(wanted) > MEMO:
-            self.old, self.new = self.new, {}
-        out = self.new
-        missing = []
-        for s in wanted - out.keys():
-            if s in self.old:
-                out[s] = self.old[s]
-            else:
-                missing.append(s)
-        left = self.a.encode_batch([" " + s for s in missing], add_special_tokens=False)
-        for s, x, y in zip(missing, left, self.b.encode(missing, num_threads=1), strict=True):
-            out[s] = array("i", x.ids).tobytes(), array("i", y).tobytes()
-        return out
+        self.new: tuple[dict, dict] = ({}, {})  # ids of A and of B by stretch, as bytes; when they are full they become the old memo
+        self.old: tuple[dict, dict] = ({}, {})
+
+    def tokens(self, wanted: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of A and of B of every stretch, as bytes."""
+        if len(self.new[0]) + len(wanted) > MEMO:
+            self.old, self.new = self.new, ({}, {})
+        (a, b), (old_a, old_b) = self.new, self.old
+        fresh = wanted - a.keys()
+        known = fresh & old_a.keys()
+        a.update(zip(known, map(old_a.__getitem__, known), strict=True))
+        b.update(zip(known, map(old_b.__getitem__, known), strict=True))
+        missing = list(fresh - known)
+        left = self.a.encode_batch_fast([" " + s for s in missing], add_special_tokens=False)
+        a.update((s, array("i", x.ids).tobytes()) for s, x in zip(missing, left, strict=True))
+        b.update((s, array("i", y).tobytes()) for s, y in zip(missing, self.b.encode(missing, num_threads=1), strict=True))
+        return a, b
 
     def documents(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs and their numbers as bytes) of each text."""
         cut = [SINGLE_SPACE.split(t) if t and self.parted else [t] if t else [] for t in texts]
         wanted = {s for parts in cut for s in parts}
-        known = self.tokens(wanted)
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            a, b = zip(*map(known.__getitem__, parts), strict=True) if parts else ((), ())
-            out.append(self.document(text, np.frombuffer(b"".join(a), np.int32), np.frombuffer(b"".join(b), np.int32)))
+        a, b = self.tokens(wanted)
+        ids = lambda known, parts: np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
+        out = [self.document(text, ids(a, parts), ids(b, parts)) for text, parts in zip(texts, cut, strict=True)]
         for s in wanted:
             if len(s) > MEMO_CHARS:
-                del known[s]
+                del a[s], b[s]
         return out
 
     def document(self, text: str | None, a: np.ndarray, b: np.ndarray) -> tuple:
@@ -193,6 +191,12 @@ class Pair:
         return hashlib.sha256(said[:-1].tobytes()).hexdigest()
 
 
+@lru_cache(1)
+def _pair(a_path: str, b_path: str) -> Pair:
+    """The tokenizers and memos of a worker, which its tasks share."""
+    return Pair(a_path, b_path)
+
+
 _FIELDS = [
     ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())
 ]
@@ -200,14 +204,13 @@ _FIELDS = [
 
 def _alignments(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = None
+        both = _pair(a_path, b_path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             chars = np.cumsum([len(t or "") for t in texts])
             at = 0
             while at < len(texts):
                 end = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + CHARS, "right")))
-                both = both or Pair(a_path, b_path)
                 rows = both.documents(texts[at:end])
                 columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *columns], ["doc_id", *(n for n, _ in _FIELDS)])
