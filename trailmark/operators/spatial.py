@@ -102,7 +102,8 @@ def boundary_tiles(boundaries: DataFrame, tile: float = TILE, halvings: int = HA
     end = F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
     sides = boundaries.where(F.size("ring") > 0).select("ring_no", F.explode(F.arrays_zip(F.col("ring").alias("p"), end.alias("q"))).alias("s")).select("ring_no", *[F.col(f"s.{a}")[i].alias(f"{a}{n}") for a in "pq" for i, n in enumerate("xy")])
     number = lambda c, level: F.floor(c / F.lit(tile) * F.pow(F.lit(2.0), level)).cast("long")
-    box = boundaries.select("ring_no", *[f(F.transform("ring", lambda v, i=i: v[i])).alias(n) for i, f, n in ((0, F.array_min, "x1"), (0, F.array_max, "x2"), (1, F.array_min, "y1"), (1, F.array_max, "y2"))])
+    axis = lambda i: F.transform("ring", lambda v: v[i])
+    box = boundaries.select("ring_no", *[f(axis(i)).alias(n) for i, f, n in ((0, F.array_min, "x1"), (0, F.array_max, "x2"), (1, F.array_min, "y1"), (1, F.array_max, "y2"))])
     zero = F.lit(0)
     over = lambda a, b: F.explode(F.sequence(number(a, zero), number(b, zero)))
     open_ = box.where("x1 is not null").select("ring_no", over(F.col("x1"), F.col("x2")).alias("tx"), F.col("y1"), F.col("y2")).withColumn("ty", over(F.col("y1"), F.col("y2"))).select("ring_no", "tx", "ty")

@@ -49,6 +49,14 @@ POLYGONS = [
 ]
 
 
+#: The placed base rows moved into 16 crowds of two projects, some 300 m wide each, 2 km apart.
+CROWDS = """
+SELECT project % 2 AS project, id, ts, CAST(10 AS DOUBLE) + floor(a * 4) * CAST(0.02 AS DOUBLE) + (a * 4 - floor(a * 4)) * CAST(0.003 AS DOUBLE) AS lat,
+       CAST(20 AS DOUBLE) + floor(b * 4) * CAST(0.02 AS DOUBLE) + (b * 4 - floor(b * 4)) * CAST(0.003 AS DOUBLE) AS lon
+FROM (SELECT project, id, ts, lat - floor(lat) AS a, lon - floor(lon) AS b FROM <BASE> WHERE lat IS NOT NULL) AS placed
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,3 +82,7 @@ def tag_links(photos: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     return photos.select("project", "id", F.explode(folder_keywords(F.col("folder_name"))).alias("name"))
+
+
+def crowds(base: DataFrame) -> DataFrame:
+    return base.sparkSession.sql(CROWDS.replace("<BASE>", "{base}"), base=base)

@@ -6,7 +6,7 @@ from ..config import DEFAULTS
 from ..functions.keywords import STOP_WORDS
 from ..functions.labels import MONTHS, SEASON_OF_MONTH
 from ..operators.sequence import resolve_scale
-from .catalog import DUCK_CATALOG, DUCK_SNAP_CATALOG, DUCK_SNAP_DISK, POLYGONS
+from .catalog import CROWDS, DUCK_CATALOG, DUCK_SNAP_CATALOG, DUCK_SNAP_DISK, POLYGONS
 
 BASE = f"WITH RECURSIVE catalog AS ({DUCK_CATALOG}), base AS (SELECT * FROM catalog WHERE status = 'active' AND ts IS NOT NULL)"
 W = "(PARTITION BY project ORDER BY ts, id)"
@@ -364,3 +364,40 @@ SELECT project, period_type, period_key, count(*) AS photo_count FROM each_perio
     "geocode_built": SQL["geocode"],
     "filters_off": f"{BASE} SELECT id FROM base",
 }
+
+_crowds = f"""{BASE}, crowd AS ({CROWDS.replace('<BASE>', 'base')}), pairs AS (
+  SELECT a.project, a.id AS a, b.id AS b, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS meters FROM crowd a JOIN crowd b ON a.project = b.project AND abs(a.lat - b.lat) < 0.001 AND abs(a.lon - b.lon) < 0.001)"""
+_followed = f"""{BASE}, after AS (
+  SELECT project, id, ts, CASE WHEN id % 10 = 3 THEN 'NATION_0' ELSE country_code END AS country_code, CASE WHEN id % 10 = 3 THEN 'moved' ELSE camera_model END AS camera_model FROM base WHERE id % 10 <> 5),
+each_period AS (SELECT *, unnest(['decade', 'year', 'month']) AS period_type, unnest([CAST(year(ts) // 10 * 10 AS VARCHAR) || 's', strftime(ts, '%Y'), strftime(ts, '%Y-%m')]) AS period_key FROM after),
+cams AS (SELECT project, period_type, period_key, camera_model, count(*) AS n FROM each_period WHERE camera_model IS NOT NULL GROUP BY ALL),
+dict AS (SELECT project, period_type, period_key, '{{' || string_agg('"' || camera_model || '":' || n, ',' ORDER BY n DESC, camera_model) || '}}' AS camera_models_counts FROM cams GROUP BY ALL),
+lands AS (SELECT project, period_type, period_key, count(*) AS photo_count, list_sort(list(DISTINCT country_code) FILTER (country_code IS NOT NULL)) AS c FROM each_period GROUP BY ALL)
+SELECT project, period_type, period_key, photo_count, coalesce('[' || list_aggregate(list_transform(c, lambda x: '"' || x || '"'), 'string_agg', ',') || ']', '[]') AS countries_list, coalesce(camera_models_counts, '{{}}') AS camera_models_counts
+FROM lands LEFT JOIN dict USING (project, period_type, period_key)"""
+SQL |= {
+    "crowd_clusters": f"{_crowds}, near AS (SELECT project, a, b FROM pairs WHERE a < b AND meters <= 40), {closure('near', 'found')} SELECT * FROM found",
+    "crowd_clusters_min6": f"""{_crowds}, ends AS (SELECT project, a, b FROM pairs WHERE a <> b AND meters <= 25), core AS (SELECT a AS id FROM ends GROUP BY a HAVING count(*) + 1 >= 6),
+inner_edges AS (SELECT e.project, e.a, e.b FROM ends e JOIN core x ON e.a = x.id JOIN core y ON e.b = y.id WHERE e.a < e.b), {closure('inner_edges', 'linked')},
+cores AS (SELECT b.project, b.id, coalesce(l.cluster, b.id) AS cluster FROM crowd b JOIN core c ON b.id = c.id LEFT JOIN linked l ON b.id = l.id)
+SELECT * FROM cores UNION ALL SELECT e.project, e.a, min(c.cluster) FROM ends e JOIN cores c ON e.b = c.id ANTI JOIN core x ON e.a = x.id GROUP BY 1, 2""",
+    "crowd_neighbours": f"{_crowds} SELECT a AS id, count(*) AS n, min(b) AS least FROM pairs WHERE meters <= 60 GROUP BY 1",
+    "recommend_by_boxes": SQL["recommend_top12"],
+    "itemsets_wide": SQL["itemsets"],
+    "preview_ids_ranges": SQL["preview_ids"],
+    "group_cards_two_level": SQL["group_cards"],
+    "moments_two_level": SQL["moments_list"],
+    "retention_skewed": """WITH docs AS (SELECT doc_id AS id, n_chars AS size, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 77 ELSE (doc_id * 7919) % 100003 END AS recency FROM documents)
+SELECT id, sum(size) OVER (ORDER BY recency DESC NULLS LAST, id DESC) <= (SELECT sum(size) * 3 // 4 FROM docs) AS keep FROM docs""",
+    "geocode_tracks": f"""{BASE}, vertices AS (SELECT project, lon, lat, lag(lon) OVER v AS a, lag(lat) OVER v AS b, last_value(lon) OVER w AS c, last_value(lat) OVER w AS d FROM base WHERE lat IS NOT NULL AND project % 50 = 0
+  WINDOW v AS (PARTITION BY project ORDER BY ts, id), w AS (PARTITION BY project ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+sides AS (SELECT project, lon AS x1, lat AS y1, coalesce(a, c) AS x2, coalesce(b, d) AS y2 FROM vertices),
+met AS (SELECT p.id, s.project FROM base p JOIN sides s ON (s.y1 > p.lat) <> (s.y2 > p.lat) WHERE p.lat IS NOT NULL AND p.lon < (s.x2 - s.x1) * (p.lat - s.y1) / (s.y2 - s.y1) + s.x1 GROUP BY p.id, s.project HAVING count(*) % 2 = 1)
+SELECT id, 'P' || min(project) AS iso FROM met GROUP BY id""",
+    "geocode_simplified": SQL["geocode"],
+    "rollups_followed": _followed,
+    "directory_listing": "SELECT CAST(0 AS BIGINT) AS project, min(doc_id) AS id, '/data/' || source AS path, 'idle' AS status FROM documents WHERE source IS NOT NULL GROUP BY source",
+    "grid_rows": f"""{BASE} SELECT id, file_name, folder_name, ts, CAST(NULL AS VARCHAR) AS tz_offset, country_code, round(lat, 5) AS lat, round(lon, 5) AS lon, CAST(NULL AS VARCHAR) AS camera_make, camera_model,
+CAST(NULL AS INTEGER) AS width, CAST(NULL AS INTEGER) AS height, CAST(NULL AS VARCHAR) AS format, CAST(NULL AS BOOLEAN) AS writable FROM base""",
+    "content_hashes": "SELECT '/files/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.webp' WHEN 1 THEN '.heic' ELSE '.png' END AS path, sha256(coalesce(text, '')) AS content_hash FROM documents",
+}

@@ -13,12 +13,13 @@ from ..functions import calendar as cal
 from ..functions.geo import clamp_radius, haversine
 from ..functions.keywords import folder_keywords
 from ..functions.labels import country_name, date_range_label, kind_flags
-from ..operators import cards, clusters, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
+from ..operators import boxes, cards, clusters, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
 from ..scratch import checkpoint_dir, stored
-from ..sources import boundary
+from ..schema import GRID
+from ..sources import boundary, inventory
 from ..sources import tables as sinks
 from ..streaming import streams
-from .catalog import boundaries, catalog, snapshots, table, tag_links
+from .catalog import boundaries, catalog, crowds, snapshots, table, tag_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -667,3 +668,143 @@ def filters_off(spark, sf_dir):
     """Empty and zero values turn every predicate off."""
     photos = catalog(spark, sf_dir)
     return filters.apply_filters(photos, photo_tags=tag_links(photos), country="", year=0, month="", day=None, camera="", cluster=0, tag="", tags_all=" , ", search="").select("id")
+
+
+# ---------------------------------------------------------------- the forms for crowded places, huge groups and changing catalogs
+
+
+def _crowds(spark, sf_dir):
+    return stored(crowds(filters.base(catalog(spark, sf_dir))))
+
+
+@query
+def crowd_clusters(spark, sf_dir):
+    """Clusters of crowds by stars, outer rows and boxes."""
+    return clusters.dbscan(_crowds(spark, sf_dir), 40, sparse=0)
+
+
+@query
+def crowd_clusters_min6(spark, sf_dir):
+    """Clusters of crowds with core rows counted against boxes, and border rows."""
+    return clusters.dbscan(_crowds(spark, sf_dir), 25, 6, sparse=0)
+
+
+@query
+def crowd_neighbours(spark, sf_dir):
+    """How many rows lie within 60 m of each row of the crowds, and the smallest id among them, by boxes."""
+    rows = _crowds(spark, sf_dir)
+    tree = boxes.boxed(rows, 60)
+    found = boxes.near(tree, tree, 60)
+    n = found.combined(rows.select("id", F.lit(1).cast("long").alias("value")), F.sum).withColumnRenamed("value", "n")
+    return n.join(found.combined(rows.select("id", F.col("id").alias("value")), F.min).withColumnRenamed("value", "least"), "id")
+
+
+@query
+def recommend_by_boxes(spark, sf_dir):
+    """The same as ``recommend_top12``, as in crowded places."""
+    photos = catalog(spark, sf_dir)
+    return tags.recommend_tags(photos, tag_links(photos), sparse=0).select("project", "id", "name", "score", "k_spatial", "n_spatial", "k_temporal", "n_temporal", "k_folder", "rank")
+
+
+@query
+def itemsets_wide(spark, sf_dir):
+    """The same as ``itemsets``, with triples counted in prefix groups."""
+    photos = catalog(spark, sf_dir)
+    return tags.tag_itemsets(photos, tag_links(photos), wide=0)
+
+
+@query
+def preview_ids_ranges(spark, sf_dir):
+    """The same as ``preview_ids``, by ranks in ranges of rows."""
+    return sequence.spread_sample(_groups(spark, sf_dir, "spacetime", 8), ["project", "group_no"], two_level=True).select("project", "group_no", "id")
+
+
+@query
+def group_cards_two_level(spark, sf_dir):
+    """The same as ``group_cards``, without a window over a group."""
+    c = cards.group_cards(_groups(spark, sf_dir, "spacetime", 8), "spacetime", two_level=True)
+    return c.select("project", "group_no", "start", "end", "n", "n_geo", "cover_id", deg("lat").alias("lat"), deg("lon").alias("lon"), deg("min_lat").alias("min_lat"), deg("max_lon").alias("max_lon"), "km", text("countries").alias("countries"), text(F.transform("preview_ids", lambda x: x.cast("string"))).alias("preview_ids"), "place", "date_label", "title", "is_geo")
+
+
+@query
+def moments_two_level(spark, sf_dir):
+    """The same as ``moments_list``, by windows over days."""
+    return moments.moments(filters.base(catalog(spark, sf_dir)), two_level=True).select("project", "moment_id", "kind", "start", "end", "n", "cover_id")
+
+
+@query
+def retention_skewed(spark, sf_dir):
+    """Half of all rows share one recency, some have none."""
+    recency = F.when(F.col("doc_id") % 13 == 0, None).when(F.col("doc_id") % 2 == 0, 77).otherwise((F.col("doc_id") * 7919) % 100003)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), recency.alias("recency"))
+    cap = (docs.agg(F.sum("size")).first()[0] or 0) * 3 // 4
+    return ingest.retain_within_budget(docs, cap).select("id", "keep")
+
+
+@query
+def geocode_tracks(spark, sf_dir):
+    """Points against self-crossing rings of many sides: the tracks of every 50th project, closed."""
+    rows = filters.base(catalog(spark, sf_dir))
+    vertex = F.array("lon", "lat")
+    listed = F.array_sort(F.collect_list(F.struct("ts", "id", vertex.alias("v"))))
+    rings = rows.where("lat is not null and project % 50 = 0").groupBy("project").agg(F.transform(listed, lambda x: x["v"]).alias("ring"))
+    rings = rings.select(F.col("project").alias("ordinal"), F.concat(F.lit("P"), F.col("project").cast("string")).alias("iso"), "ring")
+    return spatial.geocode(rows, rings).select("id", "iso")
+
+
+@query
+def geocode_simplified(spark, sf_dir):
+    """The same as ``geocode``, with boundaries whose sides had three more vertices each until they were simplified."""
+    sides = F.arrays_zip(F.col("ring").alias("p"), F.concat(F.slice("ring", 2, 1000), F.slice("ring", 1, 1)).alias("q"))
+    between = lambda s, t: F.transform(F.arrays_zip(s["p"].alias("u"), s["q"].alias("v")), lambda x: x["u"] * (1 - t) + x["v"] * t)
+    dense = F.flatten(F.transform(sides, lambda s: F.array(s["p"], *[between(s, t) for t in (0.25, 0.5, 0.75)])))
+    rows = boundaries(spark).withColumn("ring", dense)
+    feature = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.concat("ring", F.slice("ring", 1, 1))).alias("coordinates")))
+    built = boundary.build_boundaries(rows.select(F.concat(F.lit("N"), F.monotonically_increasing_id().cast("string")).alias("name"), "iso", feature.alias("geometry")))
+    ordinals = boundaries(spark).select("iso", "ordinal").distinct()
+    return spatial.geocode(filters.base(catalog(spark, sf_dir)), built.join(ordinals, "iso").select("ordinal", "iso", F.explode("polys").alias("ring"))).select("id", "iso")
+
+
+@query
+def rollups_followed(spark, sf_dir):
+    """Rollups from counts that followed a stream of changes: rows added, rows taken away, rows that moved to another country and camera."""
+    photos = catalog(spark, sf_dir)
+    old, gone, new = photos.where("id % 10 = 3"), photos.where("id % 10 = 5"), photos.where("id % 10 = 7")
+    now = old.withColumns({"country_code": F.lit("NATION_0"), "camera_model": F.lit("moved")})
+    signed = lambda d, added: d.select(*photos.columns, F.lit(added).alias("added"))
+    changes = stored(signed(new.unionByName(now), True).unionByName(signed(gone.unionByName(old), False)))
+    state = {"now": stored(rollups.rollup_state(photos.where("id % 10 <> 7")))}
+    live = spark.readStream.schema(changes.schema).parquet(changes.scratch_path)
+    streams.follow_rollups(live, lambda: state["now"], lambda df: state.update(now=stored(df)), f"{_folder(spark)}/state").awaitTermination()
+    return rollups.rollup_json(rollups.rollups_of(state["now"]))
+
+
+@query
+def directory_listing(spark, sf_dir):
+    """Scan roots, one a source, written as their table and read by its schema."""
+    root = _folder(spark)
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("id")).select(F.lit(0).cast("long").alias("project"), "id", F.concat(F.lit("/data/"), "source").alias("path"), F.lit("idle").alias("status"), F.lit(None).cast("timestamp_ntz").alias("last_scanned_at"))
+    sinks.write_table(rows, root, "directories")
+    return sinks.directories(spark, root).select("project", "id", "path", "status")
+
+
+@query
+def grid_rows(spark, sf_dir):
+    """The columns that grids show, of the rows of the stored catalog."""
+    root = _folder(spark)
+    sinks.write_table(catalog(spark, sf_dir), root, "photos")
+    return filters.base(sinks.read_table(spark, root, "photos")).select(*[deg(c).alias(c) if c in ("lat", "lon") else c for c in GRID])
+
+
+@query
+def content_hashes(spark, sf_dir):
+    """Hashes of files made of the documents' texts: WebP containers with metadata beside the text, files cut short, and other formats."""
+    le = lambda n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
+    even = lambda c: F.when(F.length(c) % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("")))
+    chunk = lambda kind, body: F.concat(F.encode(F.lit(kind), "utf-8"), le(F.length(body)), body, even(body))
+    body = F.concat(F.encode(F.lit("WEBP"), "utf-8"), chunk("EXIF", F.encode(F.col("doc_id").cast("string"), "utf-8")), chunk("VP8 ", F.col("raw")), chunk("XMP ", F.encode(F.lit("note"), "utf-8")))
+    webp = F.concat(F.encode(F.lit("RIFF"), "utf-8"), le(F.length(body)), body)
+    kind = F.when(F.col("doc_id") % 3 == 0, "webp").when(F.col("doc_id") % 3 == 1, "heic").otherwise("png")
+    files = docs.select(F.concat(F.lit("/files/"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("path"), F.when(F.col("doc_id") % 3 == 0, webp).otherwise(F.col("raw")).alias("content"))
+    return inventory.content_hashes(files)
