@@ -415,3 +415,22 @@ def test_lines_with_fixed_neighbours_go_in_the_pipeline(spark):
         kept.append(texts[-1])
     got = {r.doc_id: r.text for r in lines.lines_removed(spark, table(spark, texts), "").collect()}
     assert [got[i] for i in range(len(texts))] == kept
+
+
+@pytest.mark.parametrize("copies", [200])
+def test_jaccard_compares_few_pairs_near_the_threshold(spark, monkeypatch, copies):
+    """Copies of one text with three words changed in each: few pairs link, and sketches leave few others to be compared."""
+    rnd = random.Random(5)
+    body = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(copies):
+        copy = list(body)
+        for at in rnd.sample(range(200), 3):
+            copy[at] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    compared = []
+    plain = jaccard.JaccardJoin._distances
+    monkeypatch.setattr(jaccard.JaccardJoin, "_distances", lambda self, pairs: compared.append(pairs.count()) or plain(self, pairs))
+    join = jaccard.JaccardJoin(table(spark, texts), 4, 85, 100)
+    assert Counter(tuple(r) for r in join.documents().collect()) == brute_components(list(range(copies)), texts, 4, 85, 100)
+    assert sum(compared) < copies * 20

@@ -251,7 +251,7 @@ def test_sketches_estimate_similarity(spark):
             both = rnd.permutation(both)[: n + differ]
             x, y = np.sort(both[:n]), np.sort(both[differ:])
             truth = (n - differ) / (n + differ)
-            count = int(np.bitwise_count((minhash.odd_sketch(x) ^ minhash.odd_sketch(y)).view(np.uint64)).sum())
+            count = int(np.bitwise_count((minhash.sample_sketch(x) ^ minhash.sample_sketch(y)).view(np.uint64)).sum())
             rows.append((n, truth, count))
             if 100 <= n <= minhash.SAMPLES:
                 off.append(minhash.estimate(count, n, n) - truth)

@@ -13,7 +13,9 @@
 4. Windows and recursion. A region that still holds several components is joined again: pivots from all components but its largest (sixteen a
    region, then sixteen times as many each round) meet only members of other components inside their window. The window is that of the
    triangle inequality around the region's pivot c, taken apart by elements: two sets share at most the smaller of their shares of c, and outside c at most
-   the smaller of their rests. A round retires its pivots; the rounds end when no region has a member left that is to become one.
+   the smaller of their rests. Inside the window odd sketches of whole sets (``sketches``) bound the symmetric difference from below, which leaves few pairs
+   but those that link, in groups of near copies at the threshold, too. A round retires its pivots; the rounds end when no region has a member
+   left that is to become one.
 
 Windows by distance alone (and cells of nearest pivots with a margin of twice the threshold) hold whole groups of near copies, which all lie at much the same
 distance from one another; the windows by elements leave a small part of these pairs. Copies with equal shingle sets are one node throughout.
@@ -42,6 +44,7 @@ from ..operators.graph import components
 from ..scratch import dropped
 from .common import WORD, arrow_map, stored, table, words_of
 from .packing import CHUNK, SLOTS, buckets_for, packed, pairs_of_shared, unpacked
+from .sketches import differing, most_differing, odd_sketch
 
 #: Ratio of neighbouring size windows' lower ends.
 STEP = 1.7
@@ -157,13 +160,16 @@ def _met(rows: pa.Table) -> pa.Table:
     return pa.table({"part": part, "node": node, "parts0": none(len(node)), "parts1": none(len(node))})
 
 
-def _sets(n: int):
+def _sets(n: int, sketched: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sets = [shingle_set(t.as_py(), n).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+                sets = [shingle_set(t.as_py(), n) for t in part.column(1)]
+                columns = [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())]
+                if sketched:
+                    columns.append(pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "sketch"][: len(columns)])
 
     return run
 
@@ -223,8 +229,8 @@ class JaccardJoin:
         members = stored(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "size", F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")))
         chosen = small(members)
         held = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text")
-        #: node, shingles of every node that shares a rare part with another (twice for a row that repeats)
-        self.sets = stored(arrow_map(held, _sets(n), "node bigint, shingles binary"))
+        #: node, shingles, sketch of every node that shares a rare part with another (twice for a row that repeats)
+        self.sets = stored(arrow_map(held, _sets(n, True), "node bigint, shingles binary, sketch array<bigint>"))
         self.rounds = 0
         self.links, self.roots = self._joined(self._regions(met, members))
         dropped(parts, met, members, self.sets)
@@ -251,7 +257,7 @@ class JaccardJoin:
     def _regions(self, met: DataFrame, members: DataFrame) -> DataFrame:
         """pivot, node and of both the size and the rest (shingles that others have, too): every node of each pivot's region."""
         total = members.agg(F.sum("size")).first()[0] or 0
-        keys = arrow_map(self.sets, _shingles(buckets_for(total)), SLOTS).groupBy("slot").applyInArrow(_alone, "node bigint, own bigint")
+        keys = arrow_map(self.sets.select("node", "shingles"), _shingles(buckets_for(total)), SLOTS).groupBy("slot").applyInArrow(_alone, "node bigint, own bigint")
         own = keys.groupBy("node").agg(F.sum("own").alias("own"))
         rest = F.col("size") - F.coalesce("own", F.lit(0))
         nodes = members.join(own, "node", "left").select("node", "size", rest.alias("rest"))
@@ -266,7 +272,7 @@ class JaccardJoin:
     def _distances(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked, shared (number of shingles) of pairs (a, b)."""
         used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = self.sets.join(used, "node", "left_semi").dropDuplicates(["node"])
+        sets = self.sets.select("node", "shingles").join(used, "node", "left_semi").dropDuplicates(["node"])
         both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
         counted = arrow_map(both.select("a", "b", "x", "y"), _shared, "a bigint, b bigint, shared bigint, n_a bigint, n_b bigint")
         return counted.select("a", "b", self._may_link(F.col("shared"), F.col("n_a") + F.col("n_b")).alias("linked"), "shared")
@@ -277,6 +283,7 @@ class JaccardJoin:
         possible = self._may_link(F.least("rest", "p_rest"), F.col("size") + F.col("p_size"))
         pairs = regions.where(possible).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         found = stored(self._distances(stored(pairs)))
+        sketches = self.sets.select("node", "sketch").dropDuplicates(["node"])
         links, tested, roots = found.where("linked").select("a", "b"), found.select("a", "b"), None
         near = found.select("a", "b", "shared")
         # a member's shingles in the pivot, exactly or at most, and at least as many of the others that it may share with a member outside the pivot
@@ -292,15 +299,17 @@ class JaccardJoin:
             rooted = state.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             count = rooted.groupBy("pivot", "root").agg(F.count("*").alias("n"))
             large = count.groupBy("pivot").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
-            several = stored(rooted.join(large.select("pivot", F.col("top.root").alias("large"), (F.col("n") - F.col("top.n")).alias("rest_of")), "pivot"))
+            several = rooted.join(large.select("pivot", F.col("top.root").alias("large"), (F.col("n") - F.col("top.n")).alias("rest_of")), "pivot")
+            several = stored(several.join(sketches, "node"))
             if several.isEmpty():
                 return links, roots
             # by hash, about as many of those outside a region's largest component as are wanted, all of them in the end
             picked = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.floor(F.col("rest_of") / wanted)))
             several = several.withColumn("chosen", (F.col("root") != F.col("large")) & (picked == 0))
-            p = several.where("chosen").select("pivot", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "size", "rest", "inside", "outside")])
+            p = several.where("chosen").select("pivot", *[F.col(c).alias(f"p_{c}") for c in ("node", "root", "size", "rest", "inside", "outside", "sketch")])
             window = (F.col("root") != F.col("p_root")) & self._may_link(F.least("rest", "p_rest"), F.col("size") + F.col("p_size"))
             window &= self._may_link(F.least("inside", "p_inside") + F.least("outside", "p_outside"), F.col("size") + F.col("p_size"))
+            window &= differing("sketch", "p_sketch") <= most_differing(F.col("size"), F.col("p_size"), self.num, self.den)
             pairs = several.join(p, "pivot").where(window).select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
             found = stored(self._distances(stored(pairs.join(tested, ["a", "b"], "left_anti"))))
             fresh = found.where("linked").select("a", "b")

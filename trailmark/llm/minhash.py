@@ -38,10 +38,11 @@ from ..scratch import dropped
 from .common import arrow_map, stored, table
 from .jaccard import _sets, _shared, shingle_set, small
 from .packing import CHUNK, SLOTS, buckets_for, packed, pairs_of_shared
+from .sketches import BITS, differing, most_differing, odd_sketch
 
 BANDS, ROWS = 60, 5
-#: Samples that are folded into a sketch, its bits, and standard deviations of a large set's sample that a candidate may lie below the threshold.
-SAMPLES, BITS, DEVIATIONS = 1024, 1024, 6
+#: Samples that are folded into a sketch, and standard deviations of a large set's sample that a candidate may lie below the threshold.
+SAMPLES, DEVIATIONS = 1024, 6
 #: Members of a region that meet the others in its first round, and how many times more in each later one.
 PIVOTS = 16
 #: Elements of a block while samples are taken (4 bytes each).
@@ -82,11 +83,9 @@ def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
     return h
 
 
-def odd_sketch(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Parities of the positions of a sorted set's least hashes, as 64-bit words."""
-    at = _mixed(shingles[:SAMPLES] * _M[1]) % np.uint64(bits)
-    odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
+def sample_sketch(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Odd sketch of a sorted set's least hashes."""
+    return odd_sketch(shingles[:SAMPLES], bits)
 
 
 def estimate(count: float, a: int, b: int, bits: int = BITS) -> float:
@@ -98,12 +97,11 @@ def estimate(count: float, a: int, b: int, bits: int = BITS) -> float:
 def most_bits(a: Column, b: Column, num: int, den: int, bits: int = BITS) -> Column:
     """The largest population count that the sketches of two linked sets of ``a`` and ``b`` elements have (of larger ones but for a chance)."""
     total, larger, smaller = a + b, F.greatest(a, b), F.least(a, b)
-    differ = F.floor(total * (den - num) / (den + num))
     share = F.least(F.lit(1.0), total * (num / (den + num)) / larger)  # at least so much of the larger set is in both
     both = SAMPLES * share - DEVIATIONS * F.sqrt(SAMPLES * share * (1 - share)) - 1
     sampled = SAMPLES + F.least(smaller, F.lit(SAMPLES)) - 2 * both
     mean = bits / 2 * (1 - F.exp(-2 * sampled / bits))
-    return F.when(larger <= SAMPLES, differ).otherwise(F.ceil(F.least(sampled, mean + DEVIATIONS * F.sqrt(mean) / 2)))
+    return F.when(larger <= SAMPLES, most_differing(a, b, num, den)).otherwise(F.ceil(F.least(sampled, mean + DEVIATIONS * F.sqrt(mean) / 2)))
 
 
 def _digests(n: int, bands: int, rows: int):
@@ -120,7 +118,7 @@ def _digests(n: int, bands: int, rows: int):
                         continue
                     h = xxhash.xxh3_128_intdigest(s.tobytes())
                     low, high = np.array([h & (1 << 64) - 1, h >> 64], np.uint64).view(np.int64).tolist()
-                    found.append((len(s), low, high, band_keys(samples(s, factors, masks), bands).view(np.int64), odd_sketch(s)))
+                    found.append((len(s), low, high, band_keys(samples(s, factors, masks), bands).view(np.int64), sample_sketch(s)))
                 columns = [pa.array([r[i] for r in found], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], ["doc_id", "text_hash", "n_shingles", "low", "high", "keys", "sketch"])
 
@@ -154,12 +152,6 @@ def _shared_keys(rows: pa.Table) -> pa.Table:
     return pa.table({"key": key, "node": node})
 
 
-def differing(a: str, b: str) -> Column:
-    """Population count of the XOR of two sketch columns."""
-    counts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)]
-    return sum(counts[1:], counts[0])
-
-
 class OddSketchJoin:
     """Links between documents whose sets of ``n``-word shingles have a Jaccard similarity of at least ``num`` / ``den``."""
 
