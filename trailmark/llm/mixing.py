@@ -43,10 +43,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     ranked = sizes.withColumn("__w", F.element_at(listed, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
     cap = F.col("source_size") * F.lit(float(most))
     by_ratio = Window.orderBy((cap / F.col("__w")).asc(), F.col("source").asc_nulls_last())
-    before, rest = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
+    before, whole = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    capped = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
     # the level if exactly the sources before this one were capped; it holds from the first that stays under its cap
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("__w").over(rest)
+    level = (F.sum("source_size").over(whole) - capped(cap)) / (F.sum("__w").over(whole) - capped("__w"))
     leveled = ranked.withColumn("__level", level).withColumn("__ratio", cap / F.col("__w"))
     holds = F.min(F.when(F.col("__level") <= F.col("__ratio"), F.struct(F.col("__ratio"), F.col("source").isNull(), F.col("source"), F.col("__level").alias("level")))).over(whole)
     return leveled.withColumn("__level", holds["level"]).select(
