@@ -52,6 +52,18 @@ def test_inventory(spark, tmp_path):
     assert got["a.jpg"] == inventory.image_hash("jpg", jpeg(b"E")) and got["h.heic"] == inventory.image_hash("heic", b"raw")
 
 
+def test_inventory_of_hidden_names(spark, tmp_path):
+    """Names that begin with an underscore are listed at any depth, dot-files too; dot-folders are not."""
+    kept = ["_x/a.jpg", "_x/sub/b.jpg", "sub/_y/c.jpg", "sub/_y/_z/d.png", "_e.jpg", ".f.jpg", "sub/deep/_g.webp", "sub/[odd] {name}/_h/i.jpg", "plain.jpg"]
+    gone = [".git/a.jpg", ".git/_x/b.jpg", "sub/.cache/_c.jpg", "_x/.cache/d.jpg", "_x/node_modules/e.jpg", "_notes.txt"]
+    for name in kept + gone:
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(name.encode())
+    got = {r.path.removeprefix(f"file:{tmp_path}/"): r["size"] for r in inventory.discover(spark, str(tmp_path)).collect()}
+    assert got == {n: len(n.encode()) for n in kept}
+
+
 def test_tables(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5, "x", "idle", None), (2, 4, "y", "idle", None)], TABLES["directories"])
     tables.write_table(rows, str(tmp_path), "directories")

@@ -382,6 +382,7 @@ inner_edges AS (SELECT e.project, e.a, e.b FROM ends e JOIN core x ON e.a = x.id
 cores AS (SELECT b.project, b.id, coalesce(l.cluster, b.id) AS cluster FROM crowd b JOIN core c ON b.id = c.id LEFT JOIN linked l ON b.id = l.id)
 SELECT * FROM cores UNION ALL SELECT e.project, e.a, min(c.cluster) FROM ends e JOIN cores c ON e.b = c.id ANTI JOIN core x ON e.a = x.id GROUP BY 1, 2""",
     "crowd_neighbours": f"{_crowds} SELECT a AS id, count(*) AS n, min(b) AS least FROM pairs WHERE meters <= 60 GROUP BY 1",
+    "temporal_counts_12h": SQL["temporal_pairs_12h"],
     "recommend_by_boxes": SQL["recommend_top12"],
     "itemsets_wide": SQL["itemsets"],
     "preview_ids_ranges": SQL["preview_ids"],

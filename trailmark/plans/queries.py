@@ -301,7 +301,7 @@ def trip_stops(spark, sf_dir):
 
 @query
 def stop_assignment(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
+    runs = stored(_runs(spark, sf_dir))
     return moments.stop_assignment(runs, moments.trip_stops(runs)).groupBy("project", "run_no", "stop_no").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
@@ -452,6 +452,14 @@ def temporal_pairs_12h(spark, sf_dir):
     return spatial.time_join(rows, rows, 12 * 3600).where("l_id <> r_id").groupBy("project", "l_id").agg(F.count("*").alias("n"))
 
 
+@query
+def temporal_counts_12h(spark, sf_dir):
+    """The same as ``temporal_pairs_12h``, without pairs."""
+    rows = filters.base(catalog(spark, sf_dir)).select("project", "id", "ts", F.lit(1).cast("long").alias("one"))
+    near = spatial.count_within(rows, ["project"], 12 * 3600, "one")
+    return near.where("n_within > 1").select("project", F.col("id").alias("l_id"), (F.col("n_within") - 1).alias("n"))
+
+
 @query
 def distance_to_home(spark, sf_dir):
     rows = filters.base(catalog(spark, sf_dir))
@@ -477,7 +485,7 @@ def cluster_summary(spark, sf_dir):
 
 
 def _two_runs(spark, sf_dir):
-    rows = filters.base(catalog(spark, sf_dir))
+    rows = stored(filters.base(catalog(spark, sf_dir)))
     return clusters.dbscan(rows, 300), clusters.dbscan(rows.where("id % 4 <> 0"), 300), rows
 
 
@@ -485,7 +493,7 @@ def _two_runs(spark, sf_dir):
 def cluster_match(spark, sf_dir):
     """Old clusters: of the rows whose id is not divisible by 4."""
     new, old, _ = _two_runs(spark, sf_dir)
-    return clusters.overlaps(new, old).where(F.col("jaccard") > DEFAULTS.stable_jaccard).select("project", "new", "old", "shared", F.round("jaccard", 9).alias("jaccard"))
+    return clusters.overlaps(stored(new), stored(old)).where(F.col("jaccard") > DEFAULTS.stable_jaccard).select("project", "new", "old", "shared", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query

@@ -16,14 +16,47 @@ from ..functions.labels import READ_ONLY, WRITABLE, file_format
 IGNORED = ("tmp", "lock", "bak")
 
 
+def _literal(path: str) -> str:
+    """``path`` with the characters escaped that would match others."""
+    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in path)
+
+
+def _hidden(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int, int]]]:
+    """Folders below ``root`` that begin with an underscore, and (path, size, mtime) of files that begin with an underscore or a dot: what Spark's listing hides.
+
+    Folders that begin with a dot are left out with all that is in them. Names are matched by the file system, a level at a time, on the driver,
+    which holds the names of a level (as Spark's own listing does) and the matches.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    base = hadoop(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(base).toString()
+    escaped = _literal(top)
+    folders, files, level = [], [], ""
+    while len(fs.globStatus(hadoop(f"{escaped}{level}/*")) or ()):
+        for found in fs.globStatus(hadoop(f"{escaped}{level}/[_.]*")) or ():
+            path = found.getPath().toString()
+            *above, name = path.removeprefix(top).strip("/").split("/")
+            if any(a.startswith(".") for a in above):
+                continue
+            if not found.isDirectory():
+                files.append((path, found.getLen(), found.getModificationTime()))
+            elif name.startswith("_"):
+                folders.append(path)
+        level += "/*"
+    return folders, files
+
+
 def discover(spark: SparkSession, root: str, nested_projects: DataFrame | None = None) -> DataFrame:
     """path, size, mtime (ms) of the image files under a root; no content is read.
 
-    ``nested_projects``: column ``root``, folders of other projects, whose files are left out. Spark's listing hides names that begin with a dot
-    or an underscore; ``node_modules`` is left out here.
+    ``nested_projects``: column ``root``, folders of other projects, whose files are left out. ``node_modules`` and folders that begin with a dot are
+    left out; names that begin with an underscore, and files that begin with a dot, are listed, though Spark's sources can't read files of such names.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    folders, hidden = _hidden(spark, root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([_literal(p) for p in (root, *folders)])
     files = files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    files = files.unionByName(spark.createDataFrame(hidden, "path STRING, size LONG, mtime LONG")) if hidden else files
     kept = files.where(file_format(F.col("path")).isin(*WRITABLE, *READ_ONLY) & ~F.col("path").contains("/node_modules/"))
     if nested_projects is None:
         return kept
