@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_METERS, haversine
-from ..scratch import stored
+from ..scratch import dropped, stored
 from .graph import components
 from .spatial import DEGREE_METERS, cell_number, neighbour_pairs, radius_join
 
@@ -94,7 +94,9 @@ def boxed(photos: DataFrame, meters: float, leaf: int = LEAF) -> Boxes:
     leaves = tree.where("leaf").select(F.col("box").alias("own"), *[F.col(f"box.{k}").alias(k) for k in ROOT], F.col("box.level").alias("level"))
     flat = rows.join(leaves.where("level = 0").select(*ROOT, "level"), ROOT)
     split = rows.join(crowded, ROOT).withColumn("own", levels).join(leaves.where("level > 0").select("own", "level"), "own").drop("own")
-    return Boxes(stored(flat.unionByName(split.select(*flat.columns))), tree)
+    leveled = stored(flat.unionByName(split.select(*flat.columns)))
+    dropped(rows, deepest, every)
+    return Boxes(leveled, tree)
 
 
 def root_pairs(left: Boxes, right: Boxes, meters: float) -> DataFrame:
@@ -169,15 +171,18 @@ class Near:
 
 def near(left: Boxes, right: Boxes, meters: float) -> Near:
     state = stored(root_pairs(left, right, meters))
-    wholes, rims = [], []
+    wholes, rims, states = [], [], [state]
     while not state.isEmpty():
         whole, rim, large = judged(state, meters)
         wholes.append(whole.select(F.col("l.box").alias("l"), F.col("r.box").alias("r")))
         rims.append(rim)
         state = stored(taken_apart(large, left, right))
+        states.append(state)
     union = lambda parts, empty: empty if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:], empty))
     whole = union(wholes, state.select(F.col("l.box").alias("l"), F.col("r.box").alias("r")))
-    return Near(left, right, stored(whole), stored(compared(union(rims, state), left, right, meters)))
+    out = Near(left, right, stored(whole), stored(compared(union(rims, state), left, right, meters)))
+    dropped(*states)
+    return out
 
 
 def linked(pairs: DataFrame, tree: Boxes, meters: float) -> DataFrame:
@@ -187,7 +192,8 @@ def linked(pairs: DataFrame, tree: Boxes, meters: float) -> DataFrame:
         whole, rim, large = judged(state, meters)
         hit = stored(whole.select("a", "b").unionByName(compared(rim, tree, tree, meters).select("a", "b")).distinct())
         found = hit if found is None else found.unionByName(hit)
-        state = stored(taken_apart(large.join(hit, ["a", "b"], "left_anti"), tree, tree))
+        last, state = state, stored(taken_apart(large.join(hit, ["a", "b"], "left_anti"), tree, tree))
+        dropped(last)
     return state.select("a", "b") if found is None else found
 
 
