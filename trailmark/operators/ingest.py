@@ -87,7 +87,8 @@ def _boundary(rows: DataFrame, column: str, room: int, buckets: int) -> tuple[in
     low, high = rows.agg(F.min(column), F.max(column)).first()
     while low is not None:
         width = (high - low) // buckets + 1
-        bucket = F.expr(f"CAST(({column} - {low}) DIV {width} AS BIGINT)") if width < 1 << 62 else F.when(F.col(column) >= 0, 1).otherwise(0)
+        number = column if high - low < 1 << 62 else f"CAST({column} AS DECIMAL(20, 0))"  # a difference may exceed 64 bits
+        bucket = F.expr(f"({number} - ({low})) DIV {width}")
         sums = dict(rows.where(F.col(column).between(low, high)).groupBy(bucket.alias("b")).agg(F.sum("size")).collect())  # a bounded number of sums
         for b in sorted(sums, reverse=True):
             if sums[b] > room:
@@ -97,7 +98,7 @@ def _boundary(rows: DataFrame, column: str, room: int, buckets: int) -> tuple[in
             return None, room
         if width == 1:
             return low + b, room
-        low, high = (low + b * width, min(high, low + (b + 1) * width - 1)) if width < 1 << 62 else (0, high) if b else (low, -1)
+        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
     return None, room
 
 
