@@ -59,7 +59,7 @@ def test_queries_have_sql(spark):
     from trailmark.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, SF)
@@ -70,7 +70,7 @@ def test_queries_have_sql(spark):
         assert sorted(columns) == names and sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == want, name
 
 
-def test_ten_queries_are_registered():
+def test_numbered_queries_are_registered():
     from trailmark.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
