@@ -122,6 +122,8 @@ def boundary_tiles(boundaries: DataFrame, tile: float = TILE, halvings: int = HA
         crowd = touched.groupBy("tx", "ty").agg(F.sum("n").alias("n")).where(F.col("n") > (segments if level < halvings else F.lit(1 << 62))).select("tx", "ty")
         state = stored(open_.join(touched, ["ring_no", "tx", "ty"], "left").join(crowd.withColumn("large", F.lit(True)), ["tx", "ty"], "left"))
         leaves.append(state.where("large is null").select(F.lit(level).alias("level"), "tx", "ty", "ring_no", F.col("n").isNotNull().alias("edge")))
+        if level == halvings or state.where("large").isEmpty():
+            break
         halves = lambda df: df.withColumn("tx", F.explode(F.array(F.col("tx") * 2, F.col("tx") * 2 + 1))).withColumn("ty", F.explode(F.array(F.col("ty") * 2, F.col("ty") * 2 + 1)))
         open_ = halves(state.where("large").select("ring_no", "tx", "ty"))
         held = halves(held.join(crowd, ["tx", "ty"], "left_semi").select("ring_no", "px", "py", "qx", "qy", "tx", "ty"))
