@@ -121,27 +121,27 @@ class Spelling:
 class Memo(dict):
     """Key -> ids as bytes of int32, filled on demand by ``fill`` and emptied when full."""
 
-    def __init__(self, fill):
+    def __init__(self, fill, size: int = MEMO):
         super().__init__()
-        self.fill = fill
+        self.fill, self.size = fill, size
 
     def __missing__(self, key: str) -> bytes:
         ids = self.fill(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.size:
                 self.clear()
             self[key] = ids
         return ids
 
 
 class Codec:
-    def __init__(self, entries: list[bytes], pattern: str, hashed: PerfectHash):
+    def __init__(self, entries: list[bytes], pattern: str, hashed: PerfectHash, memo: int = MEMO):
         self.hashed, self.split = hashed, regex.compile(pattern).findall
         self.ranks = {t: i for i, t in enumerate(entries)}  # pairs, for the second tier
         self.bytes = Spelling(entries)
         self.decimals = Spelling([b"%d " % i for i in range(len(entries))])
-        self.tokens = Memo(self.lookup)
-        self.stretches = Memo(lambda s: b"".join(map(self.tokens.__getitem__, self.split(" " + s))))
+        self.tokens = Memo(self.lookup, memo)
+        self.stretches = Memo(lambda s: b"".join(map(self.tokens.__getitem__, self.split(" " + s))), memo)
 
     def lookup(self, token: str) -> bytes:
         """The two tiers."""
@@ -158,11 +158,11 @@ class Codec:
         return self.bytes.join(ids)
 
 
-def _codec(spark, path: str, pattern: str):
+def _codec(spark, path: str, pattern: str, memo: int = MEMO):
     """A function that gives each task the codec; the hash is built once here and broadcast (size of one vocabulary)."""
     entries = read_ranks(path)
     sent = spark.sparkContext.broadcast((entries, PerfectHash(entries)))
-    return lambda: Codec(sent.value[0], pattern, sent.value[1])
+    return lambda: Codec(sent.value[0], pattern, sent.value[1], memo)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -187,10 +187,10 @@ def _digest(codec: Codec, text: str | None) -> tuple:
     return len(ids), decimal.hexdigest(), raw.hexdigest()
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encodes, then decodes, every whole text; returns the number of tokens and digests of ids and decoded bytes."""
+def token_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), memo: int = MEMO) -> DataFrame:
+    """Encodes, then decodes, every whole text; returns the number of tokens and digests of ids and decoded bytes. ``memo``: entries of each memo."""
     fields = [("n_tokens", pa.int64(), "bigint"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
-    return per_row(docs, text, _digest, fields, list(keep), _codec(docs.sparkSession, path, pattern))
+    return per_row(docs, text, _digest, fields, list(keep), _codec(docs.sparkSession, path, pattern, memo))
 
 
 def op2_byte_bpe(spark, sf_dir):
