@@ -1,16 +1,17 @@
 """Line dedup by a log-template tree of fixed depth.
 
 Each line of a text is parsed: its tokens (between ASCII white space) are counted, and tokens that vary by their shape (those with a digit or
-an ``@``) become ``<*>``. The tree's first level is the token count; below it the tokens lead in ``STRETCHES`` steps, each of a quarter of them, to a
-template. A field that varies otherwise (``user alice logged in today``, ``user bob logged in today``) takes the ``<*>`` branch of its step:
-besides its own template a line has one for each step, with that step's tokens generalised, as long as ``MIN_FIXED`` tokens stay fixed.
-Fields of one step vary together; a line with fields in two steps that vary by more than shape is known by its own template only. What is generalised
-depends on the line alone, not on the order of lines.
+an ``@``) become ``<*>``. The result is the line's own template. The tree puts lines that differ in named fields under common ones (``user alice
+logged in``, ``user bob logged in``): its first level is the token count, and below it the tokens lead in at most ``DEPTH`` steps (a token each, or
+sixths of a longer line) to a leaf, a template. At each step a line takes the branch of its own tokens, if that branch can still hold a
+recurring template, and the ``<*>`` branch, for up to ``FIELDS`` steps, as long as ``FIXED_STEPS`` steps stay fixed. A branch can hold one only if
+several own templates in ``MIN_DOCUMENTS`` texts pass through it, and these are counts over all lines: the tree grows level by level, for all lines
+at once, and doesn't depend on their order. Lines of three tokens or fewer have their own template only.
 
 A template recurs when ``MIN_DOCUMENTS`` documents hold it. Texts that are equal count as one document, and so do texts that share most of their
 sentences, so that the lines of a much-copied document stay: these are found by ``BANDS`` hashes, each of ``BAND_ROWS`` minima over the text's set of
 sentences (what stands between full stops in a line): two texts of likeness 0.8 have one in common but for 1 case in 2,900, of 0.5 in every second case, of 0.1 in 1 case of 5,000. Lines
-with a recurring template are dropped from all documents, whatever their length, their place and the lines beside them.
+under a recurring template, their own or one of the tree, are dropped from all documents, whatever their length, their place and the lines beside them.
 
 Counting goes over distinct (template, text) rows, combined before each shuffle, so hot lines and large groups of copies
 meet as counts only. What is dropped depends on the text alone; the lists of dropped lines therefore go back to the documents by
@@ -29,37 +30,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import dropped
 from .common import arrow_map, per_row, stored, table
 
-STRETCHES, MIN_FIXED, MIN_DOCUMENTS = 4, 4, 10
+DEPTH, FIELDS, FIXED_STEPS, MIN_DOCUMENTS = 6, 2, 3, 10
 #: Lines of fewer tokens that all vary by shape stand for themselves ("7", "10:30").
 SHORT = 4
 BANDS, BAND_ROWS = 20, 5
 _MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Own templates that a task remembers.
+SEEN = 1_000_000
+_NO_STEPS = [None] * DEPTH
 VARIES = re.compile(rb"[^\x20]*[0-9@][^\x20]*")
 
 
-def parsed(line: bytes) -> tuple[list[int], bytes]:
-    """Keys of a line's templates (its own first, then those with one step generalised), and its text with ``<*>`` for what varies by shape. A blank line has none."""
+def parsed(line: bytes) -> tuple[int | None, bytes, list[int | None]]:
+    """Key of a line's own template (None: a blank line), its text with ``<*>`` for what varies by shape, and its steps in the
+    tree (None: nothing in it is fixed), which are empty if too few are fixed."""
     tokens = line.split()
     n = len(tokens)
     if not n:
-        return [], b""
+        return None, b"", []
     text = b" ".join(tokens)
-    fixed = n
+    plain = True
     if VARIES.search(text):
         general = VARIES.sub(b"<*>", text)
-        fixed = n - general.split(b" ").count(b"<*>")
-        if fixed or n >= SHORT:
-            text, tokens = general, general.split(b" ")
-    keys = [_signed(text, n)]
-    if fixed > MIN_FIXED:
-        ends = [i * n // STRETCHES for i in range(STRETCHES + 1)]
-        steps = [b" ".join(tokens[a:b]) for a, b in zip(ends, ends[1:])]
-        for i, (a, b) in enumerate(zip(ends, ends[1:])):
-            if fixed - (b - a) + tokens[a:b].count(b"<*>") >= MIN_FIXED:
-                keys.append(_signed(b"\n".join((*steps[:i], b"<*>", *steps[i + 1 :])), n))
-    return keys, text
+        if n >= SHORT or general.count(b"<*>") < n:
+            text, plain = general, False
+    if n <= FIXED_STEPS:
+        return _signed(text, n), text, []
+    if not plain:
+        tokens = text.split(b" ")
+    depth = min(n, DEPTH)
+    ends = [i * n // depth for i in range(depth + 1)]
+    steps = [tokens[a:b] for a, b in zip(ends, ends[1:])]
+    keys = [None if not plain and x.count(b"<*>") == len(x) else _signed(b" ".join(x)) for x in steps]
+    return _signed(text, n), text, keys if depth - keys.count(None) >= FIXED_STEPS else []
 
 
 def _signed(text: bytes, seed: int = 0) -> int:
@@ -67,10 +73,6 @@ def _signed(text: bytes, seed: int = 0) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def templates(line: bytes) -> list[int]:
-    return parsed(line)[0]
-
-
 def bands(keys: set[int]) -> list[int]:
     """``BANDS`` hashes of a set of sentences: two sets have each in common with probability likeness ** ``BAND_ROWS``."""
     found = np.fromiter(keys, np.int64, len(keys)).view(np.uint64)
@@ -81,33 +83,53 @@ def bands(keys: set[int]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(raw[b * width : (b + 1) * width], b) >> 1 for b in range(BANDS)]
 
 
+_STEPS = [f"s{i}" for i in range(DEPTH)]
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text hashes, text) -> a row for each template of each line, and one for each band of the text, at a negative line."""
-    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("template", pa.int64()), ("line", pa.int32())])
+    """(text hashes, text) -> a row for each line that isn't blank, and one for each band of the text, at a negative line.
+
+    The steps of an own template come with the first line that has it (and again after ``SEEN`` others)."""
+    schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("template", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), *((c, pa.int64()) for c in _STEPS)])
     seen: set[tuple[int, int]] = set()  # hashes of this task's texts: copies are parsed once
+    known: set[int] = set()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            t1s, t2s, counts, keys, where = [], [], [], [], []
+            t1s, t2s, counts, keys, where, sizes, paths = [], [], [], [], [], [], []
             for t1, t2, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                 if (t1, t2) in seen:
                     continue
                 seen.add((t1, t2))
                 own, began = set(), len(keys)
                 for i, line in enumerate(text.as_py().encode().split(b"\n")):
-                    found, normal = parsed(line)
-                    if found:
-                        own.update(map(_signed, normal.split(b". ")))
-                        keys += found
-                        where += [i] * len(found)
+                    key, normal, steps = parsed(line)
+                    if key is None:
+                        continue
+                    own.update(map(_signed, normal.split(b". ")))
+                    keys.append(key)
+                    where.append(i)
+                    if steps and key not in known:
+                        if len(known) >= SEEN:
+                            known.clear()
+                        known.add(key)
+                        sizes.append(normal.count(b" ") + 1)
+                        paths.append(steps + [None] * (DEPTH - len(steps)))
+                    else:
+                        sizes.append(None)
+                        paths.append(_NO_STEPS)
                 if own:
                     keys += bands(own)
                     where += range(-1, -1 - BANDS, -1)
+                    sizes += [None] * BANDS
+                    paths += [_NO_STEPS] * BANDS
                     t1s.append(t1)
                     t2s.append(t2)
                     counts.append(len(keys) - began)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(t, np.int64), counts)) for t in (t1s, t2s)] + [pa.array(keys, pa.int64()), pa.array(where, pa.int32())], schema=schema)
+                texts = [pa.array(np.repeat(np.array(t, np.int64), counts)) for t in (t1s, t2s)]
+                columns = [pa.array(keys, pa.int64()), pa.array(where, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(c, pa.int64()) for c in zip(*paths))]
+                yield pa.RecordBatch.from_arrays([*texts, *columns], schema=schema)
 
 
 def _text_hashes(text: str) -> list:
@@ -115,9 +137,9 @@ def _text_hashes(text: str) -> list:
 
 
 def parsed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """t1, t2 (the text's hash), template, line of every template of every line; bands at negative lines. Copies may repeat."""
+    """t1, t2 (the text's hash), template, line of every line that isn't blank, with the steps of some; bands at negative lines. Copies may repeat."""
     rows = docs.where(F.length(text) > 0).select(*_text_hashes(text), F.col(text).alias("text"))
-    return arrow_map(rows, _parsed, "t1 bigint, t2 bigint, template bigint, line int")
+    return arrow_map(rows, _parsed, ", ".join(["t1 bigint, t2 bigint, template bigint, line int, n int", *(f"{c} bigint" for c in _STEPS)]))
 
 
 def families(sketches: DataFrame) -> DataFrame:
@@ -133,15 +155,47 @@ def families(sketches: DataFrame) -> DataFrame:
     return shared.join(label, "band").groupBy("t1", "t2").agg(F.max("label")["band"].alias("family"))
 
 
+def tree(own: DataFrame, least: int) -> DataFrame:
+    """template, leaf: the leaves that own templates reach, of those that several of them in ``least`` texts reach together.
+
+    ``own``: template, texts (how many hold it), n, s0 to s5 (its steps). One level of the tree at a time; a hot branch is
+    counted before it is shuffled, and its rows, one for each own template, may be split in the join.
+    """
+    whole = (F.sum("texts") >= least) & (F.count("*") > 1)  # sums of texts are bounds from above on documents
+    fixed = sum(F.col(c).isNotNull().cast("int") for c in _STEPS)
+    rows = stored(own.where("n is not null").withColumns({"node": F.col("n").cast("long"), "fields": F.least(fixed - FIXED_STEPS, F.lit(FIELDS))}))
+    for i, step in enumerate(_STEPS):
+        open_ = rows.where(F.col(step).isNotNull()).groupBy("node", step).agg(whole.alias("open")).where("open")
+        to = lambda node, fields: F.struct(node.alias("node"), fields.alias("fields"))
+        field, left = F.xxhash64("node", F.lit("<*>")), F.col("fields")
+        children = (
+            F.when(F.col("n") <= i, F.array(to(F.col("node"), left)))
+            .when(F.col(step).isNull(), F.array(to(field, left)))
+            .otherwise(F.array(F.when(F.col("open"), to(F.xxhash64("node", step), left)), F.when(left > 0, to(field, left - 1))))
+        )
+        grown = rows.join(open_, ["node", step], "left").withColumn("child", F.explode(F.filter(children, lambda x: x.isNotNull())))
+        below, rows = rows, stored(grown.select("template", "texts", "n", *_STEPS[i + 1 :], "child.*"))
+        dropped(below)
+    leaves = rows.groupBy("node").agg(whole.alias("open")).where("open").select("node")
+    found = stored(rows.join(leaves, "node", "left_semi").select("template", F.col("node").alias("leaf")))
+    dropped(rows)
+    return found
+
+
 def recurring(parsed: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """template of those that ``min_documents`` documents hold; copies, equal or nearly so, are one document."""
-    lines = parsed.where("line >= 0").select("template", "t1", "t2")
-    held = lines.groupBy("template").agg(F.count_distinct("t1").alias("n")).where(F.col("n") >= min_documents).select("template")
-    held = stored(held)  # in as many texts; their families can only be fewer
-    each = lines.join(held, "template", "left_semi").distinct()
-    kin = families(parsed.where("line < 0").select("t1", "t2", F.col("template").alias("band")))
-    each = each.join(stored(kin), ["t1", "t2"], "left").select("template", F.coalesce("family", "t1").alias("family")).distinct()
-    return each.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("template")
+    """template of the own templates that ``min_documents`` documents hold or that lie under such a leaf; copies, equal or nearly so, are one document."""
+    lines = parsed.where("line >= 0")
+    own = stored(lines.groupBy("template").agg(F.count_distinct("t1").alias("texts"), *(F.max(c).alias(c) for c in ("n", *_STEPS))))
+    leaves = tree(own, min_documents)
+    held = own.where(F.col("texts") >= min_documents)  # in as many texts; their families can only be fewer
+    under = stored(held.select("template", F.col("template").alias("leaf")).unionByName(leaves))
+    each = lines.select("template", "t1", "t2").join(under, "template").select("leaf", "t1", "t2").distinct()
+    kin = stored(families(parsed.where("line < 0").select("t1", "t2", F.col("template").alias("band"))))
+    each = each.join(kin, ["t1", "t2"], "left").select("leaf", F.coalesce("family", "t1").alias("family")).distinct()
+    often = each.groupBy("leaf").agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents)
+    found = stored(under.join(often, "leaf", "left_semi").select("template").distinct())
+    dropped(own, leaves, under, kin)
+    return found
 
 
 def _cut(row: dict) -> tuple:
@@ -156,9 +210,10 @@ def _cut(row: dict) -> tuple:
 def without_recurring(docs: DataFrame, text: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``, and the columns __lines and __dropped (counts)."""
     parsed = stored(parsed_lines(docs, text))  # texts are parsed once, for the counts and for what they drop
-    drop = stored(recurring(parsed, min_documents))
+    drop = recurring(parsed, min_documents)
     hit = parsed.where("line >= 0").join(drop, "template", "left_semi").groupBy("t1", "t2").agg(F.collect_set("line").alias("__drop"))  # bounded by one text's lines
     hit = stored(hit)  # so that a large group of copies, which meets in one partition of the join, can be split there
+    dropped(parsed, drop)
     t1, t2 = _text_hashes(text)
     rows = docs.withColumns({"__t1": t1, "__t2": t2}).join(hit.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), ["__t1", "__t2"], "left")
     others = [c for c in docs.columns if c != text]
