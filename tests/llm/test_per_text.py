@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, media, pii, secrets, toxicity
 
@@ -407,6 +408,26 @@ def test_all_segments_train(spark, monkeypatch):
     assert [len(r) for r in got] == [14, 1] and set(np.concatenate(got[0])) == set(np.concatenate(toxicity.segments(text)))
 
 
+def test_the_sample_is_bounded_by_rows_and_characters(spark):
+    """Rows in the order of a hash, until their characters are used up; a very long one takes no part and stops none."""
+    texts = {i: "x" * (10 + i) for i in range(40)} | {40: "y" * 500, 41: None}
+    docs = spark.createDataFrame([*texts.items(), (3, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(42), 7, 99]] + [(7, 1), (None, 1), (8, None)], "doc_id long, toxic int")
+    order = [r.doc_id for r in labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    sizes = {i: len(t or "") + 5 * (i == 3) for i, t in texts.items()}
+    want, total = [], 0
+    for i in order[:30]:
+        if i in sizes and sizes[i] <= 100:
+            total += sizes[i]
+            if total <= 10_000:
+                want.append(i)
+    for chars, ids in ((10_000, want), (100_000, [i for i in order[:30] if i in sizes])):
+        got = toxicity.training_rows(docs, labels, "toxic", 30, chars).collect()
+        assert sorted(r.doc_id for r in got) == sorted([*ids, *[3] * (3 in ids)])
+    few = toxicity.training_rows(docs, labels, "toxic", 30, 4_900).collect()
+    assert 0 < len(few) and sum(len(r.text or "") for r in few) <= 4_900 and all(len(r.text or "") <= 49 for r in few)
+
+
 def test_scores_of_odd_texts(docs):
     machine = toxicity.fit([toxicity.segments("a b c")] * 10, np.zeros(10))
     rows = by_text(toxicity.scored(docs, machine), docs)

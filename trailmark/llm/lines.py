@@ -39,7 +39,7 @@ SHORT = 4
 BANDS, BAND_ROWS = 20, 5
 _MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Own templates that a task remembers.
-SEEN = 1_000_000
+SEEN = 300_000
 _NO_STEPS = [None] * DEPTH
 VARIES = re.compile(rb"[^\x20]*[0-9@][^\x20]*")
 

@@ -6,9 +6,9 @@ insult with a group's name count beyond what each adds alone. Texts are cut into
 of a segment are its features, and a document's logit is that of its highest segment, so that an insult weighs the same in a short
 and in a very long text.
 
-Training: labelled rows outside the held-out fold, at most ``max_rows`` of them (those with the lowest hash of doc_id; a
-documented bound), with all their segments, go to the driver as term numbers; a model of
-fixed size comes back by broadcast. Terms get a weight and factors if their presence goes with the label beyond chance (a log-likelihood ratio of at least
+Training: labelled rows outside the held-out fold, with all their segments, go to the driver as term numbers; a model of
+fixed size comes back by broadcast. The sample has two documented bounds: ``max_rows`` rows (those with the lowest hash of doc_id), and of these
+as many, in the order of the hash, as have ``max_chars`` characters together (a row of over a hundredth of that is left out of the sample). Terms get a weight and factors if their presence goes with the label beyond chance (a log-likelihood ratio of at least
 ``MIN_RATIO`` over the training rows), or if it does among the segments with some other term (``PAIR_RATIO``, as there are far more pairs than
 terms; ``PAIR_ROWS`` segments at least), so that a pair counts whose terms are neutral alone. The rest can't be told from noise in the labels. Scoring reads
 every whole text.
@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import per_row, table
@@ -79,8 +79,8 @@ def interacting(segs: list[np.ndarray], labels: np.ndarray, strong: np.ndarray)
     often = np.bincount(np.concatenate(segs), minlength=DIM) >= PAIR_ROWS
     ids = np.flatnonzero(often)
     place = np.cumsum(often) - 1
-    rows = [place[s[often[s]]] for s in segs]
-    terms, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    rows = [place[s[often[s]]].astype(np.int32) for s in segs]
+    terms, of = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     order = np.argsort(terms, kind="stable")
     holders = np.split(of[order], np.searchsorted(terms[order], np.arange(1, len(ids))))
     free, paired = ~strong[ids], np.zeros(len(ids), bool)
@@ -88,9 +88,12 @@ def interacting(segs: list[np.ndarray], labels: np.ndarray, strong: np.ndarray)
         y = labels[held]
         if not len(held) or not 0 < y.sum() < len(y):
             continue
-        beside = np.concatenate([rows[i] for i in held])
-        n = np.bincount(beside, minlength=len(ids)).astype(float)
-        both = np.bincount(beside, np.repeat(y, [len(rows[i]) for i in held]), len(ids))
+        n, both = np.zeros(len(ids)), np.zeros(len(ids))
+        for at in range(0, len(held), 1024):  # a common term's segments take no more memory than a block of them
+            part = [rows[i] for i in held[at : at + 1024]]
+            beside = np.concatenate(part)
+            n += np.bincount(beside, minlength=len(ids))
+            both += np.bincount(beside, np.repeat(y[at : at + 1024], [len(r) for r in part]), len(ids))
         some = np.flatnonzero(free & (n >= PAIR_ROWS) & (n < len(held)))
         found = some[label_ratio(both[some], n[some], y.sum(), len(held)) >= PAIR_RATIO]
         if len(found):
@@ -142,25 +145,30 @@ def fit(rows: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 12, rate
     return Machine(bias, weights, factors)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(text, label) of at most ``max_rows`` labelled documents, those with the lowest hash of doc_id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int) -> DataFrame:
+    """doc_id, text, label of the sample: at most ``max_rows`` labelled documents of ``max_chars`` characters together, those with the lowest hash of doc_id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).alias("__label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__label")
+    same = F.col("doc_id") == F.col("__id")
+    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("__n")).join(F.broadcast(chosen), same).groupBy("__id", "__label").agg(F.sum("__n").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0))  # over max_rows rows at most
+    chosen = sizes.where(F.col("__n") <= max_chars // 100).withColumn("__sum", before).where(F.col("__sum") <= max_chars).select("__id", "__label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), same).select("doc_id", "text", "__label")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000) -> Machine:
-    """``labels``: doc_id and the label. What comes to the driver are the term numbers of at most max_rows whole texts."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, max_chars: int = 100_000_000) -> Machine:
+    """``labels``: doc_id and the label. What comes to the driver are the term numbers of at most ``max_rows`` whole texts of ``max_chars`` characters together."""
     def pick(text: str | None) -> tuple:
         segs = sorted(segments(text), key=lambda s: xxhash.xxh3_64_intdigest(np.sort(s).tobytes()))
         return ([s.astype(np.int32) for s in segs],)
 
-    rows = per_row(training_rows(docs, labels, label, max_rows), "text", pick, [("segments", pa.list_(pa.list_(pa.int32())), "array<array<int>>")], ["doc_id", "__label"])
+    rows = per_row(training_rows(docs, labels, label, max_rows, max_chars), "text", pick, [("segments", pa.list_(pa.list_(pa.int32())), "array<array<int>>")], ["doc_id", "__label"])
     got = rows.toArrow()
     ids, y = got.column("doc_id").to_numpy(), got.column("__label").to_numpy()
     order = np.argsort(ids, kind="stable")  # so that the fit does not depend on the order in which tasks end
     nested = got.column("segments")
-    data = [[np.array(s, np.int64) for s in nested[int(i)].as_py()] for i in order]
+    data = [[x.values.to_numpy(zero_copy_only=False).astype(np.int32) for x in nested[int(i)]] for i in order]
+    del got, nested
     return fit(data, (y[order] > 0).astype(np.float64))
 
 
