@@ -40,13 +40,12 @@ BANDS, BAND_ROWS = 20, 5
 _MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Own templates that a task remembers.
 SEEN = 300_000
-_NO_STEPS = [None] * DEPTH
 VARIES = re.compile(rb"[^\x20]*[0-9@][^\x20]*")
 
 
-def parsed(line: bytes) -> tuple[int | None, bytes, list[int | None]]:
+def parsed(line: bytes, known: set[int] | tuple = ()) -> tuple[int | None, bytes, list[int | None]]:
     """Key of a line's own template (None: a blank line), its text with ``<*>`` for what varies by shape, and its steps in the
-    tree (None: nothing in it is fixed), which are empty if too few are fixed."""
+    tree (None: nothing in it is fixed), which are empty if too few are fixed or the template is ``known``."""
     tokens = line.split()
     n = len(tokens)
     if not n:
@@ -57,15 +56,16 @@ def parsed(line: bytes) -> tuple[int | None, bytes, list[int | None]]:
         general = VARIES.sub(b"<*>", text)
         if n >= SHORT or general.count(b"<*>") < n:
             text, plain = general, False
-    if n <= FIXED_STEPS:
-        return _signed(text, n), text, []
+    key = _signed(text, n)
+    if n <= FIXED_STEPS or key in known:
+        return key, text, []
     if not plain:
         tokens = text.split(b" ")
     depth = min(n, DEPTH)
     ends = [i * n // depth for i in range(depth + 1)]
     steps = [tokens[a:b] for a, b in zip(ends, ends[1:])]
     keys = [None if not plain and x.count(b"<*>") == len(x) else _signed(b" ".join(x)) for x in steps]
-    return _signed(text, n), text, keys if depth - keys.count(None) >= FIXED_STEPS else []
+    return key, text, keys if depth - keys.count(None) >= FIXED_STEPS else []
 
 
 def _signed(text: bytes, seed: int = 0) -> int:
@@ -96,40 +96,39 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            t1s, t2s, counts, keys, where, sizes, paths = [], [], [], [], [], [], []
+            t1s, t2s, counts, keys, where = [], [], [], [], []
+            rows, paths = [], []  # which rows have steps, and (number of tokens, steps) of each
             for t1, t2, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                 if (t1, t2) in seen:
                     continue
                 seen.add((t1, t2))
                 own, began = set(), len(keys)
                 for i, line in enumerate(text.as_py().encode().split(b"\n")):
-                    key, normal, steps = parsed(line)
+                    key, normal, steps = parsed(line, known)
                     if key is None:
                         continue
                     own.update(map(_signed, normal.split(b". ")))
                     keys.append(key)
                     where.append(i)
-                    if steps and key not in known:
+                    if steps:
                         if len(known) >= SEEN:
                             known.clear()
                         known.add(key)
-                        sizes.append(normal.count(b" ") + 1)
-                        paths.append(steps + [None] * (DEPTH - len(steps)))
-                    else:
-                        sizes.append(None)
-                        paths.append(_NO_STEPS)
+                        rows.append(len(keys) - 1)
+                        paths.append((normal.count(b" ") + 1, *steps, *(None,) * (DEPTH - len(steps))))
                 if own:
                     keys += bands(own)
                     where += range(-1, -1 - BANDS, -1)
-                    sizes += [None] * BANDS
-                    paths += [_NO_STEPS] * BANDS
                     t1s.append(t1)
                     t2s.append(t2)
                     counts.append(len(keys) - began)
             if keys:
                 texts = [pa.array(np.repeat(np.array(t, np.int64), counts)) for t in (t1s, t2s)]
-                columns = [pa.array(keys, pa.int64()), pa.array(where, pa.int32()), pa.array(sizes, pa.int32()), *(pa.array(c, pa.int64()) for c in zip(*paths))]
-                yield pa.RecordBatch.from_arrays([*texts, *columns], schema=schema)
+                at_row = np.full(len(keys), -1)
+                at_row[rows] = np.arange(len(rows))
+                index = pa.array(at_row, mask=at_row < 0)
+                steps = [pa.array(c, f.type).take(index) for c, f in zip(zip(*paths) if paths else [()] * (DEPTH + 1), list(schema)[4:])]
+                yield pa.RecordBatch.from_arrays([*texts, pa.array(keys, pa.int64()), pa.array(where, pa.int32()), *steps], schema=schema)
 
 
 def _text_hashes(text: str) -> list:
