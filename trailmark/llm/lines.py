@@ -40,7 +40,7 @@ BANDS, BAND_ROWS = 20, 5
 _MIX = np.random.default_rng(11).integers(1 << 62, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Own templates that a task remembers.
 SEEN = 300_000
-VARIES = re.compile(rb"[^\x20]*[0-9@][^\x20]*")
+SHAPE, VARIES = re.compile(rb"[0-9@]"), re.compile(rb"(?<![^\x20])[^\x200-9@]*+[0-9@][^\x20]*+")
 
 
 def parsed(line: bytes, known: set[int] | tuple = ()) -> tuple[int | None, bytes, list[int | None]]:
@@ -52,7 +52,7 @@ def parsed(line: bytes, known: set[int] | tuple = ()) -> tuple[int | None, bytes
         return None, b"", []
     text = b" ".join(tokens)
     plain = True
-    if VARIES.search(text):
+    if SHAPE.search(text):
         general = VARIES.sub(b"<*>", text)
         if n >= SHORT or general.count(b"<*>") < n:
             text, plain = general, False
@@ -154,6 +154,17 @@ def families(sketches: DataFrame) -> DataFrame:
     return shared.join(label, "band").groupBy("t1", "t2").agg(F.max("label")["band"].alias("family"))
 
 
+def may_share_leaves(own: DataFrame, whole) -> DataFrame:
+    """``own`` without templates that can't share a recurring leaf: fields in two of six steps leave one of three pairs of steps as it is."""
+    pair = lambda i: F.when(F.col(_STEPS[i]).isNotNull() & F.col(_STEPS[i + 1]).isNotNull(), F.xxhash64("n", F.lit(i), _STEPS[i], _STEPS[i + 1]))
+    pairs = F.explode(F.filter(F.array(*map(pair, range(0, DEPTH, 2))), lambda x: x.isNotNull()))
+    keys = own.where(F.col("n") >= DEPTH).select("template", "texts", pairs.alias("pair"))
+    shared = keys.groupBy("pair").agg(whole.alias("open")).where("open").select("pair")
+    near = keys.join(shared, "pair", "left_semi").select("template").distinct()
+    full = (F.col("n") >= DEPTH) & (sum(F.col(c).isNull().cast("int") for c in _STEPS) == 0)  # others have fewer steps, or some that are fields already
+    return own.where(full).join(near, "template", "left_semi").unionByName(own.where(F.col("n").isNotNull() & ~full))
+
+
 def tree(own: DataFrame, least: int) -> DataFrame:
     """template, leaf: the leaves that own templates reach, of those that several of them in ``least`` texts reach together.
 
@@ -162,7 +173,7 @@ def tree(own: DataFrame, least: int) -> DataFrame:
     """
     whole = (F.sum("texts") >= least) & (F.count("*") > 1)  # sums of texts are bounds from above on documents
     fixed = sum(F.col(c).isNotNull().cast("int") for c in _STEPS)
-    rows = stored(own.where("n is not null").withColumns({"node": F.col("n").cast("long"), "fields": F.least(fixed - FIXED_STEPS, F.lit(FIELDS))}))
+    rows = stored(may_share_leaves(own, whole).withColumns({"node": F.col("n").cast("long"), "fields": F.least(fixed - FIXED_STEPS, F.lit(FIELDS))}))
     for i, step in enumerate(_STEPS):
         open_ = rows.where(F.col(step).isNotNull()).groupBy("node", step).agg(whole.alias("open")).where("open")
         to = lambda node, fields: F.struct(node.alias("node"), fields.alias("fields"))
