@@ -72,6 +72,15 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(version).count() == 2
 
 
+def test_table_of_many_projects_takes_few_files(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") % 300).alias("project"), "id", F.lit("x").alias("path"), F.lit("idle").alias("status"), F.lit(None).cast("timestamp_ntz").alias("last_scanned_at"))
+    tables.write_table(rows.unionByName(rows.limit(1).withColumns({"project": F.lit(None).cast("bigint"), "id": F.lit(-1).cast("bigint")})), str(tmp_path), "directories")
+    assert len(list(tmp_path.rglob("*.parquet"))) <= 4
+    back = tables.read_table(spark, str(tmp_path), "directories")
+    assert back.columns == rows.columns and back.count() == 5001 and back.where("project is null").count() == 1
+    assert sorted(r.id for r in back.where("project = 7").collect()) == list(range(7, 5000, 300))
+
+
 def test_boundaries(spark, tmp_path):
     circle = [[10 * np.cos(a), 10 * np.sin(a)] for a in np.linspace(0, 2 * np.pi, 400)]
     small = [[0, 0], [0.1, 0], [0.1, 0.1], [0, 0.1], [0, 0]]

@@ -15,7 +15,12 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, root: str, name: str) -> None:
-    df.write.mode("overwrite").partitionBy("project").parquet(f"{root}/{name}")
+    """The table in files that hold ranges of projects, so their number goes with the size and not with the number of projects.
+
+    A filter on ``project`` skips the other files by their statistics. A large project takes several files, by ``id``.
+    """
+    keys = [c for c in ("project", "id") if c in df.columns]
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
 def write_version(df: DataFrame, root: str, partition: str) -> str:
