@@ -8,8 +8,9 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
+from trailmark.operators.filters import base
 from trailmark.operators.rollups import rollups
-from trailmark.schema import TABLES
+from trailmark.schema import GRID, TABLES
 from trailmark.sources import boundary, inventory, tables
 from trailmark.streaming.streams import ingest_catalog, ingest_stream, stream_sessions, touched_rollups
 
@@ -81,6 +82,14 @@ def test_table_of_many_projects_takes_few_files(spark, tmp_path):
     assert sorted(r.id for r in back.where("project = 7").collect()) == list(range(7, 5000, 300))
 
 
+def test_grid_of_many_projects_reads_few_files(spark, tmp_path):
+    rows = spark.range(600).select((F.col("id") % 200).alias("project"), "id", F.lit("a.jpg").alias("file_name"), F.lit("active").alias("status"), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"))
+    tables.write_table(rows, str(tmp_path), "photos")
+    grid = base(tables.read_table(spark, str(tmp_path), "photos")).select(*GRID)
+    assert len(grid.inputFiles()) <= 4
+    assert sorted((r.id, r.file_name, r.width) for r in grid.collect()) == [(i, "a.jpg", None) for i in range(600)]
+
+
 def test_boundaries(spark, tmp_path):
     circle = [[10 * np.cos(a), 10 * np.sin(a)] for a in np.linspace(0, 2 * np.pi, 400)]
     small = [[0, 0], [0.1, 0], [0.1, 0.1], [0, 0.1], [0, 0]]
