@@ -257,6 +257,34 @@ def test_radius_join_against_brute_force(spark):
         assert flat <= near and all(abs(pts[i][1] - pts[j][1]) > 90 or abs(pts[i][0]) > 89 for i, j in near - flat)
 
 
+def test_neighbour_pairs_against_all_pairs(spark):
+    random.seed(31)
+    at = [pt(c + random.uniform(-0.02, 0.02), d + random.uniform(-0.05, 0.05)) for c, d in ((0, 0), (52, 13), (-52, 179.97), (89.99, 40), (-89.99, 10)) for _ in range(60)]
+    at += [pt(90, 0), pt(90, 170), pt(0, 180), pt(0, -180), {}, {"lat": 52.0}] + [pt(52, 13)] * 3
+    rows = photos(spark, at)
+    got = [(r.a, r.b) for r in spatial.neighbour_pairs(rows, 700).collect()]
+    want = {(r.l_id, r.r_id) for r in spatial.radius_join(rows, rows, 700).where("l_id < r_id").collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_neighbour_pairs_send_a_row_to_half_its_cells(spark):
+    plan = spatial.neighbour_pairs(photos(spark, [pt(1, 1)]), 700)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # of five cells; before: of three bands, then of three cells each
+
+
+def test_components_find_their_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a LONG, b LONG").mapInPandas(counted, "a LONG, b LONG")
+    assert {r.root for r in components(edges).collect()} == {0}
+    assert read.value == 20
+
+
 def test_time_join_against_brute_force(spark):
     rnd = random.Random(6)
     hours = [rnd.randrange(0, 200) for _ in range(80)]

@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     minimum is combined before the shuffle; its edges meet it again in a join that Spark can split. Takes about
     log(diameter) rounds: long chains are halved by each. Ends when all edges are stars: no root has a smaller neighbour, no node two roots.
     """
-    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    e = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b"))  # read four times, and costly to find
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))  # large star: larger neighbours go to the smallest one
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))

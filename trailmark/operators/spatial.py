@@ -82,8 +82,20 @@ def count_within(events: DataFrame, keys: list[str], seconds: float, weight: str
 
 def neighbour_pairs(photos: DataFrame, meters: float) -> DataFrame:
     """project, a, b (a < b), meters of placed rows within ``meters``."""
-    rows = photos.select("project", "id", "lat", "lon")
-    return radius_join(rows, rows, meters).where("l_id < r_id").select("project", F.col("l_id").alias("a"), F.col("r_id").alias("b"), "meters")
+    _, band, around = _cells(meters)
+    at = F.struct("id", "lat", "lon")
+    rows = photos.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("project", at.alias("r"), band(F.col("lat")).alias("band"))
+    rows = rows.withColumn("cell", cell_number(F.col("r.lon"), around(F.col("band"))))
+    # each pair is met once: a row looks into its own cell, the next one and the three above
+    above = cell_number(F.col("r.lon"), around(F.col("band") + 1))
+    key = lambda up, cell: F.struct((F.col("band") + up).alias("band"), cell.alias("cell"), F.lit(False).alias("own"))
+    own = F.struct("band", "cell", F.lit(True).alias("own"))
+    keys = F.array(own, key(0, F.col("cell") + 1), *[key(1, above + d) for d in (-1, 0, 1)])
+    l = rows.select("project", F.col("r").alias("l"), F.explode(keys).alias("k")).select("project", "l", "k.*")  # noqa: E741
+    met = l.join(rows, ["project", "band", "cell"]).where((F.col("l.id") < F.col("r.id")) | (~F.col("own") & (F.col("l.id") > F.col("r.id"))))
+    a, b = (F.when(F.col("l.id") < F.col("r.id"), F.col(x)).otherwise(F.col(y)) for x, y in (("l", "r"), ("r", "l")))
+    pairs = met.select("project", a.alias("a"), b.alias("b")).withColumn("meters", haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")))
+    return pairs.where(F.col("meters") <= meters).select("project", F.col("a.id").alias("a"), F.col("b.id").alias("b"), "meters")
 
 
 #: Side of the largest tiles in degrees, how often they are halved, and the segments that a tile may hold without being halved.
