@@ -402,20 +402,25 @@ def neighbour_pairs_clamped(spark, sf_dir):
     return spatial.neighbour_pairs(filters.base(catalog(spark, sf_dir)), clamp_radius(10)).select("project", "a", "b")
 
 
-def _snapshot(spark, sf_dir):
-    """(next clusters, members, old clusters, old links): the old ones were found without every fourth row; every third was named by hand."""
-    new, old, rows = _two_runs(spark, sf_dir)
-    new, old = stored(new), stored(old)
+def _old_clusters(old):
+    """The clusters table of the members ``old``, at two radii; every third was named by hand."""
     table = old.select("project", F.col("cluster").alias("cluster_id")).distinct().withColumns({
         "name": F.concat(F.lit("Place "), F.col("cluster_id").cast("string")), "type": F.lit("spatial"), "radius_meters": F.lit(300.0), "center_lat": F.lit(0.0), "center_lon": F.lit(0.0),
         "custom_named": F.col("cluster_id") % 3 == 0,
     })
-    other = table.withColumns({"cluster_id": F.col("cluster_id") + 10_000_000, "radius_meters": F.lit(500.0)})
+    return table.unionByName(table.withColumns({"cluster_id": F.col("cluster_id") + 10_000_000, "radius_meters": F.lit(500.0)}))
+
+
+def _snapshot(spark, sf_dir):
+    """(next clusters, members, old clusters, old links): the old ones were found without every fourth row."""
+    new, old, rows = _two_runs(spark, sf_dir)
+    new, old = stored(new), stored(old)
     links = old.select("project", "id", F.col("cluster").alias("cluster_id"))
     links = links.unionByName(links.withColumn("cluster_id", F.col("cluster_id") + 10_000_000))
     matches = clusters.overlaps(new, old).where(F.col("jaccard") > DEFAULTS.stable_jaccard)
-    after = stored(clusters.next_snapshot(clusters.cluster_summary(new, rows), matches, table.unionByName(other), 300.0))
-    return after, new, table.unionByName(other), links
+    table = stored(_old_clusters(old))
+    after = stored(clusters.next_snapshot(clusters.cluster_summary(new, rows), matches, table, 300.0))
+    return after, new, table, links
 
 
 @query
@@ -436,7 +441,7 @@ def cluster_links(spark, sf_dir):
 @query
 def cluster_renames(spark, sf_dir):
     """Every second cluster gets a name by hand."""
-    _, _, old, _ = _snapshot(spark, sf_dir)
+    old = stored(_old_clusters(clusters.dbscan(_earlier(filters.base(catalog(spark, sf_dir))), 300)))
     names = old.where("cluster_id % 2 = 0").select("project", "cluster_id", F.concat(F.lit("My "), F.col("cluster_id").cast("string")).alias("name"))
     return tags.rename_clusters(old, names).select("project", "cluster_id", "name", "custom_named")
 
@@ -484,9 +489,14 @@ def cluster_summary(spark, sf_dir):
     return s.select("project", "cluster", "n", deg("lat").alias("lat"), deg("lon").alias("lon"), text("countries").alias("countries"), text(F.transform("sample_ids", lambda x: x.cast("string"))).alias("sample_ids"))
 
 
+def _earlier(rows):
+    """What an earlier run saw: without every fourth row."""
+    return rows.where("id % 4 <> 0")
+
+
 def _two_runs(spark, sf_dir):
     rows = stored(filters.base(catalog(spark, sf_dir)))
-    return clusters.dbscan(rows, 300), clusters.dbscan(rows.where("id % 4 <> 0"), 300), rows
+    return clusters.dbscan(rows, 300), clusters.dbscan(_earlier(rows), 300), rows
 
 
 @query
