@@ -393,6 +393,22 @@ def test_count_within(spark):
     assert got == {0: 4, 1: 4, 2: 5, 3: 6, 4: 4, 5: 4, 6: 2, 7: 1, 8: 1}
 
 
+def test_stretches_list_few_rows_twice(spark):
+    rows = photos(spark, [{"h": i * 0.5} for i in range(2000)]).withColumn("one", F.lit(1).cast("long"))
+    assert spatial.in_stretches(rows, int(12 * 3600e6)).count() <= 1.4 * 2000  # before: three times
+    got = {r.id: r.n_within for r in spatial.count_within(rows, ["project"], 12 * 3600, "one").collect()}
+    assert got == {i: min(i + 24, 1999) - max(i - 24, 0) + 1 for i in range(2000)}
+
+
+def test_quarters_are_spread_after_the_last_shuffle(spark):
+    rows = photos(spark, [{"h": h} for h in (0, 1, 5, 40)])
+    q = tags._quarters(rows, 12 * 3600, 4, ["project"])
+    plan = q._jdf.queryExecution().sparkPlan().toString()
+    before = q._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Generate" in plan and "Exchange" not in before  # before: nine rows a quarter were shuffled
+    assert q.agg(F.sum("n")).first()[0] == 9 * 4
+
+
 def test_links_through_stored_tables(spark):
     photo_tags = spark.createDataFrame([(1, 7, 2), (1, 7, 1), (1, 8, 1), (2, 7, 1)], "project LONG, id LONG, tag_id LONG")
     named = spark.createDataFrame([(1, 1, "sea", "manual"), (1, 2, "hill", "automatic"), (2, 1, "town", "manual")], "project LONG, tag_id LONG, name STRING, type STRING")

@@ -67,17 +67,26 @@ def time_join(left: DataFrame, right: DataFrame, seconds: float) -> DataFrame:
     return l.join(r, ["project", "bucket"]).where(F.abs(F.col("l_t") - F.col("r_t")) <= width).select("project", "l_id", "r_id")
 
 
+#: Lengths of the window that a stretch of ``count_within`` holds.
+STRETCH = 8
+
+
+def in_stretches(events: DataFrame, width: int) -> DataFrame:
+    """The dated rows with __t (microseconds), __own and __stretch: a row is listed with its own stretch, and with the next one if it is less than ``width`` from it."""
+    rows = events.where(F.col("ts").isNotNull()).withColumn("__t", micros(F.col("ts")))
+    number = lambda shift: F.floor((F.col("__t") + shift) / (STRETCH * width))
+    return rows.withColumn("__own", number(0)).withColumn("__stretch", F.explode(F.array_distinct(F.array(*[number(d) for d in (-width, 0, width)]))))
+
+
 def count_within(events: DataFrame, keys: list[str], seconds: float, weight: str) -> DataFrame:
     """``events`` (with ``keys``, ts) and n_within: the sum of ``weight`` over the rows of the same keys at most ``seconds`` away, the row itself among them.
 
-    Range windows over stretches as long as the window: each row is also listed with the stretches before and after its own, so no window
-    holds more than three stretches of one key and no pair is made, however dense a burst is.
+    Range windows over stretches of ``STRETCH`` times the window: only rows near a stretch's end are listed twice (``in_stretches``), no window
+    holds more than a stretch and its rims of one key, and no pair is made, however dense a burst is.
     """
     width = int(seconds * 1e6)
-    rows = events.where(F.col("ts").isNotNull()).withColumn("__t", micros(F.col("ts"))).withColumn("__own", F.floor(F.col("__t") / width))
-    rows = rows.withColumn("__stretch", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.col("__own") + d)))
     near = Window.partitionBy(*keys, "__stretch").orderBy("__t").rangeBetween(-width, width)
-    return rows.withColumn("n_within", F.sum(weight).over(near)).where("__own = __stretch").drop("__t", "__own", "__stretch")
+    return in_stretches(events, width).withColumn("n_within", F.sum(weight).over(near)).where("__own = __stretch").drop("__t", "__own", "__stretch")
 
 
 def neighbour_pairs(photos: DataFrame, meters: float) -> DataFrame:
