@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import boxes, cards, clusters, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
+from trailmark.operators import boxes, cards, clusters, discs, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
 from trailmark.operators.graph import components
 
 T0 = datetime(2024, 5, 1, 12)
@@ -602,3 +602,25 @@ def test_empty_catalog(spark):
     none = photos(spark, [{}]).limit(0)
     for df in (sequence.assign_groups(none), sequence.zoom_groups(none), moments.moments(none), rollups.rollups(none), timeline.catalog_totals(none), journeys.journey_stats(journeys.assign_tracks(none)), clusters.dbscan(none, 300)):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize(("centre", "chunk"), [((10.0, 20.0), 200_000), ((-63.4, -179.9995), 100), ((0.0, 179.9995), 100), ((89.9995, 5.0), 200_000)])
+def test_discs_against_all_pairs(spark, centre, chunk):
+    rnd = random.Random(4)
+    wide = 1 / max(math.cos(math.radians(centre[0])), 0.01)
+    pts = [(min(centre[0] + rnd.uniform(0, 0.003), 90.0), min(centre[1] + rnd.uniform(0, 0.003) * wide, 180.0)) for _ in range(500)]
+    pts += [pts[7]] * 40 + [(centre[0], min(centre[1] + k * 0.0001, 180.0)) for k in range(20)]
+    table = photos(spark, [pt(*p, project=1 + (i % 5 == 0)) for i, p in enumerate(pts)] + [{}, pt(centre[0], float("nan"))])
+    some = table.where("id % 3 <> 1")
+    near = {i: [j for j, b in enumerate(pts) if (i % 5 == 0) == (j % 5 == 0) and meters(*a, *b) <= 60] for i, a in enumerate(pts) if i % 3 != 1}
+    got = {r.id: (r.n, r.least) for r in discs.counted(some, table.withColumn("value", -F.col("id")), 60, chunk).collect()}
+    assert got == {i: (len(js), -max(js)) for i, js in near.items() if js}
+
+
+def test_discs_write_no_neighbours(spark):
+    """Rows of one place count as one, and neither neighbours nor rows at the rim meet in a join: its only one brings the places' counts to the rows."""
+    rows = spark.range(6000).select(F.lit(1).alias("project"), "id", (10 + (F.col("id") % 77) * 1e-5).alias("lat"), (20 + (F.col("id") % 83) * 1e-5).alias("lon"))
+    found = discs.counted(rows, rows.withColumn("value", F.col("id")), 60)
+    assert found.count() == 6000 and found.agg(F.sum("n")).first()[0] > 6000 * 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join" in line for line in plan.split("\n")) == 1

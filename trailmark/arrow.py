@@ -9,19 +9,24 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: This package's folder.
 PACKAGE = Path(__file__).resolve().parent
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors, wherever it is installed on the driver."""
-    context = df.sparkSession.sparkContext
+def shipped(spark: SparkSession) -> None:
+    """Puts this package at hand on the executors, wherever it is installed on the driver."""
+    context = spark.sparkContext
     if not any(os.path.basename(f) == f"{PACKAGE.name}.zip" for f in context.listFiles):
         path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{PACKAGE.name}.zip")
         with zipfile.ZipFile(path, "w") as z:
             for p in sorted(PACKAGE.rglob("*.py")):
                 z.write(p, p.relative_to(PACKAGE.parent))
         context.addPyFile(path)
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors (``shipped``)."""
+    shipped(df.sparkSession)
     return df.mapInArrow(fn, schema)

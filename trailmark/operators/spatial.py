@@ -15,7 +15,7 @@ from ..scratch import stored
 DEGREE_METERS = math.pi * EARTH_METERS / 180
 
 
-def _cells(meters: float) -> tuple[float, callable, callable]:
+def band_cells(meters: float) -> tuple[float, callable, callable]:
     """Height of a latitude band, its number and the number of longitude cells around it.
 
     A band is a little higher than the radius; its cells are as wide as the radius reaches anywhere in the band or next to it, so
@@ -42,7 +42,7 @@ def radius_join(left: DataFrame, right: DataFrame, meters: float, *, wrap: bool
     An equi-join on (project, band, cell): the left side is exploded into its nine neighbouring cells, the right side isn't; hot cells
     are split by adaptive execution. ``wrap`` also joins across the 180th meridian.
     """
-    _, band, around = _cells(meters)
+    _, band, around = band_cells(meters)
     l = left.where(F.col("lat").isNotNull()).select("project", F.col("id").alias("l_id"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))  # noqa: E741
     l = l.withColumn("band", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: band(F.col("l_lat")) + d))).withColumn("n", around(F.col("band")))  # noqa: E741
     near = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: cell_number(F.col("l_lon"), F.col("n")) + d)
@@ -91,7 +91,7 @@ def count_within(events: DataFrame, keys: list[str], seconds: float, weight: str
 
 def neighbour_pairs(photos: DataFrame, meters: float) -> DataFrame:
     """project, a, b (a < b), meters of placed rows within ``meters``."""
-    _, band, around = _cells(meters)
+    _, band, around = band_cells(meters)
     at = F.struct("id", "lat", "lon")
     rows = photos.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("project", at.alias("r"), band(F.col("lat")).alias("band"))
     rows = rows.withColumn("cell", cell_number(F.col("r.lon"), around(F.col("band"))))

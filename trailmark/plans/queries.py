@@ -13,7 +13,7 @@ from ..functions import calendar as cal
 from ..functions.geo import clamp_radius, haversine
 from ..functions.keywords import folder_keywords
 from ..functions.labels import country_name, date_range_label, kind_flags
-from ..operators import boxes, cards, clusters, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
+from ..operators import boxes, cards, clusters, discs, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
 from ..scratch import checkpoint_dir, stored
 from ..schema import GRID
 from ..sources import boundary, inventory
@@ -709,12 +709,9 @@ def crowd_clusters_min6(spark, sf_dir):
 
 @query
 def crowd_neighbours(spark, sf_dir):
-    """How many rows lie within 60 m of each row of the crowds, and the smallest id among them, by boxes."""
+    """How many rows lie within 60 m of each row of the crowds, and the smallest id among them, without pairs."""
     rows = _crowds(spark, sf_dir)
-    tree = boxes.boxed(rows, 60)
-    found = boxes.near(tree, tree, 60)
-    n = found.combined(rows.select("id", F.lit(1).cast("long").alias("value")), F.sum).withColumnRenamed("value", "n")
-    return n.join(found.combined(rows.select("id", F.col("id").alias("value")), F.min).withColumnRenamed("value", "least"), "id")
+    return discs.counted(rows, rows.withColumn("value", F.col("id")), 60)
 
 
 @query
