@@ -636,3 +636,23 @@ def test_rows_with_the_same_tags_count_as_one_set(spark):
     want = [("sea+sun", 50, 50), ("hill+sea", 25, 50), ("hill+sun", 25, 50), ("hill+sea+sun", 25, 50)]
     for wide in (0, 64):
         assert [(r["items"], r.n, r.total) for r in tags.tag_itemsets(rows, table, wide=wide).collect()] == want
+
+
+def test_geocode_tests_few_of_many_rings(spark, monkeypatch):
+    """Sixty rings over each other: the first one that holds a point is found, and points that it holds don't meet the others."""
+    rnd = random.Random(5)
+    rings = [(k, f"R{k}", [[20 + rnd.random() * 0.05, 10 + rnd.random() * 0.05] for _ in range(3 if k else 40)]) for k in range(60)]
+    rings[1] = (1, "R1", [[19.9, 9.9], [20.1, 9.9], [20.1, 10.1], [19.9, 10.1]])
+    pts = [(19.99 + rnd.random() * 0.07, 9.99 + rnd.random() * 0.07) for _ in range(300)]
+    table = spark.createDataFrame(rings, "ordinal INT, iso STRING, ring ARRAY<ARRAY<DOUBLE>>")
+    points = photos(spark, [pt(y, x, project=None if i % 9 == 0 else 1) for i, (x, y) in enumerate(pts)])
+    rounds, keep = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df: rounds.append(keep(df)) or rounds[-1])
+    for listed in (table, table.where("ordinal <> 1")):
+        some = [(o, iso, ring) for o, iso, ring in rings if o != 1 or listed is table]
+        want = {i: next((iso for _, iso, ring in some if in_ring(x, y, ring)), None) for i, (x, y) in enumerate(pts)}
+        rounds.clear()
+        found = spatial.geocode(points, listed)
+        assert sorted((r.id, r.iso) for r in found.collect()) == sorted((i, iso) for i, iso in want.items() if iso)
+        left = [r.count() for r in rounds if "first" in r.columns]
+        assert len(left) == 1 if listed is table else left[1] < left[0]  # before: all points met all rings

@@ -26,6 +26,20 @@ def clamp_radius(meters: float | None, config=DEFAULTS) -> float:
     return min(config.radius_max, max(config.radius_min, float(meters)))
 
 
+def ring_sides(ring: Column) -> Column:
+    """The sides of a ring (array of [lon, lat]) that a ray along a parallel may cross: each vertex (x1, y1) with its predecessor (x2, y2)."""
+    closing = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.size(ring) - 1))
+    sides = F.zip_with(ring, closing, lambda v, u: F.struct(v[0].alias("x1"), v[1].alias("y1"), u[0].alias("x2"), u[1].alias("y2")))
+    return F.filter(sides, lambda s: s["y1"] != s["y2"])
+
+
+def in_sides(lon: Column, lat: Column, sides: Column) -> Column:
+    """``in_ring`` for a ring's sides, found once (``ring_sides``)."""
+    spans = F.filter(sides, lambda s: (s["y1"] > lat) != (s["y2"] > lat))
+    left_of = lambda s: lon < (s["x2"] - s["x1"]) * (lat - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]
+    return F.size(F.filter(spans, left_of)) % 2 == 1
+
+
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Even-odd rule: whether a ray from the point crosses the ring (array of [lon, lat]) an odd number of times."""
     closing = F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.size(ring) - 1))  # each vertex's predecessor

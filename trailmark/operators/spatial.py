@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import micros
-from ..functions.geo import EARTH_METERS, haversine, in_ring
+from ..functions.geo import EARTH_METERS, haversine, in_ring, in_sides, ring_sides
 from ..scratch import stored
 
 DEGREE_METERS = math.pi * EARTH_METERS / 180
@@ -156,21 +156,37 @@ def boundary_tiles(boundaries: DataFrame, tile: float = TILE, halvings: int = HA
     return rows.withColumn("found", F.filter("found", lambda x: F.coalesce((x["ordinal"] < first) | ((x["ordinal"] == first) & x["ring_no"].isNull()), F.lit(True))))
 
 
+#: Rings of its tile that a point is tested against in the first round, and how many times as many in each further one.
+FIRST_RINGS, MORE = 4, 4
+
+
 def geocode(points: DataFrame, boundaries: DataFrame, tile: float = TILE, halvings: int = HALVINGS) -> DataFrame:
     """project, id, iso: the first country (by ordinal) one of whose rings holds the point; no row otherwise.
 
     ``boundaries``: ordinal, iso, ring (array of [lon, lat]), one row a ring. A point looks up its tile (``boundary_tiles``); in most tiles the answer stands
-    there, and only points of tiles that a ring's sides cross are tested against these rings.
+    there, and only points of tiles that a ring's sides cross are tested against these rings: against the first few by ordinal, then, in rounds, those
+    that none of them holds against the next ones. Where many rings overlap, few points meet them all.
     """
     rings = stored(boundaries.select("ordinal", "iso", "ring").withColumn("ring_no", F.monotonically_increasing_id()))
     tiles = stored(boundary_tiles(rings, tile, halvings))
-    tiles = F.broadcast(tiles) if tiles.count() <= BROADCAST_TILES else tiles
+    sides = stored(rings.select("ring_no", ring_sides(F.col("ring")).alias("sides")))
+    where = ["level", "tx", "ty"]
+    heads = tiles.select(*where, F.col("found")[0].alias("head"), F.size("found").alias("rings"))
+    heads = F.broadcast(heads) if tiles.count() <= BROADCAST_TILES else heads
     number = lambda c, level: F.floor(F.col(c) / F.lit(tile) * F.pow(F.lit(2.0), level)).cast("long")
     placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("project", "id", "lat", "lon")
     keys = F.transform(F.sequence(F.lit(0), F.lit(halvings)), lambda k: F.struct(k.alias("level"), number("lon", k).alias("tx"), number("lat", k).alias("ty")))
-    met = placed.withColumn("k", F.explode(keys)).select("project", "id", "lat", "lon", "k.*").join(tiles, ["level", "tx", "ty"]).drop("level", "tx", "ty")
-    head = F.col("found")[0]
-    plain = met.where(head["ring_no"].isNull()).select("project", "id", head["iso"].alias("iso"))
-    edge = met.where(head["ring_no"].isNotNull()).select("project", "id", "lat", "lon", F.explode("found").alias("c")).select("project", "id", "lat", "lon", "c.ordinal", "c.iso", "c.ring_no")
-    tested = edge.join(rings.select("ring_no", "ring"), "ring_no", "left").where(F.col("ring_no").isNull() | in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
-    return plain.unionByName(tested.groupBy("project", "id").agg(F.min_by("iso", "ordinal").alias("iso")))
+    met = placed.withColumn("k", F.explode(keys)).select("project", "id", "lat", "lon", "k.*").join(heads, where)
+    point = ["project", "id", "lat", "lon", *where, "rings"]
+    plain = met.where(F.col("head.ring_no").isNull()).select("project", "id", F.col("head.iso").alias("iso"))
+    state = stored(met.where(F.col("head.ring_no").isNotNull()).select(*point))
+    done, step, out = 0, FIRST_RINGS, [plain]
+    while not state.isEmpty():
+        some = tiles.select(*where, F.explode(F.slice("found", done + 1, step)).alias("c")).select(*where, "c.*")
+        tested = state.join(some, where).join(sides, "ring_no", "left")
+        holds = F.col("ring_no").isNull() | in_sides(F.col("lon"), F.col("lat"), F.col("sides"))
+        first = stored(tested.groupBy(*point).agg(F.min(F.when(holds, F.struct("ordinal", "iso"))).alias("first")))
+        out.append(first.where("first is not null").select("project", "id", F.col("first.iso").alias("iso")))
+        done, step = done + step, step * MORE
+        state = first.where(F.col("first").isNull() & (F.col("rings") > done)).select(*point)
+    return reduce(DataFrame.unionByName, out)
