@@ -11,6 +11,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,10 +45,26 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, memo=150_000)  # executors still hold what earlier stages left
 
 
-STAGES = [
+#: Rows in a batch, at most: between Spark and a Python worker, and of a Parquet reader. Whole texts are long rows, and five stages share an executor's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4096, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def in_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage in a session that has ``BATCHES``, or what it set below them."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, most in BATCHES.items():
+            if not 0 < int(spark.conf.get(key)) <= most:
+                spark.conf.set(key, most)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, in_batches(stage)) for name, stage in (
     ("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join),
     ("mixing sources to target weights", source_mix), ("byte-level BPE", byte_bpe),
-]
+)]
 
 #: Scores of a trained model and similarity components have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

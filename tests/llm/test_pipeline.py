@@ -28,6 +28,41 @@ def test_stages(spark, tmp_path):
     assert docs.where(F.col("n_tokens") > 0).count() > 0
 
 
+def test_stages_take_small_batches(spark, tmp_path):
+    """Whole texts come to Python and out of Parquet in short batches; what a session has set below them stays."""
+    pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from trailmark.llm.common import arrow_map
+
+    arrow, parquet = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = {key: spark.conf.get(key) for key in (arrow, parquet)}
+    docs = spark.createDataFrame([], "doc_id LONG, text STRING, source STRING")
+    rows = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    try:
+        for _, stage in corpus_pipeline.STAGES[-2:]:
+            spark.conf.unset(arrow)
+            spark.conf.set(parquet, 100)
+            stage(spark, docs, SF)
+            sizes = [r.n for r in arrow_map(spark.range(0, 10_000, 1, 1), rows, "n bigint").collect()]
+            assert sum(sizes) == 10_000 and max(sizes) <= 4096 and spark.conf.get(parquet) == "100"
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_words_are_counted_without_an_array(spark):
+    from trailmark.llm.common import WORD
+    from trailmark.llm.mixing import size_of
+
+    texts = [None, "", " ", "a", " a", "a ", "  x", "\U0001f600b \U0001f600", "\t\x0b\x0c\r\n a\x1fb\x85c  d", "  z\u3000y", " " * 5000 + "w", "$1 \\ $0"]
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING")
+    got = df.select(size_of().alias("n"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("want"), "text")
+    assert all(r.n == r.want == len((r.text or "").encode().split()) for r in got.collect())
+    assert "regexp_extract_all" not in df.select(size_of())._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("rows", [0, 40])
 def test_stages_on_odd_rows(spark, tmp_path, rows):
     """Nulls in every column, repeated rows, extra columns with names that the operators use, no labels, and no rows at all."""

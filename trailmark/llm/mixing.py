@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import WORD, stored, table
 
 LEVELS, BITS = 5, 12
+#: A word with the white space behind it (its first character is the group), or white space before the first word.
+WORD_AND_GAP = r"([^\x20\x09-\x0D])[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+|[\x20\x09-\x0D]++"
 
 
 def size_of(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    """Number of words. Each leaves its first character; ``regexp_count`` would make an array of all words of a text, which fills an executor's heap."""
+    return F.coalesce(F.length(F.regexp_replace(F.col(text), WORD_AND_GAP, "$1")), F.lit(0)).cast("long")
 
 
 def hash_of(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -107,7 +110,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     plan = thresholds(slim, goals).select(F.col("source").alias("__source"), F.col("full").alias("__full"), F.col("last").alias("__last"), F.col("also").alias("__also"))
     h = hash_of(doc_id, text)
     more = F.coalesce((h < F.col("__last")) | ((h == F.col("__last")) & F.col("__also")), F.lit(False))
-    times = F.when(size_of(text) == 0, F.lit(1)).otherwise(F.col("__full") + more.cast("long")).cast("int")
+    times = F.when(~F.coalesce(F.col(text).rlike(WORD), F.lit(False)), F.lit(1)).otherwise(F.col("__full") + more.cast("long")).cast("int")
     joined = docs.join(plan, F.col(source).eqNullSafe(F.col("__source")), "left").withColumn("__times", times)
     return joined.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
