@@ -203,6 +203,21 @@ def test_memos_and_whole_texts_agree(monkeypatch):
     assert [r for t in texts for r in cut.documents([t])] == whole.documents(texts)
 
 
+def test_known_stretches_are_not_spelled_again(monkeypatch):
+    import public_tokenizers
+
+    spelled, join = [], alignment.Entries.join
+    monkeypatch.setattr(alignment.Entries, "join", lambda self, ids: spelled.append(len(ids)) or join(self, ids))
+    pair = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    plain = ["Hello, world! It's 12,345.67 units.", "word " * 300 + "end", "naïve café"]
+    first = pair.documents(plain)
+    spelled.clear()
+    assert pair.documents(plain) == first and pair.documents(plain[::-1]) == first[::-1] and not spelled
+    odd = ["ﬁ ligature ①", "x" * 500 + " is too long to stay", None, "ﬁ Hello,"]  # one that a side changes is compared as a whole
+    assert pair.documents(odd * 2) == [r for t in odd * 2 for r in pair.documents([t])] and spelled
+    assert not [s for s in pair.new.numbers if len(s) > alignment.MEMO_CHARS]
+
+
 # ---------------------------------------------------------------- odd sketches
 
 

@@ -10,7 +10,7 @@
 
 No token of either side runs over a single space that stands between two other characters: A's pattern parts there, and no piece of B has a space behind another
 character (tested when the model is read; otherwise texts are taken whole). A text may therefore be cut there, and bounded memos keep the ids of
-recent stretches. Ends, runs and groups are those of whole texts.
+recent stretches, and whether both sides spell them unchanged: texts of such stretches alone are not spelled again. Ends, runs and groups are those of whole texts.
 
 Defined results: null and empty texts, and those whose bytes either side changes, have no tokens: zeros and an empty digest. Repeated rows count as
 documents of their own. A null doc_id stays null. An empty table gives an empty table; other columns don't matter.
@@ -21,9 +21,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +113,50 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+class Grown:
+    """An array that takes more values at its end."""
+
+    def __init__(self, dtype: type, first: tuple = ()):
+        self.values, self.n = np.array(first, dtype), len(first)
+
+    def extend(self, more: np.ndarray) -> None:
+        if (n := self.n + len(more)) > len(self.values):
+            self.values = np.concatenate((self.values[: self.n], np.empty(max(n, 1024), self.values.dtype)))
+        self.values[self.n : n] = more
+        self.n = n
+
+
+class Stretches:
+    """A memo: ids of A and of B of each stretch by its number, and whether the bytes of either are the stretch behind a space."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.ids, self.starts, self.kept = (Grown(np.int32), Grown(np.int32)), (Grown(np.int64, (0,)), Grown(np.int64, (0,))), Grown(bool)
+
+    def add(self, stretches: list[str], ids: list[np.ndarray], lengths: list[np.ndarray], kept: np.ndarray) -> None:
+        """``ids``, ``lengths``: all ids of A and of B, one stretch after another, and how many each has."""
+        self.numbers.update(zip(stretches, range(len(self.numbers), len(self.numbers) + len(stretches)), strict=True))
+        for side in range(2):
+            self.starts[side].extend(np.cumsum(lengths[side]) + self.ids[side].n)
+            self.ids[side].extend(ids[side])
+        self.kept.extend(kept)
+
+    def taken(self, side: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of one side of these stretches, one after another, and how many each has."""
+        starts = self.starts[side].values
+        first = starts[numbers]
+        lengths = starts[numbers + 1] - first
+        return self.ids[side].values[_ranges(first, lengths)], lengths
+
+    def cut(self, stretches: list[str]) -> None:
+        """Takes away the stretches that were added last."""
+        for s in stretches:
+            del self.numbers[s]
+        self.kept.n = n = len(self.numbers)
+        for side in range(2):
+            self.starts[side].n, self.ids[side].n = n + 1, int(self.starts[side].values[n])
+
+
 class Pair:
     """Both tokenizers, read in a task."""
 
@@ -128,53 +172,75 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.a_bytes = Entries([known.get(i, b"") for i in range(max(known) + 1)])
         self.b_bytes = Entries([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-        self.decimals = Entries([b"%d," % i for i in range(max(max(known) + 1, len(pieces)))])
+        # up to seven decimals of each id in the low bytes of eight, for a separator in the last
+        self.decimals = np.frombuffer(b"".join((b"%d" % i).ljust(8, b"\0") for i in range(max(max(known) + 1, len(pieces)))), "<u8")
         self.parted = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.new: tuple[dict, dict] = ({}, {})  # ids of A and of B by stretch, as bytes; when they are full they become the old memo
-        self.old: tuple[dict, dict] = ({}, {})
-
-    def tokens(self, wanted: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids of A and of B of every stretch, as bytes."""
-        if len(self.new[0]) + len(wanted) > MEMO:
-            self.old, self.new = self.new, ({}, {})
-        (a, b), (old_a, old_b) = self.new, self.old
-        fresh = wanted - a.keys()
-        known = fresh & old_a.keys()
-        a.update(zip(known, map(old_a.__getitem__, known), strict=True))
-        b.update(zip(known, map(old_b.__getitem__, known), strict=True))
-        missing = list(fresh - known)
-        left = self.a.encode_batch_fast([" " + s for s in missing], add_special_tokens=False)
-        a.update((s, array("i", x.ids).tobytes()) for s, x in zip(missing, left, strict=True))
-        b.update((s, array("i", y).tobytes()) for s, y in zip(missing, self.b.encode(missing, num_threads=1), strict=True))
-        return a, b
+        self.new, self.old = Stretches(), Stretches()  # a full memo becomes the old one
+
+    def numbered(self, stretches: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Number of each stretch in the new memo, and the stretches that are too long to stay there."""
+        at = np.fromiter(map(self.new.numbers.get, stretches, repeat(-1)), np.int64, len(stretches))
+        absent = np.flatnonzero(at < 0).tolist()
+        missing = dict.fromkeys(map(stretches.__getitem__, absent))
+        if self.new.numbers and len(self.new.numbers) + len(missing) > MEMO:
+            self.old, self.new = self.new, Stretches()
+            return self.numbered(stretches)
+        known = [s for s in missing if s in self.old.numbers]
+        if known:
+            of = np.array(list(map(self.old.numbers.__getitem__, known)))
+            ids, lengths = zip(*(self.old.taken(side, of) for side in range(2)), strict=True)
+            self.new.add(known, ids, lengths, self.old.kept.values[of])
+        fresh = [s for s in missing if s not in self.old.numbers]
+        long = [s for s in fresh if len(s) > MEMO_CHARS]
+        if fresh:
+            self.encode([s for s in fresh if len(s) <= MEMO_CHARS] + long)
+        at[absent] = [self.new.numbers[stretches[i]] for i in absent]
+        return at, long
+
+    def encode(self, stretches: list[str]) -> None:
+        """Adds stretches to the new memo."""
+        left = [x.ids for x in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
+        right = self.b.encode(stretches, num_threads=1)
+        lengths = [np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right)]
+        ids = [np.fromiter(chain.from_iterable(x), np.int32, int(n.sum())) for x, n in zip((left, right), lengths, strict=True)]
+        raw = [(" " + s).encode() for s in stretches]
+        kept = np.ones(len(raw), bool)
+        for entries, x, n in zip((self.a_bytes, self.b_bytes), ids, lengths, strict=True):
+            spelled, ends = entries.join(x)
+            spelled, ends = spelled.tobytes(), np.concatenate(([0], ends))[np.cumsum(n)].tolist()
+            kept &= [spelled[i:j] == r for i, j, r in zip([0, *ends], ends, raw)]
+        self.new.add(stretches, ids, lengths, kept)
 
     def documents(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs and their numbers as bytes) of each text."""
         cut = [SINGLE_SPACE.split(t) if t and self.parted else [t] if t else [] for t in texts]
-        wanted = {s for parts in cut for s in parts}
-        a, b = self.tokens(wanted)
-        ids = lambda known, parts: np.frombuffer(b"".join(map(known.__getitem__, parts)), np.int32)
-        out = [self.document(text, ids(a, parts), ids(b, parts)) for text, parts in zip(texts, cut, strict=True)]
-        for s in wanted:
-            if len(s) > MEMO_CHARS:
-                del a[s], b[s]
+        numbers, long = self.numbered(list(chain.from_iterable(cut)))
+        bounds = np.cumsum([0, *map(len, cut)])  # of each text's stretches
+        upto = lambda n: np.concatenate(([0], np.cumsum(n)))[bounds].tolist()
+        (a, n_a), (b, n_b) = (self.new.taken(side, numbers) for side in range(2))
+        at_a, at_b, changed = upto(n_a), upto(n_b), upto(~self.new.kept.values[numbers])
+        out = [self.document(t, a[at_a[i] : at_a[i + 1]], b[at_b[i] : at_b[i + 1]], changed[i] == changed[i + 1]) for i, t in enumerate(texts)]
+        self.new.cut(long)
         return out
 
-    def document(self, text: str | None, a: np.ndarray, b: np.ndarray) -> tuple:
+    def document(self, text: str | None, a: np.ndarray, b: np.ndarray, kept: bool) -> tuple:
+        """``kept``: both sides spell each stretch unchanged, and so the text."""
         none = 0, 0, 0, 0, "", b"", b""
         if not text:
             return none
-        raw = (" " + text).encode()
-        (x, a_ends), (y, b_ends) = self.a_bytes.join(a), self.b_bytes.join(b)
-        if x.tobytes() != raw or y.tobytes() != raw:
-            return none
+        if not kept:
+            raw = (" " + text).encode()
+            if any(entries.join(ids)[0].tobytes() != raw for entries, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+                return none
+        a_ends, b_ends = np.cumsum(self.a_bytes.lengths[a]), np.cumsum(self.b_bytes.lengths[b])
         runs, others = aligned(a_ends.tolist(), b_ends.tolist())
         i, j, n = np.array(runs, np.int64).reshape(-1, 3).T
         i, j = _ranges(i, n), _ranges(j, n)
         p, q, last_p, last_q = np.array(others, np.int64).reshape(-1, 4).T
         last_a, last_b = np.sort(np.concatenate((i, last_p))), np.sort(np.concatenate((j, last_q)))
         # tokens of an irregular group overlap once in each stretch between two ends of either side
-        stops = np.union1d(a_ends[_ranges(p, last_p - p + 1)], b_ends[_ranges(q, last_q - q + 1)])
+        stops = np.sort(np.concatenate((a_ends[_ranges(p, last_p - p + 1)], b_ends[_ranges(q, last_q - q + 1)])))
+        stops = stops[np.diff(stops, prepend=-1) > 0]
         i, j = np.concatenate((i, np.searchsorted(a_ends, stops))), np.concatenate((j, np.searchsorted(b_ends, stops)))
         pairs, times = np.unique(a[i] * np.int64(len(self.b_bytes.lengths)) + b[j], return_counts=True)
         return len(a), len(b), len(last_a), len(i), self.digest(a, b, last_a, last_b), pairs.tobytes(), times.astype(np.int32).tobytes()
@@ -186,9 +252,10 @@ class Pair:
         at_b = np.arange(len(b)) + np.repeat(last_a + 1, n_b)
         ids = np.empty(len(a) + len(b), np.int64)
         ids[at_a], ids[at_b] = a, b
-        said, ends = self.decimals.join(ids)
-        said[ends[at_a[last_a]] - 1], said[ends[at_b[last_b]] - 1] = ord("|"), ord(";")
-        return hashlib.sha256(said[:-1].tobytes()).hexdigest()
+        behind = np.full(len(ids), ord(","), "<u8")
+        behind[at_a[last_a]], behind[at_b[last_b]] = ord("|"), ord(";")
+        said = (self.decimals[ids] | behind << np.uint64(56)).view(np.uint8)
+        return hashlib.sha256(said[said > 0][:-1].tobytes()).hexdigest()
 
 
 @lru_cache(1)
