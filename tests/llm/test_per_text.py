@@ -444,3 +444,31 @@ def test_empty_tables(spark, docs, vocabulary):
     none = docs.limit(0)
     for df in (media.audio_digests(media.embed_payload(none)), bpe.token_digests(none, *vocabulary), secrets.secret_digests(none), pii.pii_digests(none), toxicity.scored(none, toxicity.fit([], np.zeros(0)))):
         assert df.count() == 0
+
+
+def test_fit_takes_little_memory_beside_its_terms(spark, monkeypatch):
+    """Terms are laid out flat a block of rows at a time, and what the sample took goes back to the system."""
+    import tracemalloc
+
+    import numpy as np
+
+    from trailmark.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    rows = [rng.choice(20_000, 1_000, replace=False).astype(np.int32) for _ in range(4_000)]
+    labels, strong = (np.arange(4_000) % 50 == 0).astype(float), np.ones(toxicity.DIM, bool)
+    tracemalloc.start()
+    toxicity.informative(rows, labels)
+    fixed = 20 * 8 * toxicity.DIM
+    assert tracemalloc.get_traced_memory()[1] < fixed + sum(r.nbytes for r in rows)
+    tracemalloc.stop()
+    holders = toxicity.holders_of(rows[:700], 20_000)
+    assert all(h.tolist() == sorted(h.tolist()) for h in holders) and sum(map(len, holders)) == 700_000
+    assert all(i in holders[t] for i in (0, 511, 512, 699) for t in rows[i][:20])
+    assert not toxicity.interacting(rows[:700], labels[:700], strong).any()
+    calls = []
+    monkeypatch.setattr(toxicity, "released", lambda: calls.append(1))
+    monkeypatch.setattr(toxicity, "train", lambda *_: toxicity.Machine(0.0, None, None))
+    monkeypatch.setattr(toxicity, "table", lambda *_: spark.createDataFrame([], "doc_id LONG, toxic INT"))
+    toxicity.fitted(spark, None, "")
+    assert calls == [1]

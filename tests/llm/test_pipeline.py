@@ -109,3 +109,17 @@ def test_numbered_queries_are_registered():
     from trailmark.llm import queries
 
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 14))
+
+
+def test_thresholds_join_once_a_level(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from trailmark.llm import mixing
+
+    slim = spark.createDataFrame([(s, n, h) for s in ("a", None) for n, h in ((3, 5), (4, 1 << 50), (0, 7))], "source STRING, size LONG, hash LONG")
+    goals = spark.createDataFrame([("a", 7, 10.0), (None, 7, 4.0), ("z", 0, 0.0)], "source STRING, source_size LONG, target DOUBLE")
+    joins, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda *a, **b: joins.append(1) or join(*a, **b))
+    got = {r.source: (r.full, r["last"], r.also) for r in mixing.thresholds(slim, goals).collect()}
+    assert got == {"a": (1, 1 << 50, False), None: (0, 1 << 50, False), "z": (0, None, None)}
+    assert len(joins) == mixing.LEVELS + 1

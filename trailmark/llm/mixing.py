@@ -63,25 +63,24 @@ def thresholds(slim: DataFrame, goals: DataFrame) -> DataFrame:
     ``slim``: (source, size, hash); ``goals``: (source, source_size, target). Sources without a remainder have a null ``last``.
     """
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    state = goals.withColumn("full", full.cast("long")).withColumn("left", F.col("target") - F.col("full") * F.col("source_size")).withColumn("last", F.lit(0).cast("long")).withColumn("at_end", F.lit(0).cast("long"))
+    goals = goals.withColumn("full", full.cast("long")).withColumn("left", F.col("target") - F.col("full") * F.col("source_size"))
     rows = slim.where("size > 0")  # only histograms of it move
+    state = goals.select("source", "left", F.lit(0).cast("long").alias("last"))
     for k in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - k)
-        inside = rows if k == 1 else rows.join(
-            state.select(F.col("source").alias("__s"), F.col("last").alias("__last")),
-            F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("hash", shift + BITS) == F.col("__last")), "left_semi",
-        )
-        histogram = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        # one join a level: rows of the bucket in which their source's budget ends bring what is left of it along
+        budget = state.select(F.col("source").alias("__s"), F.col("left").alias("__left"), F.col("last").alias("__last"))
+        inside = rows.join(budget, F.col("source").eqNullSafe(F.col("__s")) & (F.shiftright("hash", shift + BITS) == F.col("__last")))
+        histogram = inside.groupBy("source", "__left", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         running = Window.partitionBy("source").orderBy("bucket")
-        sums = histogram.withColumn("upto", F.sum("words").over(running)).select(F.col("source").alias("__s"), "bucket", "words", "upto")
-        # the first bucket in which the running sum passes what is left
-        ends = sums.join(state, F.col("__s").eqNullSafe(F.col("source"))).where(F.col("upto") > F.col("left")).groupBy(F.col("source").alias("__s")).agg(F.min_by(F.struct("bucket", "words", "upto"), "bucket").alias("end"))
-        # a row a source, written so that the next level's plan reads it twice instead of repeating all levels before
-        state = stored(state.join(ends, F.col("__s").eqNullSafe(F.col("source")), "left").select(
-            "source", "source_size", "target", "full", F.col("end.bucket").alias("last"),
-            (F.col("left") - (F.col("end.upto") - F.col("end.words"))).alias("left"), F.col("end.words").alias("at_end"),
-        ))
-    return state.select("source", "source_size", "target", "full", "last", (F.col("left") * 2 >= F.col("at_end")).alias("also"))
+        over = histogram.withColumn("upto", F.sum("words").over(running)).where("upto > __left")
+        # the first bucket in which the running sum passes what is left; the next levels are inside of it, so no source is lost there
+        end = F.struct("bucket", "words", (F.col("__left") - (F.col("upto") - F.col("words"))).alias("left"))
+        ends = over.groupBy("source").agg(F.min_by(end, "bucket").alias("end")).select("source", F.col("end.bucket").alias("last"), F.col("end.left").alias("left"), F.col("end.words").alias("at_end"))
+        if k < LEVELS:
+            state = stored(ends)  # a row a source, written so that the next level's plan doesn't repeat all levels before
+    ends = ends.withColumnsRenamed({"source": "__s", "left": "__left"})
+    return stored(goals.join(ends, F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "source_size", "target", "full", "last", (F.col("__left") * 2 >= F.col("at_end")).alias("also")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:

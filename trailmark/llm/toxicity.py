@@ -21,6 +21,7 @@ text gives. Repeated rows score alike; an empty table gives an empty table; with
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..arrow import released
 from .common import per_row, table
 
 DIM, FACTORS, SEGMENT, MIN_RATIO, PAIR_ROWS, PAIR_RATIO = 1 << 18, 4, 400, 16.0, 8, 40.0
+#: Rows whose terms are laid out flat at a time.
+BLOCK = 512
 TERM = re.compile(r"[^\W_]+")
 
 
@@ -68,21 +72,44 @@ def label_ratio(both: np.ndarray, with_term: np.ndarray, total: float, n: float)
     return ratio
 
 
+def flat(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Terms and their rows' numbers, a block of rows at a time."""
+    for at in range(0, len(rows), BLOCK):
+        part = rows[at : at + BLOCK]
+        yield np.concatenate(part), np.repeat(np.arange(at, at + len(part), dtype=np.int32), [len(r) for r in part])
+
+
 def informative(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Which terms' log-likelihood ratio (of presence and label) reaches ``MIN_RATIO``."""
-    terms, of = np.concatenate(rows), np.repeat(labels, [len(r) for r in rows])
-    return label_ratio(np.bincount(terms, of, DIM), np.bincount(terms, minlength=DIM).astype(float), labels.sum(), len(rows)) >= MIN_RATIO
+    both, with_term = np.zeros(DIM), np.zeros(DIM)
+    for terms, of in flat(rows):
+        both += np.bincount(terms, labels[of], DIM)
+        with_term += np.bincount(terms, minlength=DIM)
+    return label_ratio(both, with_term, labels.sum(), len(rows)) >= MIN_RATIO
+
+
+def holders_of(rows: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """Which rows hold each of ``n`` terms, in order; a row holds a term once."""
+    counts = np.zeros(n, np.int64)
+    for terms, _ in flat(rows):
+        counts += np.bincount(terms, minlength=n)
+    starts = np.cumsum(counts) - counts
+    held, free = np.empty(int(counts.sum()), np.int32), starts.copy()
+    for terms, of in flat(rows):
+        order = np.argsort(terms, kind="stable")
+        terms = terms[order]
+        held[free[terms] + np.arange(len(terms)) - np.searchsorted(terms, terms)] = of[order]
+        free += np.bincount(terms, minlength=n)
+    return np.split(held, starts[1:])
 
 
 def interacting(segs: list[np.ndarray], labels: np.ndarray, strong: np.ndarray) -> np.ndarray:
     """Which terms belong to a pair: one that isn't ``strong`` goes with the label among the segments with the other."""
-    often = np.bincount(np.concatenate(segs), minlength=DIM) >= PAIR_ROWS
+    often = sum((np.bincount(terms, minlength=DIM) for terms, _ in flat(segs)), np.zeros(DIM, np.int64)) >= PAIR_ROWS
     ids = np.flatnonzero(often)
-    place = np.cumsum(often) - 1
-    rows = [place[s[often[s]]].astype(np.int32) for s in segs]
-    terms, of = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    order = np.argsort(terms, kind="stable")
-    holders = np.split(of[order], np.searchsorted(terms[order], np.arange(1, len(ids))))
+    place = (np.cumsum(often) - 1).astype(np.int32)
+    rows = [place[s[often[s]]] for s in segs]
+    holders = holders_of(rows, len(ids))
     free, paired = ~strong[ids], np.zeros(len(ids), bool)
     for a, held in enumerate(holders):
         y = labels[held]
@@ -183,8 +210,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fitted(spark, docs: DataFrame, sf_dir: str) -> Machine:
-    """A machine trained on the labels outside the held-out fold."""
-    return train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out()))
+    """A machine trained on the labels outside the held-out fold; the driver's memory that the sample took goes back to the system."""
+    machine = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out()))
+    released()
+    return machine
 
 
 def toxic_removed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
