@@ -1,15 +1,20 @@
 """Operators on hand-made catalogs, against known results and brute force."""
 
+import contextlib
 import itertools
 import math
+import os
 import random
+import threading
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators import boxes, cards, clusters, discs, filters, ingest, journeys, moments, rollups, sequence, spatial, tags, timeline
 from trailmark.operators.graph import components
+from trailmark.scratch import checkpoint_dir, stored
 
 T0 = datetime(2024, 5, 1, 12)
 SCHEMA = "project LONG, id LONG, ts TIMESTAMP_NTZ, lat DOUBLE, lon DOUBLE, country_code STRING, folder_name STRING, file_name STRING, camera_model STRING, status STRING"
@@ -387,6 +392,86 @@ def test_recommendations_in_crowds(spark):
     assert by_boxes == by_pairs and len(by_boxes) > 50
 
 
+@pytest.mark.parametrize("leaf", [4, 32])
+def test_tags_counted_over_boxes(spark, leaf):
+    """By box and row against all pairs: rows that come twice, rows without tags, undated left rows, a row's own tags."""
+    rnd = random.Random(leaf)
+    pts = crowded(4, 120)
+    tags_of = [[t for t in ("hill", "new", "old", "sea") if rnd.random() < 0.4] for _ in pts]
+    copies = [2 if i % 9 == 0 else 1 for i in range(len(pts))]
+    schema = "id LONG, names ARRAY<STRING>, copies LONG"
+    values = spark.createDataFrame(list(zip(range(len(pts)), tags_of, copies)), schema)
+    table = photos(spark, [pt(*p) for p in pts]).join(values, "id")
+    table = stored(table.unionByName(table.where("copies = 2")))
+    tree = boxes.boxed(table.withColumn("dated", F.col("id") % 3 != 1), 150, leaf, ("names", "copies", "dated"))
+    found = boxes.near(boxes.Boxes(tree.rows.where("dated"), tree.boxes), tree, 150)
+    got = {(r.id, r["name"]): r.value for r in found.tagged(values).collect()}
+    want = {}
+    for i, a in enumerate(pts):
+        for j, b in enumerate(pts):
+            if i % 3 != 1 and meters(*a, *b) <= 150:
+                for t, n in [(None, copies[j]), *[(t, 1) for t in tags_of[j] if t not in tags_of[i]]]:
+                    want[i, t] = want.get((i, t), 0) + copies[i] * copies[j] * n
+    assert got == want and len({n for _, n in got}) == 5
+
+
+def test_roots_meet_as_in_nine_cells(spark):
+    """Tiles list fewer rows and miss no pair, near the equator, the poles and the 180th meridian."""
+    rnd = random.Random(2)
+    places = [(0.0, 0.0), (48.0, 2.0), (89.999, 10.0), (-89.997, -170.0), (-0.001, 179.999), (60.0, -179.999)]
+    rows = [pt(max(-90, min(90, a + rnd.gauss(0, 0.004))), max(-180, min(180, b + rnd.gauss(0, 0.01 if abs(a) < 80 else 90))), project=k % 2) for k in range(50) for a, b in places]
+    tree = boxes.boxed(photos(spark, rows), 200)
+    middles = tree.boxes.where("parent is null").select("box.project", F.col("box").alias("id"), F.expr("(y1 + y2) / 2").alias("lat"), F.expr("(x1 + x2) / 2").alias("lon"))
+    want = sorted((r.l_id, r.r_id) for r in spatial.radius_join(middles, middles, 400).select("l_id", "r_id").distinct().collect())
+    assert sorted((r.l.box, r.r.box) for r in boxes.root_pairs(tree, tree, 200).collect()) == want and len(want) > 1000
+
+
+def written(spark, run):
+    """Bytes of the shuffle files that ``run`` writes, also of those that Spark drops meanwhile, and of the scratch tables that it leaves."""
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    found, over = {}, threading.Event()
+
+    def look(known):
+        for d in local:
+            for at, _, names in os.walk(d):
+                for f in names:
+                    if f.startswith("shuffle_") and f.endswith(".data") and f not in known:
+                        with contextlib.suppress(OSError):
+                            found[f] = os.path.getsize(f"{at}/{f}")
+
+    def watch(known):
+        while not over.wait(0.2):
+            look(known)
+
+    look({})
+    old, tables = {*found}, {*Path(checkpoint_dir(spark)).rglob("*.parquet")}
+    found.clear()
+    thread = threading.Thread(target=watch, args=(old,))
+    thread.start()
+    try:
+        run()
+    finally:
+        over.set()
+        thread.join()
+    look(old)
+    return sum(found.values()), sum(f.stat().st_size for f in Path(checkpoint_dir(spark)).rglob("*.parquet") if f not in tables)
+
+
+def test_recommendations_write_little(spark):
+    """Thin places, tags and quarters of a row are not listed again and again: disk in bytes a row, with joins by shuffle as in large tables."""
+    rnd = random.Random(8)
+    rows = [pt(10 + rnd.random() * 0.2, 20 + rnd.random() * 0.2, h=rnd.random() * 700, folder=f"Walk {i // 3}", project=i % 20) for i in range(6000)]
+    table = stored(photos(spark, rows))
+    links = stored(spark.createDataFrame([(i % 20, i, t) for i in range(len(rows)) for t in rnd.sample("abcdefghijklmnopqrst", 5)], "project LONG, id LONG, name STRING"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        shuffled, kept = written(spark, lambda: tags.recommend_tags(table, links, sparse=0).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled < 1500 * len(rows) and kept < 120 * len(rows)  # before: 3210 and 260
+
+
 def test_count_within(spark):
     rows = photos(spark, [{"h": h} for h in (0, 0, 1, 12, 13, 24, 25.5, 60)] + [{"project": 2, "h": 3}]).withColumn("w", F.lit(1))
     got = {r.id: r.n_within for r in spatial.count_within(rows, ["project"], 12 * 3600, "w").collect()}

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 from ..functions.geo import EARTH_METERS, haversine
 from ..scratch import dropped, stored
 from .graph import components
-from .spatial import DEGREE_METERS, cell_number, neighbour_pairs, radius_join
+from .spatial import DEGREE_METERS, band_cells, cell_number, neighbour_pairs, radius_join
 
 #: Rows that a box may hold without being halved, and how often a cell is halved at most.
 LEAF, DEPTH = 32, 10
 #: Relative slack of a box's bounds for rounding.
 SLACK = 1e-9
 ROOT = ["project", "band", "cell"]
+#: Side of the tiles in which roots meet, in radii of their join.
+TILES = 4
 
 
 def cells(meters: float) -> tuple[Column, Column, Column, Column]:
@@ -48,13 +51,15 @@ def crowd(photos: DataFrame, meters: float) -> int:
 
 @dataclass
 class Boxes:
-    """rows: project, id, lat, lon, root's keys, y, x (place at the deepest level), level (of the row's leaf).
+    """rows: project, id, lat, lon, root's keys, y, x (place at the deepest level), level (of the row's leaf), few (whether the root has no more rows than a leaf may have),
+    and further columns asked for.
 
-    boxes: box (struct of the root's keys, level, y, x), parent (null for a root), n, y1, y2, x1, x2, leaf.
+    boxes: box (struct of the root's keys, level, y, x), parent (null for a root), n, y1, y2, x1, x2, leaf. tables: what was written for both.
     """
 
     rows: DataFrame
     boxes: DataFrame
+    tables: tuple[DataFrame, ...] = ()
 
     def sides(self) -> DataFrame:
         """box, and all that is needed to judge it, as one struct ``b``."""
@@ -64,46 +69,90 @@ class Boxes:
         """id, box of every row and each of its boxes that is among ``used`` (box)."""
         return self.rows.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.col("level")), _box)).alias("box")).join(used, "box", "left_semi")
 
+    def paths_with(self, used: DataFrame, *columns: str) -> DataFrame:
+        """box and ``columns`` of every row and its root, and each of its further boxes that is among ``used`` (box). A root is a neighbour of itself as a whole, so none is looked up."""
+        below = self.rows.where("level > 0").select(F.explode(F.transform(F.sequence(F.lit(1), F.col("level")), _box)).alias("box"), *columns)
+        return self.rows.select(_box(F.lit(0)).alias("box"), *columns).unionByName(below.join(used.where("box.level > 0").distinct(), "box", "left_semi"))
+
 
 def _box(level: Column) -> Column:
     shrink = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(DEPTH) - level)).cast("int")
     return F.struct(*[F.col(k) for k in ROOT], level.cast("int").alias("level"), shrink("y").alias("y"), shrink("x").alias("x"))
 
 
-def boxed(photos: DataFrame, meters: float, leaf: int = LEAF) -> Boxes:
-    """The trees of all placed rows (project, id, lat, lon)."""
+def boxed(photos: DataFrame, meters: float, leaf: int = LEAF, also: tuple[str, ...] = ()) -> Boxes:
+    """The trees of all placed rows (project, id, lat, lon), which keep the columns ``also``.
+
+    Only rows of roots to be halved are counted in finer boxes; where there is none, as in thin places, rows are written once and shuffled once.
+    """
     band, cell, y, x = cells(meters)
     deep = lambda c: F.least(F.greatest(F.floor(c * 2**DEPTH), F.lit(0)), F.lit(2**DEPTH - 1)).cast("int")
-    rows = photos.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("project", "id", "lat", "lon", band.alias("band"), cell.alias("cell"), deep(y).alias("y"), deep(x).alias("x"))
-    rows = stored(rows)
+    placed = photos.where(F.col("project").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    rows = stored(placed.select("project", "id", "lat", "lon", band.alias("band"), cell.alias("cell"), deep(y).alias("y"), deep(x).alias("x"), *also))
     box = [f(c).alias(n) for n, f, c in (("y1", F.min, "lat"), ("y2", F.max, "lat"), ("x1", F.min, "lon"), ("x2", F.max, "lon"))]
-    deepest = stored(rows.groupBy(*ROOT, "y", "x").agg(F.count("*").alias("n"), *box))
     over = [F.sum("n").alias("n"), *[f(c).alias(c) for f, c in ((F.min, "y1"), (F.max, "y2"), (F.min, "x1"), (F.max, "x2"))]]
     one = (F.col("y1") == F.col("y2")) & (F.col("x1") == F.col("x2"))
     done = (F.col("n") <= leaf) | one | (F.col("box.level") == DEPTH)
-    zero = F.lit(0)
-    roots = deepest.groupBy(*ROOT).agg(*over).select(F.struct(*ROOT, zero.alias("level"), zero.alias("y"), zero.alias("x")).alias("box"), "n", "y1", "y2", "x1", "x2").withColumn("leaf", done)
-    crowded = roots.where("not leaf").select(*[F.col(f"box.{k}").alias(k) for k in ROOT])
-    levels = F.explode(F.transform(F.sequence(F.lit(1), F.lit(DEPTH)), _box)).alias("box")
-    lower = deepest.join(crowded, ROOT).select(levels, "n", "y1", "y2", "x1", "x2").groupBy("box").agg(*over).withColumn("leaf", done)
-    every = stored(roots.unionByName(lower))
+    zero, sides = F.lit(0), ["n", "y1", "y2", "x1", "x2"]
+    root = F.struct(*ROOT, zero.alias("level"), zero.alias("y"), zero.alias("x")).alias("box")
+    roots = stored(rows.groupBy(*ROOT).agg(F.count("*").alias("n"), *box).select(root, *sides).withColumn("leaf", done))
     up = F.struct(*[F.col(f"box.{k}").alias(k) for k in ROOT], (F.col("box.level") - 1).alias("level"), *[F.floor(F.col(f"box.{k}") / 2).cast("int").alias(k) for k in ("y", "x")])
-    tree = every.withColumn("parent", F.when(F.col("box.level") > 0, up))
-    open_ = every.where("not leaf").select(F.col("box").alias("parent"), F.lit(True).alias("open"))
-    tree = stored(tree.join(open_, "parent", "left").where("parent is null or open").drop("open"))
-    leaves = tree.where("leaf").select(F.col("box").alias("own"), *[F.col(f"box.{k}").alias(k) for k in ROOT], F.col("box.level").alias("level"))
-    flat = rows.join(leaves.where("level = 0").select(*ROOT, "level"), ROOT)
-    split = rows.join(crowded, ROOT).withColumn("own", levels).join(leaves.where("level > 0").select("own", "level"), "own").drop("own")
-    leveled = stored(flat.unionByName(split.select(*flat.columns)))
-    dropped(rows, deepest, every)
-    return Boxes(leveled, tree)
+    tree = lambda d: d.withColumn("parent", F.when(F.col("box.level") > 0, up))
+    large = stored(roots.where(F.col("n") > leaf).select(*[F.col(f"box.{k}").alias(k) for k in ROOT], "leaf"))  # where they are few, they are sent to the rows
+    if large.isEmpty():
+        dropped(large)
+        return Boxes(rows.withColumns({"level": zero, "few": F.lit(True)}), tree(roots), (rows, roots))
+    crowded = large.where("not leaf").drop("leaf")
+    levels = F.explode(F.transform(F.sequence(F.lit(1), F.lit(DEPTH)), _box)).alias("box")
+    deepest = rows.join(crowded, ROOT).groupBy(*ROOT, "y", "x").agg(F.count("*").alias("n"), *box)
+    lower = stored(deepest.select(levels, *sides).groupBy("box").agg(*over).withColumn("leaf", done))
+    open_ = roots.where("not leaf").select("box").unionByName(lower.where("not leaf").select("box")).withColumnRenamed("box", "parent")
+    halves = stored(tree(lower).join(open_, "parent", "left_semi"))
+    leaves = halves.where("leaf").select(F.col("box").alias("own"), F.col("box.level").alias("level"))
+    flat = rows.join(large, ROOT, "left_anti").withColumns({"level": zero, "few": F.lit(True)})
+    same = rows.join(large.where("leaf").drop("leaf"), ROOT).withColumns({"level": zero, "few": F.lit(False)})
+    split = rows.join(crowded, ROOT).withColumn("own", levels).join(leaves, "own").withColumn("few", F.lit(False))
+    leveled = stored(flat.unionByName(same.select(*flat.columns)).unionByName(split.select(*flat.columns)))
+    dropped(rows, large, lower)
+    every = tree(roots)
+    return Boxes(leveled, every.unionByName(halves.select(*every.columns)), (leveled, roots, halves))
 
 
 def root_pairs(left: Boxes, right: Boxes, meters: float) -> DataFrame:
-    """l, r: the roots of one project that may have neighbours in each other."""
-    middle = lambda t: t.boxes.where("parent is null").select(F.col("box.project").alias("project"), F.col("box").alias("id"), ((F.col("y1") + F.col("y2")) / 2).alias("lat"), ((F.col("x1") + F.col("x2")) / 2).alias("lon"))
-    near = radius_join(middle(left), middle(right), 2 * meters).select("l_id", "r_id").distinct()
-    return near.join(left.sides().select(F.col("box").alias("l_id"), F.col("b").alias("l")), "l_id").join(right.sides().select(F.col("box").alias("r_id"), F.col("b").alias("r")), "r_id").select("l", "r")
+    """l, r: the roots of one project that may have neighbours in each other: those with middles within twice ``meters``, as ``radius_join`` finds them.
+
+    Roots meet in tiles of ``TILES`` times that radius: a left root is listed in its own tile, and in others only if they are in reach, not in nine cells.
+    A project has one root a cell, so a tile holds a bounded number of them.
+    """
+    reach = 2 * meters
+    _, band, around = band_cells(reach)
+    _, tile_band, tile_around = band_cells(TILES * reach)
+    sides = ["y1", "y2", "x1", "x2", "leaf"]
+
+    def roots(t: Boxes, s: str) -> DataFrame:
+        flat = t.boxes.where("parent is null and box.project is not null").select(*[F.col(f"box.{k}").alias(k) for k in ROOT], *sides)
+        at = {"lat": (F.col("y1") + F.col("y2")) / 2, "lon": (F.col("x1") + F.col("x2")) / 2}
+        return flat.withColumns(at).select("project", *[F.col(c).alias(f"{s}_{c}") for c in (*ROOT[1:], *sides, "lat", "lon")])
+
+    lat, lon = F.col("l_lat"), F.col("l_lon")
+    up = reach / DEGREE_METERS * 1.001
+    edge = F.least(F.abs(lat) + up, F.lit(90.0))
+    aside = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(math.sin(min(reach / (2 * EARTH_METERS), math.pi / 2))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))))) * 1.001
+    number = lambda x: F.floor((x + 180) / 360 * F.col("__n")).cast("long")
+    l = roots(left, "l").withColumn("__band", F.explode(F.sequence(tile_band(lat - up), tile_band(lat + up)))).withColumn("__n", tile_around(F.col("__band")))  # noqa: E741
+    first = number(lon - aside)
+    listed = F.sequence(first, F.least(number(lon + aside), first + F.col("__n") - 1))
+    l = l.withColumn("__cell", F.explode(F.transform(listed, lambda c: F.pmod(c, F.col("__n"))))).drop("__n")  # noqa: E741
+    r = roots(right, "r").withColumn("__band", tile_band(F.col("r_lat"))).withColumn("__cell", cell_number(F.col("r_lon"), tile_around(F.col("__band"))))
+    l, r = (d.drop(f"{s}_lat", f"{s}_lon") for d, s in ((l, "l"), (r, "r")))  # found again after the shuffle
+    met = l.join(r, ["project", "__band", "__cell"])
+    met = met.withColumns({f"{s}_{c}": (F.col(f"{s}_{k}1") + F.col(f"{s}_{k}2")) / 2 for s in "lr" for c, k in (("lat", "y"), ("lon", "x"))})
+    row, n = band(F.col("r_lat")), around(band(F.col("r_lat")))
+    beside = (F.abs(band(F.col("l_lat")) - row) <= 1) & (F.abs(cell_number(F.col("l_lon"), n) - cell_number(F.col("r_lon"), n)) <= 1)
+    met = met.where(F.abs(F.col("l_lat") - F.col("r_lat")) <= up).where(haversine(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")) <= reach).where(beside)
+    zero = F.lit(0)
+    box = lambda s: F.struct("project", *[F.col(f"{s}_{k}").alias(k) for k in ROOT[1:]], zero.alias("level"), zero.alias("y"), zero.alias("x"))
+    return met.select(*[F.struct(box(s).alias("box"), *[F.col(f"{s}_{c}").alias(c) for c in sides]).alias(s) for s in "lr"])
 
 
 def _meters(half_lat: Column, cosines: Column, half_lon: Column) -> Column:
@@ -159,6 +208,7 @@ class Near:
     right: Boxes
     whole: DataFrame
     pairs: DataFrame
+    tables: tuple[DataFrame, ...] = ()
 
     def combined(self, values: DataFrame, combine: Callable[[str], Column], keys: tuple[str, ...] = ()) -> DataFrame:
         """id, keys, value: ``combine`` over the values (id, keys, value) of each left row's neighbours, itself included if it is among them."""
@@ -168,21 +218,46 @@ class Near:
         one = self.pairs.join(values.withColumnRenamed("id", "r_id"), "r_id").groupBy(F.col("l_id").alias("id"), *keys).agg(combine("value").alias("value"))
         return of_rows.unionByName(one.select(*of_rows.columns)).groupBy("id", *keys).agg(combine("value").alias("value"))
 
+    def tagged(self, values: DataFrame) -> DataFrame:
+        """id, name, value: how many neighbours of each left row carry a tag that the row doesn't; without a name, how many neighbours it has, itself included.
+
+        Both sides' rows have names (array, of their tags) and copies (how often each counts as a neighbour); ``values``: id, names, copies, one row an id. Rows of large
+        roots are summed by tag and box first, others stay as they are: no box brings more than a leaf's rows or its own tags to a pair, and none is shuffled tag by tag.
+        """
+        every = lambda names: F.explode(F.concat(names, F.array(F.lit(None).cast("string")))).alias("name")
+        value = F.when(F.col("name").isNull(), F.col("copies")).otherwise(F.col("n")).alias("value")
+        one = F.lit(1).cast("long").alias("n")
+        rows = self.right.paths_with(self.whole.select(F.col("r").alias("box")), "names", "copies", "few")
+        summed = rows.where("not few").select("box", "copies", one, every(F.col("names"))).groupBy("box", "name").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+        summed = summed.select("box", F.array_compact(F.array("name")).alias("names"), F.when(F.col("name").isNull(), F.col("copies")).otherwise(0).alias("copies"), "n")
+        parts = rows.where("few").select("box", "names", "copies", one).unionByName(summed)
+        met = self.whole.join(parts, F.col("r") == F.col("box")).select(F.col("l").alias("box"), "names", "copies", "n").repartition("box")
+        seen = met.select("box", "n", "copies", every(F.col("names"))).select("box", "name", value).groupBy("box", "name").agg(F.sum("value").alias("value"))
+        own = self.left.paths_with(self.whole.select(F.col("l").alias("box")), "id", "names")
+        of_rows = own.join(seen, "box").where(F.col("name").isNull() | ~F.array_contains("names", F.col("name"))).select("id", "name", "value")
+        pairs = self.pairs.join(values.select(F.col("id").alias("l_id"), F.col("names").alias("own")), "l_id").join(values.withColumnRenamed("id", "r_id"), "r_id")
+        of_pairs = pairs.select(F.col("l_id").alias("id"), one, "copies", every(F.array_except("names", "own"))).select("id", "name", value)
+        return of_rows.unionByName(of_pairs).groupBy("id", "name").agg(F.sum("value").alias("value"))
+
 
 def near(left: Boxes, right: Boxes, meters: float) -> Near:
-    state = stored(root_pairs(left, right, meters))
-    wholes, rims, states = [], [], [state]
-    while not state.isEmpty():
-        whole, rim, large = judged(state, meters)
-        wholes.append(whole.select(F.col("l.box").alias("l"), F.col("r.box").alias("r")))
-        rims.append(rim)
-        state = stored(taken_apart(large, left, right))
-        states.append(state)
-    union = lambda parts, empty: empty if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:], empty))
-    whole = union(wholes, state.select(F.col("l.box").alias("l"), F.col("r.box").alias("r")))
-    out = Near(left, right, stored(whole), stored(compared(union(rims, state), left, right, meters)))
-    dropped(*states)
-    return out
+    """Judges the pairs of boxes, level by level; of pairs that needn't be taken apart only the boxes' names are written, once."""
+    pairs, states = root_pairs(left, right, meters), []
+    low, high = bounds()
+    kind = F.when(high <= meters * (1 - SLACK), 0).when(F.col("l.leaf") & F.col("r.leaf"), 1).otherwise(2)  # as ``judged``
+    large = lambda c: F.when(F.col("kind") == 2, F.col(c)).alias(c)
+    while True:
+        judged_ = pairs.where(low <= meters * (1 + SLACK)).withColumn("kind", kind)
+        states.append(stored(judged_.select("kind", F.col("l.box").alias("l_box"), F.col("r.box").alias("r_box"), large("l"), large("r"))))
+        rest = states[-1].where("kind = 2").select("l", "r")
+        if rest.isEmpty():
+            break
+        pairs = taken_apart(rest, left, right)
+    of = lambda k: reduce(DataFrame.unionByName, [s.where(F.col("kind") == k).select("l_box", "r_box") for s in states])
+    rims = stored(of(1).select(F.struct(F.col("l_box").alias("box")).alias("l"), F.struct(F.col("r_box").alias("box")).alias("r")))  # few: no row is shuffled for them
+    pairs = stored(compared(rims, left, right, meters))
+    dropped(rims)
+    return Near(left, right, of(0).select(F.col("l_box").alias("l"), F.col("r_box").alias("r")), pairs, (*states, pairs))
 
 
 def linked(pairs: DataFrame, tree: Boxes, meters: float) -> DataFrame:
